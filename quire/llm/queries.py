@@ -8,14 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_conversations, read_back
 from .common import cut, prepare
+from .embedding_dup import embedding_duplicates
 from .line_dedup import drop_recurring_lines
 from .mixing import mix, thresholds, word_count
 from .near_dup import near_duplicates
 from .packing import pack_documents
 from .quality import quality_report
+from .token_counts import count_tokens, vocabulary
+from .toxicity import toxicity
+from .url_filters import filter_urls
 
-WORD_BPE = "word_bpe_49k.json"
+WORD_BPE, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+#: A conversation whose texts hold control strings of common templates.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+CONTROL_TURNS = [(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,10 +36,31 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), carry=carry)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read(spark, sf_dir, "documents"), vocabulary(public_tokenizers.path(PIECES)))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), width=4, similarity=80)
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(format_conversations(turns.unionByName(spark.createDataFrame(CONTROL_TURNS, turns.schema))))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(read(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
     return drop_recurring_lines(docs)
@@ -49,7 +79,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_token_counts": op2_token_counts,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op6_chat_formatting": op6_chat_formatting,
+    "op7_url_filters": op7_url_filters,
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
@@ -107,3 +142,82 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
 FROM b
 """
+
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+SQL["op3_minhash_near_dedup"] = rf"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT r, array_to_string(ws[i : i + 3], ' ') AS s FROM w, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1)) + 1)) AS t(i)),
+n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS n_both FROM sh a JOIN sh b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+linked AS (SELECT a, b FROM shared JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * n_both >= 80 * (x.n + y.n - n_both)),
+links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM linked JOIN w x ON x.r = a JOIN w y ON y.r = b),
+either AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS id, b AS other FROM either UNION SELECT reach.id, either.b FROM reach JOIN either ON reach.other = either.a),
+low AS (SELECT id, min(other) AS other FROM reach GROUP BY id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id,
+       doc_id = least(doc_id, coalesce(other, doc_id)) AS kept
+FROM w LEFT JOIN n USING (r) LEFT JOIN low ON doc_id = id
+"""
+
+SQL["op4_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+either AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT a AS id, b AS other FROM either UNION SELECT reach.id, either.b FROM reach JOIN either ON reach.other = either.a),
+low AS (SELECT id, min(other) AS other FROM reach GROUP BY id),
+degree AS (SELECT a AS id, count(*) AS n FROM either GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(other, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(other, vec_id)) AS kept
+FROM embeddings LEFT JOIN low ON vec_id = low.id LEFT JOIN degree ON vec_id = degree.id
+"""
+
+SQL["op6_chat_formatting"] = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL_TEXT}'),
+t AS (SELECT *, regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|\|)', '\1\\\2\3', 'g') AS escaped,
+             regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '([<\[])(\\*)(/?s>|/?INST\]|\|)', '\1\\\2\3', 'g') AS escaped_role FROM turns)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (3 + sum(length(escaped_role) + length(escaped) + 7))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+SQL["op7_url_filters"] = rf"""
+WITH rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+rest AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS x FROM pages),
+u AS (SELECT r, page_id, translate(regexp_extract(x, '^[^/?#]*'), {_LOWER}) AS host, regexp_extract(x, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+hits AS (SELECT r, arg_max(h || p, length(h || p) * 1000 + length(h)) AS rule, arg_max(v, length(h || p) * 1000 + length(h)) AS v
+  FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN hits USING (r)
+"""
+
+SQL["op8_line_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+texts AS (SELECT min(r) AS fp, text FROM d WHERE text IS NOT NULL GROUP BY text),
+l AS (SELECT fp, i, string_split(text, chr(10))[i] AS l FROM texts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
+m AS (SELECT fp, i, regexp_replace(l, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') AS m FROM l),
+t AS (SELECT fp, i, m, regexp_extract_all(m, '[^\x20\x09-\x0D]+') AS t FROM m),
+n AS (SELECT *, len(t) AS n, (len(t) - 3) // 3 AS a, (len(t) - 3) * 2 // 3 AS b FROM t
+      WHERE len(t) > 0 AND len(t) - (length(m) - length(replace(m, '<*>', ''))) / 3 >= 2),
+k AS (SELECT fp, i, n, unnest(CASE WHEN n >= 9 THEN [
+        concat_ws('|', '0', n, array_to_string(t, ' ')),
+        concat_ws('|', '1', n, array_to_string(t[1:3], ' '), array_to_string(t[4 + a : n], ' ')),
+        concat_ws('|', '2', n, array_to_string(t[1:3], ' '), array_to_string(t[4 : 3 + a], ' '), array_to_string(t[4 + b : n], ' ')),
+        concat_ws('|', '3', n, array_to_string(t[1:3], ' '), array_to_string(t[4 : 3 + b], ' '))]
+      ELSE [concat_ws('|', '0', n, array_to_string(t, ' '))] END) AS k FROM n),
+hits AS (SELECT * FROM k WHERE k IN (SELECT k FROM k GROUP BY k HAVING count(DISTINCT fp) >= 3)),
+copies AS (SELECT fp FROM (SELECT fp, sum(n) AS words FROM (SELECT DISTINCT fp, i, n FROM hits) GROUP BY fp)
+           JOIN (SELECT fp, sum(n) AS all_words FROM n GROUP BY fp) USING (fp) WHERE words > 0.6 * all_words),
+recurs AS (SELECT k FROM hits WHERE fp NOT IN (SELECT fp FROM copies) GROUP BY k HAVING count(DISTINCT fp) >= 3),
+gone AS (SELECT fp, list(DISTINCT i) AS gone FROM hits WHERE k IN (SELECT k FROM recurs) GROUP BY fp)
+SELECT doc_id, len(string_split(d.text, chr(10)))::BIGINT AS n_lines,
+       CASE WHEN gone IS NULL THEN d.text ELSE array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: NOT list_contains(gone, i)), chr(10)) END AS text
+FROM d LEFT JOIN texts USING (text) LEFT JOIN gone USING (fp)
+"""
