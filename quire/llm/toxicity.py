@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import cut, prepare
 
 TRAIN_ROWS = 20_000
-BUCKET_BITS, FACTORS, ACTIVE = 22, 4, 2_000
+BUCKET_BITS, FACTORS, ACTIVE, STEPS = 22, 4, 2_000, 3_000
 BROADCAST_ROWS = 1_000_000
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -67,7 +67,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 30, rate: float = 0.1, decay: float = 1e-4) -> Model:
+def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 20, rate: float = 0.2, decay: float = 1e-4) -> Model:
     """A factorization machine for the terms of ``rows`` by AdaGrad on the logistic loss.
 
     Keeps the ACTIVE buckets whose presence differs most between the labels, by
@@ -98,9 +98,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 30, rate: floa
     random = np.random.Generator(np.random.PCG64(11))
     w, v = np.zeros(len(chosen)), random.normal(0, 0.01, (len(chosen), FACTORS))
     gw, gv, gb = np.full(len(w), 1e-6), np.full(v.shape, 1e-6), 1e-6
-    for _ in range(epochs):
+    batches = max(1, n // 128)
+    for _ in range(max(epochs, STEPS // batches)):
         order = random.permutation(n)
-        for block in np.array_split(order, max(1, n // 128)):
+        for block in np.array_split(order, batches):
             idx = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in block])
             row = np.repeat(np.arange(len(block)), starts[block + 1] - starts[block])
             f = flat[idx]
