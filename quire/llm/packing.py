@@ -11,8 +11,10 @@ rank among pieces of its length.
 
 from __future__ import annotations
 
+import json
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -86,27 +88,60 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
     return runs
 
 
+def _byte_letters() -> list[str]:
+    """Byte-level tokenizers' character for each byte: printable Latin-1 as itself, the rest from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
 class ChunkIds(dict):
     """Ids of stretches without white space, as little-endian 32-bit numbers.
 
     White space ends every pre-token of these tokenizers, so a text's ids are its
-    stretches' ids in a row; most stretches are words that recur.
+    stretches' ids in a row; most stretches are words that recur. Letters and
+    punctuation are pre-tokens apart, so a word's closing punctuation is looked
+    up by itself; Latin words go to the model without the steps before it, which
+    for them are lower case and the bytes' letters.
     """
 
     def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
-        self.encode, self.most = Tokenizer.from_file(path).encode, most
+        tokenizer = Tokenizer.from_file(path)
+        steps = json.loads(tokenizer.to_str())
+        kinds = {x["type"] for part in ("normalizer", "pre_tokenizer") for x in steps[part].get("normalizers", steps[part].get("pretokenizers", []))} if steps["normalizer"] and steps["pre_tokenizer"] else set()
+        self.plain = kinds == {"NFC", "Replace", "Lowercase", "Split", "ByteLevel"} and r"|[\p{L}]+|" in steps["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.encode, self.model, self.most, self.letters = tokenizer.encode, tokenizer.model, most, _byte_letters()
+
+    def word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = "".join(map(self.letters.__getitem__, word.encode()))
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        ids = array("I", self.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
+        text = chunk.decode()
+        word = text.rstrip(".,;:!?")
+        low = word.lower()
+        if self.plain and len(text) <= 100 and low.isalpha() and max(word) < "\u0250":
+            ids = self.word(low)
+            if len(word) < len(text):
+                ids += self[text[len(word) :].encode()]
+        else:
+            ids = array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
         if len(chunk) <= 100:
             self[chunk] = ids
         return ids
 
 
+@lru_cache(maxsize=2)
+def chunk_ids(path: str) -> ChunkIds:
+    """One per worker process and tokenizer."""
+    return ChunkIds(path)
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's ids and then ``end_id``, cut into pieces of ``capacity`` ids.
 
@@ -117,8 +152,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     end = array("I", [end_id]).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ChunkIds(tokenizer)
-        get = known.__getitem__
+        get = chunk_ids(tokenizer).__getitem__
         for batch in batches:
             out, held = ([], [], [], [], []), 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
