@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +47,12 @@ class WordHashes(dict):
         return h
 
 
+@cache
+def word_hashes() -> WordHashes:
+    """One per worker process."""
+    return WordHashes()
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64, so that every output bit depends on every input bit."""
     h = h ^ (h >> np.uint64(31))

@@ -10,9 +10,11 @@ meet as well: at similarity 0.8 a chunk of 7 is within one error with
 probability 0.577, and all 12 chunks fail in 3 of 100,000 cases.
 
 Documents with equal sets are one vertex. Documents under one key are first
-compared with the smallest of them, a star instead of all pairs; after the
-confirmed links are contracted, only documents of different components under
-one key are compared, until none is left. Links are confirmed on full sets.
+compared with the smallest of them, a star instead of all pairs. What is then
+still apart is compared in blocks: documents that met, directly or over others,
+are a family, and only families of several components are gone through again.
+Tasks return the few links that join components, never the pairs they compared.
+All links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -26,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, connected_components, cut, mixed, prepare
+from .common import WordHashes, connected_components, cut, mixed, prepare, word_hashes
 
 CHUNKS, CHUNK_SIZE = 12, 7
 #: Tables of ids up to this many rows are broadcast, 16 MB at most; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Members of a block; families beyond FAMILY members are compared key by key.
+BLOCK, FAMILY = 512, 20_000
 
 
 def shingles(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
@@ -66,7 +70,7 @@ def sketches(docs: DataFrame, width: int, chunks: int, chunk_size: int) -> DataF
     """(doc_id, n_shingles, fp, sig): set size, 128-bit fingerprint of the set, signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, (a, b) = WordHashes(), multipliers(chunks * chunk_size)
+        hashes, (a, b) = word_hashes(), multipliers(chunks * chunk_size)
         for batch in batches:
             n, fp, sig = [], [], []
             for text in batch.column(1):
@@ -108,7 +112,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, similarity: int) ->
     texts = docs.join(ids, "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, recent = WordHashes(), OrderedDict()
+        hashes, recent = word_hashes(), OrderedDict()
 
         def of(doc: int, text: pa.Scalar) -> np.ndarray:
             text = text.as_py()
@@ -134,6 +138,70 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, similarity: int) ->
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def links_between(members: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
+    """Links (a, b) that join the labels within each unit of ``members`` (unit, rep, label).
+
+    Units of one label need none. Others are dealt into blocks of about BLOCK
+    members, and each pair of blocks is one task, which counts what sets share
+    by postings of their shingles and returns a forest of the links it finds:
+    fewer rows than members, whatever the number of pairs.
+    """
+    size = members.groupBy("unit").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(size.where("low <> high").select("unit", "blocks"), "unit").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = cut(dealt.select(F.xxhash64("unit", F.least("b", "o"), F.greatest("b", "o")).alias("task"), "b", "rep", "label"))
+    ids = dealt.select(F.col("rep").alias("doc_id")).distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    texts = docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
+
+    def found(reps: np.ndarray, blocks: np.ndarray, labels: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        sizes = np.array([len(x) for x in sets])
+        tokens, code = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(code, kind="stable")
+        postings, starts = owner[order], np.searchsorted(code[order], np.arange(len(tokens) + 1))
+        counts, ends, low = starts[1:] - starts[:-1], np.cumsum(sizes), blocks.min()
+        one = low == blocks.max()
+        root = {int(x): int(x) for x in labels}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for i in range(len(sets)):
+            if one or blocks[i] == low:
+                own = code[ends[i] - sizes[i] : ends[i]]
+                n = counts[own]
+                at = np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                both = np.bincount(postings[at], minlength=len(sets))
+                hit = (both > 0) & (100 * both >= similarity * (sizes + sizes[i] - both))
+                for j in np.flatnonzero(hit):
+                    x, y = find(int(labels[i])), find(int(labels[j]))
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        yield int(reps[i]), int(reps[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hashes()
+        at, own = None, []
+
+        def close() -> pa.RecordBatch:
+            pairs = list(found(np.array([x[1] for x in own]), np.array([x[0] for x in own]), np.array([x[2] for x in own]), [x[3] for x in own])) if len(own) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for task, b, rep, label, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if task != at:
+                    yield close()
+                    at, own = task, []
+                own.append((b, rep, label, shingles(text, width, hashes)))
+        yield close()
+
+    rows = dealt.join(texts, "rep").select("task", "b", "rep", "label", "text").repartition("task").sortWithinPartitions("task", "b", "rep")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, chunks: int = CHUNKS, chunk_size: int = CHUNK_SIZE) -> DataFrame:
     """Group ``docs`` (doc_id, text, ...) by links of Jaccard similarity >= similarity / 100.
 
@@ -160,15 +228,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, chunk
     stars = cut(met.where("first <> rep").where(near_size.format("n", "first_n")).select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
     links = cut(confirmed(stars, docs, width, similarity))
 
-    label = connected_components(links)
-    named = met.join(label, met.rep == label.id, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label"))
-    # what is left under a key are members of different components
-    apart = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    left = cut(named.join(apart, "key", "left_semi"))
-    x, y = left.alias("x"), left.alias("y")
-    pairs = x.join(y, F.expr("x.key = y.key and x.rep < y.rep and x.label <> y.label and " + near_size.format("x.n", "y.n")))
-    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = confirmed(cut(pairs), docs, width, similarity)
+    # what met under keys, directly or over others, is a family; a large one is taken key by key
+    family = connected_components(met.where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
+    large = family.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > FAMILY).select("component")
+    family = cut(family.join(large.withColumn("large", F.lit(True)), "component", "left").select(F.col("id").alias("rep"), "component", "large"))
+    label = connected_components(links).select(F.col("id").alias("rep"), F.col("component").alias("label"))
+    by_family = family.where("large is null").select(F.xxhash64(F.lit(0), "component").alias("unit"), "rep")
+    by_key = met.select("key", "rep").join(family.where("large"), "rep", "left_semi").select(F.xxhash64(F.lit(1), "key").alias("unit"), "rep").distinct()
+    members = by_family.unionByName(by_key).join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    more = cut(links_between(members, docs, width, similarity))
 
     label = connected_components(links.unionByName(more).unionByName(same))
     out = made.select("doc_id", "n_shingles").join(label, F.col("doc_id") == F.col("id"), "left")
