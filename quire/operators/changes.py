@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import ModelError, StoreError, ValidationError
 from ..plans.models import Model, Registry
 from ..sources.catalog import Catalog
-from .extract import PAYLOAD, extract_docs, render_column, validate_docs
+from .extract import PAYLOAD, extract_docs, render_column, typed_payloads, validate_docs
 from .fields import edit_field
 from .integrity import document_hashes
 from .library import document_tags
@@ -108,7 +108,7 @@ class Changes:
         errors = edited.where("_e.error is not null").select("_e.error").limit(1).collect()
         if errors:
             raise ValidationError(errors[0][0])
-        typed = edited.select("store", "doc", "path", F.from_json("_e.payload_json", m.schema).alias("payload"))
+        typed = typed_payloads(edited.select("store", "doc", "path", F.col("_e.payload_json").alias(PAYLOAD)), m)
         texts = typed.select("store", "doc", "path", render_column(m, F.col("payload")).alias("text"))
         if not validate_docs(texts, m).where("not valid").isEmpty():
             raise ValidationError(f"{path} doesn't survive the round trip")

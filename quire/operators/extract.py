@@ -129,6 +129,11 @@ def extract_docs(docs: DataFrame, model: Model, text_col: str = "text", quick: b
     return _finished(_by_udf(docs, model, text_col), model)
 
 
+def typed_payloads(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` (payload_json, …) with the model's ``payload`` and ``error``; values come in as text, as from a document."""
+    return _finished(docs.drop("payload", ERROR).withColumn(ERROR, F.lit(None).cast("string")), model)
+
+
 def _finished(made: DataFrame, model: Model) -> DataFrame:
     raw = made.withColumn("_v", F.try_parse_json(PAYLOAD))
 
