@@ -87,7 +87,7 @@ RULES = (
     *BASE_RULES,
     Rule("symbols", lambda m: 100 * m.n_symbols > 20 * m.n_words),
     Rule("shouting", lambda m: 100 * m.n_shouts > 40 * m.n_words),
-    Rule("repeated_lines", lambda m: 100 * m.n_dup_lines > 30 * len(m.lines)),
+    Rule("repeated_lines", lambda m: 100 * m.n_dup_lines > 50 * len(m.lines)),
     Rule("word_length", lambda m: m.word_chars < 2 * m.n_words or m.word_chars > 20 * m.n_words),
 )
 

@@ -138,7 +138,7 @@ m AS (
   FROM w LEFT JOIN covered USING (r)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 100 * n_symbols > 20 * n_words OR 100 * shouts > 40 * n_words OR 100 * n_dup_lines > 30 * n_lines
+       NOT (base_failed OR 100 * n_symbols > 20 * n_words OR 100 * shouts > 40 * n_words OR 100 * n_dup_lines > 50 * n_lines
             OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
 FROM b
 """
