@@ -31,8 +31,13 @@ def line_templates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(fp, line, n, templates): each line that has a word, the templates that it fits as hashes of tree path and rest."""
     line = F.col("l")
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")).otherwise(line)
+    spaced = F.col("m")
+    for c in "\t\r\v\f":
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
     rows = docs.select(_fingerprint(F.col(text_col)).alias("fp"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "l"))
-    rows = rows.select("fp", "line", masked.alias("m")).select("fp", "line", "m", F.array_remove(F.split("m", r"[\x20\x09-\x0D]+"), "").alias("t"))
+    # a generator's output is computed once; a projection's would be computed again for each use
+    rows = rows.select("fp", "line", F.explode(F.array(masked)).alias("m"))
+    rows = rows.select("fp", "line", "m", F.explode(F.array(F.array_remove(F.split(spaced, " "), ""))).alias("t"))
     rows = rows.withColumn("n", F.size("t")).where("n > 0")
     fields = (F.length("m") - F.length(F.replace(F.col("m"), F.lit("<*>"), F.lit("")))) / 3
     rows = rows.withColumn("constant", F.col("n") - fields)
