@@ -20,10 +20,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, mixed, prepare
 
 TRAIN_ROWS = 20_000
-BUCKET_BITS, FACTORS, ACTIVE, STEPS = 22, 4, 2_000, 3_000
+BUCKET_BITS, FACTORS, ACTIVE, STEPS, DROPOUT, LIFT = 22, 4, 2_000, 3_000, 0.5, 3
 BROADCAST_ROWS = 1_000_000
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -67,13 +67,30 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def one_of_copies(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Places of rows of which no earlier one has the same label and two smallest hashes: a group of near copies mostly counts once."""
+    seen, keep = set(), []
+    for i, terms in enumerate(rows):
+        h = terms.astype(np.uint64)
+        key = (labels[i], *(int(mixed(h + np.uint64(k)).min()) if len(h) else -1 for k in (1, 1 << 40)))
+        if key not in seen:
+            seen.add(key)
+            keep.append(i)
+    return np.array(keep, np.int64)
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 20, rate: float = 0.2, decay: float = 1e-4) -> Model:
     """A factorization machine for the terms of ``rows`` by AdaGrad on the logistic loss.
 
     Keeps the ACTIVE buckets whose presence differs most between the labels, by
-    the z value of the difference of shares. Without rows of both labels only
-    the bias is set.
+    the z value of the difference of shares, if one label has it LIFT times as
+    often; near copies count once. Each epoch
+    leaves out half of the terms at random, so that a term has to tell by itself
+    what its companions tell as well. Without rows of both labels only the bias
+    is set.
     """
+    keep = one_of_copies(rows, labels)
+    rows, labels = [rows[i] for i in keep], labels[keep]
     n, positive = len(rows), int(labels.sum())
     bias = float(np.log((positive + 0.5) / (n - positive + 0.5)))
     none = Model(bias, np.empty(0, np.int64), np.empty(0), np.empty((0, FACTORS)))
@@ -87,7 +104,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 20, rate: floa
     share = with_any / n
     z = np.abs(p - q) / np.sqrt(np.maximum(share * (1 - share), 1 / n) * (1 / positive + 1 / (n - positive)))
     chosen = np.sort(np.argsort(-z, kind="stable")[:ACTIVE])
-    chosen = chosen[(with_any[chosen] >= 3) & (z[chosen] > 4)]
+    apart = np.maximum(p, q)[chosen] >= LIFT * np.minimum(p, q)[chosen]
+    chosen = chosen[(with_any[chosen] >= 3) & (z[chosen] > 5) & apart]
     if not len(chosen):
         return none
     at = np.full(size, -1, np.int64)
@@ -104,7 +122,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 20, rate: floa
         for block in np.array_split(order, batches):
             idx = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in block])
             row = np.repeat(np.arange(len(block)), starts[block + 1] - starts[block])
-            f = flat[idx]
+            there = random.random(len(idx)) >= DROPOUT
+            f, row = flat[idx[there]], row[there]
             sums = np.zeros((len(block), FACTORS))
             np.add.at(sums, row, v[f])
             pair = 0.5 * ((sums**2).sum(1) - np.bincount(row, (v[f] ** 2).sum(1), len(block)))

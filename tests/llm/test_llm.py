@@ -259,7 +259,7 @@ def test_pairs_of_terms_are_learned():
     model = toxicity.fit(rows, np.array(labels), epochs=1)
     assert len(model.buckets) == 0  # neither term tells anything by itself
     texts = ["fools strangers", "fools neighbours", "friends strangers", "friends neighbours"] * 300
-    known = [np.array(sorted(toxicity.term_buckets(t, buckets))) for t in texts]
+    known = [np.array(sorted(toxicity.term_buckets(t + " " + unlike(rng, 6), buckets))) for t in texts]
     y = np.array([1.0, 0.0, 0.0, 0.0] * 300)
     model = toxicity.fit(known, y)
     at = {int(b): i for i, b in enumerate(model.buckets)}
