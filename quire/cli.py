@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import importlib
 import json
+import os
 import sys
 from collections.abc import Sequence
 
@@ -18,7 +19,7 @@ from .operators.semantics import tag_edges
 from .plans.models import Field, Model, Registry
 from .plans.templates import load_yaml
 from .sources.catalog import Catalog
-from .sources.files import as_json, read_documents
+from .sources.files import as_json, read_documents, read_text
 
 
 def registry_of(ref: str) -> Registry:
@@ -111,23 +112,23 @@ class Commands:
         return self.registry[self.args.model]
 
     def extract(self) -> DataFrame:
-        docs = self.spark.read.text(self.args.file, wholetext=True).withColumnRenamed("value", "text")
+        docs = read_text(self.spark, self.args.file)
         out = extract.extract_docs(docs, self.model()).select("payload_json", "error")
         self.code = 0 if out.where("error is not null").isEmpty() else 1
         return out
 
     def validate(self) -> DataFrame:
-        docs = self.spark.read.text(self.args.file, wholetext=True).withColumnRenamed("value", "text")
+        docs = read_text(self.spark, self.args.file)
         out = extract.validate_docs(docs, self.model(), strict=self.args.strict).select("valid", "mismatches", "error")
         self.code = 0 if out.where("not valid").isEmpty() else 1
         return out
 
     def _payload(self, text: str) -> DataFrame:
-        try:
+        if text == "-":
+            text = sys.stdin.read()
+        elif os.path.isfile(text):
             with open(text, encoding="utf-8") as f:
                 text = f.read()
-        except OSError:
-            pass
         value = load_yaml(text)
         if not isinstance(value, dict):
             raise QuireError("a payload is a mapping")

@@ -9,13 +9,12 @@ over columns; only YAML values pass through a UDF.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from typing import Any
 
-import pyarrow as pa
 import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import QuireError
 from ..plans.markers import MARKER, Marker, capture_pattern, pieces
@@ -23,6 +22,8 @@ from ..plans.models import KINDS, Field, Model
 from ..plans.templates import Part, canonical, compile_parts, compile_steps, extract
 
 PAYLOAD, ERROR = "payload_json", "error"
+#: A private character between groups; a text that has it is left to the block parser, as one that doesn't match.
+SEPARATOR = "\ue0f5"
 
 
 def quick_pattern(model: Model) -> tuple[str, list[str]] | None:
@@ -82,24 +83,27 @@ def _problems(model: Model, value: Any) -> Column:
     return F.when(F.size(bad) > 0, F.concat(F.lit("missing or mistyped: "), F.array_join(bad, ", ")))
 
 
-def _by_udf(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
-    """``docs``, payload_json and error, by the block parser."""
+def _by_parser(text: Column, model: Model) -> Column:
+    """What the block parser finds: struct of each field's text (JSON for lists, rows and mappings), payload_json and error; null for null."""
     steps = compile_steps(model.template)
-    at, names = docs.columns.index(text_col), [*docs.columns, PAYLOAD, ERROR]
+    kinds = {f.name: f.kind for f in model.fields}
+    shape = T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(len(kinds))] + [T.StructField(PAYLOAD, T.StringType()), T.StructField(ERROR, T.StringType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            payloads, errors = [], []
-            for text in batch.column(at):
-                try:
-                    payloads.append(canonical(extract(steps, text.as_py() or "")))
-                    errors.append(None)
-                except (QuireError, ValueError) as e:
-                    payloads.append(None)
-                    errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(payloads, pa.string()), pa.array(errors, pa.string())], names)
+    def shown(value: Any) -> str | None:
+        return value if value is None or isinstance(value, str) else canonical(value)
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(None).cast("string").alias(PAYLOAD), F.lit(None).cast("string").alias(ERROR)).schema)
+    @F.udf(returnType=shape, useArrow=True)
+    def parse(source):
+        if source is None:
+            return None
+        try:
+            found = extract(steps, source)
+        except (QuireError, ValueError) as e:
+            return {ERROR: str(e)}
+        own = {f"f{i}": (canonical(found[n]) if k in ("list", "rows", "dict") else shown(found[n])) for i, (n, k) in enumerate(kinds.items()) if found.get(n) is not None}
+        return own | {PAYLOAD: canonical(found)}
+
+    return parse(text)
 
 
 def extract_docs(docs: DataFrame, model: Model, text_col: str = "text", quick: bool = True) -> DataFrame:
@@ -107,26 +111,42 @@ def extract_docs(docs: DataFrame, model: Model, text_col: str = "text", quick: b
 
     A document never stops a job: what is wrong with it is in its error column,
     null if nothing is. A null text is an empty document. Columns of ``docs``
-    named payload, payload_json or error are replaced.
+    named payload, payload_json or error are replaced. Documents are read once;
+    those that the quick pattern fits reach Python as nulls.
     """
     docs = docs.drop("payload", PAYLOAD, ERROR)
     plan = quick_pattern(model) if quick else None
+    text, kept = F.coalesce(F.col(text_col), F.lit("")), docs.columns
     if plan:
         pattern, names = plan
-        text = F.col(text_col)
-        groups = {n: F.regexp_extract(text, pattern, i + 1) for i, n in enumerate(names)}
-        fits = docs.where(text.rlike(pattern))
-        direct = {f.name: (_cast(groups[f.name], f) if f.kind in ("str", "int", "float", "bool") else F.lit(None).cast(KINDS[f.kind])) if f.name in groups else F.lit(f.default).cast(KINDS[f.kind]) for f in model.fields}
-        pairs = [F.struct(*[groups[n].alias(n) for n in sorted(names)])]
-        made = fits.select(
-            "*",
-            F.struct(*[direct[f.name].alias(f.name) for f in model.fields]).alias("payload"),
-            F.to_json(pairs[0]).alias(PAYLOAD),
-            _problems(model, lambda f: (direct[f.name], F.lit(f.name in groups))).alias(ERROR),
-        )
-        rest = docs.where(~F.coalesce(text.rlike(pattern), F.lit(False)))
-        return made.unionByName(_finished(_by_udf(rest, model, text_col), model))
-    return _finished(_by_udf(docs, model, text_col), model)
+        # one match for all groups; a generator's output isn't computed again for each use
+        groups = F.split(F.regexp_replace(text, pattern, SEPARATOR.join(f"${i + 1}" for i in range(len(names))) + SEPARATOR), SEPARATOR)
+        groups = F.when(F.contains(text, F.lit(SEPARATOR)), F.array().cast("array<string>")).otherwise(groups)
+        rows = docs.select("*", F.explode(F.array(groups)).alias("_g"))
+        fits = F.size("_g") == len(names) + 1
+        rows = rows.select(*kept, "_g", fits.alias("_fits"), _by_parser(F.when(~fits, text), model).alias("_u"))
+    else:
+        names = []
+        rows = docs.select("*", F.lit(False).alias("_fits"), _by_parser(text, model).alias("_u"))
+    raw = {}
+    for i, f in enumerate(model.fields):
+        slow = F.col(f"_u.f{i}")
+        raw[f.name] = F.when(F.col("_fits"), F.col("_g")[names.index(f.name)] if f.name in names else F.lit(None)).otherwise(slow) if plan else slow
+
+    def value(f: Field) -> Column:
+        v = raw[f.name]
+        made = F.try_parse_json(v) if f.kind == "dict" else F.from_json(v, KINDS[f.kind].simpleString()) if f.kind in ("list", "rows") else _cast(v, f)
+        return F.coalesce(made, F.lit(f.default).cast(KINDS[f.kind])) if f.default is not None else made
+
+    whole = F.col(f"_u.{PAYLOAD}")
+    if plan:
+        whole = F.when(F.col("_fits"), F.to_json(F.struct(*[F.col("_g")[names.index(n)].alias(n) for n in sorted(names)]))).otherwise(whole)
+    return rows.select(
+        *kept,
+        F.struct(*[value(f).alias(f.name) for f in model.fields]).alias("payload"),
+        whole.alias(PAYLOAD),
+        F.coalesce(F.col(f"_u.{ERROR}"), _problems(model, lambda f: (value(f), raw[f.name].isNotNull()))).alias(ERROR),
+    )
 
 
 def typed_payloads(docs: DataFrame, model: Model) -> DataFrame:
@@ -212,7 +232,8 @@ def render_column(model: Model, payload: Column, computed: dict[str, Column] | N
             blocks.append(F.when(payload[part.name].isNull(), "").when(F.size(payload[part.name]) == 0, _filled(empty, of)).otherwise(F.array_join(items(part), "\n")))
         elif part.mode in ("list", "table") and field and field.kind == "rows":
             some = F.coalesce(F.size(payload[part.name]), F.lit(0)) > 0
-            blocks.append(F.when(some, F.array_join(rows(part), "\n")).otherwise(_filled(whole, of)))
+            none = F.when(payload[part.name].isNotNull(), "[]")
+            blocks.append(F.when(some, F.array_join(rows(part), "\n")).otherwise(_filled(whole, lambda n, part=part, none=none: none if n == part.name else of(n))))
         else:
             blocks.append(_filled(whole, of))
     joined = F.array_join(F.array(*blocks), "\n\n") if blocks else F.lit("")

@@ -41,22 +41,21 @@ def deep_get(payload_json: Column, path: str) -> Column:
 def flatten_payloads(docs: DataFrame, keys: list[str], payload_col: str = "payload_json", levels: int = 8) -> DataFrame:
     """(keys, field_path, value_json): mappings are gone into, lists stay whole, empty mappings give no row.
 
-    Each level is one explode of the mappings left; ``levels`` bounds the depth
-    of YAML that people write, deeper mappings come back whole.
+    Mappings are opened in their row, ``levels`` deep; deeper ones come back
+    whole. A null payload gives no rows.
     """
-    level = docs.select(*keys, F.lit(None).cast("string").alias("field_path"), F.col(payload_col).alias("value_json"), F.lit(True).alias("open"))
-    done = None
-    for k in range(levels):
-        entries = F.map_entries(F.from_json("value_json", "map<string, variant>"))
-        opened = level.where("open").select(*keys, "field_path", F.explode(entries).alias("e"))
-        value = F.to_json("e.value")
-        is_map = value.startswith("{") if k + 1 < levels else F.lit(False)
-        level = opened.select(*keys, F.concat_ws(".", "field_path", "e.key").alias("field_path"), F.coalesce(value, F.lit("null")).alias("value_json")).withColumn("open", F.coalesce(F.col("value_json").startswith("{") if k + 1 < levels else is_map, F.lit(False)))
-        rows = level.where("not open").drop("open")
-        done = rows if done is None else done.unionByName(rows)
-        if k == 0 and levels > 1:
-            level = level.where("open")
-    return done
+    pair = "struct<field_path: string, value_json: string>"
+
+    def opened(x: Column) -> Column:
+        entries = F.map_entries(F.from_json(x["value_json"], "map<string, variant>"))
+        return F.transform(entries, lambda e: F.struct(F.concat_ws(".", x["field_path"], e["key"]).alias("field_path"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value_json"))).cast(f"array<{pair}>")
+
+    def step(state: Column, _: Column) -> Column:
+        return F.flatten(F.transform(state, lambda x: F.when(x["value_json"].startswith("{"), opened(x)).otherwise(F.array(x).cast(f"array<{pair}>"))))
+
+    start = F.array(F.struct(F.lit(None).cast("string").alias("field_path"), F.col(payload_col).alias("value_json"))).cast(f"array<{pair}>")
+    rows = docs.select(*keys, F.explode(F.aggregate(F.sequence(F.lit(1), F.lit(levels)), start, step)).alias("f"))
+    return rows.select(*keys, "f.*").where("field_path is not null")
 
 
 def flatten_typed(docs: DataFrame, keys: list[str], model: Model) -> DataFrame:

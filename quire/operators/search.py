@@ -17,11 +17,12 @@ FUZZY = 0.7
 COLUMNS = ["kind", "store", "model", "doc", "name", "path", "physical", "semantic", "about", "title", "field_path", "section_path", "breadcrumbs", "value", "payload_json", "owning_section", "ord"]
 
 
-def search_records(library: Library, stores: DataFrame | None = None, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+def search_records(library: Library, stores: DataFrame | None = None, kinds: tuple[str, ...] = KINDS, persisted: DataFrame | None = None) -> DataFrame:
     """One row per record, of the asked kinds only; what a kind lacks is null.
 
-    ``stores``: (store, name, path, linked). Texts are parsed once for sections
-    and owners, and not at all unless one of these is asked for.
+    ``stores``: (store, name, path, linked). Texts are parsed for sections and
+    owners, and not at all unless one of these is asked for. ``persisted``, a
+    catalog's sections, saves parsing for sections; both give the same records.
     """
     spark, frames = library.spark, []
     arr = lambda *x: F.array(*[F.lit(c) if not isinstance(c, Column) else c for c in x]).cast("array<string>")
@@ -41,7 +42,10 @@ def search_records(library: Library, stores: DataFrame | None = None, kinds: tup
             frames.append(docs.select(F.lit("doc").alias("kind"), "store", "model", "doc", F.col("doc").alias("name"), "path", arr(F.col("doc"), F.col("path"), F.concat_ws("/", "model", "doc")).alias("physical"), F.col("semantic_tags").alias("semantic"), "payload_json", F.lit(2).alias("ord")))
         if "section" in kinds:
             named = docs.withColumnRenamed("path", "doc_path")
-            found = sections(named, ["store", "model", "doc", "doc_path", "semantic_tags"], F.col("semantic_tags"))
+            if persisted is None:
+                found = sections(named, ["store", "model", "doc", "doc_path", "semantic_tags"], F.col("semantic_tags"))
+            else:
+                found = persisted.join(named.select("store", "model", "doc", "doc_path", "semantic_tags"), ["store", "model", "doc"])
             frames.append(
                 found.select(
                     F.lit("section").alias("kind"), "store", "model", "doc", F.col("slug").alias("name"), F.concat_ws("#", "doc_path", "path").alias("path"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.text import file_slug, slug, tag_pattern
-from .operators import changes, extract, fields, ingest, integrity, library, links, search, sections, semantics
+from .operators import changes, extract, fields, ingest, integrity, ir, library, links, search, sections, semantics
 from .plans.models import Composition, Field, Model, Registry
 from .sources.blocks import with_blocks
 from .streaming.files import tumbling_counts
@@ -141,9 +141,10 @@ def list_extract(spark, sf_dir):
 
 def table_extract(spark, sf_dir):
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_orderstatus").alias("status"))
-    row = F.create_map(F.lit("lines"), F.col("l_linenumber").cast("string"), F.lit("part"), F.col("l_partkey").cast("string"), F.lit("quantity"), F.col("l_quantity").cast("long").cast("string"))
-    items = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.to_json(row).alias("r")))).alias("x"))
-    rows = orders.join(items, "o_orderkey").withColumn("lines", F.transform("x", lambda x: F.from_json(x["r"], "map<string,string>")))
+    item = F.struct(F.col("l_linenumber").cast("string").alias("n"), F.col("l_partkey").cast("string").alias("p"), F.col("l_quantity").cast("long").cast("string").alias("q"))
+    items = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("o_orderkey")).agg(F.array_sort(F.collect_list(item)).alias("x"))
+    row = lambda x: F.create_map(F.lit("lines"), x["n"], F.lit("part"), x["p"], F.lit("quantity"), x["q"])
+    rows = orders.join(items, "o_orderkey").withColumn("lines", F.transform("x", row))
     got = extract.extract_docs(_rendered(rows, ORDER, F.concat(F.lit("order-"), F.col("o_orderkey"))), ORDER)
     line = got.select("payload.o_orderkey", "payload.status", F.explode("payload.lines").alias("l"))
     return line.select("o_orderkey", "status", F.col("l.lines").cast("long").alias("line"), F.col("l.part").cast("long").alias("part"), F.col("l.quantity").cast("long").alias("quantity"))
@@ -427,6 +428,19 @@ def graph_edges(spark, sf_dir):
     return s.unionByName(docs.select(F.col("doc").alias("source")).crossJoin(F.broadcast(f)).select("source", F.col("field").alias("target"), F.lit("has_field").alias("relation")))  # a model's few fields
 
 
+def document_parts(spark, sf_dir):
+    """How many rows each part of the documents' representation has."""
+    found = ir.document_parts(parts(spark, sf_dir))
+    return library.union([df.groupBy().agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, df in found.items()])
+
+
+def persisted_sections(spark, sf_dir):
+    """Section records from stored sections, which are those that parsing gives."""
+    lib = parts(spark, sf_dir)
+    stored = sections.sections(lib.documents, ["store", "model", "doc"])
+    return search.search(search.search_records(lib, kinds=("section",), persisted=stored), "size", "physical").select("doc", "section_path")
+
+
 def pages_headings(spark, sf_dir):
     p = read(spark, sf_dir, "pages")
     heads = F.explode(F.regexp_extract_all("html", F.lit(r"<h[1-6][^>]*>([^<]*)</h[1-6]>"), F.lit(1))).alias("heading")
@@ -467,7 +481,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         events_props_flatten, section_paths, about_terms, section_lines, field_ownership, section_fields, search_kinds, search_term, search_semantic, search_regex, search_fuzzy,
         search_where_fields, search_where_sections, tag_index, tag_children, tag_edges, tag_parents, tag_glob, global_tags, local_tags, bridge_tags, links_resolve, recover_depth,
         compose_docs, composition_refs, hash_text, dup_docs, diagnose, diagnose_rollup, hash_cascade, upsert_latest, untrack_anti, field_clean, field_edit, rebuild_report,
-        decompose_sources, slugs, ignore_rules, drafts_index, manifest_upsert, store_union, store_tree, graph_edges, pages_headings, blocks_count, events_tumbling, newest_section,
+        decompose_sources, slugs, ignore_rules, drafts_index, manifest_upsert, store_union, store_tree, graph_edges, document_parts, persisted_sections, pages_headings, blocks_count, events_tumbling, newest_section,
     )},
     "deep_get": deep_get_query,
 }
@@ -569,6 +583,9 @@ SQL: dict[str, str] = {
         WITH s AS (SELECT {_DOC} AS source, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part)
         SELECT source, unnest([slug, slug || '/size', 'p_name', 'p_partkey', 'p_brand', 'p_type', 'p_size']) AS target,
                unnest(['has_section', 'has_section', 'has_field', 'has_field', 'has_field', 'has_field', 'has_field']) AS relation FROM s""",
+    "document_parts": """
+        SELECT unnest(['context', 'structure', 'nodes', 'surface', 'graph', 'context_index']) AS part, unnest([n, 2 * n, 7 * n, 6 * n, 7 * n, 2 * n])::BIGINT AS n FROM (SELECT count(*) AS n FROM part)""",
+    "persisted_sections": f"SELECT {_DOC} AS doc, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') || '/size' AS section_path FROM part",
     "pages_headings": """
         SELECT page_id, len(h)::BIGINT AS n, list_max(h) AS last_heading
         FROM (SELECT page_id, regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1) AS h FROM pages) WHERE len(h) > 0""",

@@ -50,6 +50,9 @@ def split_cells(line: str) -> list[str]:
     """Cells of a table row; ``\\|`` and pipes in code spans separate nothing."""
     line = line.strip()
     line = line[1:] if line.startswith("|") else line
+    if "\\" not in line and "`" not in line:
+        parts = [c.strip() for c in line.split("|")]
+        return parts[:-1] if line.endswith("|") else parts
     cells, now, code, skip = [], "", False, False
     for ch in line:
         if skip:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,13 @@ def read_documents(spark: SparkSession, path: str, model: str, store: str = "loc
     return files.select(F.lit(store).alias("store"), F.lit(model).alias("model"), F.regexp_replace(F.col("_metadata.file_name"), r"\.md$", "").alias("doc"), place.alias("path"), F.col("value").alias("text"))
 
 
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """One row (text): a whole file, or standard input for ``-``."""
+    if path == "-":
+        return spark.createDataFrame([(sys.stdin.read(),)], "text string")
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
+
+
 def write_documents(docs: DataFrame, path: str, text_col: str = "text") -> None:
     """Each document as a text file of its own below ``path``, in a folder by its name."""
     docs.select("doc", F.concat(F.col(text_col), F.lit("\n")).alias("value")).write.partitionBy("doc").option("lineSep", "").text(path)
