@@ -457,8 +457,8 @@ def events_tumbling(spark, sf_dir):
     return t.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
-def newest_section(spark, sf_dir):
-    """Latest event per user, as of each order-like boundary: the window form of the ownership join."""
+def last_purchase(spark, sf_dir):
+    """Each event with its user's last purchase so far: ownership by the nearest earlier row, as a window."""
     e = read(spark, sf_dir, "events").select("user_id", "event_id", "ts", (F.col("event_type") == F.lit("purchase")).alias("mark"))
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return e.select("user_id", "event_id", F.last(F.when(F.col("mark"), F.col("event_id")), ignorenulls=True).over(w).alias("owner"))
@@ -481,7 +481,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         events_props_flatten, section_paths, about_terms, section_lines, field_ownership, section_fields, search_kinds, search_term, search_semantic, search_regex, search_fuzzy,
         search_where_fields, search_where_sections, tag_index, tag_children, tag_edges, tag_parents, tag_glob, global_tags, local_tags, bridge_tags, links_resolve, recover_depth,
         compose_docs, composition_refs, hash_text, dup_docs, diagnose, diagnose_rollup, hash_cascade, upsert_latest, untrack_anti, field_clean, field_edit, rebuild_report,
-        decompose_sources, slugs, ignore_rules, drafts_index, manifest_upsert, store_union, store_tree, graph_edges, document_parts, persisted_sections, pages_headings, blocks_count, events_tumbling, newest_section,
+        decompose_sources, slugs, ignore_rules, drafts_index, manifest_upsert, store_union, store_tree, graph_edges, document_parts, persisted_sections, pages_headings, blocks_count, events_tumbling, last_purchase,
     )},
     "deep_get": deep_get_query,
 }
@@ -594,7 +594,7 @@ SQL: dict[str, str] = {
           SELECT 'heading' AS type, 'h1' AS tag, count(*) AS n, count(*) AS lines FROM part UNION ALL SELECT 'heading', 'h2', count(*), 9 * count(*) FROM part
           UNION ALL SELECT 'paragraph', 'p', 4 * count(*), (3 + 5 + 7 + 11) * count(*) FROM part)""",
     "events_tumbling": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
-    "newest_section": """
+    "last_purchase": """
         SELECT user_id, event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS)
                OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS owner FROM events""",
 }
