@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 MASK64 = (1 << 64) - 1
 #: Arrow batches of whole texts hold this many rows at most, which bounds a Python worker's memory.
 TEXTS_PER_BATCH = 1000
+#: Tables of ids up to this many rows are broadcast, 16 MB at most; larger ones are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def prepare(spark: SparkSession) -> None:
@@ -34,6 +36,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it has BROADCAST_ROWS rows at most; ``df`` should be cheap to count."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
@@ -66,12 +73,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Label each vertex of ``edges`` (a, b longs) with its component's smallest vertex.
 
     Alternates the large-star and small-star steps until the edges no longer
-    change; each step is a map-side combined minimum and an equi join, so a hub
-    is split by adaptive skew joins. Returns (id, component) for every vertex
+    change; each step is a map-side combined minimum and an equi join with it. Returns (id, component) for every vertex
     that has an edge to another one; null ends and self loops are ignored.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
+    def with_low(x: DataFrame, low: DataFrame) -> DataFrame:
+        # few minima are broadcast; many are shuffled by themselves, so that adaptive joins can split a hub
+        return x.join(small(cut(low)), "u")
+
     def fingerprint(x: DataFrame) -> tuple:
         return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -79,10 +89,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = with_low(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
-        e = cut(small)
+        lower = with_low(large, low).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
+        e = cut(lower)
         now = fingerprint(e)
         if now == seen:
             break

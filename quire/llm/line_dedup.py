@@ -16,11 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, prepare, small
 
 #: Distinct texts that make a template recur; leading tokens of a tree path; fewest constant tokens of a template; fewest tokens of a line that is generalised; share of recurring words that makes a copy.
 MIN_DOCS, LEAD, MIN_CONSTANT, GENERAL_FROM, COPY_SHARE = 3, 3, 2, 9, 0.6
-BROADCAST_ROWS = 1_000_000
 
 
 def _fingerprint(text: Column) -> Column:
@@ -58,23 +57,19 @@ def line_templates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def recurring_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """(fp, drop): for each text with recurring lines, their numbers from 0."""
     prepare(docs.sparkSession)
     lines = cut(line_templates(docs.where(F.col(text_col).isNotNull()), text_col))
     rows = lines.select("fp", "line", "n", F.explode("templates").alias("template"))
     recurs = cut(rows.groupBy("template").agg(F.count_distinct("fp").alias("d")).where(F.col("d") >= min_docs).select("template"))
-    hits = cut(rows.join(_small(recurs), "template"))
+    hits = cut(rows.join(small(recurs), "template"))
     # documents of one text have each of its lines several times: count each once
     again = hits.groupBy("fp", "line").agg(F.first("n").alias("n")).groupBy("fp").agg(F.sum("n").alias("words"))
     once = lines.groupBy("fp", "line").agg(F.first("n").alias("n")).groupBy("fp").agg(F.sum("n").alias("all_words"))
     copies = cut(again.join(once, "fp").where(F.col("words") > COPY_SHARE * F.col("all_words")).select("fp"))
-    counted = hits.join(_small(copies), "fp", "left_anti").groupBy("template").agg(F.count_distinct("fp").alias("d")).where(F.col("d") >= min_docs).select("template")
-    dropped = hits.join(_small(cut(counted)), "template").select("fp", "line").distinct()
+    counted = hits.join(small(copies), "fp", "left_anti").groupBy("template").agg(F.count_distinct("fp").alias("d")).where(F.col("d") >= min_docs).select("template")
+    dropped = hits.join(small(cut(counted)), "template").select("fp", "line").distinct()
     return dropped.groupBy("fp").agg(F.collect_list("line").alias("drop"))
 
 

@@ -12,13 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, prepare, small
 
 WEIGHTS = (3, 1, 2)
 #: The mix has SHARE_HALVES / 2 times all sizes; a source is taken MOST times at most.
 SHARE_HALVES, MOST = 3, 2
 HASH_BITS, LEVEL_BITS = 60, 12
-BROADCAST_ROWS = 1_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -59,7 +58,7 @@ def _with_source(df: DataFrame, state: DataFrame) -> DataFrame:
     """``df`` with the columns of ``state`` for its source; null sources meet."""
     key = F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))
     side = state.withColumn("_s", key).drop("source")
-    return df.withColumn("_s", key).join(F.broadcast(side) if state.count() <= BROADCAST_ROWS else side, "_s").drop("_s")
+    return df.withColumn("_s", key).join(small(side), "_s").drop("_s")
 
 
 def thresholds(sized: DataFrame) -> DataFrame:

@@ -28,11 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, connected_components, cut, mixed, prepare, word_hashes
+from .common import WordHashes, connected_components, cut, mixed, prepare, small, word_hashes
 
 CHUNKS, CHUNK_SIZE = 12, 7
-#: Tables of ids up to this many rows are broadcast, 16 MB at most; larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
 #: Members of a block; families beyond FAMILY members are compared key by key.
 BLOCK, FAMILY = 512, 20_000
 
@@ -108,8 +106,7 @@ def index_keys(reps: DataFrame, chunks: int, chunk_size: int) -> DataFrame:
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets have 100 * intersection >= similarity * union."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    texts = docs.join(ids, "doc_id", "left_semi")
+    texts = docs.join(small(ids), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, recent = word_hashes(), OrderedDict()
@@ -151,8 +148,7 @@ def links_between(members: DataFrame, docs: DataFrame, width: int, similarity: i
     dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = cut(dealt.select(F.xxhash64("unit", F.least("b", "o"), F.greatest("b", "o")).alias("task"), "b", "rep", "label"))
     ids = dealt.select(F.col("rep").alias("doc_id")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    texts = docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    texts = docs.join(small(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
 
     def found(reps: np.ndarray, blocks: np.ndarray, labels: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         sizes = np.array([len(x) for x in sets])
@@ -230,8 +226,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, chunk
 
     # what met under keys, directly or over others, is a family; a large one is taken key by key
     family = connected_components(met.where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
-    large = family.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > FAMILY).select("component")
-    family = cut(family.join(large.withColumn("large", F.lit(True)), "component", "left").select(F.col("id").alias("rep"), "component", "large"))
+    large = family.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > FAMILY).select("component", F.lit(True).alias("large"))
+    family = cut(family.join(small(cut(large)), "component", "left").select(F.col("id").alias("rep"), "component", "large"))
     label = connected_components(links).select(F.col("id").alias("rep"), F.col("component").alias("label"))
     by_family = family.where("large is null").select(F.xxhash64(F.lit(0), "component").alias("unit"), "rep")
     by_key = met.select("key", "rep").join(family.where("large"), "rep", "left_semi").select(F.xxhash64(F.lit(1), "key").alias("unit"), "rep").distinct()
