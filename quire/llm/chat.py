@@ -115,7 +115,7 @@ def format_conversations(turns: DataFrame, template: Callable[[Turns], str] = re
                     close()
                     own = []
                     size += len(out[1][-1])
-                    if size > 1 << 24:
+                    if size > 1 << 21:
                         yield flush()
                         out, size = ([], [], []), 0
                 at = conv

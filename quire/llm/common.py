@@ -41,17 +41,43 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+#: Longer keys aren't remembered.
+LONGEST_KEY = 100
 
-    def __init__(self, most: int = 400_000):
-        self.most = most
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+class Remembered(dict):
+    """Values that ``make`` gives for keys, remembered in two generations of ``most`` keys.
+
+    When the present generation is full it becomes the old one; keys that are
+    asked for again come back from there, so what recurs stays.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.old = most, {}
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST_KEY:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class WordHashes(Remembered):
+    """64-bit hashes of words."""
+
+    def __init__(self, most: int = 100_000):
+        super().__init__(most)
+
+    def make(self, key: bytes) -> int:
+        return xxhash.xxh64_intdigest(key)
 
 
 @cache

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import Remembered, cut, prepare
 
 CAPACITY = 2048
 END_ID = 0
@@ -95,7 +95,7 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-class ChunkIds(dict):
+class ChunkIds(Remembered):
     """Ids of stretches without white space, as little-endian 32-bit numbers.
 
     White space ends every pre-token of these tokenizers, so a text's ids are its
@@ -105,35 +105,29 @@ class ChunkIds(dict):
     for them are lower case and the bytes' letters.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
+        super().__init__(most)
         tokenizer = Tokenizer.from_file(path)
-        steps = json.loads(tokenizer.to_str())
-        kinds = {x["type"] for part in ("normalizer", "pre_tokenizer") for x in steps[part].get("normalizers", steps[part].get("pretokenizers", []))} if steps["normalizer"] and steps["pre_tokenizer"] else set()
-        self.plain = kinds == {"NFC", "Replace", "Lowercase", "Split", "ByteLevel"} and r"|[\p{L}]+|" in steps["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.encode, self.model, self.most, self.letters = tokenizer.encode, tokenizer.model, most, _byte_letters()
+        steps = [json.loads(x.__getstate__()) if x else {} for x in (tokenizer.normalizer, tokenizer.pre_tokenizer)]
+        parts = [y for x in steps for y in x.get("normalizers", x.get("pretokenizers", []))]
+        self.plain = {x["type"] for x in parts} == {"NFC", "Replace", "Lowercase", "Split", "ByteLevel"} and any(r"|[\p{L}]+|" in str(x.get("pattern", {}).get("Regex")) for x in parts)
+        self.encode, self.model, self.letters = tokenizer.encode, tokenizer.model, _byte_letters()
 
     def word(self, word: str) -> bytes:
         if not word.isascii():
             word = "".join(map(self.letters.__getitem__, word.encode()))
         return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
+    def make(self, chunk: bytes) -> bytes:
         text = chunk.decode()
         word = text.rstrip(".,;:!?")
         low = word.lower()
-        if self.plain and len(text) <= 100 and low.isalpha() and max(word) < "\u0250":
-            ids = self.word(low)
-            if len(word) < len(text):
-                ids += self[text[len(word) :].encode()]
-        else:
-            ids = array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(chunk) <= 100:
-            self[chunk] = ids
-        return ids
+        if not (self.plain and len(text) <= 100 and low.isalpha() and max(word) < "\u0250"):
+            return array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
+        ids = self.word(low)
+        return ids if len(word) == len(text) else ids + self[text[len(word) :].encode()]
 
 
 @lru_cache(maxsize=2)
@@ -162,7 +156,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
                     for column, value in zip(out, (doc, piece, at // 4, len(part) // 4, part)):
                         column.append(value)
                     held += len(part)
-                    if held > 1 << 24:
+                    if held > 1 << 21:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names)
                         out, held = ([], [], [], [], []), 0
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names)

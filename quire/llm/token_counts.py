@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import Remembered, prepare
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -33,26 +33,22 @@ def vocabulary(model_file: str) -> list[tuple[str, float]]:
     return [(sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.get_piece_size())]
 
 
-class PieceCounts(dict):
+class PieceCounts(Remembered):
     """Number of pieces of a stretch that follows a space, remembered up to a bound."""
 
-    def __init__(self, vocab: list[tuple[str, float]], most: int = 500_000):
+    def __init__(self, vocab: list[tuple[str, float]], most: int = 150_000):
         import ahocorasick
 
-        self.most, self.found = most, ahocorasick.Automaton()
+        super().__init__(most)
+        self.found = ahocorasick.Automaton()
         for piece, score in vocab:
             if piece:
                 self.found.add_word(piece, (len(piece), score))
         self.found.make_automaton()
         self.unknown = min(score for _, score in vocab) - UNKNOWN_PENALTY
 
-    def __missing__(self, stretch: str) -> int:
-        n = self.count(SPACE + stretch)
-        if len(stretch) <= 100:
-            if len(self) >= self.most:
-                self.clear()
-            self[stretch] = n
-        return n
+    def make(self, stretch: str) -> int:
+        return self.count(SPACE + stretch)
 
     def count(self, text: str) -> int:
         """Pieces on the best path through ``text``.

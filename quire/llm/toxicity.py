@@ -20,29 +20,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mixed, prepare
+from .common import Remembered, cut, mixed, prepare
 
 TRAIN_ROWS = 20_000
 BUCKET_BITS, FACTORS, ACTIVE, STEPS, DROPOUT, LIFT = 22, 4, 2_000, 3_000, 0.5, 3
-BROADCAST_ROWS = 1_000_000
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-class TermBuckets(dict):
+class TermBuckets(Remembered):
     """Buckets of words, stripped of punctuation at their ends; -1 for those that ``known`` lacks."""
 
-    def __init__(self, known: dict[int, int] | None = None, most: int = 400_000):
-        self.known, self.most = known, most
+    def __init__(self, known: dict[int, int] | None = None, most: int = 100_000):
+        super().__init__(most)
+        self.known = known
 
-    def __missing__(self, word: bytes) -> int:
+    def make(self, word: bytes) -> int:
         term = word.strip(_EDGE)
         bucket = xxhash.xxh64_intdigest(term) >> (64 - BUCKET_BITS) if term else -1
-        if self.known is not None:
-            bucket = self.known.get(bucket, -1)
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = bucket
-        return bucket
+        return bucket if self.known is None else self.known.get(bucket, -1)
 
 
 def term_buckets(text: str | None, buckets: TermBuckets) -> set[int]:
