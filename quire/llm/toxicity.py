@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import Remembered, cut, mixed, prepare
 
 TRAIN_ROWS = 20_000
-BUCKET_BITS, FACTORS, ACTIVE, STEPS, DROPOUT, LIFT = 22, 4, 2_000, 3_000, 0.5, 3
+BUCKET_BITS, FACTORS, ACTIVE, STEPS, DROPOUT, LIFT = 22, 4, 2_000, 3_000, 0.7, 3
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -79,9 +79,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 20, rate: floa
 
     Keeps the ACTIVE buckets whose presence differs most between the labels, by
     the z value of the difference of shares, if one label has it LIFT times as
-    often; near copies count once. Each epoch
-    leaves out half of the terms at random, so that a term has to tell by itself
-    what its companions tell as well. Without rows of both labels only the bias
+    often; near copies count once. In each
+    epoch half of the texts, at random, lose most of their terms (DROPOUT), so
+    that a term has to tell by itself what its companions tell as well. Without rows of both labels only the bias
     is set.
     """
     keep = one_of_copies(rows, labels)
@@ -117,7 +117,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 20, rate: floa
         for block in np.array_split(order, batches):
             idx = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in block])
             row = np.repeat(np.arange(len(block)), starts[block + 1] - starts[block])
-            there = random.random(len(idx)) >= DROPOUT
+            rate_of = random.choice([0, DROPOUT], len(block))  # half of the texts are seen whole
+            there = random.random(len(idx)) >= rate_of[row]
             f, row = flat[idx[there]], row[there]
             sums = np.zeros((len(block), FACTORS))
             np.add.at(sums, row, v[f])
