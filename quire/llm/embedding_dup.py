@@ -8,9 +8,11 @@ random hyperplane trees. Rounds end when few lists change and the recall of
 links, audited on a sample against all rows, is high enough.
 
 A list whose last entry is still a link is saturated: more links may lie beyond
-it. Such lists are enlarged to their whole component of links, block by block,
-and only counts leave a block; so a cluster of thousands costs its comparisons
-but no table of its pairs. Links are confirmed in double precision.
+it. A link that neither end lists has saturated lists at both ends, so vectors
+with such lists are compared with each other, block by block, for links between
+components, which join those. Then links are counted over whole components, and
+only counts leave a block; so a cluster of thousands costs its comparisons but
+no table of its pairs. Links are confirmed in double precision.
 
 Equal vectors of a label are one node with a weight.
 """
@@ -31,6 +33,8 @@ K, TREES, LEAF, ROUNDS = 12, 4, 256, 6
 AUDIT_ROWS, AUDIT_RECALL = 200, 0.99
 #: Members of a block of a component: 128, or more if that makes over 24 blocks, but 1024 at most.
 BLOCK, BLOCKS, MOST = 128, 24, 1024
+#: Members of a block when vectors of a label are compared for links between components, at most about this many; rows of it at a time.
+MOST_ACROSS, SLICE = 4096, 512
 
 
 def usable_vectors(vectors: DataFrame) -> DataFrame:
@@ -210,6 +214,11 @@ def joined_neighbours(lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return dealt.mapInArrow(run, EDGE)
 
 
+def saturated(lists: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(src) of lists with k entries that all may be links."""
+    return lists.groupBy("src").agg(F.count("*").alias("n"), F.min("sim").alias("low")).where((F.col("n") >= k) & (F.col("low") >= threshold - 1e-3)).select("src")
+
+
 def audited(nodes: DataFrame, lists: DataFrame, k: int, threshold: float, rows: int) -> tuple[int, int]:
     """(links, links found) of a sample of nodes, compared with all nodes of their labels.
 
@@ -245,6 +254,33 @@ def audited(nodes: DataFrame, lists: DataFrame, k: int, threshold: float, rows:
     return links, found
 
 
+def links_across(members: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): components of which members link, from all pairs of ``members`` (label, node, vec, component) of a label."""
+    members = members.select("label", F.length("vec").alias("bytes"), "node", "vec", "component")
+    n = F.count("*")
+    size = members.groupBy("label", "bytes").agg(F.greatest(F.least(F.ceil(n / BLOCK), F.lit(BLOCKS)), F.ceil(n / MOST_ACROSS)).cast("int").alias("blocks"))
+    placed = members.join(size, ["label", "bytes"]).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = placed.withColumn("o", other).withColumn("task", F.xxhash64("label", "bytes", F.least("b", "o"), F.greatest("b", "o")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def make() -> Iterator[tuple]:
+            for g in grouped(batches):
+                x, c, b = unit(g.column(1), np.float64), np.asarray(g.column(2)), np.asarray(g.column(3))
+                low, high = np.flatnonzero(b == b.min()), np.flatnonzero(b == b.max())
+                for at in range(0, len(low), SLICE):
+                    part = low[at : at + SLICE]
+                    i, j = np.nonzero((x[part] @ x[high].T >= threshold) & (c[part][:, None] != c[high]))
+                    if len(i):
+                        ends = np.unique(np.sort(np.stack([c[part[i]], c[high[j]]], axis=1), axis=1), axis=0)
+                        yield ends[:, 0], ends[:, 1]
+
+        yield from _gathered(make(), [pa.int64(), pa.int64()], ["a", "b"])
+
+    dealt = dealt.select("task", "vec", "component", "b").repartition("task").sortWithinPartitions("task", "b")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def component_links(nodes: DataFrame, component: DataFrame, threshold: float) -> DataFrame:
     """(node, links): how many vectors each node of a component links with, by blocks of its members."""
     members = nodes.join(component.select(F.col("id").alias("node"), "component"), "node").select("component", "node", "vec", "many")
@@ -303,6 +339,8 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = K
     near = lists.where(F.col("sim") >= threshold - 1e-3).select(F.col("src").alias("a"), F.col("dst").alias("b"), "sim")
     near = _confirmed(near, nodes, threshold)
     component = cut(connected_components(near))
+    full = saturated(lists, k, threshold).withColumnRenamed("src", "node")
+    component = cut(merged(nodes, full, component, threshold))
     counts = component_links(nodes, component, threshold)
     first = nodes.join(component.withColumnRenamed("id", "node"), "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
     placed = nodes.join(component.withColumnRenamed("id", "node"), "node", "left").join(first, "component", "left").join(counts, "node", "left")
@@ -312,6 +350,15 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = K
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(True)).alias("kept"))
 
 
+def merged(nodes: DataFrame, compared: DataFrame, component: DataFrame, threshold: float) -> DataFrame:
+    """``component`` (id, component) with those joined that links between ``compared`` (node) connect."""
+    own = F.coalesce("component", "node")
+    members = nodes.join(compared, "node").join(component.withColumnRenamed("id", "node"), "node", "left").withColumn("component", own)
+    joined = connected_components(links_across(members, threshold)).select(F.col("id").alias("own"), F.col("component").alias("into"))
+    every = nodes.select("node").join(component.withColumnRenamed("id", "node"), "node", "left").withColumn("own", own).join(joined, "own", "left")
+    return every.where("component is not null or into is not null").select(F.col("node").alias("id"), F.coalesce("into", "own").alias("component"))
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """Those of ``pairs`` whose cosine in double precision reaches the threshold."""
 

@@ -245,6 +245,36 @@ def test_embedding_duplicates(spark):
     assert embedding_dup.embedding_duplicates(df.limit(0)).count() == 0
 
 
+def brute_embeddings(rows, threshold=0.93):
+    x = np.array([e for _, e, _ in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    label = np.array([y for _, _, y in rows])
+    hit = (x @ x.T >= threshold) & (label[:, None] == label)
+    np.fill_diagonal(hit, False)
+    low = np.array([v for v, _, _ in rows])
+    while (now := np.minimum(low, np.where(hit, low, low.max()).min(axis=1))).tolist() != low.tolist():
+        low = now
+    return Counter((v, int(h.sum()), int(c), bool(c == v)) for (v, _, _), h, c in zip(rows, hit, low))
+
+
+def embedding_rows(spark, rows):
+    return spark.createDataFrame([(i, e, y) for i, e, y in rows], "vec_id long, embedding array<double>, label int")
+
+
+def test_embedding_groups_beyond_saturated_lists(spark):
+    rng = np.random.default_rng(21)
+    rows = []
+    for label in range(3):
+        a, b = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+        for side in (a, 0.957 * a + np.sqrt(1 - 0.957**2) * b):  # cosine about 0.995 inside, 0.95 across
+            for _ in range((13, 40, 40)[label]):
+                rows.append((len(rows), (side + rng.normal(size=64) * 0.008).tolist(), label))
+        for _ in range(200):
+            rows.append((len(rows), rng.normal(size=64).tolist(), label))
+    got = embedding_dup.embedding_duplicates(embedding_rows(spark, rows))
+    assert Counter(map(tuple, got.collect())) == brute_embeddings(rows)
+
+
 # toxicity
 
 
