@@ -5,7 +5,10 @@ its label. A round joins the neighbours of neighbours: around each pivot, all
 that have it in their list, or are in its own, are compared with each other, and
 lists take what is nearer than their last entry. Lists start from leaves of
 random hyperplane trees. Rounds end when few lists change and the recall of
-links, audited on a sample against all rows, is high enough.
+links, audited on a sample against all rows, is high enough; while it is not,
+rounds add leaves of further trees. If it still is not after the last round, or
+the sample has too few vectors with links to tell, all vectors of a label are
+compared with each other.
 
 A list whose last entry is still a link is saturated: more links may lie beyond
 it. A link that neither end lists has saturated lists at both ends, so vectors
@@ -30,7 +33,9 @@ from .common import connected_components, cut, mixed, prepare, small
 
 K, TREES, LEAF, ROUNDS = 12, 4, 256, 6
 #: Vectors whose links are audited, about this many at any size, and the recall asked of them.
-AUDIT_ROWS, AUDIT_RECALL = 200, 0.99
+AUDIT_ROWS, AUDIT_RECALL = 4000, 0.99
+#: Fewest sampled vectors with links that make an audit count.
+AUDIT_LINKED = 50
 #: Members of a block of a component: 128, or more if that makes over 24 blocks, but 1024 at most.
 BLOCK, BLOCKS, MOST = 128, 24, 1024
 #: Members of a block when vectors of a label are compared for links between components, at most about this many; rows of it at a time.
@@ -112,8 +117,8 @@ def nearest_within(s: np.ndarray, ids: np.ndarray, floor: np.ndarray, k: int) ->
     return (ids[r], ids[cols[r, c]], sims[r, c]) if len(r) else None
 
 
-def leaf_lists(nodes: DataFrame, k: int, trees: int, leaf: int) -> DataFrame:
-    """First lists: for each tree, the nearest within a leaf of about ``leaf`` vectors of one label."""
+def leaf_lists(nodes: DataFrame, k: int, trees: int, leaf: int, seed: int = 0) -> DataFrame:
+    """Lists from trees of ``seed``: for each tree, the nearest within a leaf of about ``leaf`` vectors of one label."""
     size = nodes.groupBy("label", F.length("vec").alias("bytes")).agg(F.count("*").alias("of_label"))
     sized = nodes.withColumn("bytes", F.length("vec")).join(small(size), ["label", "bytes"])
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("of_label") / leaf))).cast("int")
@@ -125,11 +130,11 @@ def leaf_lists(nodes: DataFrame, k: int, trees: int, leaf: int) -> DataFrame:
             for at in range(batch.num_rows):
                 x = np.frombuffer(batch.column(2)[at].as_py(), np.float64)
                 n = batch.column(3)[at].as_py()
-                planes = _planes(len(x), trees, 40)
+                planes = _planes(len(x), trees, 40, seed)
                 side = (planes[:, :n] @ x > 0).astype(np.uint64) if n else np.zeros((trees, 0), np.uint64)
                 code = side @ (np.uint64(1) << np.arange(n, dtype=np.uint64)) if n else np.zeros(trees, np.uint64)
                 group = np.uint64(batch.column(1)[at].as_py() & 0xFFFFFFFFFFFFFFFF)
-                leaves = mixed(mixed(group + np.arange(trees, dtype=np.uint64)) + code).astype(np.int64)
+                leaves = mixed(mixed(group + np.arange(seed * trees, (seed + 1) * trees, dtype=np.uint64)) + code).astype(np.int64)
                 node, vec = batch.column(0)[at].as_py(), batch.column(2)[at].as_py()
                 yield pa.RecordBatch.from_arrays([pa.array(leaves), pa.array([node] * trees), pa.array([vec] * trees, pa.binary())], ["leaf", "node", "vec"])
 
@@ -157,10 +162,10 @@ def leaf_lists(nodes: DataFrame, k: int, trees: int, leaf: int) -> DataFrame:
     return dealt.mapInArrow(nearest, EDGE)
 
 
-def _planes(dim: int, trees: int, bits: int, known: dict = {}) -> np.ndarray:  # noqa: B006
-    if (dim, trees) not in known:
-        known[dim, trees] = np.random.Generator(np.random.PCG64(5)).normal(size=(trees, bits, dim))
-    return known[dim, trees]
+def _planes(dim: int, trees: int, bits: int, seed: int, known: dict = {}) -> np.ndarray:  # noqa: B006
+    if (dim, trees, seed) not in known:
+        known[dim, trees, seed] = np.random.Generator(np.random.PCG64(5 + seed)).normal(size=(trees, bits, dim))
+    return known[dim, trees, seed]
 
 
 def _rebatched(f: Callable) -> Callable:
@@ -219,16 +224,17 @@ def saturated(lists: DataFrame, k: int, threshold: float) -> DataFrame:
     return lists.groupBy("src").agg(F.count("*").alias("n"), F.min("sim").alias("low")).where((F.col("n") >= k) & (F.col("low") >= threshold - 1e-3)).select("src")
 
 
-def audited(nodes: DataFrame, lists: DataFrame, k: int, threshold: float, rows: int) -> tuple[int, int]:
-    """(links, links found) of a sample of nodes, compared with all nodes of their labels.
+def audited(nodes: DataFrame, lists: DataFrame, k: int, threshold: float, rows: int) -> tuple[int, float]:
+    """(nodes, recall): sampled nodes with links and the mean share of each one's links that are found, compared with all nodes of their labels.
 
-    A link counts as found if a list of either end has it, or if the list is
-    saturated and so is going to be enlarged.
+    A link counts as found if a list of either end has it. Nodes with saturated
+    lists are left out: they are compared exactly later, and would outweigh others.
     """
     total = nodes.count()
     if not total:
-        return 0, 0
-    sample = nodes.where(F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(max(1, total // rows))) == 0).select("label", "node", "vec").collect()  # about ``rows`` of them
+        return 0, 1.0
+    some = nodes.where(F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(max(1, total // rows))) == 0)  # about ``rows`` of them
+    sample = some.join(saturated(lists, k, threshold).withColumnRenamed("src", "node"), "node", "left_anti").select("label", "node", "vec").collect()
     by = {}
     for label, node, vec in sample[: 4 * rows]:
         by.setdefault((label, len(vec)), []).append((node, vec))
@@ -247,11 +253,10 @@ def audited(nodes: DataFrame, lists: DataFrame, k: int, threshold: float, rows:
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
     true = nodes.select("label", "node", "vec").mapInArrow(run, "src long, dst long")
-    full = lists.groupBy("src").agg(F.count("*").alias("n"), F.min("sim").alias("low")).where((F.col("n") >= k) & (F.col("low") >= threshold)).select("src", F.lit(True).alias("full"))
     both = lists.select("src", "dst").unionByName(lists.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().withColumn("hit", F.lit(True))
-    seen = true.join(both, ["src", "dst"], "left").join(full, "src", "left")
-    links, found = seen.agg(F.count("*"), F.count_if(F.coalesce("hit", "full", F.lit(False)))).first()
-    return links, found
+    seen = true.join(both, ["src", "dst"], "left").groupBy("src").agg((F.count("hit") / F.count("*")).alias("share"))
+    linked, recall = seen.agg(F.count("*"), F.avg("share")).first()
+    return linked, 1.0 if recall is None else recall
 
 
 def links_across(members: DataFrame, threshold: float) -> DataFrame:
@@ -328,19 +333,24 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = K
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
 
     lists = cut(best_lists(leaf_lists(nodes, k, trees, leaf).withColumn("old", F.lit(False)), k))
-    for _ in range(rounds):
-        made = joined_neighbours(lists, nodes, k).withColumn("old", F.lit(False))
+    linked, recall = 0, 1.0
+    for done in range(rounds):
+        made = joined_neighbours(lists, nodes, k)
+        if recall < AUDIT_RECALL:
+            made = made.unionByName(leaf_lists(nodes, k, trees, leaf, done))
+        made = made.withColumn("old", F.lit(False))
         lists = cut(best_lists(lists.withColumn("old", F.lit(True)).unionByName(made), k))
         changed, total = lists.agg(F.count_if(~F.col("old")), F.count("*")).first()
-        links, found = audited(nodes, lists, k, threshold, AUDIT_ROWS)
-        if found >= AUDIT_RECALL * links and changed <= 0.05 * total:
+        linked, recall = audited(nodes, lists, k, threshold, AUDIT_ROWS)
+        if recall >= AUDIT_RECALL and changed <= 0.05 * total:
             break
+    trusted = linked >= AUDIT_LINKED and recall >= AUDIT_RECALL
 
     near = lists.where(F.col("sim") >= threshold - 1e-3).select(F.col("src").alias("a"), F.col("dst").alias("b"), "sim")
     near = _confirmed(near, nodes, threshold)
     component = cut(connected_components(near))
-    full = saturated(lists, k, threshold).withColumnRenamed("src", "node")
-    component = cut(merged(nodes, full, component, threshold))
+    compared = saturated(lists, k, threshold).withColumnRenamed("src", "node") if trusted else nodes.select("node")
+    component = cut(merged(nodes, compared, component, threshold))
     counts = component_links(nodes, component, threshold)
     first = nodes.join(component.withColumnRenamed("id", "node"), "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
     placed = nodes.join(component.withColumnRenamed("id", "node"), "node", "left").join(first, "component", "left").join(counts, "node", "left")

@@ -275,6 +275,17 @@ def test_embedding_groups_beyond_saturated_lists(spark):
     assert Counter(map(tuple, got.collect())) == brute_embeddings(rows)
 
 
+def test_embedding_pairs_that_lists_miss(spark):
+    rng = np.random.default_rng(22)
+    rows, hot = [], rng.normal(size=64)
+    for _ in range(700):
+        x = rng.normal(size=64)
+        rows += [(len(rows), x.tolist(), 1), (len(rows) + 1, (x + rng.normal(size=64) * 0.35).tolist(), 1)]
+    rows += [(len(rows) + i, (hot + rng.normal(size=64) * 0.1).tolist(), 1) for i in range(300)]
+    got = embedding_dup.embedding_duplicates(embedding_rows(spark, rows), trees=1, leaf=16, rounds=1)
+    assert Counter(map(tuple, got.collect())) == brute_embeddings(rows)
+
+
 # toxicity
 
 
