@@ -6,9 +6,10 @@ templates: the rest of the line as it stands, or with one of its three segments
 generalised to a field. A template that enough distinct texts share recurs, and
 its lines are dropped from every document. All counts are over all documents.
 
-A document nearly all of whose words recur is a copy of another one, not a
-carrier of boilerplate: such documents don't count towards a template, so that
-groups of copies, which near-duplicate removal settles, keep their lines.
+Copies, documents that share lines with COPY of the longer one's words, count once towards
+a template, so that a group of copies, which near-duplicate removal settles,
+keeps its lines. To count a template's texts, the first one and its copies are
+taken away, then the next; what is left after all but one decides.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, prepare, small
 
-#: Distinct texts that make a template recur; leading tokens of a tree path; fewest constant tokens of a template; fewest tokens of a line that is generalised; share of recurring words that makes a copy.
-MIN_DOCS, LEAD, MIN_CONSTANT, GENERAL_FROM, COPY_SHARE = 3, 3, 2, 9, 0.6
+#: Distinct texts that make a template recur; leading tokens of a tree path; fewest constant tokens of a template; fewest tokens of a line that is generalised; share of the longer text's words in shared lines that makes a copy.
+MIN_DOCS, LEAD, MIN_CONSTANT, GENERAL_FROM, COPY = 3, 3, 2, 9, 0.8
 
 
 def _fingerprint(text: Column) -> Column:
@@ -62,17 +63,33 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN
     prepare(docs.sparkSession)
     lines = cut(line_templates(docs.where(F.col(text_col).isNotNull()), text_col))
     rows = lines.select("fp", "line", "n", F.explode("templates").alias("template"))
-    recurs = cut(rows.groupBy("template").agg(F.count_distinct("fp").alias("d")).where(F.col("d") >= min_docs).select("template"))
-    hits = cut(rows.join(small(recurs), "template"))
+    shared = cut(rows.groupBy("template").agg(F.count_distinct("fp").alias("d")).where("d >= 2"))
     # documents of one text have each of its lines several times: count each once
-    again = hits.groupBy("fp", "line").agg(F.first("n").alias("n")).groupBy("fp").agg(F.sum("n").alias("words"))
-    once = lines.groupBy("fp", "line").agg(F.first("n").alias("n")).groupBy("fp").agg(F.sum("n").alias("all_words"))
-    copies = cut(again.join(once, "fp").where(F.col("words") > COPY_SHARE * F.col("all_words")).select("fp"))
-    counted = hits.join(small(copies), "fp", "left_anti").groupBy("template").agg(F.count_distinct("fp").alias("d")).where(F.col("d") >= min_docs).select("template")
-    dropped = hits.join(small(cut(counted)), "template").select("fp", "line").distinct()
+    hits = cut(rows.join(small(shared), "template").distinct())
+    size = lines.groupBy("fp", "line").agg(F.first("n").alias("n")).groupBy("fp").agg(F.sum("n").alias("words"))
+    again = hits.groupBy("fp", "line").agg(F.first("n").alias("n")).groupBy("fp").agg(F.sum("n").alias("again"))
+    # a copy has most of its words in lines that others have
+    like = cut(again.join(size, "fp").where(F.col("again") >= COPY * F.col("words")).select("fp", "words"))
+    left = hits.where(F.col("d") >= min_docs).select("template", "fp").distinct()
+    for _ in range(min_docs - 1):
+        left = without_first(left, hits, like)
+    dropped = hits.join(small(cut(left.select("template").distinct())), "template").select("fp", "line").distinct()
     return dropped.groupBy("fp").agg(F.collect_list("line").alias("drop"))
 
 
+def without_first(left: DataFrame, hits: DataFrame, like: DataFrame) -> DataFrame:
+    """``left`` (template, fp) without each template's first text and the copies of that one."""
+    first = left.groupBy("template").agg(F.min("fp").alias("first"))
+    rest = cut(left.join(small(cut(first)), "template").where("fp <> first"))
+    pairs = rest.select("fp", "first").distinct().join(like, "fp").join(like.select(F.col("fp").alias("first"), F.col("words").alias("of_first")), "first")
+    pairs = cut(pairs.where(F.least("words", "of_first") >= COPY * F.greatest("words", "of_first")))
+    theirs = hits.join(pairs.select(F.col("first").alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias("first"), "template").distinct()
+    both = pairs.join(hits.select("fp", "line", "n", "template"), "fp").join(theirs, ["first", "template"])
+    common = both.groupBy("fp", "first", "line").agg(F.first("n").alias("n"), F.first("words").alias("words"), F.first("of_first").alias("of_first")).groupBy("fp", "first", "words", "of_first").agg(F.sum("n").alias("common"))
+    copies = common.where(F.col("common") >= COPY * F.greatest("words", "of_first")).select("fp", "first")
+    return cut(rest.join(small(cut(copies)), ["fp", "first"], "left_anti").select("template", "fp"))
+
+
 def drop_recurring_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with recurring lines taken out of the text; all rows and columns stay.
 

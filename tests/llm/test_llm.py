@@ -452,6 +452,15 @@ def test_line_dedup(spark):
     assert line_dedup.drop_recurring_lines(docs_of(spark, [])).count() == 0
 
 
+def test_line_dedup_of_long_passages_in_short_texts(spark):
+    rng = random.Random(31)
+    passage, copy = unlike(rng, 60), [unlike(rng, 20) for _ in range(9)]
+    rows = [(i, f"{passage}\n{unlike(rng, 30)}", "a") for i in range(40)]
+    rows += [(100 + i, "\n".join([*copy, unlike(rng, 10)]), "b") for i in range(20)]  # copies of one another
+    got = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(docs_of(spark, rows)).collect()}
+    assert got == {i: t.split("\n")[1] if i < 100 else t for i, t, _ in rows}
+
+
 # mixing
 
 
