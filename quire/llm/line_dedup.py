@@ -10,17 +10,23 @@ Copies, documents that share lines with COPY of the longer one's words, count on
 a template, so that a group of copies, which near-duplicate removal settles,
 keeps its lines. To count a template's texts, the first one and its copies are
 taken away, then the next; what is left after all but one decides.
+
+A run of lines with LONG constant tokens or more, one long line or several short
+ones, is dropped from two texts on that aren't copies. Lines of one constant
+token alone make no template and go only as part of a run; lines of fields stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, prepare, small
 
 #: Distinct texts that make a template recur; leading tokens of a tree path; fewest constant tokens of a template; fewest tokens of a line that is generalised; share of the longer text's words in shared lines that makes a copy.
 MIN_DOCS, LEAD, MIN_CONSTANT, GENERAL_FROM, COPY = 3, 3, 2, 9, 0.8
+#: Constant tokens of a run of lines that two texts make recur.
+LONG = 50
 
 
 def _fingerprint(text: Column) -> Column:
@@ -28,7 +34,7 @@ def _fingerprint(text: Column) -> Column:
 
 
 def line_templates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(fp, line, n, templates): each line that has a word, the templates that it fits as hashes of tree path and rest."""
+    """(fp, line, n, constant, whole, templates): each line that has a word, its constant tokens, its hash, the templates that it fits as hashes of tree path and rest; none with too few constants."""
     line = F.col("l")
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")).otherwise(line)
     spaced = F.col("m")
@@ -40,7 +46,7 @@ def line_templates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = rows.select("fp", "line", "m", F.explode(F.array(F.array_remove(F.split(spaced, " "), ""))).alias("t"))
     rows = rows.withColumn("n", F.size("t")).where("n > 0")
     fields = (F.length("m") - F.length(F.replace(F.col("m"), F.lit("<*>"), F.lit("")))) / 3
-    rows = rows.withColumn("constant", F.col("n") - fields)
+    rows = rows.withColumn("constant", (F.col("n") - fields).cast("int"))
     rest, third, two = F.col("n") - LEAD, F.floor((F.col("n") - LEAD) / 3).cast("int"), F.floor((F.col("n") - LEAD) * 2 / 3).cast("int")
     lead = F.slice("t", 1, LEAD)
 
@@ -54,8 +60,18 @@ def line_templates(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.xxhash64(F.lit(3), "n", lead, piece(F.lit(0), two)),
     )
     whole = F.array(F.xxhash64(F.lit(0), "n", "t"))
-    rows = rows.where(F.col("constant") >= MIN_CONSTANT).select("fp", "line", "n", F.when(F.col("n") >= GENERAL_FROM, F.concat(whole, general)).otherwise(whole).alias("templates"))
-    return rows
+    templates = F.when(F.col("constant") < MIN_CONSTANT, F.array().cast("array<bigint>")).when(F.col("n") >= GENERAL_FROM, F.concat(whole, general)).otherwise(whole)
+    return rows.select("fp", "line", "n", "constant", whole[0].alias("whole"), templates.alias("templates"))
+
+
+def runs(lines: DataFrame) -> DataFrame:
+    """(fp, template, run): from each line on, the fewest lines with LONG constant tokens: a hash and their numbers."""
+    rows = lines.where("constant > 0").select("fp", "line", "constant", "whole").repartition("fp").dropDuplicates(["fp", "line"])
+    order = Window.partitionBy("fp").orderBy("line")
+    rows = rows.withColumn("start", F.sum("constant").over(order) - F.col("constant"))
+    ahead = Window.partitionBy("fp").orderBy("start").rangeBetween(0, LONG - 1)
+    found = rows.select("fp", F.sum("constant").over(ahead).alias("tokens"), F.collect_list("whole").over(ahead).alias("hashes"), F.collect_list("line").over(ahead).alias("run"))
+    return found.where(F.col("tokens") >= LONG).select("fp", F.xxhash64("hashes").alias("template"), "run")
 
 
 def recurring_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
@@ -66,14 +82,19 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN
     shared = cut(rows.groupBy("template").agg(F.count_distinct("fp").alias("d")).where("d >= 2"))
     # documents of one text have each of its lines several times: count each once
     hits = cut(rows.join(small(shared), "template").distinct())
-    size = lines.groupBy("fp", "line").agg(F.first("n").alias("n")).groupBy("fp").agg(F.sum("n").alias("words"))
+    size = lines.where(F.size("templates") > 0).groupBy("fp", "line").agg(F.first("n").alias("n")).groupBy("fp").agg(F.sum("n").alias("words"))
     again = hits.groupBy("fp", "line").agg(F.first("n").alias("n")).groupBy("fp").agg(F.sum("n").alias("again"))
     # a copy has most of its words in lines that others have
     like = cut(again.join(size, "fp").where(F.col("again") >= COPY * F.col("words")).select("fp", "words"))
     left = hits.where(F.col("d") >= min_docs).select("template", "fp").distinct()
     for _ in range(min_docs - 1):
         left = without_first(left, hits, like)
-    dropped = hits.join(small(cut(left.select("template").distinct())), "template").select("fp", "line").distinct()
+    dropped = hits.join(small(cut(left.select("template").distinct())), "template").select("fp", "line")
+    long = cut(runs(lines))
+    twice = cut(long.groupBy("template").agg(F.count_distinct("fp").alias("d")).where("d >= 2").select("template"))
+    long = cut(long.join(small(twice), "template"))
+    left = without_first(long.select("template", "fp").distinct(), hits, like)
+    dropped = dropped.unionByName(long.join(small(cut(left.select("template").distinct())), "template").select("fp", F.explode("run").alias("line"))).distinct()
     return dropped.groupBy("fp").agg(F.collect_list("line").alias("drop"))
 
 

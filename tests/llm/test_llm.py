@@ -461,6 +461,18 @@ def test_line_dedup_of_long_passages_in_short_texts(spark):
     assert got == {i: t.split("\n")[1] if i < 100 else t for i, t, _ in rows}
 
 
+def test_line_dedup_of_passages_in_two_texts(spark):
+    rng = random.Random(32)
+    line, run = unlike(rng, 60), [unlike(rng, 9) for _ in range(3)] + ["", "Les."] + [unlike(rng, 9) for _ in range(3)]
+    short = unlike(rng, 20)
+    own = [[unlike(rng, 40) for _ in range(3)] for _ in range(6)]
+    numbers = "\n".join("1 2 3" for _ in range(30))
+    texts = [[own[0][0], line, own[0][1]], [line, own[1][0]], [*own[2], *run], [own[3][0], *run, own[3][1]], [own[4][0], short, "Les.", numbers], [own[5][0], short, numbers]]
+    want = [[own[0][0], own[0][1]], [own[1][0]], [*own[2], ""], [own[3][0], "", own[3][1]], texts[4], texts[5]]
+    got = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(docs_of(spark, [(i, "\n".join(x), "a") for i, x in enumerate(texts)])).collect()}
+    assert got == {i: "\n".join(x) for i, x in enumerate(want)}
+
+
 # mixing
 
 
