@@ -67,26 +67,68 @@ def recover_links(resolved: DataFrame, start: DataFrame, depth: int = 1, transcl
     return out.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r").select("root", "depth", "path", "ord", "target", "kind", "resolved", "target_path")
 
 
-def compose(docs: DataFrame, resolved: DataFrame, depth: int = 8) -> DataFrame:
-    """(path, composed): texts with resolved transclusions spliced in, inner ones first.
+def _spliced(texts: DataFrame, keys: list[str], parts: DataFrame) -> DataFrame:
+    """``texts`` (keys, composed) with each raw of ``parts`` (keys, ord, raw, part) replaced; what is put in is not searched again."""
+    parts = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "raw", "part"))).alias("parts"))
+    mark = lambda x: F.concat(F.lit("\0"), x["ord"].cast("string"), F.lit("\0"))
+    marked = F.aggregate("parts", F.col("composed"), lambda acc, x: F.replace(acc, x["raw"], mark(x)))
+    spliced = F.aggregate("parts", marked, lambda acc, x: F.replace(acc, mark(x), x["part"]))
+    return texts.join(parts, keys, "left").select(*keys, F.when(F.col("parts").isNull(), F.col("composed")).otherwise(spliced).alias("composed"))
 
-    ``depth`` rounds splice one level each, deepest texts first; a document that
-    includes itself ends with its raw text. Unresolved ones stay as written.
-    """
-    inner = resolved.where("kind = 'transclusion' and resolved").select("path", "ord", "raw", "target_path").distinct()
+
+def _from_leaves(docs: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(transclusions, composed texts, texts left): documents composed after all that they include; left are those that reach a cycle."""
     texts = docs.select("path", F.col("text").alias("composed"))
-    whole = texts
-    for d in range(depth):
-        parts = inner.join(whole.select(F.col("path").alias("target_path"), F.col("composed").alias("part")), "target_path")
-        parts = parts.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "raw", "part"))).alias("parts"))
-        spliced = F.aggregate("parts", F.col("composed"), lambda acc, x: F.replace(acc, x["raw"], x["part"]))
-        now = texts.join(parts, "path", "left").select("path", F.when(F.col("parts").isNull(), F.col("composed")).otherwise(spliced).alias("composed"))
-        if d + 1 < depth:
-            now = now.checkpoint()
-            if now.join(whole.withColumnRenamed("composed", "before"), "path").where("composed <> before").isEmpty():
-                return now
-        whole = now
-    return whole
+    inner = resolved.where("kind = 'transclusion' and resolved").select("path", "ord", "raw", "target_path").distinct()
+    inner = inner.join(texts.select(F.col("path").alias("target_path")).distinct(), "target_path", "left_semi").checkpoint()
+    done = texts.join(inner, "path", "left_anti").checkpoint()
+    left = texts.join(inner, "path", "left_semi").checkpoint()
+    while not left.isEmpty():
+        blocked = inner.join(left.select(F.col("path").alias("target_path")), "target_path", "left_semi").select("path")
+        ready = left.join(blocked, "path", "left_anti").checkpoint()
+        if ready.isEmpty():
+            break
+        parts = inner.join(ready, "path", "left_semi").join(done.select(F.col("path").alias("target_path"), F.col("composed").alias("part")), "target_path")
+        done = done.unionByName(_spliced(ready, ["path"], parts)).checkpoint()
+        left = left.join(ready, "path", "left_anti").checkpoint()
+    return inner, done, left
+
+
+def reach_cycles(docs: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(path): documents whose transclusions lead into a cycle."""
+    return _from_leaves(docs, resolved)[2].select("path")
+
+
+def compose(docs: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(path, composed): texts with resolved transclusions spliced in, inner ones first, however deep.
+
+    A document that is already on the way from the root is put in with its raw
+    text; ``reach_cycles`` lists the documents that this concerns, which are
+    composed way by way. Unresolved transclusions stay as written.
+    """
+    inner, done, left = _from_leaves(docs, resolved)
+    if left.isEmpty():
+        return done
+    levels = [left.select(F.array("path").alias("trail"), "path", "composed").checkpoint()]
+    inside = left.select(F.col("path").alias("target_path"), F.col("composed").alias("text"))
+    while True:
+        below = levels[-1].select("trail", "path").join(inner, "path").join(inside, "target_path").where(~F.array_contains("trail", F.col("target_path")))
+        below = below.select(F.concat("trail", F.array("target_path")).alias("trail"), F.col("target_path").alias("path"), F.col("text").alias("composed")).distinct().checkpoint()
+        if below.isEmpty():
+            break
+        levels.append(below)
+    ends = done.select(F.col("path").alias("target_path"), F.col("composed").alias("part"))
+    deeper = None
+    for level in reversed(levels):
+        wanted = level.select("trail", "path").join(inner, "path")
+        parts = wanted.join(ends, "target_path").select("trail", "ord", "raw", "part")
+        again = wanted.where(F.array_contains("trail", F.col("target_path"))).join(inside, "target_path").select("trail", "ord", "raw", F.col("text").alias("part"))
+        parts = parts.unionByName(again)
+        if deeper is not None:
+            found = wanted.withColumn("below", F.concat("trail", F.array("target_path"))).join(deeper.select(F.col("trail").alias("below"), F.col("composed").alias("part")), "below")
+            parts = parts.unionByName(found.select("trail", "ord", "raw", "part"))
+        deeper = _spliced(level.select("trail", "composed"), ["trail"], parts).checkpoint()
+    return done.unionByName(deeper.select(F.col("trail")[0].alias("path"), "composed"))
 
 
 def composed_field(parents: DataFrame, keys: list[str], refs: str, children: DataFrame, line: Column, separator: str = "\n") -> DataFrame:

@@ -45,11 +45,11 @@ def map_equal(equivalences: DataFrame, store: str, tag: str, equal: str) -> Data
     return equivalences.unionByName(both).dropDuplicates(["store", "tag", "equal"])
 
 
-def descendants(edges: DataFrame, tag: str, depth: int = 32) -> DataFrame:
+def descendants(edges: DataFrame, tag: str) -> DataFrame:
     """Tags reachable from ``tag``, itself included; equal tags make cycles, so only new tags go on."""
     found = edges.sparkSession.createDataFrame([(tag,)], "tag string")
     front = found
-    for _ in range(depth):
+    while True:
         front = front.join(edges, front.tag == edges.parent).select(F.col("child").alias("tag")).distinct().join(found, "tag", "left_anti").checkpoint()
         if front.isEmpty():
             break

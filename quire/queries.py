@@ -311,7 +311,7 @@ def recover_depth(spark, sf_dir):
 def compose_docs(spark, sf_dir):
     docs = chain_docs(spark, sf_dir).where(~F.col("doc").startswith("customer"))
     found = links.resolve_links(links.parsed_links(docs, ["doc", "path"]), docs)
-    return links.compose(docs, found, depth=2)
+    return links.compose(docs, found)
 
 
 def composition_refs(spark, sf_dir):

@@ -1,4 +1,5 @@
 import json
+import re
 from collections import Counter
 
 import pytest
@@ -424,3 +425,26 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("stores", "check") == 0 and run("sections", "show", "first") == 0 and run("ast", "schema") == 0
     assert run("docs", "untrack", "first") == 0 and run("ls", "st.{Memo}") == 0
     assert run("ls", "zz") == 1
+
+
+def test_compose_deep_chains_and_cycles(spark):
+    rows = [(f"c{i}", f"{i} ![[c{i + 1}]] ![[c40]]" if i < 14 else str(i)) for i in (*range(15), 40)]
+    rows[-1] = ("c40", "end")
+    rows += [("x", "x(![[y]] ![[c13]])"), ("y", "y(![[z]])"), ("z", "z(![[x]] ![[z]] ![[none]])"), ("w", "w(![[x]])")]
+    docs = spark.createDataFrame([(d, f"{d}.md", t) for d, t in rows], "doc string, path string, text string")
+    found = links.resolve_links(links.parsed_links(docs, ["doc", "path"]), docs)
+    text = dict(rows)
+
+    def whole(doc, trail=()):
+        if doc in trail or doc not in text:
+            return text.get(doc, f"![[{doc}]]")
+        return re.sub(r"!\[\[(.*?)\]\]", lambda m: whole(m[1], (*trail, doc)), text[doc])
+
+    got = {r.path: r.composed for r in links.compose(docs, found).collect()}
+    assert got == {f"{d}.md": whole(d) for d in text}
+    assert {r.path for r in links.reach_cycles(docs, found).collect()} == {"x.md", "y.md", "z.md", "w.md"}
+
+
+def test_descendants_at_any_depth(spark):
+    edges = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(36)] + [("t36", "t0")], "parent string, child string")
+    assert semantics.descendants(edges, "t0").count() == 37
