@@ -2,8 +2,9 @@
 
 score(text) = sigmoid(w0 + sum_i w_i + sum_{i<j} <v_i, v_j>) over the distinct
 terms of the text. The factors v let two terms weigh together what neither does
-alone. Terms are hashed to buckets; only buckets that the training rows tell
-apart keep weights, so scoring looks up few of a text's words.
+alone: a term without any effect of its own can matter beside another one. Terms
+are hashed to buckets; those that the fit sends to zero are left out of the
+model, so scoring looks up few of a text's words.
 
 The model is fitted on a bounded sample of labelled rows (TRAIN_ROWS, those with
 the lowest hashes of their ids); scores are computed for every whole text.
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import Remembered, cut, mixed, prepare
 
 TRAIN_ROWS = 20_000
-BUCKET_BITS, FACTORS, ACTIVE, STEPS, DROPOUT, LIFT = 22, 4, 2_000, 3_000, 0.7, 3
+BUCKET_BITS, FACTORS, BATCH, DROPOUT = 22, 4, 128, 0.7
+#: Fewest training texts of a term, and the size of weight and factors from which the second descent keeps it; chosen on validation rows, see the README.
+MIN_TEXTS, KEEP_FROM = 3, 0.2
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -63,26 +66,65 @@ class Model:
 
 
 def one_of_copies(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Places of rows of which no earlier one has the same label and two smallest hashes: a group of near copies mostly counts once."""
+    """Places of rows of which no earlier one has the same label and four smallest hashes: a group of near copies mostly counts once."""
     seen, keep = set(), []
     for i, terms in enumerate(rows):
         h = terms.astype(np.uint64)
-        key = (labels[i], *(int(mixed(h + np.uint64(k)).min()) if len(h) else -1 for k in (1, 1 << 40)))
+        key = (labels[i], *(int(mixed(h + np.uint64(k << 40)).min()) if len(h) else -1 for k in range(1, 5)))
         if key not in seen:
             seen.add(key)
             keep.append(i)
     return np.array(keep, np.int64)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 20, rate: float = 0.2, decay: float = 1e-4) -> Model:
-    """A factorization machine for the terms of ``rows`` by AdaGrad on the logistic loss.
+def descend(model: Model, flat: np.ndarray, starts: np.ndarray, labels: np.ndarray, steps: int, rate: float, rate_v: float, l1: float, l1_v: float, decay: float) -> Model:
+    """``model`` after ``steps`` batches of AdaGrad on the logistic loss, with soft thresholds l1 for weights and l1_v for factors.
 
-    Keeps the ACTIVE buckets whose presence differs most between the labels, by
-    the z value of the difference of shares, if one label has it LIFT times as
-    often; near copies count once. In each
-    epoch half of the texts, at random, lose most of their terms (DROPOUT), so
-    that a term has to tell by itself what its companions tell as well. Without rows of both labels only the bias
-    is set.
+    ``flat`` holds the texts' terms as positions among the model's buckets, text
+    i from starts[i] on. In each epoch half of the texts, at random, lose most
+    of their terms (DROPOUT), so that a term has to tell by itself what its
+    companions tell as well.
+    """
+    random = np.random.Generator(np.random.PCG64(11))
+    bias, w, v = model.bias, model.weights.copy(), model.factors.copy()
+    gb, gw, gv = 1e-2, np.full(w.shape, 1e-2), np.full(v.shape, 1e-2)
+    n, columns = len(labels), range(v.shape[1])
+    batches = max(1, n // BATCH)
+    for _ in range(-(-steps // batches)):
+        for block in np.array_split(random.permutation(n), batches):
+            many = starts[block + 1] - starts[block]
+            row = np.repeat(np.arange(len(block)), many)
+            at = np.arange(many.sum()) + np.repeat(starts[block] - np.cumsum(many) + many, many)
+            lost = random.choice([0, DROPOUT], len(block))  # half of the texts are seen whole
+            there = random.random(len(at)) >= lost[row]
+            row = row[there]
+            used, term = np.unique(flat[at[there]], return_inverse=True)
+            vu = v[used]
+            sums = np.stack([np.bincount(row, vu[term, c], len(block)) for c in columns], axis=1)
+            pairs = 0.5 * ((sums**2).sum(axis=1) - np.bincount(row, (vu**2).sum(axis=1)[term], len(block)))
+            y = 1 / (1 + np.exp(-np.clip(bias + np.bincount(row, w[used][term], len(block)) + pairs, -30, 30)))
+            e = (y - labels[block]) / len(block)
+            gb += e.sum() ** 2
+            bias -= rate * e.sum() / np.sqrt(gb)
+            dw = np.bincount(term, e[row], len(used))
+            dv = np.stack([np.bincount(term, e[row] * sums[row, c], len(used)) for c in columns], axis=1) - dw[:, None] * vu + decay * vu
+            gw[used] += dw**2
+            gv[used] += dv**2
+            for x, d, g, step, shrink in ((w, dw, gw, rate, l1), (v, dv, gv, rate_v, l1_v)):
+                step = step / np.sqrt(g[used])
+                moved = x[used] - step * d
+                x[used] = np.sign(moved) * np.maximum(np.abs(moved) - step * shrink, 0)
+    return Model(float(bias), model.buckets, w, v)
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, min_texts: int = MIN_TEXTS, keep_from: float = KEEP_FROM) -> Model:
+    """A factorization machine for the terms of ``rows``; near copies count once.
+
+    Every term of ``min_texts`` texts or more takes part, whatever it tells by
+    itself. A first descent has soft thresholds, which send to zero what neither
+    alone nor in pairs lowers the loss. Terms whose weight and factors then
+    measure ``keep_from`` or more stay, and a second descent without thresholds
+    starts anew on them. Without rows of both labels only the bias is set.
     """
     keep = one_of_copies(rows, labels)
     rows, labels = [rows[i] for i in keep], labels[keep]
@@ -91,50 +133,24 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 20, rate: floa
     none = Model(bias, np.empty(0, np.int64), np.empty(0), np.empty((0, FACTORS)))
     if not 0 < positive < n:
         return none
-    lengths = np.array([len(r) for r in rows])
-    flat, of = np.concatenate(rows), np.repeat(np.arange(n), lengths)
-    size = 1 << BUCKET_BITS
-    with_one, with_any = np.bincount(flat, labels[of], size), np.bincount(flat, minlength=size)
-    p, q = with_one / positive, (with_any - with_one) / (n - positive)
-    share = with_any / n
-    z = np.abs(p - q) / np.sqrt(np.maximum(share * (1 - share), 1 / n) * (1 / positive + 1 / (n - positive)))
-    chosen = np.sort(np.argsort(-z, kind="stable")[:ACTIVE])
-    apart = np.maximum(p, q)[chosen] >= LIFT * np.minimum(p, q)[chosen]
-    chosen = chosen[(with_any[chosen] >= 3) & (z[chosen] > 5) & apart]
+    flat, of = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
+
+    def started(buckets: np.ndarray) -> tuple[Model, np.ndarray, np.ndarray]:
+        place = np.full(1 << BUCKET_BITS, -1, np.int64)
+        place[buckets] = np.arange(len(buckets))
+        there = place[flat] >= 0
+        factors = np.random.Generator(np.random.PCG64(12)).normal(0, 0.02, (len(buckets), FACTORS))
+        return Model(bias, buckets, np.zeros(len(buckets)), factors), place[flat[there]], np.searchsorted(of[there], np.arange(n + 1))
+
+    chosen = np.flatnonzero(np.bincount(flat, minlength=1 << BUCKET_BITS) >= min_texts)
     if not len(chosen):
         return none
-    at = np.full(size, -1, np.int64)
-    at[chosen] = np.arange(len(chosen))
-    keep = at[flat] >= 0
-    flat, of = at[flat[keep]], of[keep]
-    starts = np.searchsorted(of, np.arange(n + 1))
-    random = np.random.Generator(np.random.PCG64(11))
-    w, v = np.zeros(len(chosen)), random.normal(0, 0.01, (len(chosen), FACTORS))
-    gw, gv, gb = np.full(len(w), 1e-6), np.full(v.shape, 1e-6), 1e-6
-    batches = max(1, n // 128)
-    for _ in range(max(epochs, STEPS // batches)):
-        order = random.permutation(n)
-        for block in np.array_split(order, batches):
-            idx = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in block])
-            row = np.repeat(np.arange(len(block)), starts[block + 1] - starts[block])
-            rate_of = random.choice([0, DROPOUT], len(block))  # half of the texts are seen whole
-            there = random.random(len(idx)) >= rate_of[row]
-            f, row = flat[idx[there]], row[there]
-            sums = np.zeros((len(block), FACTORS))
-            np.add.at(sums, row, v[f])
-            pair = 0.5 * ((sums**2).sum(1) - np.bincount(row, (v[f] ** 2).sum(1), len(block)))
-            y = 1 / (1 + np.exp(-np.clip(bias + np.bincount(row, w[f], len(block)) + pair, -30, 30)))
-            e = (y - labels[block]) / len(block)
-            gb += e.sum() ** 2
-            bias -= rate * e.sum() / np.sqrt(gb)
-            dw = np.bincount(f, e[row], len(w)) + decay * w * (np.bincount(f, minlength=len(w)) > 0)
-            dv = np.zeros_like(v)
-            np.add.at(dv, f, e[row][:, None] * (sums[row] - v[f]))
-            gw += dw**2
-            gv += dv**2
-            w -= rate * dw / np.sqrt(gw)
-            v -= rate * dv / np.sqrt(gv)
-    return Model(float(bias), chosen, w, v)
+    first = descend(*started(chosen), labels, steps=1500, rate=0.2, rate_v=0.05, l1=2e-3, l1_v=1e-3, decay=0)
+    tells = np.abs(first.weights) + np.sqrt((first.factors**2).sum(axis=1))
+    chosen = chosen[tells >= keep_from]
+    if not len(chosen):
+        return none
+    return descend(*started(chosen), labels, steps=4000, rate=0.2, rate_v=0.1, l1=0, l1_v=0, decay=1e-4)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -143,7 +159,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fit on documents with a label that are not held out; at most ``rows`` of them."""
+    """Fit on documents with a label that are not held out; at most ``rows`` of them.
+
+    Rows that repeat a doc_id count once, with the least of their term sets; an
+    id with both labels counts once for each.
+    """
     some = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().where(~held_out(F.col("doc_id")))
     some = cut(some.distinct().orderBy(F.xxhash64("doc_id"), "toxic").limit(rows))
 
@@ -154,8 +174,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.binary()), batch.column(2)], ["doc_id", "terms", "toxic"])
 
     found = docs.join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, terms binary, toxic int")
-    # at most ``rows`` labelled ids, and the documents of those
-    known = sorted((r.doc_id, r.terms, r.toxic) for r in found.limit(4 * rows).toLocalIterator())
+    # one row for each labelled id, of which there are at most ``rows``
+    found = found.groupBy("doc_id", "toxic").agg(F.min("terms").alias("terms"))
+    known = sorted((r.doc_id, r.terms, r.toxic) for r in found.toLocalIterator())
     return fit([np.frombuffer(t, np.int32).astype(np.int64) for _, t, _ in known], np.array([y for _, _, y in known], float))
 
 
@@ -163,10 +184,12 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs`` (doc_id, text, ...).
 
     A null or empty text has the score of a text without any known term.
-    Repeated rows get equal scores; ids, languages and sources are not read.
+    Repeated rows get equal scores; texts are read whole, however long; ids,
+    languages and sources are not read, and other columns are ignored. A null id
+    counts as held out. An empty table gives an empty result.
     """
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # ACTIVE rows at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # terms of MIN_TEXTS training texts at most, whatever the size of the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -289,24 +289,41 @@ def test_embedding_pairs_that_lists_miss(spark):
 # toxicity
 
 
+def accuracy(model, rows, labels):
+    at = {int(b): i for i, b in enumerate(model.buckets)}
+    return np.mean([(model.score([at[int(b)] for b in r if int(b) in at]) >= 0.5) == y for r, y in zip(rows, labels)])
+
+
 def test_pairs_of_terms_are_learned():
     rng = random.Random(6)
-    buckets, rows, labels = toxicity.TermBuckets(), [], []
-    for _ in range(3000):
+    buckets, rows, labels, both = toxicity.TermBuckets(), [], [], []
+    for _ in range(4000):
         insult, group = rng.random() < 0.5, rng.random() < 0.5
-        text = prose(rng, 12) + (" fools" if insult else " friends") + (" strangers" if group else " neighbours")
+        text = prose(rng, 12) + " " + unlike(rng, 6) + (" fools" if insult else " friends") + (" strangers" if group else " neighbours")
         rows.append(np.array(sorted(toxicity.term_buckets(text, buckets))))
         labels.append(float(insult == group))  # no sum of weights tells these apart
-    model = toxicity.fit(rows, np.array(labels), epochs=1)
-    assert len(model.buckets) == 0  # neither term tells anything by itself
-    texts = ["fools strangers", "fools neighbours", "friends strangers", "friends neighbours"] * 300
-    known = [np.array(sorted(toxicity.term_buckets(t + " " + unlike(rng, 6), buckets))) for t in texts]
-    y = np.array([1.0, 0.0, 0.0, 0.0] * 300)
-    model = toxicity.fit(known, y)
-    at = {int(b): i for i, b in enumerate(model.buckets)}
-    score = {t: model.score([at[b] for b in toxicity.term_buckets(t, buckets) if b in at]) for t in texts[:4]}
-    assert score["fools strangers"] > 0.8 and max(score[t] for t in texts[1:4]) < 0.3
-    assert np.abs(model.factors).max() > 0.02
+        both.append(float(insult and group))
+    labels, both = np.array(labels), np.array(both)
+    for y in (labels, both):
+        model = toxicity.fit(rows[:3000], y[:3000])
+        assert accuracy(model, rows[3000:], y[3000:]) > 0.97
+    model = toxicity.fit(rows[:3000], labels[:3000])
+    additive = toxicity.Model(model.bias, model.buckets, model.weights, np.zeros_like(model.factors))
+    assert accuracy(additive, rows[3000:], labels[3000:]) < 0.65
+    assert set(model.buckets) >= set(toxicity.term_buckets("fools friends strangers neighbours", buckets))
+
+
+def test_toxic_groups_of_words_that_clean_texts_have_as_often():
+    rng = random.Random(16)
+    buckets, rows, labels = toxicity.TermBuckets(), [], []
+    for _ in range(6000):  # a rare insult, harmless among friends; the group's name is as common in clean texts
+        toxic = rng.random() < 0.2
+        insult, group = (True, True) if toxic else rng.choice([(True, False), (False, True), (False, False)])
+        text = unlike(rng, 20) + " " + prose(rng, 20) + " clowns" * insult + " strangers" * group
+        rows.append(np.array(sorted(toxicity.term_buckets(text, buckets))))
+        labels.append(float(toxic))
+    labels = np.array(labels)
+    assert accuracy(toxicity.fit(rows[:5000], labels[:5000]), rows[5000:], labels[5000:]) > 0.98
 
 
 def test_toxicity(spark):
@@ -323,7 +340,8 @@ def test_toxicity(spark):
         if rng.random() < 0.6:
             labels.append((i, 1, int(toxic)))
         rows[-1] = (*rows[-1][:2], "toxic" if toxic else "clean")
-    rows += [(5000, None, "clean"), (5001, "", "clean"), (None, "plain words here", "clean")]
+    rows += [(5000, None, "clean"), (5001, "", "clean"), (None, "plain words here", "clean"), (5002, prose(rng, 40_000), "clean"), (5003, prose(rng, 40_000) + " loser", "toxic")]
+    rows += [rows[11]] * 3
     labels += [(None, 1, 1), (7, 1, None), (99999, 0, 1)]
     df = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(docs_of(spark, rows), df).collect()
@@ -334,6 +352,7 @@ def test_toxicity(spark):
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
     held = [r for r in got if r.held_out]
     assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.98 * len(held)
+    assert {r.doc_id: r.predicted for r in got if r.doc_id in (5002, 5003)} == {5002: 0, 5003: 1}
     none = toxicity.toxicity(docs_of(spark, rows[:3]), df.limit(0)).collect()
     assert len(none) == 3 and len({r.score for r in none}) == 1
     assert toxicity.toxicity(docs_of(spark, []), df).count() == 0
