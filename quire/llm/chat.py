@@ -6,9 +6,10 @@ before is its last turn's span. Where an earlier output is no prefix of the
 next, the template rewrites history, which is reported. A turn's text within its
 span is found by rendering the prefix once more with a mark in its place.
 
-For a long conversation prefixes are replaced by short contexts (the first turn
-and those just before); the spans count only if they add up to the rendering of
-the whole, else all prefixes are rendered.
+Every prefix is rendered, at any number of turns: a template that rewrites
+history at some lengths only is found out. That takes two renderings a turn, and
+so time by the square of a conversation's length; the template below remembers
+turns, so that a rendering mostly costs a join of strings.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 Turns = list[tuple[str, str]]
-#: Conversations of up to WHOLE turns are rendered prefix by prefix; beyond, contexts have the first and NEAR last turns.
-WHOLE, NEAR = 16, 2
 MARK = "\ue000"
+#: Characters of rendered turns that a worker process remembers.
+REMEMBERED_CHARS = 1 << 24
 
 _CONTROL = re.compile(r"([<\[])(\\*)(?=/?s>|/?INST\]|\|)")
 _ESCAPED = re.compile(r"([<\[])\\(\\*)(?=/?s>|/?INST\]|\|)")
@@ -41,9 +43,33 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1\2", text)
 
 
+class RenderedTurns(dict):
+    """What the template makes of single turns; forgotten whenever they hold ``most`` characters."""
+
+    def __init__(self, most: int = REMEMBERED_CHARS):
+        self.most, self.held = most, 0
+
+    def __missing__(self, turn: tuple[str, str]) -> str:
+        role, text = turn
+        made = "<|" + escape(role.replace("\\", "\\\\").replace("\n", "\\n")) + "\n" + escape(text) + "</s>"
+        if self.held + len(made) > self.most:
+            self.clear()
+            self.held = 0
+        if len(made) <= self.most:
+            self[turn] = made
+            self.held += len(made)
+        return made
+
+
+@cache
+def rendered_turns() -> RenderedTurns:
+    """One per worker process."""
+    return RenderedTurns()
+
+
 def render(turns: Turns) -> str:
     """The template: ``<s>``, then ``<|role``, a line end, the text and ``</s>`` for each turn."""
-    return "<s>" + "".join("<|" + escape(role.replace("\\", "\\\\").replace("\n", "\\n")) + "\n" + escape(text) + "</s>" for role, text in turns)
+    return "<s>" + "".join(map(rendered_turns().__getitem__, turns))
 
 
 def parse(formatted: str) -> Turns:
@@ -57,31 +83,19 @@ def parse(formatted: str) -> Turns:
 
 def locate(template: Callable[[Turns], str], turns: Turns) -> tuple[str, list[tuple[int, int, int, int]] | None]:
     """The rendering of ``turns`` and each turn's (start, end, start of text, end of text), or None if history is rewritten."""
-
-    def added(context: Turns, turn: tuple[str, str]) -> tuple[str, int, int] | None:
-        before, after = template(context) if context else "", template([*context, turn])
-        marked = template([*context, (turn[0], MARK)])
+    spans, before = [], ""
+    for i, (role, _) in enumerate(turns):
+        after = template(turns[: i + 1])
+        marked = template([*turns[:i], (role, MARK)])
         if not (after.startswith(before) and marked.startswith(before)):
-            return None
-        span, marked = after[len(before) :], marked[len(before) :]
-        at = marked.rfind(MARK) if turn[0].count(MARK) == 0 else marked.rfind(MARK, marked.find(MARK) + 1)
-        return (span, at, len(span) - (len(marked) - at - 1)) if at >= 0 else (span, len(span), len(span))
-
-    def joined(found: list[tuple[str, int, int] | None]) -> list[tuple[int, int, int, int]] | None:
-        spans, at = [], 0
-        for x in found:
-            if x is None:
-                return None
-            spans.append((at, at + len(x[0]), at + x[1], at + x[2]))
-            at += len(x[0])
-        return spans if "".join(x[0] for x in found) == whole else None
-
-    whole = template(turns)
-    if len(turns) > WHOLE:
-        spans = joined([added(turns[: min(i, 1)] + turns[max(1, i - NEAR) : i], turns[i]) for i in range(len(turns))])
-        if spans is not None:
-            return whole, spans
-    return whole, joined([added(turns[:i], turns[i]) for i in range(len(turns))])
+            return template(turns), None
+        start, end = len(before), len(after)
+        # the role comes before the text and may hold the mark as well
+        at = marked.rfind(MARK, start)
+        found = at >= 0 and marked.count(MARK, start) > role.count(MARK)
+        spans.append((start, end, at, end - (len(marked) - at - 1)) if found else (start, end, end, end))
+        before = after
+    return before if turns else template(turns), spans
 
 
 def format_conversations(turns: DataFrame, template: Callable[[Turns], str] = render, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -90,8 +104,10 @@ def format_conversations(turns: DataFrame, template: Callable[[Turns], str] = re
     Returns conv_id, formatted, spans (one struct for each turn: start, end,
     text_start, text_end, in_loss; code points; null if the template rewrites
     history). Turns are in order of turn, then role and text, nulls first; a
-    null role or text counts as empty, a null conv_id is a conversation.
-    Repeated rows are turns of their own; an empty table gives an empty result.
+    null role or text counts as empty, a null conv_id is a conversation. Texts
+    are kept whole, however long. Repeated rows are turns of their own; an empty
+    table gives an empty result; other columns are ignored. A conversation, which
+    becomes one string, is formatted in one task.
     """
     prepare(turns.sparkSession)
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("text_start", pa.int64()), ("text_end", pa.int64()), ("in_loss", pa.bool_())])

@@ -380,13 +380,35 @@ def test_templates_that_rewrite_history():
     long = [("user", "x"), ("assistant", "y")] * 100
     assert chat.locate(forgets, long)[1] is None
 
-    def numbered(turns):  # prefixes agree, short contexts don't
+    def numbered(turns):  # depends on the number of turns before
         return "".join(f"{i}:{t}\n" for i, (_, t) in enumerate(turns))
 
     whole, spans = chat.locate(numbered, long)
     assert [whole[s[2] : s[3]] for s in spans] == [t for _, t in long]
 
 
+@pytest.mark.parametrize("n", [4, 8, 16, 17, 20, 40, 60])
+def test_templates_that_rewrite_history_between(n):
+    def only_at(k):  # from turn k on the first turn is gone; or it is gone at k turns only
+        return [lambda turns: chat.render(turns[1:] if len(turns) >= k else turns), lambda turns: chat.render(turns[1:] if len(turns) == k else turns)]
+
+    turns = [("user", f"x{i}") for i in range(n)]
+    for k in (2, 6, 17, 33):
+        for template in only_at(k):
+            assert (chat.locate(template, turns)[1] is None) == (n >= k)
+
+
+def test_long_conversations(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"<|turn {i}</s> " * 3) for i in range(3000)] + [(2, 0, "assistant", "[INST] " * 400_000), (2, 1, "user\ue000", "\ue000")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    by = {r.conv_id: r for r in chat.format_conversations(df).collect()}
+    for conv in (1, 2):
+        own = [(r[2], r[3]) for r in rows if r[0] == conv]
+        whole, spans = by[conv].formatted, by[conv].spans
+        assert chat.parse(whole) == own and [chat.unescape(whole[s.text_start : s.text_end]) for s in spans] == [t for _, t in own]
+        assert "".join(whole[s.start : s.end] for s in spans) == whole
+
+
 def test_conversations(spark):
     import hashlib
 
