@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cache
 
 import numpy as np
@@ -36,6 +37,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written as a table to the shared checkpoint folder and read again.
+
+    For loops: a checkpoint hands on what is known of its plan's partitioning and
+    order, which each round of joins and renamed columns multiplies until planning
+    takes minutes; a table starts anew.
+    """
+    spark = df.sparkSession
+    prepare(spark)
+    place = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df`` to be broadcast if it has BROADCAST_ROWS rows at most; ``df`` should be cheap to count."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -102,11 +117,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     change; each step is a map-side combined minimum and an equi join with it. Returns (id, component) for every vertex
     that has an edge to another one; null ends and self loops are ignored.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
     def with_low(x: DataFrame, low: DataFrame) -> DataFrame:
         # few minima are broadcast; many are shuffled by themselves, so that adaptive joins can split a hub
-        return x.join(small(cut(low)), "u")
+        return x.join(small(stored(low)), "u")
 
     def fingerprint(x: DataFrame) -> tuple:
         return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -118,7 +133,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = with_low(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         lower = with_low(large, low).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
-        e = cut(lower)
+        e = stored(lower)
         now = fingerprint(e)
         if now == seen:
             break

@@ -10,10 +10,13 @@ meet as well: at similarity 0.8 a chunk of 7 is within one error with
 probability 0.577, and all 12 chunks fail in 3 of 100,000 cases.
 
 Documents with equal sets are one vertex. Documents under one key are first
-compared with the smallest of them, a star instead of all pairs. What is then
-still apart is compared in blocks: documents that met, directly or over others,
-are a family, and only families of several components are gone through again.
-Tasks return the few links that join components, never the pairs they compared.
+compared with the smallest of them, a star instead of all pairs. Keys whose
+members are then still apart are gone through again, for links between the parts:
+such keys that share members are a family, which is compared as a whole or key by
+key, whichever takes fewer comparisons. Either way the pairs that share a key
+count and no others, so the result is one of both. Members of one part lie in
+blocks of their own, which aren't compared with each other. Tasks hold hashes of
+shingles and return the few links that join parts, never the pairs they compared.
 All links are confirmed on full sets.
 """
 
@@ -25,14 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, connected_components, cut, mixed, prepare, small, word_hashes
 
 CHUNKS, CHUNK_SIZE = 12, 7
-#: Members of a block; families beyond FAMILY members are compared key by key.
-BLOCK, FAMILY = 512, 20_000
+#: A member weighs 1, or more if it has over SHINGLES shingles. Blocks weigh LEAST or more; MOST, about, if there are over BLOCKS of a unit.
+SHINGLES, LEAST, BLOCKS, MOST = 256, 64, 24, 1024
 
 
 def shingles(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
@@ -135,69 +138,131 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, similarity: int) ->
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def links_between(members: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
-    """Links (a, b) that join the labels within each unit of ``members`` (unit, rep, label).
+def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(rep, shingles) for the documents of ``ids`` (rep): the hashes of ``shingles`` as bytes."""
 
-    Units of one label need none. Others are dealt into blocks of about BLOCK
-    members, and each pair of blocks is one task, which counts what sets share
-    by postings of their shingles and returns a forest of the links it finds:
-    fewer rows than members, whatever the number of pairs.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hashes()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x.as_py(), width, hashes).tobytes() for x in batch.column(1)], pa.binary())], ["rep", "shingles"])
+
+    return docs.join(small(ids.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(run, "rep long, shingles binary")
+
+
+def dealt_blocks(members: DataFrame) -> DataFrame:
+    """(task, side, rep, label): ``members`` (unit, rep, label, n) dealt into tasks of two blocks each, or of one with itself.
+
+    A label with the weight of a block has blocks of its own; the rest of a unit
+    shares blocks. Two blocks of one label make no task.
     """
-    size = members.groupBy("unit").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(size.where("low <> high").select("unit", "blocks"), "unit").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = cut(dealt.select(F.xxhash64("unit", F.least("b", "o"), F.greatest("b", "o")).alias("task"), "b", "rep", "label"))
-    ids = dealt.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.join(small(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
-
-    def found(reps: np.ndarray, blocks: np.ndarray, labels: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        sizes = np.array([len(x) for x in sets])
+    weight = F.greatest(F.lit(1.0), F.col("n") / SHINGLES)
+    of_label = cut(members.groupBy("unit", "label").agg(F.sum(weight).alias("w")))
+    of_unit = of_label.groupBy("unit").agg(F.sum("w").alias("all"), F.count("*").alias("labels")).where("labels > 1")
+    blocks = F.greatest(F.least(F.ceil(F.col("all") / LEAST), F.lit(BLOCKS)), F.ceil(F.col("all") / MOST))
+    of_label = of_label.join(of_unit.select("unit", (F.col("all") / blocks).alias("per")), "unit").withColumn("own", F.col("w") >= F.col("per"))
+    pooled = of_label.where("not own").groupBy("unit").agg(F.sum("w").alias("pool"))
+    of_label = of_label.join(pooled, "unit", "left").withColumn("parts", F.ceil(F.when(F.col("own"), F.col("w")).otherwise(F.col("pool")) / F.col("per")))
+    of_label = cut(of_label.select("unit", "label", F.when(F.col("own"), F.col("label")).alias("owner"), "parts"))
+    placed = members.join(small(of_label), ["unit", "label"]).withColumn("block", F.xxhash64(F.coalesce("owner", F.lit(-1)), F.col("owner").isNull(), F.pmod(F.xxhash64("rep"), F.col("parts"))))
+    placed = cut(placed.select("unit", "block", "owner", "rep", "label"))
+    one = placed.select("unit", "block", "owner").distinct()
+    tasks = one.join(one.select("unit", F.col("block").alias("other"), F.col("owner").alias("of_other")), "unit").where("block <= other and not coalesce(owner = of_other, false)")
+    sides = tasks.withColumn("task", F.xxhash64("unit", "block", "other")).select("unit", "task", F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
+    return placed.join(sides, ["unit", "block"]).select("task", F.col("block").alias("side"), "rep", "label")
+
+
+def links_between(members: DataFrame, docs: DataFrame, width: int, similarity: int, chunks: int, chunk_size: int) -> DataFrame:
+    """Links (a, b) that join labels within the units of ``members`` (unit, rep, label, n), of pairs that share a key.
+
+    A task counts what sets share by postings of their shingles and returns a
+    forest of the links it finds: fewer rows than members, whatever the number
+    of pairs.
+    """
+    dealt = cut(dealt_blocks(members))
+    sets = cut(shingle_sets(docs, dealt.select("rep").distinct(), width))
+    a, b = multipliers(chunks * chunk_size)
+
+    def share_key(x: bytes, y: bytes) -> bool:
+        same = np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)
+        return bool((same.reshape(chunks, chunk_size).sum(axis=1) >= chunk_size - 1).any())
+
+    def found(reps: list[int], sides: list[int], labels: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        sizes, sides = np.array([len(x) for x in sets]), np.array(sides)
         tokens, code = np.unique(np.concatenate(sets), return_inverse=True)
         owner = np.repeat(np.arange(len(sets)), sizes)
         order = np.argsort(code, kind="stable")
         postings, starts = owner[order], np.searchsorted(code[order], np.arange(len(tokens) + 1))
-        counts, ends, low = starts[1:] - starts[:-1], np.cumsum(sizes), blocks.min()
-        one = low == blocks.max()
-        root = {int(x): int(x) for x in labels}
+        counts, ends, low = starts[1:] - starts[:-1], np.cumsum(sizes), sides.min()
+        one = low == sides.max()
+        root = {x: x for x in labels}
+        known: dict[int, bytes] = {}
 
         def find(x: int) -> int:
             while root[x] != x:
                 root[x] = x = root[root[x]]
             return x
 
+        def sketch(i: int) -> bytes:
+            if i not in known:
+                known[i] = signature(sets[i], a, b)
+            return known[i]
+
         for i in range(len(sets)):
-            if one or blocks[i] == low:
+            if one or sides[i] == low:
                 own = code[ends[i] - sizes[i] : ends[i]]
                 n = counts[own]
                 at = np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
                 both = np.bincount(postings[at], minlength=len(sets))
                 hit = (both > 0) & (100 * both >= similarity * (sizes + sizes[i] - both))
                 for j in np.flatnonzero(hit):
-                    x, y = find(int(labels[i])), find(int(labels[j]))
-                    if x != y:
+                    x, y = find(labels[i]), find(labels[j])
+                    if x != y and share_key(sketch(i), sketch(int(j))):
                         root[max(x, y)] = min(x, y)
-                        yield int(reps[i]), int(reps[j])
+                        yield min(reps[i], reps[j]), max(reps[i], reps[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes()
-        at, own = None, []
+        at, own = None, ([], [], [], [])
 
         def close() -> pa.RecordBatch:
-            pairs = list(found(np.array([x[1] for x in own]), np.array([x[0] for x in own]), np.array([x[2] for x in own]), [x[3] for x in own])) if len(own) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["a", "b"])
+            pairs = list(found(*own)) if len(own[0]) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for task, b, rep, label, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for task, side, rep, label, x in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if task != at:
                     yield close()
-                    at, own = task, []
-                own.append((b, rep, label, shingles(text, width, hashes)))
+                    at, own = task, ([], [], [], [])
+                for column, value in zip(own, (rep, side, label, np.frombuffer(x, np.uint64))):
+                    column.append(value)
         yield close()
 
-    rows = dealt.join(texts, "rep").select("task", "b", "rep", "label", "text").repartition("task").sortWithinPartitions("task", "b", "rep")
+    rows = dealt.join(sets, "rep").select("task", "side", "rep", "label", "shingles").repartition("task").sortWithinPartitions("task", "side", "rep")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def units(apart: DataFrame) -> DataFrame:
+    """(unit, rep, label, n) from ``apart`` (key, rep, n, label), keys of several labels: families, or their keys if these take fewer comparisons.
+
+    Keys with the same members are one unit.
+    """
+    key = apart.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"))
+    key = cut(key.select("key", "first", F.xxhash64(F.lit(1), "first", "last", "size", "x").alias("unit")))
+    keyed = cut(apart.join(small(key), "key").select("unit", "first", "rep", "label", "n").distinct())
+    family = connected_components(keyed.select(F.col("first").alias("a"), F.col("rep").alias("b"))).select(F.col("id").alias("first"), F.col("component").alias("family"))
+    keyed = cut(keyed.join(small(cut(family)), "first").drop("first"))
+    whole = keyed.select(F.xxhash64(F.lit(0), "family").alias("unit"), "family", "rep", "label", "n").distinct()
+
+    def comparisons(x: DataFrame) -> DataFrame:
+        """(family, cost): pairs of different labels in the units of each family, twice."""
+        per = x.groupBy("family", "unit", "label").agg(F.count("*").cast("double").alias("m"))
+        per = per.groupBy("family", "unit").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("cost"))
+        return per.groupBy("family").agg(F.sum("cost").alias("cost"))
+
+    better = comparisons(keyed).join(comparisons(whole).withColumnRenamed("cost", "cost_whole"), "family").where("cost < cost_whole").select("family")
+    better = small(cut(better))
+    return whole.join(better, "family", "left_anti").unionByName(keyed.join(better, "family", "left_semi").select(whole.columns)).select("unit", "rep", "label", "n")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, chunks: int = CHUNKS, chunk_size: int = CHUNK_SIZE) -> DataFrame:
     """Group ``docs`` (doc_id, text, ...) by links of Jaccard similarity >= similarity / 100.
 
@@ -207,32 +272,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, chunk
     link with nothing. Rows that repeat a doc_id are one document that has each
     of their texts. A null doc_id links with nothing, has a null component_id and
     is kept. An empty table gives an empty result; other columns are ignored.
+    Texts are read whole, however long.
     """
-    spark = docs.sparkSession
-    prepare(spark)
+    prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = cut(sketches(docs, width, chunks, chunk_size))
     some = made.where("n_shingles > 0 and doc_id is not null")
     reps = some.groupBy("fp", F.col("n_shingles").alias("n"), "sig").agg(F.min("doc_id").alias("rep"))
     same = some.groupBy("fp", "doc_id").agg(F.lit(1).alias("_")).join(reps.select("fp", "rep"), "fp").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
-    by_key = Window.partitionBy("key")
-    met = index_keys(reps, chunks, chunk_size).withColumn("first", F.min(F.struct("rep", "n")).over(by_key)).withColumn("last", F.max("rep").over(by_key))
-    met = cut(met.where("first.rep <> last").select("key", "rep", "n", F.col("first.rep").alias("first"), F.col("first.n").alias("first_n")))
+    index = index_keys(reps, chunks, chunk_size)
+    low = index.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("first"), F.max("rep").alias("last"), F.count("*").alias("size")).where("first.rep <> last")
+    low = cut(low.select("key", F.col("first.rep").alias("first"), F.col("first.n").alias("first_n"), "size"))
+    met = cut(index.join(small(low), "key"))
     # sizes further apart than the similarity allows can't link
-    near_size = f"100 * least({{0}}, {{1}}) >= {similarity} * greatest({{0}}, {{1}})"
-    stars = cut(met.where("first <> rep").where(near_size.format("n", "first_n")).select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
+    near_size = f"100 * least(n, first_n) >= {similarity} * greatest(n, first_n)"
+    stars = cut(met.where("first <> rep").where(near_size).select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
     links = cut(confirmed(stars, docs, width, similarity))
 
-    # what met under keys, directly or over others, is a family; a large one is taken key by key
-    family = connected_components(met.where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
-    large = family.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > FAMILY).select("component", F.lit(True).alias("large"))
-    family = cut(family.join(small(cut(large)), "component", "left").select(F.col("id").alias("rep"), "component", "large"))
-    label = connected_components(links).select(F.col("id").alias("rep"), F.col("component").alias("label"))
-    by_family = family.where("large is null").select(F.xxhash64(F.lit(0), "component").alias("unit"), "rep")
-    by_key = met.select("key", "rep").join(family.where("large"), "rep", "left_semi").select(F.xxhash64(F.lit(1), "key").alias("unit"), "rep").distinct()
-    members = by_family.unionByName(by_key).join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    more = cut(links_between(members, docs, width, similarity))
+    # a key of two is settled by its star; larger ones may hold several parts still
+    label = cut(connected_components(links).select(F.col("id").alias("rep"), F.col("component").alias("label")))
+    met = met.where("size > 2").join(small(label), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
+    several = met.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    apart = cut(met.join(small(cut(several)), "key", "left_semi"))
+    more = cut(links_between(cut(units(apart)), docs, width, similarity, chunks, chunk_size))
 
     label = connected_components(links.unionByName(more).unionByName(same))
     out = made.select("doc_id", "n_shingles").join(label, F.col("doc_id") == F.col("id"), "left")

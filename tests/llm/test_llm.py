@@ -172,6 +172,44 @@ def test_near_duplicates(spark, hard_rows):
     assert near_dup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_near_duplicates_in_large_families(spark, monkeypatch, broadcast):
+    rng = random.Random(18)
+    rows = []
+    for g, n in ((0, 260), (1, 90)):  # members are near some of each other, so that stars leave many apart
+        base = unlike(rng, 80).split()
+        for _ in range(n):
+            w = list(base)
+            for _ in range(rng.choice((0, 1, 2, 2, 3))):
+                w[rng.randrange(len(w))] = unlike(rng, 1)
+            rows.append((len(rows), " ".join(w), "a"))
+    rows += [(len(rows) + i, unlike(rng, 50), "b") for i in range(30)]
+    if not broadcast:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    got = near_dup.near_duplicates(docs_of(spark, rows), width=4)
+    assert Counter(map(tuple, got.collect())) == brute_near(rows, 4, 80)
+
+
+def test_blocks_hold_every_pair_of_labels_once(spark):
+    rng = random.Random(19)
+    members = [(u, i, label, n) for u, size in ((1, 900), (2, 5), (3, 40)) for i in range(size) for label, n in [(7 if rng.random() < 0.8 else 100 + rng.randrange(60), rng.choice((1, 90, 3000)))]]
+    members += [(4, i, 3, 1) for i in range(50)]  # one label only
+    tasks = defaultdict(list)
+    for r in near_dup.dealt_blocks(spark.createDataFrame(members, "unit long, rep long, label long, n long")).collect():
+        tasks[r.task].append((r.side, r.rep, r.label))
+    label = {(u, i): x for u, i, x, _ in members}
+    want = {(i, j) for u in (1, 2, 3) for (v, i), x in label.items() for (w, j), y in label.items() if u == v == w and i < j and x != y}
+    seen = set()
+    for t in tasks.values():
+        sides = sorted({s for s, _, _ in t})
+        assert len(sides) <= 2
+        a, b = [x for x in t if x[0] == sides[0]], [x for x in t if x[0] == sides[-1]]
+        seen |= {(min(x[1], y[1]), max(x[1], y[1])) for x in a for y in b if x[2] != y[2]}
+        assert len(sides) == 1 or {x[2] for x in a} != {x[2] for x in b} or len({x[2] for x in t}) > 1
+    assert want <= seen
+    assert sum(map(len, tasks.values())) < 25 * len(members)
+
+
 def test_every_pair_within_the_distance_meets(spark):
     rng = np.random.default_rng(4)
     n = near_dup.CHUNKS * near_dup.CHUNK_SIZE
