@@ -1,67 +1,120 @@
 """Near-duplicate embeddings by NN-descent.
 
 Each vector keeps a list of its nearest neighbours known so far among vectors of
-its label. A round joins the neighbours of neighbours: around each pivot, all
-that have it in their list, or are in its own, are compared with each other, and
-lists take what is nearer than their last entry. Lists start from leaves of
-random hyperplane trees. Rounds end when few lists change and the recall of
-links, audited on a sample against all rows, is high enough; while it is not,
-rounds add leaves of further trees. If it still is not after the last round, or
-the sample has too few vectors with links to tell, all vectors of a label are
-compared with each other.
-
-A list whose last entry is still a link is saturated: more links may lie beyond
-it. A link that neither end lists has saturated lists at both ends, so vectors
-with such lists are compared with each other, block by block, for links between
-components, which join those. Then links are counted over whole components, and
-only counts leave a block; so a cluster of thousands costs its comparisons but
-no table of its pairs. Links are confirmed in double precision.
-
-Equal vectors of a label are one node with a weight.
+its label. Lists start from leaves of random hyperplane trees. A round joins the
+neighbours of neighbours: around each pivot, those that have it in their list, or
+are in its own, are compared with each other, and lists take what is nearer than
+their last entry. Entries far below the threshold lead to no links and aren't
+joined. Rounds end when few lists change.
+
+Recall is audited with planted partners: vectors at just the threshold's cosine
+from sampled ones, in a random direction, which no cluster helps to find. While
+too few of them are found the number of trees is doubled; once that many leaves
+cost as much as comparing all vectors of a label, these are compared.
+
+A list whose last entry is still a link is saturated. It is enlarged twice and
+joined again; vectors whose lists are saturated even then are compared with each
+other, block by block, for links between components, which join those. A link
+that neither end lists has saturated lists at both ends, so none is lost there.
+Then links are counted over whole components, and only counts leave a block; so a
+cluster of thousands costs its comparisons but no table of its pairs.
+
+Trees and rounds work on half-precision unit vectors; every link is confirmed in
+double precision. Vectors of a label that are equal, or multiples of each other
+by powers of two, are one node with a weight.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, mixed, prepare, small
-
-K, TREES, LEAF, ROUNDS = 12, 4, 256, 6
-#: Vectors whose links are audited, about this many at any size, and the recall asked of them.
-AUDIT_ROWS, AUDIT_RECALL = 4000, 0.99
-#: Fewest sampled vectors with links that make an audit count.
-AUDIT_LINKED = 50
+from .common import connected_components, cut, dealt_blocks, mixed, prepare, small, stored
+
+K, TREES, LEAF = 12, 4, 256
+#: Bits of a tree's path; its first ones make a leaf, the next REFINED ones split a large leaf.
+PATH_BITS, REFINED = 40, 8
+#: Entries of a list that lie further than this below the threshold aren't joined; what half precision may take off a cosine.
+REACH, MARGIN = 0.18, 2e-3
+#: Vectors that get a planted partner, about this many at any size, and the share of partners that must be found.
+AUDIT_ROWS, AUDIT_RECALL = 2000, 0.97
+#: Share of joined entries below which another round isn't worth while.
+SETTLED = 0.02
+#: Members of a part of a pivot's neighbours.
+AROUND = 512
 #: Members of a block of a component: 128, or more if that makes over 24 blocks, but 1024 at most.
 BLOCK, BLOCKS, MOST = 128, 24, 1024
-#: Members of a block when vectors of a label are compared for links between components, at most about this many; rows of it at a time.
-MOST_ACROSS, SLICE = 4096, 512
+
+EDGE, EDGE_NAMES, EDGE_KINDS = "src long, dst long, sim float", ["src", "dst", "sim"], [pa.int64(), pa.int64(), pa.float32()]
 
 
 def usable_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, vec): vec is little-endian doubles; null unless the row can link."""
+    """(vec_id, label, dim, vec): vec is null unless the row can link.
+
+    Components are scaled by a power of two, so that the largest lies in 0.5 to 1
+    and no square over- or underflows. vec holds floats if they are exact, which
+    they are for a table of floats, else doubles; little-endian.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            dims, out = [], []
             for label, x in zip(batch.column(1), batch.column(2)):
                 x = np.array(x.as_py(), np.float64) if label.is_valid and x.is_valid else np.empty(0)
-                with np.errstate(over="ignore"):
-                    norm = np.sqrt((x * x).sum())
-                out.append((x + 0.0).tobytes() if len(x) and np.isfinite(norm) and norm > 0 else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["vec_id", "label", "vec"])
+                top = np.abs(x).max() if len(x) and np.isfinite(x).all() else 0.0
+                if top > 0:
+                    x = np.ldexp(x, -int(np.frexp(top)[1])) + 0.0
+                    short = x.astype(np.float32)
+                    out.append((short if (short == x).all() else x).tobytes())
+                else:
+                    out.append(None)
+                dims.append(len(x))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], ["vec_id", "label", "dim", "vec"])
 
     narrow = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return narrow.mapInArrow(run, "vec_id long, label string, vec binary")
+    return narrow.mapInArrow(run, "vec_id long, label string, dim int, vec binary")
+
+
+def unit(vecs: list[bytes], dim: int) -> np.ndarray:
+    """Rows of length one, in double precision, from ``vec`` values."""
+    if all(len(v) == 4 * dim for v in vecs):
+        x = np.frombuffer(b"".join(vecs), np.float32).reshape(len(vecs), dim).astype(np.float64)
+    else:
+        x = np.stack([np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64) for v in vecs]).astype(np.float64)
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def _halves(sketches: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.float16).reshape(len(sketches), -1).astype(np.float32)
 
 
-def unit(vecs: pa.Array, kind: type = np.float32) -> np.ndarray:
-    x = np.frombuffer(b"".join(vecs.to_pylist()), np.float64).reshape(len(vecs), -1)
-    return (x / np.sqrt((x * x).sum(axis=1))[:, None]).astype(kind)
+def sketched(nodes: DataFrame, threshold: float, audit_rows: int) -> DataFrame:
+    """(g, node, sketch): unit vectors as halves; g stands for label and dimension. Planted partners of node n are -n - 1."""
+    every = max(1, nodes.count() // audit_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = ([], [], [])
+            for g, node, dim, vec, chosen in zip(*(c.to_pylist() for c in batch.columns)):
+                x = unit([vec], dim)[0]
+                rows = [(node, x)]
+                if chosen and dim > 1:
+                    u = np.random.Generator(np.random.PCG64(node)).normal(size=dim)
+                    u -= (u @ x) * x
+                    cosine = min(threshold + MARGIN, 1)
+                    rows.append((-node - 1, cosine * x + np.sqrt(1 - cosine**2) * u / np.sqrt(u @ u)))
+                for n, v in rows:
+                    for column, value in zip(out, (g, n, v.astype(np.float16).tobytes())):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["g", "node", "sketch"])
+
+    chosen = F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(every)) == 0
+    return nodes.select("g", "node", "dim", "vec", chosen.alias("chosen")).mapInArrow(run, "g long, node long, sketch binary")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
@@ -103,9 +156,6 @@ def _gathered(make: Iterator[tuple], kinds: list[pa.DataType], names: list[str],
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(zip(*held), kinds)], names)
 
 
-EDGE, EDGE_NAMES, EDGE_KINDS = "src long, dst long, sim float", ["src", "dst", "sim"], [pa.int64(), pa.int64(), pa.float32()]
-
-
 def nearest_within(s: np.ndarray, ids: np.ndarray, floor: np.ndarray, k: int) -> tuple | None:
     """For each row of similarities ``s``, the k largest above its floor, as (src, dst, sim)."""
     if s.shape[1] > k:
@@ -117,39 +167,40 @@ def nearest_within(s: np.ndarray, ids: np.ndarray, floor: np.ndarray, k: int) ->
     return (ids[r], ids[cols[r, c]], sims[r, c]) if len(r) else None
 
 
-def leaf_lists(nodes: DataFrame, k: int, trees: int, leaf: int, seed: int = 0) -> DataFrame:
-    """Lists from trees of ``seed``: for each tree, the nearest within a leaf of about ``leaf`` vectors of one label."""
-    size = nodes.groupBy("label", F.length("vec").alias("bytes")).agg(F.count("*").alias("of_label"))
-    sized = nodes.withColumn("bytes", F.length("vec")).join(small(size), ["label", "bytes"])
-    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("of_label") / leaf))).cast("int")
+@lru_cache(maxsize=16)
+def _planes(dim: int, tree: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64([5, tree])).normal(size=(PATH_BITS, dim)).astype(np.float32)
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def leaf_lists(sketches: DataFrame, k: int, first: int, many: int, leaf: int) -> DataFrame:
+    """Lists from ``many`` trees, the ``first`` one's number on: the nearest within a leaf of about ``leaf`` vectors of one label."""
+    size = sketches.groupBy("g").agg(F.count("*").alias("of_label"))
+    bits = F.least(F.greatest(F.lit(0), F.ceil(F.log2(F.col("of_label") / leaf))), F.lit(PATH_BITS - REFINED)).cast("int")
+    sized = sketches.join(small(cut(size)), "g").select("g", "node", "sketch", bits.alias("bits"))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            for at in range(batch.num_rows):
-                x = np.frombuffer(batch.column(2)[at].as_py(), np.float64)
-                n = batch.column(3)[at].as_py()
-                planes = _planes(len(x), trees, 40, seed)
-                side = (planes[:, :n] @ x > 0).astype(np.uint64) if n else np.zeros((trees, 0), np.uint64)
-                code = side @ (np.uint64(1) << np.arange(n, dtype=np.uint64)) if n else np.zeros(trees, np.uint64)
-                group = np.uint64(batch.column(1)[at].as_py() & 0xFFFFFFFFFFFFFFFF)
-                leaves = mixed(mixed(group + np.arange(seed * trees, (seed + 1) * trees, dtype=np.uint64)) + code).astype(np.int64)
-                node, vec = batch.column(0)[at].as_py(), batch.column(2)[at].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(leaves), pa.array([node] * trees), pa.array([vec] * trees, pa.binary())], ["leaf", "node", "vec"])
-
-    rows = sized.select("node", F.xxhash64("label", "bytes").alias("g"), "vec", bits.alias("bits")).mapInArrow(_rebatched(hashed), "leaf long, node long, vec binary")
-    rows = cut(rows)
-    # leaves that many near copies share are dealt out further
-    large = rows.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * leaf)
-    parts = F.coalesce(F.ceil(F.col("n") / leaf), F.lit(1))
-    rows = rows.join(small(cut(large)), "leaf", "left").withColumn("leaf", F.xxhash64("leaf", F.pmod(F.xxhash64("node"), parts)))
+            lengths = np.array([len(x) for x in batch.column(2).to_pylist()])
+            for length in np.unique(lengths):
+                part = batch.filter(pa.array(lengths == length))
+                x, n = _halves(part.column(2)), np.asarray(part.column(3)).astype(np.uint64)
+                group = np.asarray(part.column(0)).astype(np.uint64)
+                for tree in range(first, first + many):
+                    code = (x @ _planes(x.shape[1], tree).T > 0).astype(np.uint64) @ (np.uint64(1) << np.arange(PATH_BITS, dtype=np.uint64))
+                    leaves = mixed(mixed(group + np.uint64(tree)) + (code & ((np.uint64(1) << n) - np.uint64(1)))).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(leaves), pa.array((code >> n).astype(np.int64) & ((1 << REFINED) - 1), pa.int64()), part.column(1), part.column(2)], ["leaf", "rest", "node", "sketch"])
+
+    rows = cut(sized.mapInArrow(placed, "leaf long, rest long, node long, sketch binary"))
+    # leaves that many share go further down; what then still shares one is mostly near copies, and dealt out
+    for split in (lambda n: F.pmod("rest", F.pow(F.lit(2), F.least(F.ceil(F.log2(n / leaf)), F.lit(REFINED))).cast("long")), lambda n: F.pmod(F.xxhash64("node"), F.ceil(n / leaf))):
+        large = cut(rows.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * leaf))
+        rows = rows.join(small(large), "leaf", "left").withColumn("leaf", F.when(F.col("n").isNull(), F.col("leaf")).otherwise(F.xxhash64("leaf", split(F.col("n"))))).drop("n")
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make() -> Iterator[tuple]:
             for g in grouped(batches, 4 * leaf):
                 if g.num_rows > 1:
-                    x, ids = unit(g.column(2)), np.asarray(g.column(1))
+                    x, ids = _halves(g.column(2)), np.asarray(g.column(1))
                     s = x @ x.T
                     np.fill_diagonal(s, -2)
                     found = nearest_within(s, ids, np.full(len(ids), -1.5, np.float32), k)
@@ -158,149 +209,149 @@ def leaf_lists(nodes: DataFrame, k: int, trees: int, leaf: int, seed: int = 0) -
 
         yield from _gathered(make(), EDGE_KINDS, EDGE_NAMES)
 
-    dealt = rows.select("leaf", "node", "vec").repartition("leaf").sortWithinPartitions("leaf", "node")
-    return dealt.mapInArrow(nearest, EDGE)
-
-
-def _planes(dim: int, trees: int, bits: int, seed: int, known: dict = {}) -> np.ndarray:  # noqa: B006
-    if (dim, trees, seed) not in known:
-        known[dim, trees, seed] = np.random.Generator(np.random.PCG64(5 + seed)).normal(size=(trees, bits, dim))
-    return known[dim, trees, seed]
-
+    return rows.select("leaf", "node", "sketch").repartition("leaf").sortWithinPartitions("leaf", "node").mapInArrow(nearest, EDGE)
 
-def _rebatched(f: Callable) -> Callable:
-    """``f`` with its many small batches put together."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for b in f(batches):
-            held.append(b)
-            n += b.num_rows
-            if n >= 4096:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, n = [], 0
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    return run
-
-
-def best_lists(edges: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each src, each dst once."""
-    once = edges.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.min("old").alias("old"))
+def best_lists(edges: DataFrame, k: int, wide: DataFrame | None = None, most: int = 0) -> DataFrame:
+    """The k nearest of each src, each dst once; ``most`` for each of ``wide`` (src)."""
+    once = edges.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
+    if wide is not None:
+        once = once.join(small(wide.withColumn("most", F.lit(most))), "src", "left")
     order = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
-    return once.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+    return once.withColumn("r", F.row_number().over(order)).where(F.col("r") <= (F.coalesce("most", F.lit(k)) if wide is not None else k)).select("src", "dst", "sim", "old")
 
 
-def joined_neighbours(lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Candidates from one round: pairs around a pivot of which one is new to it, above a list's last entry."""
+def joined_neighbours(lists: DataFrame, sketches: DataFrame, k: int, from_sim: float) -> DataFrame:
+    """Candidates from one round: pairs around a pivot of which one is new to it, above a list's last entry.
+
+    Only entries of ``from_sim`` or more are joined. The neighbours of a hub are
+    dealt into parts of about AROUND.
+    """
     last = lists.groupBy("src").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-1.5)).cast("float").alias("floor"))
-    around = lists.select(F.col("src").alias("pivot"), F.col("dst").alias("node"), "old").unionByName(lists.select(F.col("dst").alias("pivot"), F.col("src").alias("node"), "old"))
+    near = lists.where(F.col("sim") >= from_sim)
+    around = near.select(F.col("src").alias("pivot"), F.col("dst").alias("node"), "old").unionByName(near.select(F.col("dst").alias("pivot"), F.col("src").alias("node"), "old"))
     around = around.groupBy("pivot", "node").agg(F.min("old").alias("old"))
-    members = around.join(nodes.select("node", "vec"), "node").join(last.withColumnRenamed("src", "node"), "node", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.5).cast("float")))
+    parts = around.groupBy("pivot").agg(F.ceil(F.count("*") / AROUND).alias("parts"), F.bool_and("old").alias("known")).where("not known").select("pivot", "parts")
+    around = around.join(small(cut(parts)), "pivot").withColumn("task", F.xxhash64("pivot", F.pmod(F.xxhash64("node"), F.col("parts"))))
+    members = around.join(last.withColumnRenamed("src", "node"), "node", "left").join(sketches.select("node", "sketch"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make() -> Iterator[tuple]:
-            for g in grouped(batches, 4096):
+            for g in grouped(batches, 4 * AROUND):
                 old = np.asarray(g.column(3).to_numpy(zero_copy_only=False), bool)
                 if g.num_rows > 1 and not old.all():
-                    x, ids, floor = unit(g.column(2)), np.asarray(g.column(1)), np.asarray(g.column(4))
-                    new = ~old
+                    x, ids, floor = _halves(g.column(2)), np.asarray(g.column(1)), np.asarray(g.column(4))
                     s = x @ x.T
                     np.fill_diagonal(s, -2)
                     s[np.ix_(old, old)] = -2
                     found = nearest_within(s, ids, floor, min(k, len(ids)))
-                    if found and new.any():
+                    if found:
                         yield found
 
         yield from _gathered(make(), EDGE_KINDS, EDGE_NAMES)
 
-    dealt = members.select("pivot", "node", "vec", "old", "floor").repartition("pivot").sortWithinPartitions("pivot", "node")
-    return dealt.mapInArrow(run, EDGE)
+    dealt = members.select("task", "node", "sketch", "old", F.coalesce("floor", F.lit(-1.5)).cast("float").alias("floor"))
+    return dealt.repartition("task").sortWithinPartitions("task", "node").mapInArrow(run, EDGE)
+
+
+def descended(lists: DataFrame, sketches: DataFrame, k: int, from_sim: float, wide: DataFrame | None = None, most: int = 0) -> DataFrame:
+    """``lists`` after rounds, until few entries of ``from_sim`` or more are new."""
+    while True:
+        new, near = lists.where(F.col("sim") >= from_sim).agg(F.count_if(~F.col("old")), F.count("*")).first()
+        if new <= SETTLED * near:
+            return lists
+        made = joined_neighbours(lists, sketches, max(k, most), from_sim).withColumn("old", F.lit(False))
+        lists = stored(best_lists(lists.withColumn("old", F.lit(True)).unionByName(made), k, wide, most))
 
 
 def saturated(lists: DataFrame, k: int, threshold: float) -> DataFrame:
     """(src) of lists with k entries that all may be links."""
-    return lists.groupBy("src").agg(F.count("*").alias("n"), F.min("sim").alias("low")).where((F.col("n") >= k) & (F.col("low") >= threshold - 1e-3)).select("src")
+    return lists.groupBy("src").agg(F.count("*").alias("n"), F.min("sim").alias("low")).where((F.col("n") >= k) & (F.col("low") >= threshold - MARGIN)).select("src")
 
 
-def audited(nodes: DataFrame, lists: DataFrame, k: int, threshold: float, rows: int) -> tuple[int, float]:
-    """(nodes, recall): sampled nodes with links and the mean share of each one's links that are found, compared with all nodes of their labels.
+def planted_recall(sketches: DataFrame, lists: DataFrame, k: int, threshold: float) -> float:
+    """The share of planted partners that are found: a list of either end has the other; 1 without any.
 
-    A link counts as found if a list of either end has it. Nodes with saturated
-    lists are left out: they are compared exactly later, and would outweigh others.
+    Pairs with a saturated list are left out: in a cluster others are nearer, and
+    such vectors are compared with each other later.
     """
-    total = nodes.count()
-    if not total:
-        return 0, 1.0
-    some = nodes.where(F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(max(1, total // rows))) == 0)  # about ``rows`` of them
-    sample = some.join(saturated(lists, k, threshold).withColumnRenamed("src", "node"), "node", "left_anti").select("label", "node", "vec").collect()
-    by = {}
-    for label, node, vec in sample[: 4 * rows]:
-        by.setdefault((label, len(vec)), []).append((node, vec))
-    queries = {key: (np.array([n for n, _ in x]), unit(pa.array([v for _, v in x], pa.binary()), np.float64)) for key, x in by.items()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            src, dst = [], []
-            for label, node, vec in zip(*(c.to_pylist() for c in batch.columns)):
-                if (label, len(vec)) in queries:
-                    ids, x = queries[label, len(vec)]
-                    y = np.frombuffer(vec, np.float64)
-                    hit = ids[(x @ y >= threshold * np.sqrt((y * y).sum())) & (ids != node)]
-                    src += hit.tolist()
-                    dst += [node] * len(hit)
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
-
-    true = nodes.select("label", "node", "vec").mapInArrow(run, "src long, dst long")
-    both = lists.select("src", "dst").unionByName(lists.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().withColumn("hit", F.lit(True))
-    seen = true.join(both, ["src", "dst"], "left").groupBy("src").agg((F.count("hit") / F.count("*")).alias("share"))
-    linked, recall = seen.agg(F.count("*"), F.avg("share")).first()
-    return linked, 1.0 if recall is None else recall
+    partner = F.greatest("node", -F.col("node") - 1).alias("node")
+    full = saturated(lists, k, threshold).select(F.col("src").alias("node")).select(partner).distinct()
+    planted = sketches.where("node < 0").select(partner).join(full, "node", "left_anti")
+    found = lists.where("src = - dst - 1").select(F.greatest("src", "dst").alias("node")).distinct().withColumn("found", F.lit(1))
+    return planted.join(found, "node", "left").agg(F.avg(F.coalesce("found", F.lit(0)))).first()[0] or (1.0 if planted.isEmpty() else 0.0)
+
+
+def neighbour_lists(nodes: DataFrame, threshold: float, k: int, trees: int, leaf: int) -> tuple[DataFrame, DataFrame, float]:
+    """(lists, wanting, recall): entries (src, dst, sim), nodes whose lists may miss links, recall of planted partners."""
+    sketches = stored(sketched(nodes, threshold, AUDIT_ROWS))
+    largest = sketches.groupBy("g").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    from_sim, done, new, lists = threshold - REACH, 0, trees, None
+    while True:
+        made = leaf_lists(sketches, k, done, new, leaf).withColumn("old", F.lit(False))
+        lists = descended(stored(best_lists(made if lists is None else lists.unionByName(made), k)), sketches, k, from_sim)
+        done += new
+        recall = planted_recall(sketches, lists, k, threshold)
+        if recall >= AUDIT_RECALL or done * leaf >= largest:
+            break
+        new = done
+    real = stored(lists.where("src >= 0 and dst >= 0"))
+    if recall < AUDIT_RECALL:
+        return real, nodes.select(F.col("node").alias("src")), recall
+    for most in (2 * k, 4 * k):
+        wide = cut(saturated(real, most // 2, threshold))
+        if wide.isEmpty():
+            break
+        again = real.join(small(wide.withColumn("again", F.lit(True))), "src", "left").select("src", "dst", "sim", F.col("again").isNull().alias("old"))
+        real = descended(stored(again), sketches.where("node >= 0"), k, from_sim, wide, most)
+    return real, saturated(real, 4 * k, threshold), recall
 
 
 def links_across(members: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): components of which members link, from all pairs of ``members`` (label, node, vec, component) of a label."""
-    members = members.select("label", F.length("vec").alias("bytes"), "node", "vec", "component")
-    n = F.count("*")
-    size = members.groupBy("label", "bytes").agg(F.greatest(F.least(F.ceil(n / BLOCK), F.lit(BLOCKS)), F.ceil(n / MOST_ACROSS)).cast("int").alias("blocks"))
-    placed = members.join(size, ["label", "bytes"]).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = placed.withColumn("o", other).withColumn("task", F.xxhash64("label", "bytes", F.least("b", "o"), F.greatest("b", "o")))
+    """(a, b): components of which members link, from all pairs of ``members`` (g, node, dim, vec, component) of a label."""
+    dealt = dealt_blocks(members.select(F.col("g").alias("unit"), F.col("node").alias("rep"), F.col("component").alias("label"), F.lit(1).alias("n")))
+    dealt = dealt.join(members.select(F.col("node").alias("rep"), "dim", "vec"), "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make() -> Iterator[tuple]:
             for g in grouped(batches):
-                x, c, b = unit(g.column(1), np.float64), np.asarray(g.column(2)), np.asarray(g.column(3))
-                low, high = np.flatnonzero(b == b.min()), np.flatnonzero(b == b.max())
-                for at in range(0, len(low), SLICE):
-                    part = low[at : at + SLICE]
-                    i, j = np.nonzero((x[part] @ x[high].T >= threshold) & (c[part][:, None] != c[high]))
-                    if len(i):
-                        ends = np.unique(np.sort(np.stack([c[part[i]], c[high[j]]], axis=1), axis=1), axis=0)
-                        yield ends[:, 0], ends[:, 1]
+                x, c, side = unit(g.column(4).to_pylist(), g.column(3)[0].as_py()), np.asarray(g.column(2)), np.asarray(g.column(1))
+                low, high = side == side.min(), side == side.max()
+                i, j = np.nonzero((x[low] @ x[high].T >= threshold) & (c[low][:, None] != c[high]))
+                if len(i):
+                    ends = np.unique(np.sort(np.stack([c[low][i], c[high][j]], axis=1), axis=1), axis=0)
+                    root = {int(e): int(e) for e in np.unique(ends)}
+                    keep = []
+                    for n, (a, b) in enumerate(ends.tolist()):
+                        while root[a] != a:
+                            a = root[a]
+                        while root[b] != b:
+                            b = root[b]
+                        if a != b:
+                            root[max(a, b)] = min(a, b)
+                            keep.append(n)
+                    yield ends[keep, 0], ends[keep, 1]
 
         yield from _gathered(make(), [pa.int64(), pa.int64()], ["a", "b"])
 
-    dealt = dealt.select("task", "vec", "component", "b").repartition("task").sortWithinPartitions("task", "b")
+    dealt = dealt.select("task", "side", "label", "dim", "vec").repartition("task").sortWithinPartitions("task", "side")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def component_links(nodes: DataFrame, component: DataFrame, threshold: float) -> DataFrame:
     """(node, links): how many vectors each node of a component links with, by blocks of its members."""
-    members = nodes.join(component.select(F.col("id").alias("node"), "component"), "node").select("component", "node", "vec", "many")
+    members = nodes.join(component.select(F.col("id").alias("node"), "component"), "node").select("component", "node", "dim", "vec", "many")
     n = F.count("*")
     size = members.groupBy("component").agg(F.greatest(F.least(F.ceil(n / BLOCK), F.lit(BLOCKS)), F.ceil(n / MOST)).cast("int").alias("blocks"))
     placed = members.join(size, "component").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # the task (i, j), i <= j, compares block i with block j
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = placed.withColumn("o", other).withColumn("task", F.xxhash64("component", F.least("b", "o"), F.greatest("b", "o"))).withColumn("left", F.col("b") <= F.col("o"))
+    dealt = placed.withColumn("o", other).withColumn("task", F.xxhash64("component", F.least("b", "o"), F.greatest("b", "o")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make() -> Iterator[tuple]:
             for g in grouped(batches):
-                x, ids, many = unit(g.column(2), np.float64), np.asarray(g.column(1)), np.asarray(g.column(3))
-                b = np.asarray(g.column(4))
+                x, ids, many, b = unit(g.column(3).to_pylist(), g.column(2)[0].as_py()), np.asarray(g.column(1)), np.asarray(g.column(4)), np.asarray(g.column(5))
                 low, high = b == b.min(), b == b.max()
                 hit = x[low] @ x[high].T >= threshold
                 if b.min() == b.max():
@@ -312,11 +363,11 @@ def component_links(nodes: DataFrame, component: DataFrame, threshold: float) ->
 
         yield from _gathered(make(), [pa.int64(), pa.int64()], ["node", "links"])
 
-    dealt = dealt.select("task", "node", "vec", "many", "b").repartition("task").sortWithinPartitions("task", "b", "node")
+    dealt = dealt.select("task", "node", "dim", "vec", "many", "b").repartition("task").sortWithinPartitions("task", "b", "node")
     return dealt.mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = K, trees: int = TREES, leaf: int = LEAF, rounds: int = ROUNDS) -> DataFrame:
+def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = K, trees: int = TREES, leaf: int = LEAF, report: Callable[[float], None] | None = None) -> DataFrame:
     """Link vectors of one label whose cosine is at least ``threshold``.
 
     Returns one row per row of ``vectors`` (vec_id, embedding, label): vec_id,
@@ -326,44 +377,34 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = K
     nothing; vectors of different lengths don't link. Repeated rows are equal
     vectors and link. A null vec_id links, but is no component's id unless all
     are null. An empty table gives an empty result; other columns are ignored.
+    ``report`` is called with the recall of planted partners.
     """
     prepare(vectors.sparkSession)
     rows = cut(usable_vectors(vectors))
-    nodes = rows.where("vec is not null").groupBy("label", "vec").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("many"))
-    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
-
-    lists = cut(best_lists(leaf_lists(nodes, k, trees, leaf).withColumn("old", F.lit(False)), k))
-    linked, recall = 0, 1.0
-    for done in range(rounds):
-        made = joined_neighbours(lists, nodes, k)
-        if recall < AUDIT_RECALL:
-            made = made.unionByName(leaf_lists(nodes, k, trees, leaf, done))
-        made = made.withColumn("old", F.lit(False))
-        lists = cut(best_lists(lists.withColumn("old", F.lit(True)).unionByName(made), k))
-        changed, total = lists.agg(F.count_if(~F.col("old")), F.count("*")).first()
-        linked, recall = audited(nodes, lists, k, threshold, AUDIT_ROWS)
-        if recall >= AUDIT_RECALL and changed <= 0.05 * total:
-            break
-    trusted = linked >= AUDIT_LINKED and recall >= AUDIT_RECALL
-
-    near = lists.where(F.col("sim") >= threshold - 1e-3).select(F.col("src").alias("a"), F.col("dst").alias("b"), "sim")
-    near = _confirmed(near, nodes, threshold)
-    component = cut(connected_components(near))
-    compared = saturated(lists, k, threshold).withColumnRenamed("src", "node") if trusted else nodes.select("node")
-    component = cut(merged(nodes, compared, component, threshold))
+    nodes = rows.where("vec is not null").groupBy("label", "dim", "vec").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("many"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("g", F.xxhash64("label", "dim")))
+
+    lists, wanting, recall = neighbour_lists(nodes, threshold, k, trees, leaf)
+    if report:
+        report(recall)
+    near = lists.where(F.col("sim") >= threshold - MARGIN).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    component = cut(connected_components(_confirmed(near, nodes, threshold)))
+    component = cut(merged(nodes, cut(wanting.withColumnRenamed("src", "node")), component, threshold))
     counts = component_links(nodes, component, threshold)
     first = nodes.join(component.withColumnRenamed("id", "node"), "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
     placed = nodes.join(component.withColumnRenamed("id", "node"), "node", "left").join(first, "component", "left").join(counts, "node", "left")
-    placed = placed.select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component_id", "first_id").alias("component_id"))
-    out = rows.join(placed, ["label", "vec"], "left")
+    placed = placed.select("label", "dim", "vec", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component_id", "first_id").alias("component_id"))
+    out = rows.join(placed, ["label", "dim", "vec"], "left")
     own = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(True)).alias("kept"))
 
 
 def merged(nodes: DataFrame, compared: DataFrame, component: DataFrame, threshold: float) -> DataFrame:
     """``component`` (id, component) with those joined that links between ``compared`` (node) connect."""
+    if compared.isEmpty():
+        return component
     own = F.coalesce("component", "node")
-    members = nodes.join(compared, "node").join(component.withColumnRenamed("id", "node"), "node", "left").withColumn("component", own)
+    members = cut(nodes.join(compared, "node").join(component.withColumnRenamed("id", "node"), "node", "left").withColumn("component", own).select("g", "node", "dim", "vec", "component"))
     joined = connected_components(links_across(members, threshold)).select(F.col("id").alias("own"), F.col("component").alias("into"))
     every = nodes.select("node").join(component.withColumnRenamed("id", "node"), "node", "left").withColumn("own", own).join(joined, "own", "left")
     return every.where("component is not null or into is not null").select(F.col("node").alias("id"), F.coalesce("into", "own").alias("component"))
@@ -375,14 +416,9 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                hit = [float(np.dot(x, y)) >= threshold for x, y in zip(map(_unit_of, batch.column(2)), map(_unit_of, batch.column(3)))]
+                hit = [float(np.dot(*unit([x, y], dim))) >= threshold for dim, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
                 yield batch.select([0, 1]).filter(pa.array(hit, pa.bool_()))
 
     ends = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = ends.join(nodes.select(F.col("node").alias("a"), F.col("vec").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("vec").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def _unit_of(x: pa.Scalar) -> np.ndarray:
-    x = np.frombuffer(x.as_py(), np.float64)
-    return x / np.sqrt((x * x).sum())
+    both = ends.join(nodes.select(F.col("node").alias("a"), "dim", F.col("vec").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("vec").alias("y")), "b")
+    return both.select("a", "b", "dim", "x", "y").mapInArrow(run, "a long, b long")

@@ -31,11 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, connected_components, cut, mixed, prepare, small, word_hashes
+from .common import WordHashes, connected_components, cut, dealt_blocks, mixed, prepare, small, word_hashes
 
 CHUNKS, CHUNK_SIZE = 12, 7
-#: A member weighs 1, or more if it has over SHINGLES shingles. Blocks weigh LEAST or more; MOST, about, if there are over BLOCKS of a unit.
-SHINGLES, LEAST, BLOCKS, MOST = 256, 64, 24, 1024
 
 
 def shingles(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
@@ -149,28 +147,6 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return docs.join(small(ids.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(run, "rep long, shingles binary")
 
 
-def dealt_blocks(members: DataFrame) -> DataFrame:
-    """(task, side, rep, label): ``members`` (unit, rep, label, n) dealt into tasks of two blocks each, or of one with itself.
-
-    A label with the weight of a block has blocks of its own; the rest of a unit
-    shares blocks. Two blocks of one label make no task.
-    """
-    weight = F.greatest(F.lit(1.0), F.col("n") / SHINGLES)
-    of_label = cut(members.groupBy("unit", "label").agg(F.sum(weight).alias("w")))
-    of_unit = of_label.groupBy("unit").agg(F.sum("w").alias("all"), F.count("*").alias("labels")).where("labels > 1")
-    blocks = F.greatest(F.least(F.ceil(F.col("all") / LEAST), F.lit(BLOCKS)), F.ceil(F.col("all") / MOST))
-    of_label = of_label.join(of_unit.select("unit", (F.col("all") / blocks).alias("per")), "unit").withColumn("own", F.col("w") >= F.col("per"))
-    pooled = of_label.where("not own").groupBy("unit").agg(F.sum("w").alias("pool"))
-    of_label = of_label.join(pooled, "unit", "left").withColumn("parts", F.ceil(F.when(F.col("own"), F.col("w")).otherwise(F.col("pool")) / F.col("per")))
-    of_label = cut(of_label.select("unit", "label", F.when(F.col("own"), F.col("label")).alias("owner"), "parts"))
-    placed = members.join(small(of_label), ["unit", "label"]).withColumn("block", F.xxhash64(F.coalesce("owner", F.lit(-1)), F.col("owner").isNull(), F.pmod(F.xxhash64("rep"), F.col("parts"))))
-    placed = cut(placed.select("unit", "block", "owner", "rep", "label"))
-    one = placed.select("unit", "block", "owner").distinct()
-    tasks = one.join(one.select("unit", F.col("block").alias("other"), F.col("owner").alias("of_other")), "unit").where("block <= other and not coalesce(owner = of_other, false)")
-    sides = tasks.withColumn("task", F.xxhash64("unit", "block", "other")).select("unit", "task", F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
-    return placed.join(sides, ["unit", "block"]).select("task", F.col("block").alias("side"), "rep", "label")
-
-
 def links_between(members: DataFrame, docs: DataFrame, width: int, similarity: int, chunks: int, chunk_size: int) -> DataFrame:
     """Links (a, b) that join labels within the units of ``members`` (unit, rep, label, n), of pairs that share a key.
 

@@ -195,7 +195,7 @@ def test_blocks_hold_every_pair_of_labels_once(spark):
     members = [(u, i, label, n) for u, size in ((1, 900), (2, 5), (3, 40)) for i in range(size) for label, n in [(7 if rng.random() < 0.8 else 100 + rng.randrange(60), rng.choice((1, 90, 3000)))]]
     members += [(4, i, 3, 1) for i in range(50)]  # one label only
     tasks = defaultdict(list)
-    for r in near_dup.dealt_blocks(spark.createDataFrame(members, "unit long, rep long, label long, n long")).collect():
+    for r in common.dealt_blocks(spark.createDataFrame(members, "unit long, rep long, label long, n long")).collect():
         tasks[r.task].append((r.side, r.rep, r.label))
     label = {(u, i): x for u, i, x, _ in members}
     want = {(i, j) for u in (1, 2, 3) for (v, i), x in label.items() for (w, j), y in label.items() if u == v == w and i < j and x != y}
@@ -320,8 +320,42 @@ def test_embedding_pairs_that_lists_miss(spark):
         x = rng.normal(size=64)
         rows += [(len(rows), x.tolist(), 1), (len(rows) + 1, (x + rng.normal(size=64) * 0.35).tolist(), 1)]
     rows += [(len(rows) + i, (hot + rng.normal(size=64) * 0.1).tolist(), 1) for i in range(300)]
-    got = embedding_dup.embedding_duplicates(embedding_rows(spark, rows), trees=1, leaf=16, rounds=1)
-    assert Counter(map(tuple, got.collect())) == brute_embeddings(rows)
+    recall = []
+    got = embedding_dup.embedding_duplicates(embedding_rows(spark, rows), trees=1, leaf=16, report=recall.append)
+    got, want = (Counter({r: n for r, n in x.items()}) for x in (Counter(map(tuple, got.collect())), brute_embeddings(rows)))
+    assert recall[0] >= embedding_dup.AUDIT_RECALL
+    linked = sum(n for r, n in want.items() if r[1])
+    assert sum((want - got).values()) <= 0.03 * linked
+
+
+def test_embeddings_of_finite_extremes(spark):
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=8)
+    rows = [(i, (x * s).tolist(), 1) for i, s in enumerate((1e200, 1e200, 1e-200, 3.0, 1e-308, 1e300, -1e300))]
+    rows.append((7, [1e300, 1e-300], 2))
+    rows.append((8, [1e-300, 0.0], 2))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dup.embedding_duplicates(embedding_rows(spark, rows)).collect()}
+    assert got == {**{i: (5, 0) for i in range(6)}, 6: (0, 6), 7: (1, 7), 8: (1, 7)}
+
+
+def test_recall_of_many_embeddings(spark):
+    rng = np.random.default_rng(24)
+    rows = []
+    for _ in range(5000):  # pairs by themselves, which no cluster helps to find
+        x, label = rng.normal(size=64), int(rng.integers(2))
+        rows += [(len(rows), x.tolist(), label), (len(rows) + 1, (x + rng.normal(size=64) * rng.uniform(0.1, 0.36)).tolist(), label)]
+    for n in (3, 30, 400, 2000):
+        x, label = rng.normal(size=64), int(rng.integers(2))
+        rows += [(len(rows) + i, (x + rng.normal(size=64) * 0.25).tolist(), label) for i in range(n)]
+    rows += [(len(rows) + i, rng.normal(size=64).tolist(), i % 2) for i in range(20_000 - len(rows))]
+    recall = []
+    got = {r.vec_id: r for r in embedding_dup.embedding_duplicates(embedding_rows(spark, rows), report=recall.append).collect()}
+    want = {r[0]: r for r in brute_embeddings(rows)}
+    assert len(got) == 20_000 and recall[0] >= embedding_dup.AUDIT_RECALL
+    links = sum(r[1] for r in want.values())
+    assert 0.99 * links <= sum(r.n_links for r in got.values()) <= links
+    assert sum(got[v].n_links == r[1] for v, r in want.items() if r[1]) >= 0.99 * sum(1 for r in want.values() if r[1])
+    assert sum(got[v].component_id == r[2] for v, r in want.items()) >= 0.99 * len(want)
 
 
 # toxicity
