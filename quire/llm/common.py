@@ -142,7 +142,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 #: A member weighs 1, or more if its n, the length of a set, is over SHINGLES. Blocks weigh LEAST or more; MOST, about, if there are over BLOCKS of a unit.
-SHINGLES, LEAST, BLOCKS, MOST = 256, 64, 24, 1024
+SHINGLES, LEAST, BLOCKS, MOST = 256, 64, 16, 1024
 
 
 def dealt_blocks(members: DataFrame) -> DataFrame:
@@ -155,9 +155,10 @@ def dealt_blocks(members: DataFrame) -> DataFrame:
     of_label = cut(members.groupBy("unit", "label").agg(F.sum(weight).alias("w")))
     of_unit = of_label.groupBy("unit").agg(F.sum("w").alias("all"), F.count("*").alias("labels")).where("labels > 1")
     blocks = F.greatest(F.least(F.ceil(F.col("all") / LEAST), F.lit(BLOCKS)), F.ceil(F.col("all") / MOST))
-    of_label = of_label.join(of_unit.select("unit", (F.col("all") / blocks).alias("per")), "unit").withColumn("own", F.col("w") >= F.col("per"))
+    of_unit = cut(of_unit.select("unit", (F.col("all") / blocks).alias("per")))
+    of_label = of_label.join(small(of_unit), "unit").withColumn("own", F.col("w") >= F.col("per"))
     pooled = of_label.where("not own").groupBy("unit").agg(F.sum("w").alias("pool"))
-    of_label = of_label.join(pooled, "unit", "left").withColumn("parts", F.ceil(F.when(F.col("own"), F.col("w")).otherwise(F.col("pool")) / F.col("per")))
+    of_label = of_label.join(small(cut(pooled)), "unit", "left").withColumn("parts", F.ceil(F.when(F.col("own"), F.col("w")).otherwise(F.col("pool")) / F.col("per")))
     of_label = cut(of_label.select("unit", "label", F.when(F.col("own"), F.col("label")).alias("owner"), "parts"))
     placed = members.join(small(of_label), ["unit", "label"]).withColumn("block", F.xxhash64(F.coalesce("owner", F.lit(-1)), F.col("owner").isNull(), F.pmod(F.xxhash64("rep"), F.col("parts"))))
     placed = cut(placed.select("unit", "block", "owner", "rep", "label"))

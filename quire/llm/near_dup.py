@@ -258,12 +258,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, chunk
     same = some.groupBy("fp", "doc_id").agg(F.lit(1).alias("_")).join(reps.select("fp", "rep"), "fp").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
     index = index_keys(reps, chunks, chunk_size)
-    low = index.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("first"), F.max("rep").alias("last"), F.count("*").alias("size")).where("first.rep <> last")
-    low = cut(low.select("key", F.col("first.rep").alias("first"), F.col("first.n").alias("first_n"), "size"))
+    low = cut(index.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("size")).where("size > 1"))
     met = cut(index.join(small(low), "key"))
-    # sizes further apart than the similarity allows can't link
-    near_size = f"100 * least(n, first_n) >= {similarity} * greatest(n, first_n)"
-    stars = cut(met.where("first <> rep").where(near_size).select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
+    stars = cut(met.where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
     links = cut(confirmed(stars, docs, width, similarity))
 
     # a key of two is settled by its star; larger ones may hold several parts still
