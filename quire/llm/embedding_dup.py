@@ -12,8 +12,8 @@ from sampled ones, in a random direction, which no cluster helps to find. While
 too few of them are found the number of trees is doubled; once that many leaves
 cost as much as comparing all vectors of a label, these are compared.
 
-A list whose last entry is still a link is saturated. It is enlarged twice and
-joined again; vectors whose lists are saturated even then are compared with each
+A list whose last entry is still a link is saturated. It is enlarged twice, from
+the leaves and by rounds; vectors whose lists are saturated even then are compared with each
 other, block by block, for links between components, which join those. A link
 that neither end lists has saturated lists at both ends, so none is lost there.
 Then links are counted over whole components, and only counts leave a block; so a
@@ -264,19 +264,19 @@ def descended(lists: DataFrame, sketches: DataFrame, k: int, from_sim: float, wi
         lists = stored(best_lists(lists.withColumn("old", F.lit(True)).unionByName(made), k, wide, most))
 
 
-def saturated(lists: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(src) of lists with k entries that all may be links."""
-    return lists.groupBy("src").agg(F.count("*").alias("n"), F.min("sim").alias("low")).where((F.col("n") >= k) & (F.col("low") >= threshold - MARGIN)).select("src")
+def saturated(lists: DataFrame, threshold: float) -> DataFrame:
+    """(src) of lists whose entries all may be links, so that more may lie beyond, or elsewhere if the list is short."""
+    return lists.groupBy("src").agg(F.min("sim").alias("low")).where(F.col("low") >= threshold - MARGIN).select("src")
 
 
-def planted_recall(sketches: DataFrame, lists: DataFrame, k: int, threshold: float) -> float:
+def planted_recall(sketches: DataFrame, lists: DataFrame, threshold: float) -> float:
     """The share of planted partners that are found: a list of either end has the other; 1 without any.
 
     Pairs with a saturated list are left out: in a cluster others are nearer, and
     such vectors are compared with each other later.
     """
     partner = F.greatest("node", -F.col("node") - 1).alias("node")
-    full = saturated(lists, k, threshold).select(F.col("src").alias("node")).select(partner).distinct()
+    full = saturated(lists, threshold).select(F.col("src").alias("node")).select(partner).distinct()
     planted = sketches.where("node < 0").select(partner).join(full, "node", "left_anti")
     found = lists.where("src = - dst - 1").select(F.greatest("src", "dst").alias("node")).distinct().withColumn("found", F.lit(1))
     return planted.join(found, "node", "left").agg(F.avg(F.coalesce("found", F.lit(0)))).first()[0] or (1.0 if planted.isEmpty() else 0.0)
@@ -291,20 +291,22 @@ def neighbour_lists(nodes: DataFrame, threshold: float, k: int, trees: int, leaf
         made = leaf_lists(sketches, k, done, new, leaf).withColumn("old", F.lit(False))
         lists = descended(stored(best_lists(made if lists is None else lists.unionByName(made), k)), sketches, k, from_sim)
         done += new
-        recall = planted_recall(sketches, lists, k, threshold)
+        recall = planted_recall(sketches, lists, threshold)
         if recall >= AUDIT_RECALL or done * leaf >= largest:
             break
         new = done
     real = stored(lists.where("src >= 0 and dst >= 0"))
     if recall < AUDIT_RECALL:
         return real, nodes.select(F.col("node").alias("src")), recall
+    sketches = sketches.where("node >= 0")
     for most in (2 * k, 4 * k):
-        wide = cut(saturated(real, most // 2, threshold))
+        wide = cut(saturated(real, threshold))
         if wide.isEmpty():
             break
-        again = real.join(small(wide.withColumn("again", F.lit(True))), "src", "left").select("src", "dst", "sim", F.col("again").isNull().alias("old"))
-        real = descended(stored(again), sketches.where("node >= 0"), k, from_sim, wide, most)
-    return real, saturated(real, 4 * k, threshold), recall
+        # longer lists from the leaves as well: what a full list left out there no neighbour need know
+        made = leaf_lists(sketches, most, 0, done, leaf).join(small(wide), "src", "left_semi").withColumn("old", F.lit(False))
+        real = descended(stored(best_lists(real.unionByName(made), k, wide, most)), sketches, k, from_sim, wide, most)
+    return real, saturated(real, threshold), recall
 
 
 def links_across(members: DataFrame, threshold: float) -> DataFrame:
