@@ -56,6 +56,12 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as no column of ``df`` has."""
+    longest = max((len(c) - len(c.lstrip("_")) for c in df.columns), default=0)
+    return ["_" * (longest + 1) + n for n in names]
+
+
 #: Longer keys aren't remembered.
 LONGEST_KEY = 100
 

@@ -1,15 +1,21 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
 A line goes down a tree of fixed depth: its number of tokens, then its leading
-tokens, where a token with a digit reads as a field ``<*>``. Below, a leaf holds
-templates: the rest of the line as it stands, or with one of its three segments
-generalised to a field. A template that enough distinct texts share recurs, and
-its lines are dropped from every document. All counts are over all documents.
-
-Copies, documents that share lines with COPY of the longer one's words, count once towards
-a template, so that a group of copies, which near-duplicate removal settles,
-keeps its lines. To count a template's texts, the first one and its copies are
-taken away, then the next; what is left after all but one decides.
+tokens, where a token with a digit reads as a field ``<*>``. In the leaf that it
+reaches, its tokens are taken in at most SEGMENTS segments (single tokens for
+short lines), each by its place. A segment that MIN_DOCS distinct texts have in
+that leaf is constant, any other one generalises to a field; lines of one leaf
+with the same constants are one template. A second tree takes the last tokens
+for the leading ones, so that fields at a line's start generalise as well.
+
+A template must keep half of its line's tokens. One that enough distinct texts
+share recurs, and its lines are dropped from every document. All counts are over
+all documents.
+
+Copies, documents that share lines with COPY of the longer one's words, count once
+towards a template, so that a group of copies, which near-duplicate removal
+settles, keeps its lines. To count a template's texts, the first one and its
+copies are taken away, then the next; what is left after all but one decides.
 
 A run of lines with LONG constant tokens or more, one long line or several short
 ones, is dropped from two texts on that aren't copies. Lines of one constant
@@ -21,47 +27,72 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, small
+from .common import cut, prepare, small, stored, unused
 
-#: Distinct texts that make a template recur; leading tokens of a tree path; fewest constant tokens of a template; fewest tokens of a line that is generalised; share of the longer text's words in shared lines that makes a copy.
-MIN_DOCS, LEAD, MIN_CONSTANT, GENERAL_FROM, COPY = 3, 3, 2, 9, 0.8
+#: Distinct texts that make a template recur; tokens of a tree path, at most half of a line's; segments of a line; fewest constant tokens of a template; share of the longer text's words in shared lines that makes a copy.
+MIN_DOCS, LEAD, SEGMENTS, MIN_CONSTANT, COPY = 3, 3, 8, 2, 0.8
 #: Constant tokens of a run of lines that two texts make recur.
 LONG = 50
 
 
 def _fingerprint(text: Column) -> Column:
-    return F.struct(F.xxhash64(text).alias("h"), F.xxhash64(F.lit("second"), text).alias("g"))
+    """120 bits of an MD5, equal in every engine."""
+    half = lambda at: F.conv(F.substring(F.md5(text), at, 15), 16, 10).cast("long")
+    return F.struct(half(1).alias("h"), half(16).alias("g"))
+
 
+def line_segments(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(fp, line, n, per, constant, whole, head, tail, segments) for each line that has a word.
 
-def line_templates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(fp, line, n, constant, whole, templates): each line that has a word, its constant tokens, its hash, the templates that it fits as hashes of tree path and rest; none with too few constants."""
+    ``n`` tokens, ``constant`` of them without a digit, ``per`` tokens a segment;
+    hashes of the whole line, of its paths in both trees and of its segments.
+    """
     line = F.col("l")
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")).otherwise(line)
     spaced = F.col("m")
     for c in "\t\r\v\f":
         spaced = F.replace(spaced, F.lit(c), F.lit(" "))
-    rows = docs.select(_fingerprint(F.col(text_col)).alias("fp"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "l"))
+    rows = docs.select(_fingerprint(F.col(text_col)).alias("fp"), F.col(text_col).alias("text"))
+    rows = rows.select("fp", F.posexplode(F.split("text", "\n")).alias("line", "l"))
     # a generator's output is computed once; a projection's would be computed again for each use
     rows = rows.select("fp", "line", F.explode(F.array(masked)).alias("m"))
     rows = rows.select("fp", "line", "m", F.explode(F.array(F.array_remove(F.split(spaced, " "), ""))).alias("t"))
     rows = rows.withColumn("n", F.size("t")).where("n > 0")
     fields = (F.length("m") - F.length(F.replace(F.col("m"), F.lit("<*>"), F.lit("")))) / 3
-    rows = rows.withColumn("constant", (F.col("n") - fields).cast("int"))
-    rest, third, two = F.col("n") - LEAD, F.floor((F.col("n") - LEAD) / 3).cast("int"), F.floor((F.col("n") - LEAD) * 2 / 3).cast("int")
-    lead = F.slice("t", 1, LEAD)
-
-    def piece(start: Column | int, end: Column) -> Column:
-        """Tokens start + 1 to end of those after the leading ones."""
-        return F.slice("t", F.lit(LEAD + 1) + start, end - start)
-
-    general = F.array(
-        F.xxhash64(F.lit(1), "n", lead, piece(third, rest)),
-        F.xxhash64(F.lit(2), "n", lead, piece(F.lit(0), third), piece(two, rest)),
-        F.xxhash64(F.lit(3), "n", lead, piece(F.lit(0), two)),
-    )
-    whole = F.array(F.xxhash64(F.lit(0), "n", "t"))
-    templates = F.when(F.col("constant") < MIN_CONSTANT, F.array().cast("array<bigint>")).when(F.col("n") >= GENERAL_FROM, F.concat(whole, general)).otherwise(whole)
-    return rows.select("fp", "line", "n", "constant", whole[0].alias("whole"), templates.alias("templates"))
+    rows = rows.withColumn("constant", (F.col("n") - fields).cast("int")).withColumn("per", F.ceil(F.col("n") / SEGMENTS).cast("int"))
+    lead = F.least(F.lit(LEAD), F.floor((F.col("n") + 1) / 2)).cast("int")
+    segment = lambda i: F.when(i * F.col("per") < F.col("n"), F.xxhash64(F.lit(i), F.slice("t", i * F.col("per") + 1, F.col("per"))))
+    return rows.select(
+        "fp", "line", "n", "per", "constant",
+        F.xxhash64(F.lit(0), "n", "t").alias("whole"),
+        F.xxhash64(F.lit(1), "n", F.slice("t", 1, lead)).alias("head"),
+        F.xxhash64(F.lit(2), "n", F.slice("t", F.col("n") - lead + 1, lead)).alias("tail"),
+        F.array(*map(segment, range(SEGMENTS))).alias("segments"),
+    )
+
+
+def _several(rows: DataFrame, key: str) -> DataFrame:
+    """The values of ``key`` that two texts or more have; combined where the rows lie."""
+    return rows.groupBy(key).agg(F.min("fp.h").alias("low"), F.max("fp.h").alias("high")).where("low <> high").select(key)
+
+
+def line_templates(lines: DataFrame, min_docs: int) -> DataFrame:
+    """(template, fp, line, n): lines with the templates that they fit; templates of whole lines that two texts have, and of generalised ones."""
+    lines = lines.where(F.col("constant") >= MIN_CONSTANT)
+    whole = lines.select("fp", "line", "n", F.col("whole").alias("template"))
+    whole = whole.join(small(cut(_several(whole, "template"))), "template").select("template", "fp", "line", "n")
+    leaves = lines.select("fp", "line", "n", "per", "constant", "segments", F.explode(F.array("head", "tail")).alias("leaf"))
+    shared = cut(_several(lines.select("fp", F.explode(F.array("head", "tail")).alias("leaf")), "leaf"))
+    leaves = stored(leaves.join(small(shared), "leaf"))
+    parts = leaves.select("*", F.posexplode("segments").alias("i", "segment")).where("segment is not null").withColumn("key", F.xxhash64("leaf", "segment"))
+    several = small(cut(_several(parts.select("key", "fp"), "key")))
+    fixed = cut(parts.select("key", "fp").join(several, "key").groupBy("key").agg(F.count_distinct("fp").alias("d")).where(F.col("d") >= min_docs).select("key"))
+    found = parts.join(small(fixed), "key").groupBy("fp", "line", "n", "per", "constant", "leaf").agg(F.sort_array(F.collect_set(F.struct("i", "key"))).alias("fixed"))
+    last = F.ceil(F.col("n") / F.col("per")) - 1  # the last segment may be shorter
+    kept = F.size("fixed") * F.col("per") - F.when(F.element_at("fixed", -1)["i"] == last, (last + 1) * F.col("per") - F.col("n")).otherwise(0)
+    # lines without a field are templates as whole lines
+    found = found.withColumn("kept", kept).where("kept < n and 2 * kept >= n").where(F.col("constant") - (F.col("n") - F.col("kept")) >= MIN_CONSTANT)
+    return whole.unionByName(found.select(F.xxhash64("leaf", "fixed.key").alias("template"), "fp", "line", "n")).distinct()
 
 
 def runs(lines: DataFrame) -> DataFrame:
@@ -77,12 +108,12 @@ def runs(lines: DataFrame) -> DataFrame:
 def recurring_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """(fp, drop): for each text with recurring lines, their numbers from 0."""
     prepare(docs.sparkSession)
-    lines = cut(line_templates(docs.where(F.col(text_col).isNotNull()), text_col))
-    rows = lines.select("fp", "line", "n", F.explode("templates").alias("template"))
-    shared = cut(rows.groupBy("template").agg(F.count_distinct("fp").alias("d")).where("d >= 2"))
+    lines = stored(line_segments(docs.where(F.col(text_col).isNotNull()), text_col))
+    made = cut(line_templates(lines, min_docs))
+    shared = cut(made.groupBy("template").agg(F.count_distinct("fp").alias("d")).where("d >= 2"))
+    hits = cut(made.join(small(shared), "template"))
     # documents of one text have each of its lines several times: count each once
-    hits = cut(rows.join(small(shared), "template").distinct())
-    size = lines.where(F.size("templates") > 0).groupBy("fp", "line").agg(F.first("n").alias("n")).groupBy("fp").agg(F.sum("n").alias("words"))
+    size = lines.where(F.col("constant") >= MIN_CONSTANT).groupBy("fp", "line").agg(F.first("n").alias("n")).groupBy("fp").agg(F.sum("n").alias("words"))
     again = hits.groupBy("fp", "line").agg(F.first("n").alias("n")).groupBy("fp").agg(F.sum("n").alias("again"))
     # a copy has most of its words in lines that others have
     like = cut(again.join(size, "fp").where(F.col("again") >= COPY * F.col("words")).select("fp", "words"))
@@ -90,9 +121,10 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN
     for _ in range(min_docs - 1):
         left = without_first(left, hits, like)
     dropped = hits.join(small(cut(left.select("template").distinct())), "template").select("fp", "line")
-    long = cut(runs(lines))
-    twice = cut(long.groupBy("template").agg(F.count_distinct("fp").alias("d")).where("d >= 2").select("template"))
-    long = cut(long.join(small(twice), "template"))
+    # lines of a run that recurs recur themselves, so texts without such lines have none
+    in_two = lines.where("constant > 0").join(small(cut(_several(lines.where("constant > 0").select("fp", "whole"), "whole"))), "whole", "left_semi")
+    long = cut(runs(lines.join(small(cut(in_two.select("fp").distinct())), "fp", "left_semi")))
+    long = cut(long.join(small(cut(_several(long, "template"))), "template"))
     left = without_first(long.select("template", "fp").distinct(), hits, like)
     dropped = dropped.unionByName(long.join(small(cut(left.select("template").distinct())), "template").select("fp", F.explode("run").alias("line"))).distinct()
     return dropped.groupBy("fp").agg(F.collect_list("line").alias("drop"))
@@ -115,11 +147,15 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", min_docs: int
     """``docs`` with recurring lines taken out of the text; all rows and columns stay.
 
     Documents of equal text get equal results. A null text stays null; a text
-    all of whose lines recur becomes empty; lines without words stay. Repeated
-    rows count once, as one text. An empty table stays empty.
+    all of whose lines recur becomes empty; lines without words stay. Texts are
+    read whole, however long. Repeated rows count once, as one text. An empty
+    table stays empty. Columns of any name pass through.
     """
-    drops = recurring_lines(docs, text_col, min_docs).select(F.col("fp.h").alias("_line_dedup_h"), F.col("fp.g").alias("_line_dedup_g"), F.col("drop").alias("_line_dedup_drop"))
+    h, g, drop, lines = unused(docs, "h", "g", "drop", "lines")
+    drops = recurring_lines(docs, text_col, min_docs).select(F.col("fp.h").alias(h), F.col("fp.g").alias(g), F.col("drop").alias(drop))
     fp = _fingerprint(F.col(text_col))
-    left = docs.withColumn("_line_dedup_h", fp["h"]).withColumn("_line_dedup_g", fp["g"]).join(drops, ["_line_dedup_h", "_line_dedup_g"], "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("_line_dedup_drop", i)), "\n")
-    return left.select(*[F.when(F.col("_line_dedup_drop").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    left = docs.withColumn(h, fp["h"]).withColumn(g, fp["g"]).join(drops, [h, g], "left")
+    split = F.when(F.col(drop).isNotNull(), F.split(F.col(text_col), "\n"))
+    left = left.select("*", F.explode(F.array(split)).alias(lines))
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop)), lambda i: F.get(F.col(lines), i)), "\n")
+    return left.select(*[F.when(F.col(drop).isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -198,26 +198,46 @@ hits AS (SELECT r, arg_max(h || p, length(h || p) * 1000 + length(h)) AS rule, a
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN hits USING (r)
 """
 
-SQL["op8_line_dedup"] = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-texts AS (SELECT min(r) AS fp, text FROM d WHERE text IS NOT NULL GROUP BY text),
+
+
+def _without_first(left: str, out: str) -> str:
+    return f"""
+{out}_first AS (SELECT k, min(fp) AS first FROM {left} GROUP BY k),
+{out}_rest AS (SELECT k, fp, first FROM {left} JOIN {out}_first USING (k) WHERE fp <> first),
+{out}_pairs AS (SELECT DISTINCT r.fp, r.first, x.words, y.words AS of_first FROM {out}_rest r JOIN alike x ON x.fp = r.fp JOIN alike y ON y.fp = r.first
+  WHERE least(x.words, y.words) >= 0.8::DOUBLE * greatest(x.words, y.words)),
+{out}_common AS (SELECT DISTINCT p.fp, p.first, p.words, p.of_first, a.i, a.n FROM {out}_pairs p JOIN hits a ON a.fp = p.fp JOIN hits b ON b.fp = p.first AND b.k = a.k),
+{out}_copies AS (SELECT fp, first FROM {out}_common GROUP BY fp, first, words, of_first HAVING sum(n) >= 0.8::DOUBLE * greatest(words, of_first)),
+{out} AS (SELECT k, fp FROM {out}_rest ANTI JOIN {out}_copies USING (fp, first))"""
+
+
+SQL["op8_line_dedup"] = rf"""
+WITH d AS (SELECT doc_id, text, substr(md5(text), 1, 30) AS fp FROM documents),
+texts AS (SELECT DISTINCT fp, text FROM d WHERE text IS NOT NULL),
 l AS (SELECT fp, i, string_split(text, chr(10))[i] AS l FROM texts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
 m AS (SELECT fp, i, regexp_replace(l, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') AS m FROM l),
 t AS (SELECT fp, i, m, regexp_extract_all(m, '[^\x20\x09-\x0D]+') AS t FROM m),
-n AS (SELECT *, len(t) AS n, (len(t) - 3) // 3 AS a, (len(t) - 3) * 2 // 3 AS b FROM t
-      WHERE len(t) > 0 AND len(t) - (length(m) - length(replace(m, '<*>', ''))) / 3 >= 2),
-k AS (SELECT fp, i, n, unnest(CASE WHEN n >= 9 THEN [
-        concat_ws('|', '0', n, array_to_string(t, ' ')),
-        concat_ws('|', '1', n, array_to_string(t[1:3], ' '), array_to_string(t[4 + a : n], ' ')),
-        concat_ws('|', '2', n, array_to_string(t[1:3], ' '), array_to_string(t[4 : 3 + a], ' '), array_to_string(t[4 + b : n], ' ')),
-        concat_ws('|', '3', n, array_to_string(t[1:3], ' '), array_to_string(t[4 : 3 + b], ' '))]
-      ELSE [concat_ws('|', '0', n, array_to_string(t, ' '))] END) AS k FROM n),
-hits AS (SELECT * FROM k WHERE k IN (SELECT k FROM k GROUP BY k HAVING count(DISTINCT fp) >= 3)),
-copies AS (SELECT fp FROM (SELECT fp, sum(n) AS words FROM (SELECT DISTINCT fp, i, n FROM hits) GROUP BY fp)
-           JOIN (SELECT fp, sum(n) AS all_words FROM n GROUP BY fp) USING (fp) WHERE words > 0.6 * all_words),
-recurs AS (SELECT k FROM hits WHERE fp NOT IN (SELECT fp FROM copies) GROUP BY k HAVING count(DISTINCT fp) >= 3),
-gone AS (SELECT fp, list(DISTINCT i) AS gone FROM hits WHERE k IN (SELECT k FROM recurs) GROUP BY fp)
+n AS (SELECT fp, i, t, len(t) AS n, (len(t) + 7) // 8 AS per, least(3, (len(t) + 1) // 2) AS lead,
+             len(t) - (length(m) - length(replace(m, '<*>', ''))) // 3 AS constant, array_to_string(t, ' ') AS whole FROM t WHERE len(t) > 0),
+e AS (SELECT * FROM n WHERE constant >= 2),
+leaf AS (SELECT fp, i, t, n, per, constant, unnest([concat_ws('|', 'h', n, array_to_string(t[1 : lead], ' ')), concat_ws('|', 't', n, array_to_string(t[n - lead + 1 : n], ' '))]) AS leaf FROM e),
+part AS (SELECT fp, i, n, per, constant, leaf, s, concat_ws('|', leaf, s, array_to_string(t[s * per + 1 : least(n, (s + 1) * per)], ' ')) AS k FROM leaf, unnest(range(0, (n + per - 1) // per)) AS u(s)),
+fixed AS (SELECT k FROM part GROUP BY k HAVING count(DISTINCT fp) >= 3),
+found AS (SELECT fp, i, n, constant, string_agg(k, '#' ORDER BY s) AS k, sum(least(n, (s + 1) * per) - s * per) AS kept FROM part SEMI JOIN fixed USING (k) GROUP BY fp, i, n, constant, leaf),
+made AS (SELECT n || ' ' || whole AS k, fp, i, n FROM e
+  UNION ALL SELECT k, fp, i, n FROM found WHERE kept < n AND 2 * kept >= n AND constant - (n - kept) >= 2),
+shared AS (SELECT k, count(DISTINCT fp) AS d FROM made GROUP BY k HAVING count(DISTINCT fp) >= 2),
+hits AS (SELECT k, fp, i, n, d FROM made JOIN shared USING (k)),
+alike AS (SELECT fp, words FROM (SELECT fp, sum(n) AS again FROM (SELECT DISTINCT fp, i, n FROM hits) GROUP BY fp)
+  JOIN (SELECT fp, sum(n) AS words FROM e GROUP BY fp) USING (fp) WHERE again >= 0.8::DOUBLE * words),
+three AS (SELECT DISTINCT k, fp FROM hits WHERE d >= 3),{_without_first("three", "two")},{_without_first("two", "one")},
+starts AS (SELECT fp, i, constant, whole, sum(constant) OVER (PARTITION BY fp ORDER BY i) - constant AS start FROM n WHERE constant > 0),
+run AS (SELECT fp, sum(constant) OVER w AS tokens, list(whole) OVER w AS k, list(i) OVER w AS run FROM starts WINDOW w AS (PARTITION BY fp ORDER BY start RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+long AS (SELECT fp, k, run FROM run WHERE tokens >= 50),
+pairwise AS (SELECT DISTINCT k, fp FROM long WHERE k IN (SELECT k FROM long GROUP BY k HAVING count(DISTINCT fp) >= 2)),{_without_first("pairwise", "beyond")},
+gone AS (SELECT fp, list(DISTINCT i) AS gone FROM (
+  SELECT fp, i FROM hits SEMI JOIN one USING (k) UNION ALL SELECT fp, unnest(run) FROM long SEMI JOIN beyond USING (k)) GROUP BY fp)
 SELECT doc_id, len(string_split(d.text, chr(10)))::BIGINT AS n_lines,
        CASE WHEN gone IS NULL THEN d.text ELSE array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: NOT list_contains(gone, i)), chr(10)) END AS text
-FROM d LEFT JOIN texts USING (text) LEFT JOIN gone USING (fp)
+FROM d LEFT JOIN gone USING (fp)
 """
