@@ -42,12 +42,13 @@ def stored(df: DataFrame) -> DataFrame:
 
     For loops: a checkpoint hands on what is known of its plan's partitioning and
     order, which each round of joins and renamed columns multiplies until planning
-    takes minutes; a table starts anew.
+    takes minutes; a table starts anew. Its size is known as well, so that joins
+    broadcast it if it is small. The codec needs no memory outside the heap.
     """
     spark = df.sparkSession
     prepare(spark)
     place = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(place)
+    df.write.option("compression", "zstd").parquet(place)
     return spark.read.schema(df.schema).parquet(place)
 
 
@@ -126,8 +127,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
     def with_low(x: DataFrame, low: DataFrame) -> DataFrame:
-        # few minima are broadcast; many are shuffled by themselves, so that adaptive joins can split a hub
-        return x.join(small(stored(low)), "u")
+        # a table's size is known: few minima are broadcast; many are shuffled by themselves, so that adaptive joins can split a hub
+        return x.join(stored(low), "u")
 
     def fingerprint(x: DataFrame) -> tuple:
         return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

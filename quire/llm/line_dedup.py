@@ -97,7 +97,7 @@ def line_templates(lines: DataFrame, min_docs: int) -> DataFrame:
 
 def runs(lines: DataFrame) -> DataFrame:
     """(fp, template, run): from each line on, the fewest lines with LONG constant tokens: a hash and their numbers."""
-    rows = lines.where("constant > 0").select("fp", "line", "constant", "whole").repartition("fp").dropDuplicates(["fp", "line"])
+    rows = lines.where("constant > 0").select("fp", "line", "constant", "whole").dropDuplicates(["fp", "line"])
     order = Window.partitionBy("fp").orderBy("line")
     rows = rows.withColumn("start", F.sum("constant").over(order) - F.col("constant"))
     ahead = Window.partitionBy("fp").orderBy("start").rangeBetween(0, LONG - 1)
@@ -152,7 +152,8 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", min_docs: int
     table stays empty. Columns of any name pass through.
     """
     h, g, drop, lines = unused(docs, "h", "g", "drop", "lines")
-    drops = recurring_lines(docs, text_col, min_docs).select(F.col("fp.h").alias(h), F.col("fp.g").alias(g), F.col("drop").alias(drop))
+    # a table's size is known: it is broadcast if it is small, else texts are shuffled
+    drops = stored(recurring_lines(docs, text_col, min_docs).select(F.col("fp.h").alias(h), F.col("fp.g").alias(g), F.col("drop").alias(drop)))
     fp = _fingerprint(F.col(text_col))
     left = docs.withColumn(h, fp["h"]).withColumn(g, fp["g"]).join(drops, [h, g], "left")
     split = F.when(F.col(drop).isNotNull(), F.split(F.col(text_col), "\n"))
