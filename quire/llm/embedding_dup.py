@@ -12,8 +12,8 @@ from sampled ones, in a random direction, which no cluster helps to find. While
 too few of them are found the number of trees is doubled; once that many leaves
 cost as much as comparing all vectors of a label, these are compared.
 
-A list whose last entry is still a link is saturated. It is enlarged twice, from
-the leaves and by rounds; vectors whose lists are saturated even then are compared with each
+A list whose last entry is still a link is saturated. It is enlarged WIDER times,
+from the leaves; vectors whose lists are saturated even then are compared with each
 other, block by block, for links between components, which join those. A link
 that neither end lists has saturated lists at both ends, so none is lost there.
 Then links are counted over whole components, and only counts leave a block; so a
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, cut, dealt_blocks, mixed, prepare, small, stored
 
-K, TREES, LEAF = 12, 4, 256
+K, TREES, LEAF, WIDER = 12, 4, 256, 3
 #: Bits of a tree's path; its first ones make a leaf, the next REFINED ones split a large leaf.
 PATH_BITS, REFINED = 40, 8
 #: Entries of a list that lie further than this below the threshold aren't joined; what half precision may take off a cosine.
@@ -44,7 +44,7 @@ REACH, MARGIN = 0.18, 2e-3
 #: Vectors that get a planted partner, about this many at any size, and the share of partners that must be found.
 AUDIT_ROWS, AUDIT_RECALL = 2000, 0.97
 #: Share of joined entries below which another round isn't worth while.
-SETTLED = 0.02
+SETTLED = 0.05
 #: Members of a part of a pivot's neighbours.
 AROUND = 512
 #: Members of a block of a component: 128, or more if that makes over 24 blocks, but 1024 at most.
@@ -213,34 +213,48 @@ def leaf_lists(sketches: DataFrame, k: int, first: int, many: int, leaf: int) ->
 
 
 def best_lists(edges: DataFrame, k: int, wide: DataFrame | None = None, most: int = 0) -> DataFrame:
-    """The k nearest of each src, each dst once; ``most`` for each of ``wide`` (src)."""
-    once = edges.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
+    """(src, dst, sim, old, floor): the k nearest of each src, ``most`` for each of ``wide`` (src); each dst once.
+
+    ``floor`` is what a new entry has to exceed: the last entry of a full list.
+    """
+    # one shuffle, by src, does for all that follows
+    once = edges.repartition("src").groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
+    room = F.lit(k)
     if wide is not None:
         once = once.join(small(wide.withColumn("most", F.lit(most))), "src", "left")
-    order = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
-    return once.withColumn("r", F.row_number().over(order)).where(F.col("r") <= (F.coalesce("most", F.lit(k)) if wide is not None else k)).select("src", "dst", "sim", "old")
+        room = F.coalesce("most", room)
+    own = Window.partitionBy("src")
+    ranked = once.withColumn("r", F.row_number().over(own.orderBy(F.desc("sim"), "dst"))).where(F.col("r") <= room)
+    floor = F.when(F.count("*").over(own) >= room, F.min("sim").over(own))
+    return ranked.withColumn("floor", floor).select("src", "dst", "sim", "old", "floor")
 
 
-def joined_neighbours(lists: DataFrame, sketches: DataFrame, k: int, from_sim: float) -> DataFrame:
+def joined_neighbours(lists: DataFrame, sketches: DataFrame, k: int, from_sim: float, to_sim: float) -> DataFrame:
     """Candidates from one round: pairs around a pivot of which one is new to it, above a list's last entry.
 
-    Only entries of ``from_sim`` or more are joined. The neighbours of a hub are
-    dealt into parts of about AROUND.
+    Only entries of ``from_sim`` or more are joined, and those of saturated lists
+    (all of ``to_sim`` or more) not any further, since these vectors are compared
+    with each other later. The neighbours of a hub are dealt into parts of about
+    AROUND.
     """
-    last = lists.groupBy("src").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-1.5)).cast("float").alias("floor"))
-    near = lists.where(F.col("sim") >= from_sim)
-    around = near.select(F.col("src").alias("pivot"), F.col("dst").alias("node"), "old").unionByName(near.select(F.col("dst").alias("pivot"), F.col("src").alias("node"), "old"))
-    around = around.groupBy("pivot", "node").agg(F.min("old").alias("old"))
-    parts = around.groupBy("pivot").agg(F.ceil(F.count("*") / AROUND).alias("parts"), F.bool_and("old").alias("known")).where("not known").select("pivot", "parts")
-    around = around.join(small(cut(parts)), "pivot").withColumn("task", F.xxhash64("pivot", F.pmod(F.xxhash64("node"), F.col("parts"))))
-    members = around.join(last.withColumnRenamed("src", "node"), "node", "left").join(sketches.select("node", "sketch"), "node")
+    near = lists.where((F.col("sim") >= from_sim) & (F.coalesce("floor", F.lit(-1.0)) < to_sim))
+    none = F.lit(None).cast("float").alias("floor")
+    around = near.select(F.col("src").alias("pivot"), F.col("dst").alias("node"), "old", none).unionByName(near.select(F.col("dst").alias("pivot"), F.col("src").alias("node"), "old", "floor"))
+    hubs = cut(around.groupBy("pivot").agg(F.ceil(F.count("*") / AROUND).alias("parts")).where("parts > 1"))
+    part = F.lit(0)
+    if not hubs.isEmpty():
+        around, part = around.join(small(hubs), "pivot", "left"), F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
+    members = around.withColumn("task", F.xxhash64("pivot", part)).join(sketches.select("node", "sketch"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make() -> Iterator[tuple]:
             for g in grouped(batches, 4 * AROUND):
-                old = np.asarray(g.column(3).to_numpy(zero_copy_only=False), bool)
-                if g.num_rows > 1 and not old.all():
-                    x, ids, floor = _halves(g.column(2)), np.asarray(g.column(1)), np.asarray(g.column(4))
+                # a node that is in the pivot's list and has it in its own comes twice, rows with a floor first
+                ids, at = np.unique(np.asarray(g.column(1)), return_index=True)
+                old = np.zeros(len(ids), bool)
+                np.logical_or.at(old, np.searchsorted(ids, np.asarray(g.column(1))), np.asarray(g.column(3).to_numpy(zero_copy_only=False), bool))
+                if len(ids) > 1 and not old.all():
+                    x, floor = _halves(g.column(2).take(pa.array(at))), np.asarray(g.column(4))[at]
                     s = x @ x.T
                     np.fill_diagonal(s, -2)
                     s[np.ix_(old, old)] = -2
@@ -251,17 +265,17 @@ def joined_neighbours(lists: DataFrame, sketches: DataFrame, k: int, from_sim: f
         yield from _gathered(make(), EDGE_KINDS, EDGE_NAMES)
 
     dealt = members.select("task", "node", "sketch", "old", F.coalesce("floor", F.lit(-1.5)).cast("float").alias("floor"))
-    return dealt.repartition("task").sortWithinPartitions("task", "node").mapInArrow(run, EDGE)
+    return dealt.repartition("task").sortWithinPartitions("task", "node", F.desc("floor")).mapInArrow(run, EDGE)
 
 
-def descended(lists: DataFrame, sketches: DataFrame, k: int, from_sim: float, wide: DataFrame | None = None, most: int = 0) -> DataFrame:
-    """``lists`` after rounds, until few entries of ``from_sim`` or more are new."""
+def descended(lists: DataFrame, sketches: DataFrame, k: int, from_sim: float, to_sim: float) -> DataFrame:
+    """``lists`` after rounds, until few of the entries that are joined are new."""
     while True:
-        new, near = lists.where(F.col("sim") >= from_sim).agg(F.count_if(~F.col("old")), F.count("*")).first()
+        new, near = lists.where((F.col("sim") >= from_sim) & (F.coalesce("floor", F.lit(-1.0)) < to_sim)).agg(F.count_if(~F.col("old")), F.count("*")).first()
         if new <= SETTLED * near:
             return lists
-        made = joined_neighbours(lists, sketches, max(k, most), from_sim).withColumn("old", F.lit(False))
-        lists = stored(best_lists(lists.withColumn("old", F.lit(True)).unionByName(made), k, wide, most))
+        made = joined_neighbours(lists, sketches, k, from_sim, to_sim).withColumn("old", F.lit(False))
+        lists = stored(best_lists(lists.drop("floor").withColumn("old", F.lit(True)).unionByName(made), k))
 
 
 def saturated(lists: DataFrame, threshold: float) -> DataFrame:
@@ -289,24 +303,24 @@ def neighbour_lists(nodes: DataFrame, threshold: float, k: int, trees: int, leaf
     from_sim, done, new, lists = threshold - REACH, 0, trees, None
     while True:
         made = leaf_lists(sketches, k, done, new, leaf).withColumn("old", F.lit(False))
-        lists = descended(stored(best_lists(made if lists is None else lists.unionByName(made), k)), sketches, k, from_sim)
+        lists = stored(best_lists(made if lists is None else lists.drop("floor").unionByName(made), k))
+        lists = descended(lists, sketches, k, from_sim, threshold - MARGIN)
         done += new
         recall = planted_recall(sketches, lists, threshold)
         if recall >= AUDIT_RECALL or done * leaf >= largest:
             break
         new = done
-    real = stored(lists.where("src >= 0 and dst >= 0"))
+    real = lists.where("src >= 0 and dst >= 0").drop("floor")
     if recall < AUDIT_RECALL:
         return real, nodes.select(F.col("node").alias("src")), recall
     sketches = sketches.where("node >= 0")
-    for most in (2 * k, 4 * k):
+    wide = cut(saturated(real, threshold))
+    if not wide.isEmpty():
+        # longer lists come from the leaves: what a full list left out there no neighbour need know
+        made = leaf_lists(sketches, WIDER * k, 0, done, leaf).join(small(wide), "src", "left_semi").withColumn("old", F.lit(False))
+        real = stored(best_lists(real.unionByName(made), k, wide, WIDER * k))
         wide = cut(saturated(real, threshold))
-        if wide.isEmpty():
-            break
-        # longer lists from the leaves as well: what a full list left out there no neighbour need know
-        made = leaf_lists(sketches, most, 0, done, leaf).join(small(wide), "src", "left_semi").withColumn("old", F.lit(False))
-        real = descended(stored(best_lists(real.unionByName(made), k, wide, most)), sketches, k, from_sim, wide, most)
-    return real, saturated(real, threshold), recall
+    return real, wide, recall
 
 
 def links_across(members: DataFrame, threshold: float) -> DataFrame:
@@ -391,7 +405,7 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = K
         report(recall)
     near = lists.where(F.col("sim") >= threshold - MARGIN).select(F.col("src").alias("a"), F.col("dst").alias("b"))
     component = cut(connected_components(_confirmed(near, nodes, threshold)))
-    component = cut(merged(nodes, cut(wanting.withColumnRenamed("src", "node")), component, threshold))
+    component = cut(merged(nodes, wanting.withColumnRenamed("src", "node"), component, threshold))
     counts = component_links(nodes, component, threshold)
     first = nodes.join(component.withColumnRenamed("id", "node"), "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
     placed = nodes.join(component.withColumnRenamed("id", "node"), "node", "left").join(first, "component", "left").join(counts, "node", "left")
