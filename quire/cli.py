@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import QuireError, StoreError
-from .operators import extract, fields, integrity, library, links, search, sections
+from .operators import extract, fields, integrity, library, links, search, sections, tree
 from .operators.changes import Changes
 from .operators.semantics import tag_edges
 from .plans.models import Field, Model, Registry
-from .plans.templates import load_yaml
+from .plans.templates import dump_yaml, load_yaml
 from .sources.catalog import Catalog
-from .sources.files import as_json, read_documents, read_text
+from .sources.files import as_json, read_documents, read_text, tracked_files, write_document
 
 
 def registry_of(ref: str) -> Registry:
@@ -35,9 +35,9 @@ def registry_of(ref: str) -> Registry:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="quire", description=__doc__)
-    p.add_argument("--catalog", default="catalog", help="folder of the catalog")
+    p.add_argument("--catalog", help="folder of the catalog; else the one in the nearest folder above that has any, else ./catalog")
     p.add_argument("--models", help="module:REGISTRY or a YAML file of models")
-    p.add_argument("--format", choices=("text", "json"), default="text")
+    p.add_argument("--format", choices=("text", "json", "yaml"), default="text")
     groups = p.add_subparsers(dest="group", required=True)
 
     def group(name: str) -> argparse._SubParsersAction:
@@ -54,6 +54,9 @@ def parser() -> argparse.ArgumentParser:
     for name in ("extract", "validate"):
         command(groups, name, "model", "file", **({"strict": flag} if name == "validate" else {}))
     command(groups, "render", "model", "data")
+    command(groups, "extract-template", "template", "file")
+    command(groups, "render-template", "template", "data")
+    command(groups, "help", "topic?")
     stores = group("stores")
     command(stores, "init", force=flag)
     command(stores, "add", "path", "name")
@@ -63,10 +66,12 @@ def parser() -> argparse.ArgumentParser:
     models = group("models")
     command(models, "add", "name")
     command(models, "show", "name?")
+    command(models, "update", "name", bump=flag)
     command(models, "edit", "name", template={"default": None}, add={"default": None}, remove={"default": None}, promote=flag)
+    command(models, "drafts")
     docs = group("docs")
     command(docs, "track", "model", "folder", force=flag)
-    command(docs, "create", "model", "name", "payload")
+    command(docs, "create", "model", "name", "payload", out={"default": None})
     command(docs, "update", "model", "name", "payload")
     command(docs, "untrack", "name")
     command(docs, "show", "name")
@@ -81,24 +86,49 @@ def parser() -> argparse.ArgumentParser:
     command(f, "clean", "model", "name", "field", dedupe=flag, drop_empty=flag)
     s = group("sections")
     command(s, "show", "name?")
-    command(s, "find", "term")
+    command(s, "find", "term", rebuild=flag, regex=flag)
     command(s, "fields", "name", "section?")
-    command(groups, "find", "term?", within={"choices": ("physical", "semantic", "both"), "default": "both"}, regex=flag, fuzzy=flag, type={"action": "append", "default": []}, select={"default": None}, where={"default": None})
+    command(groups, "find", "term?", within={"choices": ("physical", "semantic", "both"), "default": "both"}, regex=flag, fuzzy=flag, type={"action": "append", "default": []}, select={"default": None}, where={"default": None}, rebuild=flag, **{"global": flag})
     ast = group("ast")
     command(ast, "show", "name?")
     command(ast, "schema")
     for name in ("ls", "get", "glob"):
         command(groups, name, "address")
     command(groups, "raw-find", "address", where={"default": None})
+    legacy = group("legacy")
+    for name in ("ls", "get", "glob"):
+        command(legacy, name, "address")
+    command(legacy, "find", "address", where={"default": None})
+    command(legacy, "recover", "name", depth={"type": int, "default": 1}, links_only=flag, no_transclusions=flag)
+    command(legacy, "compose", "name")
     return p
 
 
+def find_catalog(start: str = ".") -> str:
+    """The folder ``catalog`` that is one, in ``start`` or the nearest folder above it; ``catalog`` if there is none."""
+    here = os.path.abspath(start)
+    while True:
+        if os.path.isfile(os.path.join(here, "catalog", "CURRENT")):
+            return os.path.join(here, "catalog")
+        if os.path.dirname(here) == here:
+            return "catalog"
+        here = os.path.dirname(here)
+
+
+TOPICS = {
+    "addresses": "st.{Model+}.doc.field   se.a.b   gse.a.b   gse.a.b.se.{store}",
+    "predicates": 'has(f)   "text" in f   f ~ "regex"   model <= Base   f = v, !=, >=, <=   and, or, not, ( )',
+    "targets": "stores   models/NAME   docs/NAME   fields/DOC/PATH",
+    "exit": "0: all well and something found; 1: nothing found, or an error; 2: no such command",
+}
+
+
 class Commands:
     """Each command gives a DataFrame to print, or None; ``code`` is the exit code."""
 
     def __init__(self, spark: SparkSession, args: argparse.Namespace):
         self.spark, self.args, self.code = spark, args, 0
-        self.catalog = Catalog(spark, args.catalog)
+        self.catalog = Catalog(spark, args.catalog or find_catalog())
         self.registry = registry_of(args.models) if args.models else Registry()
         self.changes = Changes(self.catalog, self.registry)
 
@@ -123,7 +153,30 @@ class Commands:
         self.code = 0 if out.where("not valid").isEmpty() else 1
         return out
 
+    def _template(self) -> str:
+        with open(self.args.template, encoding="utf-8") as f:
+            return f.read()
+
+    def extract_template(self) -> DataFrame:
+        out = extract.extract_with_template(read_text(self.spark, self.args.file), self._template()).select("payload_json", "error")
+        self.code = 0 if out.where("error is not null").isEmpty() else 1
+        return out
+
+    def render_template(self) -> DataFrame:
+        payload = self.spark.createDataFrame([(json.dumps(self._mapping(self.args.data)),)], "payload_json string")
+        return extract.render_with_template(payload, self._template()).select("text")
+
+    def help(self) -> DataFrame:
+        if self.args.topic and self.args.topic not in TOPICS:
+            raise QuireError(f"no topic {self.args.topic!r}; there are {', '.join(TOPICS)}")
+        rows = [(k, v) for k, v in TOPICS.items() if self.args.topic in (None, k)]
+        return self.spark.createDataFrame(rows, "topic string, text string")
+
     def _payload(self, text: str) -> DataFrame:
+        value = self._mapping(text)
+        return extract.typed_payloads(self.spark.createDataFrame([(json.dumps(value),)], "payload_json string"), self.model()).select("payload")
+
+    def _mapping(self, text: str) -> dict:
         if text == "-":
             text = sys.stdin.read()
         elif os.path.isfile(text):
@@ -132,7 +185,7 @@ class Commands:
         value = load_yaml(text)
         if not isinstance(value, dict):
             raise QuireError("a payload is a mapping")
-        return extract.typed_payloads(self.spark.createDataFrame([(json.dumps(value),)], "payload_json string"), self.model()).select("payload")
+        return value
 
     def render(self) -> DataFrame:
         return self._payload(self.args.data).select(extract.render_column(self.model(), F.col("payload")).alias("text"))
@@ -152,12 +205,18 @@ class Commands:
         return self.spark.createDataFrame([report])
 
     def stores_check(self) -> DataFrame:
-        tracked = self.catalog.read("documents")
-        files = tracked.select("store", "model", "doc", "path", "text")
-        now = library.Library(self.registry, files).payloads()
-        out = integrity.diagnosis_rollup(integrity.diagnose(tracked, now))
-        self.code = 0 if out.where("not valid").isEmpty() else 1
-        return out
+        """Tracked documents against their files, stored hashes against the documents'; text shows PASS or FAIL."""
+        tracked = self.catalog.read("documents").where("store = 'local'")
+        now = library.Library(self.registry, tracked_files(tracked)).payloads()
+        models = integrity.diagnose_models(integrity.diagnose(tracked, now), tracked, self.catalog.read("models"))
+        store = integrity.diagnose_store(models, self.catalog.read("models"), self.catalog.read("stores").where("not linked").select(F.col("name").alias("store"), "hash_a"))
+        self.code = 0 if store.where("not valid").isEmpty() else 1
+        if self.args.format == "text":
+            shown = lambda name, ok: F.concat(F.when(F.col(ok), "PASS ").otherwise("FAIL "), name)
+            counts = F.concat(F.lit(" ("), F.concat_ws(", ", *[F.concat(F.lit(f"{c} "), F.col(c)) for c in ("docs", "ok", "benign", "changed", "missing")]), F.lit(")"))
+            lines = models.withColumn("fine", F.col("valid") & F.col("hash_b_ok")).orderBy("store", "model").select(F.concat(shown(F.concat_ws("/", "store", "model"), "fine"), counts).alias("report"))
+            return store.select(shown(F.col("store"), "valid").alias("report")).unionByName(lines)
+        return store.join(models.groupBy("store").agg(F.array_sort(F.collect_list(F.struct("model", "valid", "hash_b_ok", "docs", "ok", "benign", "changed", "missing"))).alias("model_reports")), "store", "left")
 
     def models_add(self) -> None:
         self.changes.add_model(self.args.name)
@@ -166,8 +225,15 @@ class Commands:
         t = self.registry.fields_table(self.spark)
         return t.where(F.col("model") == self.args.name) if self.args.name else self.catalog.read("models").drop("template")
 
+    def models_update(self) -> None:
+        self.changes.update_model(self.args.name, self.args.bump)
+
+    def models_drafts(self) -> DataFrame:
+        return self.catalog.read("drafts").orderBy("model")
+
     def models_edit(self) -> DataFrame:
-        draft = self.registry[self.args.name]
+        """Edit the draft that is kept of a model; ``--promote`` puts it in the model's place."""
+        draft = self.changes.draft(self.args.name)
         if self.args.add:
             spec = load_yaml(self.args.add)
             draft = draft.with_field(Field(spec["name"], spec.get("type", "str"), spec.get("description", ""), bool(spec.get("optional"))))
@@ -178,6 +244,8 @@ class Commands:
                 draft = draft.with_template(f.read())
         if self.args.promote:
             self.changes.promote_model(draft)
+        else:
+            self.changes.keep_draft(draft)
         return Registry(draft).fields_table(self.spark)
 
     def docs_track(self) -> None:
@@ -187,7 +255,15 @@ class Commands:
         return self._payload(self.args.payload).select(F.lit("local").alias("store"), F.lit(self.args.name).alias("doc"), F.lit(f"{self.args.name}.md").alias("path"), "payload")
 
     def docs_create(self) -> None:
-        self.changes.create(self._row(), self.args.model)
+        row = self._row()
+        if self.args.out:
+            m = self.model()
+            text = row.select(extract.render_column(m, F.col("payload")).alias("text"), "store", "doc")
+            if not extract.validate_docs(text, m).where("not valid").isEmpty():
+                raise QuireError("the payload doesn't survive the round trip")
+            path = write_document(self.spark, f"{self.args.out.rstrip('/')}/{self.args.name}.md", text.first().text)
+            row = row.withColumn("path", F.lit(path))
+        self.changes.create(row, self.args.model)
 
     def docs_update(self) -> None:
         self.changes.update(self._row().drop("path"), self.args.model)
@@ -201,7 +277,7 @@ class Commands:
 
     def _resolved(self) -> tuple[DataFrame, DataFrame]:
         docs = self.library().documents
-        return docs, links.resolve_links(links.parsed_links(docs, ["doc", "path"]), docs)
+        return docs, links.resolve_links(links.parsed_links(docs, ["doc", "path"]), docs, "file:" + os.getcwd())
 
     def docs_recover(self) -> DataFrame:
         _, found = self._resolved()
@@ -249,11 +325,25 @@ class Commands:
         return sections.sections(self.library().payloads(), ["store", "model", "doc", "semantic_tags"], F.col("semantic_tags"))
 
     def sections_show(self) -> DataFrame:
-        s = self._sections()
+        s = self._shortened(self._sections())
         return self._rows(s.where(F.col("doc") == self.args.name) if self.args.name else s)
 
+    def _shortened(self, df: DataFrame) -> DataFrame:
+        """``df`` with the first five about terms, as text shows them."""
+        return df.withColumn("about", F.slice("about", 1, 5)) if self.args.format == "text" and "about" in df.columns else df
+
+    def _persisted(self) -> DataFrame | None:
+        """Stored sections, unless they are to be rebuilt or there are none yet."""
+        stored = self.catalog.read("sections")
+        return None if self.args.rebuild or stored.isEmpty() else stored
+
+    def _local(self) -> library.Library:
+        lib = self.library()
+        return library.Library(self.registry, lib.documents.where("store = 'local'"), lib.equivalences)
+
     def sections_find(self) -> DataFrame:
-        return self._rows(search.search(search.search_records(self.library(), kinds=("section",)), self.args.term))
+        found = search.search_records(self._local(), kinds=("section",), persisted=self._persisted())
+        return self._rows(self._shortened(search.search(found, self.args.term, regex=self.args.regex)))
 
     def sections_fields(self) -> DataFrame:
         r = search.field_records(self.library()).where(F.col("doc") == self.args.name)
@@ -265,21 +355,20 @@ class Commands:
 
     def find(self) -> DataFrame:
         a = self.args
-        stores = self.catalog.read("stores")
-        found = search.search(search.search_records(self.library(), stores), a.term or "", a.within, tuple(a.type), a.regex, a.fuzzy)
+        everywhere = getattr(a, "global")
+        stores = self.catalog.read("stores").where(F.lit(everywhere) | ~F.col("linked"))
+        # stored sections are the local store's
+        lib, stored = (self.library(), None) if everywhere else (self._local(), self._persisted())
+        found = search.search(search.search_records(lib, stores, persisted=stored), a.term or "", a.within, tuple(a.type), a.regex, a.fuzzy)
         if a.where:
             found = search.where_records(found, a.where, self.registry)
         return self._rows(library.select_keys(found, a.select.split(",")) if a.select else found)
 
     def ast_show(self) -> DataFrame:
-        docs = self.library().documents
-        if self.args.name:
-            docs = docs.where(F.col("doc") == self.args.name)
-        return docs.groupBy("store", "model").agg(F.array_sort(F.collect_list("doc")).alias("docs")).orderBy("store", "model")
+        return self._rows(tree.tree_of(self.library(), self.args.name))
 
     def ast_schema(self) -> DataFrame:
-        rows = [("node", x) for x in ("store", "model", "doc", "section", "field")] + [("edge", x) for x in ("has_model", "has_doc", "has_section", "has_field")]
-        return self.spark.createDataFrame(rows, "kind string, name string")
+        return tree.graph_schema(self.library())
 
     def ls(self) -> DataFrame:
         return self.library().ls(self.args.address)
@@ -293,6 +382,8 @@ class Commands:
     def raw_find(self) -> DataFrame:
         return self.library().find(self.args.address, self.args.where).select("address").orderBy("address")
 
+    legacy_ls, legacy_get, legacy_glob, legacy_find, legacy_recover, legacy_compose = ls, get, glob, raw_find, docs_recover, docs_compose
+
     def edges(self) -> DataFrame:
         return tag_edges(self.library().tags(), self.catalog.read("equivalences"))
 
@@ -306,7 +397,10 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         commands = Commands(spark, args)
         out = getattr(commands, name)()
         if out is not None:
-            for r in (as_json(out) if args.format == "json" else out).toLocalIterator():
+            for r in (out if args.format == "text" else as_json(out)).toLocalIterator():
+                if args.format == "yaml":
+                    print(dump_yaml([json.loads(r[0])]))
+                    continue
                 print(r[0] if len(r) == 1 else "\t".join("" if x is None else str(x) for x in r))
         return commands.code
     except (QuireError, StoreError) as e:

@@ -33,6 +33,20 @@ def prefix_edges(tag: Column) -> Column:
     return F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(1), F.size(p) - 1), edge)).otherwise(F.array().cast("array<struct<parent: string, child: string>>"))
 
 
+def normal_path(path: Column) -> Column:
+    """``path`` without ``.``, ``..`` and empty parts; what leads above a root stays there; of a scheme's empty host one slash stays."""
+    root = F.regexp_extract(path, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?/*", 0)
+    parts = F.split(F.substring(path, F.length(root) + 1, F.length(path)), "/")
+    nothing = F.array().cast("array<string>")
+
+    def step(open_: Column, part: Column) -> Column:
+        up = (F.size(open_) > 0) & (F.try_element_at(open_, F.lit(-1)) != "..")
+        back = F.when(up, F.slice(open_, 1, F.greatest(F.size(open_) - 1, F.lit(0)))).when(root != "", open_).otherwise(F.concat(open_, F.array(F.lit(".."))))
+        return F.when(part.isin("", "."), open_).when(part == "..", back).otherwise(F.concat(open_, F.array(part)))
+
+    return F.concat(F.regexp_replace(root, ":///+$", ":/"), F.array_join(F.aggregate(parts, nothing, step), "/"))
+
+
 def links_in(text: Column) -> Column:
     """Links in order, as array<struct<raw, target, kind>>; ``![[x]]`` transcludes."""
     raw = F.regexp_extract_all(text, F.lit(LINK), F.lit(0))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from dataclasses import replace
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ModelError, StoreError, ValidationError
@@ -12,7 +15,7 @@ from ..plans.models import Model, Registry
 from ..sources.catalog import Catalog
 from .extract import PAYLOAD, extract_docs, render_column, typed_payloads, validate_docs
 from .fields import edit_field
-from .integrity import document_hashes
+from .integrity import document_hashes, model_hashes, store_hashes
 from .library import document_tags
 from .sections import sections
 from .semantics import map_equal
@@ -20,12 +23,6 @@ from .semantics import map_equal
 DOC = ["store", "model", "doc"]
 
 
-def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-
-
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``new`` in place of rows of ``old`` with the same keys."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
@@ -41,12 +38,55 @@ class Changes:
     def __init__(self, catalog: Catalog, registry: Registry):
         self.catalog, self.registry, self.spark = catalog, registry, catalog.spark
 
+    def _commit(self, **tables: DataFrame) -> None:
+        """Write ``tables`` and, in the same generation, the hashes that follow from them: each model's hash_b, the store's hash_a.
+
+        Models whose first document comes with it are registered. Hold the lock.
+        """
+        models = tables.pop("models", None)
+
+        def with_hashes(read: Callable[[str], DataFrame]) -> DataFrame:
+            docs = read("documents").where("store = 'local'")
+            known = (self.catalog.read("models") if models is None else models).drop("hash_b")
+            used = docs.select("model").distinct().join(known.select("model"), "model", "left_anti")
+            known = known.unionByName(self.registry.table(self.spark).join(used, "model", "left_semi").select(known.columns))
+            return known.join(model_hashes(docs), ["store", "model"], "left").withColumn("hash_b", F.coalesce("hash_b", F.lit("")))
+
+        def with_root(read: Callable[[str], DataFrame]) -> DataFrame:
+            root = store_hashes(read("models").where("hash_b <> ''")).select(F.col("store").alias("name"), F.col("hash_a").alias("_root"))
+            stores = tables.get("stores", self.catalog.read("stores")).drop("hash_a").join(root, "name", "left")
+            return stores.withColumn("hash_a", F.when(F.col("linked"), F.lit(None)).otherwise(F.coalesce("_root", F.lit(""))))
+
+        others = {n: df for n, df in tables.items() if n not in ("documents", "stores")}
+        self.catalog.write(**({"documents": tables["documents"]} if "documents" in tables else {}), models=with_hashes, stores=with_root, **others)
+
     def add_model(self, name: str) -> None:
         with self.catalog.lock():
             old, new = self.catalog.read("models"), self.registry.table(self.spark).where(F.col("model") == name)
             if not old.where(F.col("model") == name).isEmpty():
                 raise ModelError(f"model {name!r} is registered")
-            self.catalog.write(models=old.unionByName(new))
+            self._commit(models=old.unionByName(new, allowMissingColumns=True))
+
+    def update_model(self, name: str, bump: bool = False) -> None:
+        """Hash a registered model's documents anew, from their texts; with ``bump`` its version goes up by one."""
+        with self.catalog.lock():
+            models, docs = self.catalog.read("models"), self.catalog.read("documents")
+            if models.where(F.col("model") == name).isEmpty():
+                raise ModelError(f"model {name!r} isn't registered")
+            own = prepared(docs.where(F.col("model") == name).select("store", "doc", "path", "text"), self.registry[name]).drop("error")
+            version = F.when((F.col("model") == name) & F.lit(bump), F.col("version") + 1).otherwise(F.col("version"))
+            self._commit(documents=upsert(docs, own, DOC), models=models.withColumn("version", version))
+
+    def draft(self, name: str) -> Model:
+        """The draft of a model that is kept in the catalog, else the registered model."""
+        spec = self.catalog.read("drafts").where(F.col("model") == name).select("spec").first()
+        return replace(Model.from_spec(json.loads(spec[0])), **{k: getattr(self.registry[name], k) for k in ("parents", "compositions", "version")}) if spec else self.registry[name]
+
+    def keep_draft(self, draft: Model) -> None:
+        """Keep ``draft`` beside the registered model, in place of an earlier one."""
+        with self.catalog.lock():
+            new = self.spark.createDataFrame([(draft.name, json.dumps(draft.to_spec()))], "model string, spec string")
+            self.catalog.write(drafts=upsert(self.catalog.read("drafts"), new, ["model"]))
 
     def promote_model(self, draft: Model) -> None:
         """Replace a model by ``draft`` if every tracked document still survives its round trip."""
@@ -57,7 +97,12 @@ class Changes:
         self.registry.models[draft.name] = draft.promoted()
         with self.catalog.lock():
             new = self.registry.table(self.spark).where(F.col("model") == draft.name)
-            self.catalog.write(models=upsert(self.catalog.read("models"), new, ["store", "model"]), documents=upsert(self.catalog.read("documents"), prepared(docs.select("store", "doc", "path", "text"), self.registry[draft.name]).drop("error"), DOC))
+            models = self.catalog.read("models")
+            self._commit(
+                models=upsert(models, new.withColumn("hash_b", F.lit("")).select(models.columns), ["store", "model"]),
+                documents=upsert(self.catalog.read("documents"), prepared(docs.select("store", "doc", "path", "text"), self.registry[draft.name]).drop("error"), DOC),
+                drafts=self.catalog.read("drafts").where(F.col("model") != draft.name),
+            )
 
     def track(self, docs: DataFrame, model: str, force: bool = False) -> None:
         """Add documents (store, doc, path, text); names are new within their model, and texts valid unless forced."""
@@ -73,7 +118,7 @@ class Changes:
             old = self.catalog.read("documents")
             if new.join(old.select(*DOC), DOC, "left_semi").limit(1).count():
                 raise StoreError("a document of that name is tracked")
-            self.catalog.write(documents=old.unionByName(new))
+            self._commit(documents=old.unionByName(new))
 
     def create(self, rows: DataFrame, model: str) -> None:
         """Render documents from (store, doc, path, payload), then track them."""
@@ -82,7 +127,7 @@ class Changes:
 
     def _replace(self, new: DataFrame) -> None:
         with self.catalog.lock():
-            self.catalog.write(documents=upsert(self.catalog.read("documents"), new, DOC))
+            self._commit(documents=upsert(self.catalog.read("documents"), new, DOC))
 
     def update(self, rows: DataFrame, model: str) -> None:
         """Whole new payloads (store, doc, payload) for tracked documents."""
@@ -98,7 +143,7 @@ class Changes:
     def untrack(self, docs: DataFrame) -> None:
         """Forget documents (store, model, doc); files stay."""
         with self.catalog.lock():
-            self.catalog.write(documents=self.catalog.read("documents").join(docs.select(*DOC), DOC, "left_anti"))
+            self._commit(documents=self.catalog.read("documents").join(docs.select(*DOC), DOC, "left_anti"))
 
     def edit(self, docs: DataFrame, model: str, op: str, path: str, value: Any = None) -> None:
         """Change one field of documents (store, doc), render and check them again; see ``edit_field``."""
@@ -121,7 +166,7 @@ class Changes:
                 raise StoreError(f"store {name!r} is linked")
             if not Catalog(self.spark, path).exists():
                 raise StoreError(f"no catalog in {path}")
-            self.catalog.write(stores=old.unionByName(self.spark.createDataFrame([("local", name, path, True)], old.schema)))
+            self.catalog.write(stores=old.unionByName(self.spark.createDataFrame([("local", name, path, True, None)], old.schema)))
 
     def map_tags(self, tag: str, equal: str, store: str = "local") -> None:
         with self.catalog.lock():
@@ -140,7 +185,7 @@ class Changes:
                 part = prepared(changed.where(F.col("model") == name).select("store", "doc", "path", "text"), self.registry[name]).drop("error")
                 new = part if new is None else new.unionByName(part)
             docs = old if new is None else upsert(old, new, DOC)
-            self.catalog.write(documents=docs)
+            self._commit(documents=docs)
             docs = self.catalog.read("documents")
             self.catalog.write(sections=sections(docs, [*DOC, "semantic_tags"], F.col("semantic_tags")))
             missing = old.join(found.select(*DOC), DOC, "left_anti").count()

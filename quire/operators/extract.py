@@ -9,9 +9,9 @@ over columns; only YAML values pass through a UDF.
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 from typing import Any
 
-import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..errors import QuireError
 from ..plans.markers import MARKER, Marker, capture_pattern, pieces
 from ..plans.models import KINDS, Field, Model
-from ..plans.templates import Part, canonical, compile_parts, compile_steps, extract
+from ..plans.templates import Part, canonical, compile_parts, compile_steps, dump_yaml, extract
 
 PAYLOAD, ERROR = "payload_json", "error"
 #: A private character between groups; a text that has it is left to the block parser, as one that doesn't match.
@@ -56,8 +56,15 @@ def _typed(value: Column, field: Field) -> Column:
     text = F.when(F.is_variant_null(F.try_parse_json(value)), F.lit(None)).otherwise(value)
     if kind == "dict":
         return F.try_parse_json(text)
-    if kind in ("list", "rows"):
+    if kind == "list":
         return F.from_json(text, KINDS[kind].simpleString())
+    if kind == "rows":
+        # rows by key come in the keys' order: numbers by size, then text
+        keyed = F.map_entries(F.from_json(text, "map<string, map<string, string>>"))
+        order = F.transform(keyed, lambda e: F.struct(F.coalesce(F.when(e["key"].rlike("^[0-9]+$"), e["key"].try_cast("decimal(38,0)")), F.lit("9" * 38).cast("decimal(38,0)")).alias("n"), e["key"].alias("k"), e["value"].alias("v")))
+        # a map can't be compared, so places are sorted in its stead
+        at = F.array_sort(F.transform(order, lambda x, i: F.struct(x["n"].alias("n"), x["k"].alias("k"), i.alias("i"))))
+        return F.when(text.startswith("{"), F.transform(at, lambda x: F.get(keyed, x["i"])["value"])).otherwise(F.from_json(text, KINDS[kind].simpleString()))
     plain = F.try_variant_get(F.try_parse_json(text), "$", "string")
     return _cast(plain, field)
 
@@ -149,6 +156,27 @@ def extract_docs(docs: DataFrame, model: Model, text_col: str = "text", quick: b
     )
 
 
+def template_model(template: str, name: str = "Template") -> Model:
+    """A model of what ``template`` alone tells: lists, rows and mappings by their blocks, all else text; every field is optional."""
+    kinds = {"list": "list", "rows": "rows", "yaml": "dict"}
+    found = {n: kinds.get(step.mode, "str") for step in compile_steps(template) for n in step.names}
+    return Model(name, template, tuple(Field(n, kind, f"captured by the template as {kind}", optional=True) for n, kind in found.items() if n))
+
+
+def extract_with_template(docs: DataFrame, template: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with payload_json and error, without any model."""
+    return extract_docs(docs, template_model(template), text_col).drop("payload")
+
+
+def render_with_template(payloads: DataFrame, template: str) -> DataFrame:
+    """``payloads`` (payload_json, …) with ``text``, without any model; names that the template doesn't capture are read as text."""
+    model = template_model(template)
+    named = {m.name for part in compile_parts(template) for m in pieces(part.text) if isinstance(m, Marker)} - {f.name for f in model.fields} - {""}
+    inner = {n for step in compile_steps(template) if step.mode == "rows" for _, n, _ in step.columns}
+    model = replace(model, fields=(*model.fields, *(Field(n, "str", "named by the template", optional=True) for n in sorted(named - inner))))
+    return typed_payloads(payloads, model).withColumn("text", render_column(model, F.col("payload"))).drop("payload", ERROR)
+
+
 def typed_payloads(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (payload_json, …) with the model's ``payload`` and ``error``; values come in as text, as from a document."""
     return _finished(docs.drop("payload", ERROR).withColumn(ERROR, F.lit(None).cast("string")), model)
@@ -175,7 +203,7 @@ def _yaml_text(value: Column) -> Column:
 
     @F.udf(returnType="string", useArrow=True)
     def dump(text):
-        return None if text is None else yaml.dump(json.loads(text), allow_unicode=True, sort_keys=False).strip()
+        return None if text is None else dump_yaml(json.loads(text))
 
     return dump(value)
 

@@ -38,11 +38,11 @@ def deep_get(payload_json: Column, path: str) -> Column:
     return F.to_json(F.coalesce(whole, named))
 
 
-def flatten_payloads(docs: DataFrame, keys: list[str], payload_col: str = "payload_json", levels: int = 8) -> DataFrame:
+def flatten_payloads(docs: DataFrame, keys: list[str], payload_col: str = "payload_json") -> DataFrame:
     """(keys, field_path, value_json): mappings are gone into, lists stay whole, empty mappings give no row.
 
-    Mappings are opened in their row, ``levels`` deep; deeper ones come back
-    whole. A null payload gives no rows.
+    Mappings are opened in their row, a level a step; a payload is at most as
+    deep as it has opening braces. A null payload gives no rows.
     """
     pair = "struct<field_path: string, value_json: string>"
 
@@ -54,7 +54,9 @@ def flatten_payloads(docs: DataFrame, keys: list[str], payload_col: str = "paylo
         return F.flatten(F.transform(state, lambda x: F.when(x["value_json"].startswith("{"), opened(x)).otherwise(F.array(x).cast(f"array<{pair}>"))))
 
     start = F.array(F.struct(F.lit(None).cast("string").alias("field_path"), F.col(payload_col).alias("value_json"))).cast(f"array<{pair}>")
-    rows = docs.select(*keys, F.explode(F.aggregate(F.sequence(F.lit(1), F.lit(levels)), start, step)).alias("f"))
+    payload = F.col(payload_col)
+    braces = F.length(payload) - F.length(F.replace(payload, F.lit("{"), F.lit("")))
+    rows = docs.select(*keys, F.explode(F.aggregate(F.sequence(F.lit(1), F.greatest(braces, F.lit(1))), start, step)).alias("f"))
     return rows.select(*keys, "f.*").where("field_path is not null")
 
 

@@ -1,7 +1,9 @@
 """The hash cascade of a store, and what it tells about changes.
 
 hash_c is a document's text, hash_d its payload; hash_b folds both over a model's
-documents in order of path, hash_a the models' hash_b in order of name.
+documents in order of path, hash_a the models' hash_b in order of name. Documents
+are folded by buckets of their paths first, then the buckets' folds, so that a
+large model's hashes meet in no single row.
 """
 
 from __future__ import annotations
@@ -15,10 +17,16 @@ def document_hashes(docs: DataFrame) -> DataFrame:
     return docs.withColumn("hash_c", F.sha2("text", 256)).withColumn("hash_d", F.sha2("payload_json", 256))
 
 
+#: Hexadecimal digits of a path's hash that name its bucket.
+BUCKET_DIGITS = 3
+
+
 def model_hashes(hashed: DataFrame) -> DataFrame:
     """(store, model, hash_b): only hashes meet in a group, never texts."""
     rows = F.array_sort(F.collect_list(F.struct("path", "hash_c", "hash_d")))
-    return hashed.groupBy("store", "model").agg(F.sha2(F.to_json(rows), 256).alias("hash_b"))
+    bucket = F.substring(F.sha2("path", 256), 1, BUCKET_DIGITS)
+    folds = hashed.groupBy("store", "model", bucket.alias("bucket")).agg(F.sha2(F.to_json(rows), 256).alias("fold"))
+    return folds.groupBy("store", "model").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("bucket", "fold")))), 256).alias("hash_b"))
 
 
 def store_hashes(models: DataFrame) -> DataFrame:
@@ -41,19 +49,37 @@ def diagnose(tracked: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def diagnosis_rollup(notes: DataFrame) -> DataFrame:
-    """(store, model, docs, ok, benign, changed, missing, valid)."""
+    """(store, model, docs, ok, benign, changed, missing, valid). Benign mutations leave a model valid."""
     count = lambda n: F.count_if(F.col("note") == n)
     return notes.groupBy("store", "model").agg(
         F.count("*").alias("docs"), count("ok").alias("ok"), count("benign_mutation").alias("benign"), count("data_mutation").alias("changed"), count("missing").alias("missing"),
-        F.bool_and(F.col("note") == "ok").alias("valid"),
+        F.bool_and(F.col("note").isin("ok", "benign_mutation")).alias("valid"),
     )
 
 
-def store_valid(rollup: DataFrame, tracked_models: DataFrame, models_now: DataFrame) -> DataFrame:
-    """(store, valid): all documents ok and every stored hash_b still right."""
-    right = tracked_models.join(models_now.withColumnRenamed("hash_b", "now_b"), ["store", "model"], "left").groupBy("store").agg(F.bool_and(F.coalesce(F.col("hash_b") == F.col("now_b"), F.lit(False))).alias("hashes"))
-    docs = rollup.groupBy("store").agg(F.bool_and("valid").alias("docs"))
-    return right.join(docs, "store", "left").select("store", (F.col("hashes") & F.coalesce("docs", F.lit(True))).alias("valid"))
+def diagnose_models(notes: DataFrame, tracked: DataFrame, models: DataFrame) -> DataFrame:
+    """``diagnosis_rollup`` of ``notes`` with hash_b_ok: whether ``models`` (store, model, hash_b) holds what the tracked documents' hashes fold to.
+
+    A model of ``models`` without documents has counts of 0, is valid, and is
+    right if its hash_b is empty.
+    """
+    now = model_hashes(tracked).withColumnRenamed("hash_b", "now_b")
+    stored = models.select("store", "model", "hash_b")
+    rows = stored.join(now, ["store", "model"], "full").join(diagnosis_rollup(notes), ["store", "model"], "left")
+    none = {"docs": 0, "ok": 0, "benign": 0, "changed": 0, "missing": 0, "valid": True}
+    return rows.select("store", "model", *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in none.items()], (F.coalesce("hash_b", F.lit("")) == F.coalesce("now_b", F.lit(""))).alias("hash_b_ok"))
+
+
+def diagnose_store(diagnosed: DataFrame, models: DataFrame, stores: DataFrame) -> DataFrame:
+    """(store, models, docs, hash_a_ok, valid) from ``diagnose_models``, and what is stored: ``models`` (store, model, hash_b), ``stores`` (store, hash_a).
+
+    A store is valid if its models are and every stored hash is right.
+    """
+    roll = diagnosed.groupBy("store").agg(F.count("*").alias("models"), F.sum("docs").alias("docs"), F.bool_and(F.col("valid") & F.col("hash_b_ok")).alias("_valid"))
+    now = store_hashes(models.where("hash_b <> ''")).withColumnRenamed("hash_a", "_now_a")
+    rows = stores.select("store", "hash_a").join(now, "store", "left").join(roll, "store", "left")
+    right = F.coalesce("hash_a", F.lit("")) == F.coalesce("_now_a", F.lit(""))
+    return rows.select("store", F.coalesce("models", F.lit(0)).alias("models"), F.coalesce("docs", F.lit(0)).alias("docs"), right.alias("hash_a_ok"), (right & F.coalesce("_valid", F.lit(True))).alias("valid"))
 
 
 def rebuild_report(tracked: DataFrame, headings: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import links_in
+from ..functions.text import links_in, normal_path
 
 
 def parsed_links(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -17,18 +17,22 @@ def _folder(path: Column) -> Column:
     return F.regexp_replace(path, "[^/]*$", "")
 
 
-def resolve_links(links: DataFrame, docs: DataFrame) -> DataFrame:
+def resolve_links(links: DataFrame, docs: DataFrame, base: str = "") -> DataFrame:
     """``links`` (doc, path, target, …) with resolved, target_path, source.
 
-    A target is a tracked name, else a path beside the document, else a path.
-    Of documents that share a name the first by path is meant, and ambiguous is set.
+    A target is a tracked name, else a path beside the document, else a path
+    from ``base``, the working directory. Paths are compared without ``.`` and
+    ``..``; target_path is the one that the document has. Of documents that
+    share a name the first by path is meant, and ambiguous is set.
     """
     names = docs.groupBy("doc").agg(F.min("path").alias("by_name"), (F.count("*") > 1).alias("several")).withColumnRenamed("doc", "target")
-    paths = docs.select(F.col("path").alias("known")).distinct()
-    beside = F.concat(_folder(F.col("path")), "target")
+    paths = docs.groupBy(normal_path(F.col("path")).alias("normal")).agg(F.min("path").alias("known"))
+    rooted = F.when(F.col("target").rlike(r"^(/|[A-Za-z][A-Za-z0-9+.-]*:/)"), F.col("target"))
+    beside = normal_path(F.coalesce(rooted, F.concat(_folder(F.col("path")), "target")))
+    direct = normal_path(F.coalesce(rooted, F.concat(F.lit(base.rstrip("/") + "/" if base else ""), "target")))
     found = links.join(names, "target", "left")
-    found = found.withColumn("_beside", beside).join(paths.withColumnRenamed("known", "_beside_path"), F.col("_beside") == F.col("_beside_path"), "left")
-    found = found.join(paths.withColumnRenamed("known", "_direct_path"), F.col("target") == F.col("_direct_path"), "left")
+    found = found.withColumn("_beside", beside).join(paths.toDF("_beside", "_beside_path"), "_beside", "left")
+    found = found.withColumn("_direct", direct).join(paths.toDF("_direct", "_direct_path"), "_direct", "left")
     path = F.coalesce("by_name", "_beside_path", "_direct_path")
     return found.select(
         *links.columns,
@@ -94,6 +98,26 @@ def _from_leaves(docs: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataF
     return inner, done, left
 
 
+def transclusion_lists(resolved: DataFrame) -> DataFrame:
+    """(path, transclusions, unresolved): what composing each document puts in, at any depth, and what it can't find; sorted, each once.
+
+    Documents that include nothing have no row. A document is gone through once
+    for each root, so cycles end.
+    """
+    inner = resolved.where("kind = 'transclusion'").select("path", "target", "resolved", "target_path").distinct().checkpoint()
+    front = inner.select(F.col("path").alias("root"), "path").distinct()
+    seen = front
+    while True:
+        step = front.join(inner.where("resolved"), "path").select("root", F.col("target_path").alias("path")).distinct()
+        front = step.join(seen, ["root", "path"], "left_anti").checkpoint()
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    rows = seen.join(inner, "path").select(F.col("root").alias("path"), "target", "resolved").distinct()
+    some = lambda test: F.array_sort(F.collect_set(F.when(test, F.col("target"))))
+    return rows.groupBy("path").agg(some(F.col("resolved")).alias("transclusions"), some(~F.col("resolved")).alias("unresolved"))
+
+
 def reach_cycles(docs: DataFrame, resolved: DataFrame) -> DataFrame:
     """(path): documents whose transclusions lead into a cycle."""
     return _from_leaves(docs, resolved)[2].select("path")

@@ -24,17 +24,16 @@ def search_records(library: Library, stores: DataFrame | None = None, kinds: tup
     owners, and not at all unless one of these is asked for. ``persisted``, a
     catalog's sections, saves parsing for sections; both give the same records.
     """
-    spark, frames = library.spark, []
+    frames = []
     arr = lambda *x: F.array(*[F.lit(c) if not isinstance(c, Column) else c for c in x]).cast("array<string>")
     nothing = F.array().cast("array<string>")
     if "store" in kinds and stores is not None:
-        counts = library.registry.table(spark).agg(F.count("*").alias("model_count"))
-        rows = stores.crossJoin(F.broadcast(counts))  # one row of counts
+        rows = stores.withColumn("model_count", F.lit(len(library.registry.models)).cast("long"))
         payload = F.when(F.col("linked"), F.to_json(F.struct(F.lit(True).alias("linked")))).otherwise(F.to_json(F.struct("model_count")))
         frames.append(rows.select(F.lit("store").alias("kind"), "store", "name", "path", arr(F.col("name"), F.col("path")).alias("physical"), nothing.alias("semantic"), payload.alias("payload_json"), F.lit(0).alias("ord")))
     if "model" in kinds:
         used = library.documents.select("store", "model").distinct()
-        models = used.join(F.broadcast(library.registry.table(spark).drop("store")), "model")
+        models = used.join(F.broadcast(library.registry.table(library.spark).drop("store")), "model")
         frames.append(models.select(F.lit("model").alias("kind"), "store", "model", F.col("model").alias("name"), arr(F.col("model")).alias("physical"), F.col("semantics").alias("semantic"), F.to_json(F.struct("field_count")).alias("payload_json"), F.lit(1).alias("ord")))
     if {"doc", "section", "field"} & set(kinds):
         docs = library.payloads()

@@ -2,15 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import prefix_edges
 
 
+def sorted_names(column: str) -> Column:
+    """An aggregate: the group's names as a sorted array, for groups that fit a row."""
+    return F.array_sort(F.collect_list(column))
+
+
+def tag_postings(tags: DataFrame) -> DataFrame:
+    """(tag, position, doc): documents of each tag in order of name, by ranges, so that a tag of any size is spread over tasks.
+
+    ``position`` counts from 0 within the tag. Rows are sorted by tag and name
+    in range partitions; a position is the rank within the partition, and what
+    earlier partitions hold of the tag.
+    """
+    rows = tags.select("tag", "doc").repartitionByRange("tag", "doc").withColumn("_part", F.spark_partition_id()).checkpoint()
+    before = Window.partitionBy("tag").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("tag", "_part").agg(F.count("*").alias("_n")).select("tag", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    own = Window.partitionBy("tag", "_part").orderBy("doc")
+    return rows.withColumn("_own", F.row_number().over(own) - 1).join(base, ["tag", "_part"]).select("tag", (F.col("_base") + F.col("_own")).alias("position"), "doc")
+
+
 def tag_index(tags: DataFrame) -> DataFrame:
-    """(tag, docs): sorted names of documents, one for each (store, model, doc)."""
-    return tags.groupBy("tag").agg(F.array_sort(F.collect_list("doc")).alias("docs"))
+    """(tag, docs): sorted names of documents, one for each (store, model, doc).
+
+    A tag's names meet in one row here; ``tag_postings`` has a row for each.
+    """
+    return tags.groupBy("tag").agg(sorted_names("doc").alias("docs"))
 
 
 def tag_children(tags: DataFrame, prefix: str | None = None) -> DataFrame:

@@ -71,6 +71,11 @@ class Model:
         )
         return cls(spec["name"], spec.get("template", ""), fields, spec.get("semantics") or {}, spec.get("family"))
 
+    def to_spec(self) -> dict[str, Any]:
+        """What ``from_spec`` reads."""
+        fields = {f.name: {"type": f.kind, "description": f.description, "optional": f.optional, "default": f.default} for f in self.fields}
+        return {"name": self.name, "template": self.template, "fields": fields, "semantics": self.semantics, "family": self.family}
+
     @property
     def schema(self) -> T.StructType:
         return T.StructType([T.StructField(f.name, KINDS[f.kind], True, {"comment": f.description}) for f in self.fields])

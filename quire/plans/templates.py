@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 from typing import Any
 
 import yaml
@@ -90,61 +92,98 @@ def _plain(value: Any) -> Any:
     return value.isoformat() if hasattr(value, "isoformat") else value
 
 
+#: The C parser where PyYAML has it.
+_LOADER = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
+
 def load_yaml(text: str) -> Any:
     try:
-        return _plain(yaml.safe_load(text))
+        return _plain(yaml.load(text, Loader=_LOADER))
     except yaml.YAMLError as e:
         raise TemplateError(f"YAML can't be read: {e}") from e
 
 
-def _values(step: Step, block: Block) -> dict[str, Any]:
-    """What ``step`` finds in a block of its type and tag; empty if it doesn't fit."""
-    if step.mode == "text":
-        leaf = block.leaf()
-        m = re.fullmatch(step.pattern, leaf.text.strip()) if leaf else None
-        return dict(zip(step.names, m.groups())) if m else {}
-    if step.mode == "list":
-        texts = [x.strip() for item in block.children if (x := item.leaf().text if item.leaf() else "").strip()]
-        return {step.names[0]: [m[1] if (m := re.fullmatch(step.pattern, x)) and m.groups() else x for x in texts]} if texts else {}
-    if step.mode == "rows":
-        rows = []
-        for row in block.children[1:]:
-            own = {name: m[1] for i, name, pattern in step.columns if i < len(row.children) and (m := re.fullmatch(pattern, row.children[i].text.strip())) and m.groups()}
-            rows += [own] if own else []
-        return {step.names[0]: rows} if rows else {}
-    if step.mode == "yaml":
-        leaf = block.leaf()
-        value = load_yaml(leaf.text) if leaf else None
-        return {step.names[0]: value} if value is not None else {}
-    return {}
+def dump_yaml(value: Any) -> str:
+    return yaml.dump(value, Dumper=getattr(yaml, "CSafeDumper", yaml.SafeDumper), allow_unicode=True, sort_keys=False).strip()
 
 
-def _fits(step: Step, block: Block) -> bool:
-    return block.type == step.type and (step.is_anchor or step.mode == "body" or block.tag == step.tag and bool(_values(step, block)))
+def _reading(step: Step, block: Block) -> dict[str, Any] | None:
+    """What ``step`` reads from a block; None if it doesn't fit there."""
+    if block.type != step.type:
+        return None
+    if step.is_anchor or step.mode == "body":
+        return {}
+    if block.tag != step.tag:
+        return None
+    name = step.names[0]
+    if step.mode == "rows":
+        rows = [{n: m[1] for i, n, pattern in step.columns if i < len(r.children) and (m := re.fullmatch(pattern, r.children[i].text.strip())) and m.groups()} for r in block.children[1:]]
+        return {name: kept} if (kept := [r for r in rows if r]) else None
+    if step.mode == "list":
+        texts = [x.strip() for item in block.children if (leaf := item.leaf()) and (x := leaf.text).strip()]
+        return {name: [m[1] if (m := re.fullmatch(step.pattern, x)) and m.groups() else x for x in texts]} if texts else None
+    leaf = block.leaf()
+    if leaf is None:
+        return None
+    if step.mode == "yaml":
+        value = load_yaml(leaf.text)
+        return None if value is None else {name: value}
+    m = re.fullmatch(step.pattern, leaf.text.strip())
+    return dict(zip(step.names, m.groups())) if m else None
+
+
+class _Placing:
+    """Where the steps of a template find their blocks; each pair of step and block is read once at most."""
+
+    def __init__(self, steps: tuple[Step, ...], blocks: list[Block]):
+        self.steps, self.blocks = steps, blocks
+        self.read: dict[tuple[int, int], dict[str, Any] | None] = {}
+
+    def reading(self, k: int, i: int) -> dict[str, Any] | None:
+        if (k, i) not in self.read:
+            self.read[k, i] = _reading(self.steps[k], self.blocks[i])
+        return self.read[k, i]
+
+    def first_fit(self, k: int, begin: int) -> int | None:
+        return next((i for i in range(begin, len(self.blocks)) if self.reading(k, i) is not None), None)
+
+    def places(self) -> Iterator[tuple[int, range]]:
+        """(step, blocks) in order. Steps of one template block are a group: they share a block of the document.
+
+        A group looks from the block after its predecessor's. A body goes up to
+        the block of the first later step that finds any. Once a group has its
+        block, its other steps try that one alone, and only if no block was
+        passed over for it; this is how documents have always been read.
+        """
+        begin = 0
+        for _, group in groupby(range(len(self.steps)), lambda k: self.steps[k].outer):
+            own = None
+            for k in group:
+                if self.steps[k].mode == "body":
+                    ends = (self.first_fit(later, begin) for later in range(k + 1, len(self.steps)))
+                    end = next((i for i in ends if i is not None), len(self.blocks))
+                    yield k, range(begin, end)
+                    own = max(begin, end - 1)
+                elif own is None:
+                    own = self.first_fit(k, begin)
+                    if own is not None:
+                        yield k, range(own, own + 1)
+                elif own == begin < len(self.blocks) and self.reading(k, own) is not None:
+                    yield k, range(own, own + 1)
+            begin = begin if own is None else max(begin, own + 1)
 
 
 def extract(steps: tuple[Step, ...], text: str) -> dict[str, Any]:
-    """Untyped values of a document: a cursor goes forward over its blocks, steps that find none are skipped."""
-    blocks, lines = parse_blocks(text), re.split(r"\r\n|\n|\r", text)
+    """Untyped values of a document: steps are placed on its blocks, then read; steps without a place give none."""
+    blocks = parse_blocks(text)
+    placing = _Placing(steps, blocks)
+    lines = re.split(r"\r\n|\n|\r", text)
     out: dict[str, Any] = {}
-    here, taken, outer = 0, None, None
-    for k, step in enumerate(steps):
-        if step.outer != outer:
-            here = max(here, taken + 1) if taken is not None else here
-            outer, taken = step.outer, None
-        if step.mode == "body":
-            later = ((i for i in range(here, len(blocks)) if _fits(s, blocks[i])) for s in steps[k + 1 :])
-            stop = next((i for i in (next(x, None) for x in later) if i is not None), len(blocks))
-            out[step.names[0]] = "\n".join(lines[blocks[here].start : blocks[stop - 1].end]).strip() if here < stop else ""
-            taken = max(here, stop - 1)
-            continue
-        # a block's second step looks at the same block, and only if that was the first one tried
-        where = range(here, len(blocks)) if taken is None else range(taken, taken + 1) if taken == here else ()
-        for i in where:
-            if _fits(step, blocks[i]):
-                out |= _values(step, blocks[i])
-                taken = i
-                break
+    for k, where in placing.places():
+        if steps[k].mode == "body":
+            out[steps[k].names[0]] = "\n".join(lines[blocks[where[0]].start : blocks[where[-1]].end]).strip() if where else ""
+        else:
+            out |= placing.reading(k, where[0]) or {}
     return out
 
 

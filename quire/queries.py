@@ -6,15 +6,17 @@ templates, then extracted, searched and linked as documents.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.text import file_slug, slug, tag_pattern
-from .operators import changes, extract, fields, ingest, integrity, ir, library, links, search, sections, semantics
+from .functions.text import file_slug, slug, tag_pattern, text_hash
+from .operators import changes, extract, fields, ingest, integrity, ir, library, links, search, sections, semantics, tree
 from .plans.models import Composition, Field, Model, Registry
 from .sources.blocks import with_blocks
+from .sources.catalog import Catalog
 from .streaming.files import tumbling_counts
 
 PART = Model(
@@ -302,32 +304,34 @@ def links_resolve(spark, sf_dir):
 
 
 def recover_depth(spark, sf_dir):
-    docs = chain_docs(spark, sf_dir).where(~F.col("doc").rlike("^customer-.*[1-9]$"))
+    docs = chain_docs(spark, sf_dir)
     found = links.resolve_links(links.parsed_links(docs, ["doc", "path"]), docs)
     start = docs.where(F.col("doc").startswith("customer-")).select("path")
     return links.recover_links(found, start, depth=2).select("root", "depth", "target", "kind", "resolved")
 
 
 def compose_docs(spark, sf_dir):
-    docs = chain_docs(spark, sf_dir).where(~F.col("doc").startswith("customer"))
+    docs = chain_docs(spark, sf_dir)
     found = links.resolve_links(links.parsed_links(docs, ["doc", "path"]), docs)
     return links.compose(docs, found)
 
 
 def composition_refs(spark, sf_dir):
+    """Children that exist, in the parents' order; names without a child are left out."""
     one = Composition("nations", "- {title}")
     nation = read(spark, sf_dir, "nation").select(F.col("n_name").alias("doc"), F.col("n_nationkey").alias("key"))
-    regions = extract.extract_docs(region_docs(spark, sf_dir), REGION).select("doc", F.col("payload.nations").alias("nations"))
+    regions = extract.extract_docs(region_docs(spark, sf_dir), REGION).select("doc", F.concat(F.array(F.lit("nowhere")), "payload.nations").alias("nations"))
     line = F.concat(F.lit(one.line.split("{")[0]), F.col("doc"), F.lit(" ("), F.col("key"), F.lit(")"))
-    return links.composed_field(regions, ["doc"], "nations", nation.where("key % 5 <> 0"), line, one.separator)
+    return links.composed_field(regions, ["doc"], "nations", nation, line, one.separator)
 
 
 def hash_text(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash_c"))
+    docs = read(spark, sf_dir, "documents").withColumn("payload_json", F.concat(F.lit('{"n":'), F.col("n_chars"), F.lit("}")))
+    return integrity.document_hashes(docs).select("doc_id", "hash_c", "hash_d")
 
 
 def dup_docs(spark, sf_dir):
-    h = read(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("hash_c")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    h = read(spark, sf_dir, "documents").groupBy(text_hash(F.col("text")).alias("hash_c")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
     return h.where("n > 1")
 
 
@@ -347,6 +351,44 @@ def diagnose_rollup(spark, sf_dir):
     return integrity.diagnosis_rollup(_mutated(spark, sf_dir)).drop("store")
 
 
+def diagnose_benign(spark, sf_dir):
+    """Changes that leave all payloads as they were: every model stays valid."""
+    docs = part_docs(spark, sf_dir).select("store", "doc", "path", "text")
+    tracked = changes.prepared(docs, PART)
+    return integrity.diagnosis_rollup(integrity.diagnose(tracked, changes.prepared(docs.withColumn("text", F.replace("text", F.lit("\n\n"), F.lit("\n\n\n"))), PART))).drop("store")
+
+
+def store_check(spark, sf_dir):
+    """Stores whose documents are unchanged; in one a model's stored hash is wrong, in another the root's."""
+    docs = changes.prepared(part_docs(spark, sf_dir).select("store", "doc", "path", "text"), PART)
+    tracked = library.union([docs.withColumn("store", F.lit(s)) for s in ("right", "wrong model", "wrong root")])
+    models = integrity.model_hashes(tracked)
+    models = models.withColumn("hash_b", F.when(F.col("store") == "wrong model", "x").otherwise(F.col("hash_b")))
+    stores = integrity.store_hashes(models).withColumn("hash_a", F.when(F.col("store") == "wrong root", "x").otherwise(F.col("hash_a")))
+    by_model = integrity.diagnose_models(integrity.diagnose(tracked, tracked), tracked, models)
+    return integrity.diagnose_store(by_model, models, stores)
+
+
+def catalog_changes(spark, sf_dir):
+    """All parts tracked in a catalog, one edited, those of brand 11 updated, sold ones in large lots untracked."""
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    catalog = Catalog(spark, f"{root.rstrip('/')}/catalog-{uuid.uuid4().hex}")
+    catalog.init()
+    c = changes.Changes(catalog, REGISTRY)
+    docs = part_docs(spark, sf_dir).withColumn("model", F.lit("Part"))
+    c.track(docs.select("store", "doc", "path", "text"), "Part")
+    c.edit(spark.createDataFrame([("local", "part-1")], "store string, doc string"), "Part", "update", "p_type", "EDITED")
+    part = read(spark, sf_dir, "part").where("p_brand = 'Brand#11'")
+    payload = F.struct("p_name", F.col("p_partkey").cast("long").alias("p_partkey"), "p_brand", F.lit("UPDATED").alias("p_type"), F.col("p_size").cast("long").alias("p_size"))
+    c.update(part.select(F.lit("local").alias("store"), F.concat(F.lit("part-"), F.col("p_partkey")).alias("doc"), payload.alias("payload")), "Part")
+    sold = read(spark, sf_dir, "lineitem").where("l_quantity >= 48").select(F.concat(F.lit("part-"), F.col("l_partkey")).alias("doc")).distinct()
+    c.untrack(sold.withColumn("store", F.lit("local")).withColumn("model", F.lit("Part")))
+    kept, models = catalog.read("documents"), catalog.read("models")
+    by_model = integrity.diagnose_models(integrity.diagnose(kept, kept), kept, models)
+    right = integrity.diagnose_store(by_model, models, catalog.read("stores").select(F.col("name").alias("store"), "hash_a")).select("store", "valid")
+    return kept.join(F.broadcast(right), "store").select("doc", F.try_variant_get(F.try_parse_json("payload_json"), "$.p_type", "string").alias("p_type"), "valid")  # one row per store
+
+
 def hash_cascade(spark, sf_dir):
     """Whether equal stores have equal root hashes, and changed ones others."""
     docs = changes.prepared(part_docs(spark, sf_dir).select("store", "doc", "path", "text"), PART)
@@ -355,17 +397,6 @@ def hash_cascade(spark, sf_dir):
     return roots.groupBy("hash_a").agg(F.count("*").alias("stores"), F.array_join(F.array_sort(F.collect_list("store")), ",").alias("names")).drop("hash_a")
 
 
-def upsert_latest(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    return changes.latest(o, ["o_custkey"], "o_orderkey")
-
-
-def untrack_anti(spark, sf_dir):
-    p = read(spark, sf_dir, "part").select("p_partkey")
-    used = read(spark, sf_dir, "lineitem").where("l_quantity >= 48").select(F.col("l_partkey").alias("p_partkey"))
-    return p.join(used, "p_partkey", "left_anti")
-
-
 def field_clean(spark, sf_dir):
     w = read(spark, sf_dir, "part").select("p_partkey", F.split("p_type", " ").alias("t"))
     return w.select("p_partkey", F.array_join(fields.clean_list(F.concat("t", F.array(F.lit("")), "t")), "|").alias("cleaned"))
@@ -415,17 +446,61 @@ def store_union(spark, sf_dir):
 
 
 def store_tree(spark, sf_dir):
-    docs = part_docs(spark, sf_dir)
-    per = docs.groupBy("store", "model").agg(F.count("*").alias("docs"), F.min("doc").alias("first_doc"))
-    tree = per.groupBy("store").agg(F.array_sort(F.collect_list(F.struct("model", "docs", "first_doc"))).alias("models"))
-    return tree.select("store", F.to_json("models").alias("models"))
+    return tree.tree_of(parts(spark, sf_dir)).select("store", F.to_json("models").alias("models"))
+
+
+def doc_tree(spark, sf_dir):
+    return tree.doc_tree(parts(spark, sf_dir)).select("doc", F.array_join("sections", "|").alias("sections"), F.array_join("fields", "|").alias("fields"))
 
 
 def graph_edges(spark, sf_dir):
-    docs = part_docs(spark, sf_dir)
-    s = sections.sections(docs, ["doc"]).select(F.col("doc").alias("source"), F.col("path").alias("target"), F.lit("has_section").alias("relation"))
-    f = REGISTRY.fields_table(spark).where("model = 'Part'").select("field")
-    return s.unionByName(docs.select(F.col("doc").alias("source")).crossJoin(F.broadcast(f)).select("source", F.col("field").alias("target"), F.lit("has_field").alias("relation")))  # a model's few fields
+    return tree.graph_edges(parts(spark, sf_dir))
+
+
+def links_relative(spark, sf_dir):
+    """Links by paths with ``.`` and ``..``, from folders two deep, and from the working directory."""
+    n = read(spark, sf_dir, "nation")
+    place = F.concat(F.lit("file:/w/r"), F.col("n_regionkey"), F.lit("/n"), F.col("n_nationkey"), F.lit(".md"))
+    text = F.concat(F.lit("[[../r0/./n0.md]] [[r"), F.col("n_regionkey"), F.lit("/n"), F.col("n_nationkey"), F.lit(".md]] [[../../up.md]] [[sub/../n"), F.col("n_nationkey"), F.lit(".md]]"))
+    docs = n.select(F.col("n_name").alias("doc"), place.alias("path"), text.alias("text"))
+    found = links.resolve_links(links.parsed_links(docs, ["doc", "path"]), docs, "file:/w")
+    return found.select("doc", "ord", "resolved", F.coalesce("target_path", F.lit("")).alias("target_path"))
+
+
+def compose_chain(spark, sf_dir):
+    """Each nation includes the next one, the last one includes the first: a chain of all that ends in a cycle."""
+    n = read(spark, sf_dir, "nation")
+    nth = F.concat(F.lit("n"), F.col("n_nationkey"))
+    after = n.select((F.col("n_nationkey") - 1).alias("n_nationkey"), F.col("n_nationkey").alias("next"))
+    rows = n.join(after, "n_nationkey", "left").withColumn("next", F.coalesce("next", F.lit(0)))
+    docs = rows.select(nth.alias("doc"), F.concat(nth, F.lit(".md")).alias("path"), F.concat(F.col("n_nationkey"), F.lit(" ![[n"), F.col("next"), F.lit("]]")).alias("text"))
+    found = links.resolve_links(links.parsed_links(docs, ["doc", "path"]), docs)
+    lists = links.transclusion_lists(found).select("path", F.size("transclusions").cast("long").alias("n"))
+    return links.compose(docs, found).join(lists, "path")
+
+
+def tag_postings(spark, sf_dir):
+    return semantics.tag_postings(_tagged(spark, sf_dir).withColumn("tag", F.substring_index("tag", ".", 3))).withColumn("position", F.col("position").cast("long"))
+
+
+def extract_template(spark, sf_dir):
+    got = extract.extract_with_template(part_docs(spark, sf_dir), PART.template)
+    p = F.try_parse_json("payload_json")
+    return got.select("doc", *[F.try_variant_get(p, f"$.{n}", "string").alias(n) for n in ("p_name", "p_size")], F.col("error").isNull().alias("fine"))
+
+
+def render_template(spark, sf_dir):
+    rows = read(spark, sf_dir, "region").select(F.to_json(F.struct(F.col("r_name").alias("title"), F.array("r_regionkey", F.lit(7)).alias("items"))).alias("payload_json"))
+    return extract.render_with_template(rows, "# ⸢rev•title⸥\n\n- ⸢rev,list•items⸥").select("text")
+
+
+def flatten_deep(spark, sf_dir):
+    """Payloads of mappings 14 deep."""
+    inner = F.concat(F.lit('{"price":'), F.floor("o_totalprice").cast("string"), F.lit("}"))
+    for i in range(13):
+        inner = F.concat(F.lit(f'{{"k{i}":'), inner, F.lit("}"))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", inner.alias("payload_json"))
+    return fields.flatten_payloads(rows, ["o_orderkey"]).select("o_orderkey", "field_path", F.col("value_json").cast("long").alias("value"))
 
 
 def document_parts(spark, sf_dir):
@@ -474,14 +549,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "where_regex": where_query('p_brand ~ "#1[1-3]$"'),
     "where_has": where_query("has(p_name)"),
     "where_doc": where_query('doc ~ "-1.$"'),
-    "where_mistyped": where_query('p_size = "25"'),
+    "where_mistyped": where_query('p_size = "25" or p_size != "25" and p_size = 7'),
+    "where_joined": where_query('not (p_size >= 10 or has(nothing)) and "A" in p_type or p_size = 44'),
     "where_model": where_model,
     **{f.__name__: f for f in (
         select_projection, scope_inheritance, glob_docs_fields, get_value, ls_models_fields, list_extract, table_extract, yaml_extract, payload_flatten, fields_query,
         events_props_flatten, section_paths, about_terms, section_lines, field_ownership, section_fields, search_kinds, search_term, search_semantic, search_regex, search_fuzzy,
         search_where_fields, search_where_sections, tag_index, tag_children, tag_edges, tag_parents, tag_glob, global_tags, local_tags, bridge_tags, links_resolve, recover_depth,
-        compose_docs, composition_refs, hash_text, dup_docs, diagnose, diagnose_rollup, hash_cascade, upsert_latest, untrack_anti, field_clean, field_edit, rebuild_report,
-        decompose_sources, slugs, ignore_rules, drafts_index, manifest_upsert, store_union, store_tree, graph_edges, document_parts, persisted_sections, pages_headings, blocks_count, events_tumbling, last_purchase,
+        compose_docs, composition_refs, hash_text, dup_docs, diagnose, diagnose_rollup, diagnose_benign, store_check, catalog_changes, hash_cascade, field_clean, field_edit, rebuild_report,
+        decompose_sources, slugs, ignore_rules, drafts_index, manifest_upsert, store_union, store_tree, doc_tree, graph_edges, links_relative, compose_chain, tag_postings, extract_template, render_template, flatten_deep, document_parts, persisted_sections, pages_headings, blocks_count, events_tumbling, last_purchase,
     )},
     "deep_get": deep_get_query,
 }
@@ -501,7 +577,8 @@ SQL: dict[str, str] = {
     "where_regex": f"{_PART} WHERE regexp_matches(p_brand, '#1[1-3]$')",
     "where_has": f"{_PART} WHERE p_name IS NOT NULL AND p_name <> ''",
     "where_doc": f"{_PART} WHERE regexp_matches({_DOC}, '-1.$')",
-    "where_mistyped": f"{_PART} WHERE false",
+    "where_mistyped": f"{_PART} WHERE p_size = 7",
+    "where_joined": f"{_PART} WHERE (p_size < 10 AND contains(p_type, 'A')) OR p_size = 44",
     "where_model": f"SELECT {_ADDRESS} AS address FROM part WHERE p_size >= 25",
     "select_projection": f"SELECT {_DOC} AS doc, p_size::BIGINT AS p_size, NULL::VARCHAR AS nothing FROM part WHERE p_size >= 25",
     "scope_inheritance": """
@@ -545,15 +622,19 @@ SQL: dict[str, str] = {
     "search_where_sections": f"""
         WITH s AS (SELECT {_DOC} AS doc, p_name, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part)
         SELECT doc, slug || '/size' AS section_path FROM s UNION ALL SELECT doc, slug FROM s WHERE p_name LIKE 'S%'""",
-    "hash_text": "SELECT doc_id, sha256(text) AS hash_c FROM documents",
+    "hash_text": "SELECT doc_id, sha256(text) AS hash_c, sha256('{\"n\":' || n_chars || '}') AS hash_d FROM documents",
     "dup_docs": "SELECT sha256(text) AS hash_c, count(*)::BIGINT AS n, min(doc_id) AS first_doc FROM documents GROUP BY text HAVING count(*) > 1",
     "diagnose": f"SELECT {_DOC} AS doc, CASE p_partkey % 10 WHEN 1 THEN 'missing' WHEN 2 THEN 'benign_mutation' WHEN 3 THEN 'data_mutation' ELSE 'ok' END AS note FROM part",
     "diagnose_rollup": """
         SELECT 'Part' AS model, count(*)::BIGINT AS docs, (count(*) FILTER (p_partkey % 10 NOT IN (1, 2, 3)))::BIGINT AS ok, (count(*) FILTER (p_partkey % 10 = 2))::BIGINT AS benign,
                (count(*) FILTER (p_partkey % 10 = 3))::BIGINT AS changed, (count(*) FILTER (p_partkey % 10 = 1))::BIGINT AS missing, false AS valid FROM part""",
+    "diagnose_benign": "SELECT 'Part' AS model, count(*)::BIGINT AS docs, 0::BIGINT AS ok, count(*)::BIGINT AS benign, 0::BIGINT AS changed, 0::BIGINT AS missing, true AS valid FROM part",
+    "store_check": """
+        SELECT unnest(['right', 'wrong model', 'wrong root']) AS store, 1::BIGINT AS models, count(*)::BIGINT AS docs, unnest([true, true, false]) AS hash_a_ok, unnest([true, false, false]) AS valid FROM part""",
+    "catalog_changes": f"""
+        SELECT {_DOC} AS doc, CASE WHEN p_brand = 'Brand#11' THEN 'UPDATED' WHEN p_partkey = 1 THEN 'EDITED' ELSE p_type END AS p_type, true AS valid
+        FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 48)""",
     "hash_cascade": "SELECT 2::BIGINT AS stores, 'again,local' AS names UNION ALL SELECT 1, 'changed'",
-    "upsert_latest": "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r = 1",
-    "untrack_anti": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 48)",
     "field_clean": """
         SELECT p_partkey, string_agg(x, '|' ORDER BY i) AS cleaned FROM (
           SELECT p_partkey, x, min(i) AS i FROM (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS x, generate_subscripts(string_split(p_type, ' '), 1) AS i FROM part) GROUP BY ALL)
@@ -577,12 +658,29 @@ SQL: dict[str, str] = {
         FROM o FULL JOIN n ON o.path = n.path""",
     "store_union": f"SELECT CASE WHEN p_partkey % 2 = 0 THEN 'local' ELSE 'child' END AS store, {_MODEL} AS model, count(*)::BIGINT AS n FROM part GROUP BY ALL",
     "store_tree": f"""
-        SELECT 'local' AS store, '[' || string_agg('{{"model":"' || model || '","docs":' || n || ',"first_doc":"' || first_doc || '"}}', ',' ORDER BY model) || ']' AS models
-        FROM (SELECT {_MODEL} AS model, count(*) AS n, min({_DOC}) AS first_doc FROM part GROUP BY 1)""",
+        SELECT 'local' AS store, '[' || string_agg('{{"model":"' || model || '","docs":["' || docs || '"],"fields":[' || fields || ']}}', ',' ORDER BY model) || ']' AS models
+        FROM (SELECT {_MODEL} AS model, string_agg({_DOC}, '","' ORDER BY {_DOC}) AS docs FROM part GROUP BY 1),
+             (SELECT string_agg('{{"name":"' || n || '","kind":"' || k || '","description":"' || d || '"}}', ',' ORDER BY i) AS fields
+              FROM (VALUES (1, 'p_name', 'str', 'Name of the part'), (2, 'p_partkey', 'int', 'Key of the part'), (3, 'p_brand', 'str', 'Brand of the part'), (4, 'p_type', 'str', 'Type of the part'), (5, 'p_size', 'int', 'Size of the part')) t(i, n, k, d))""",
+    "doc_tree": f"""
+        SELECT {_DOC} AS doc, slug || '|' || slug || '/size' AS sections, 'p_brand|p_name|p_partkey|p_size|p_type' AS fields
+        FROM (SELECT *, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part)""",
+    "links_relative": """
+        WITH l AS (SELECT n_name AS doc, n_regionkey AS r, n_nationkey AS n, unnest([0, 1, 2, 3]) AS ord FROM nation),
+        t AS (SELECT doc, ord, CASE ord WHEN 0 THEN 'file:/w/r0/n0.md' WHEN 2 THEN '' ELSE 'file:/w/r' || r || '/n' || n || '.md' END AS target_path FROM l)
+        SELECT doc, ord::INT AS ord, target_path <> '' AS resolved, target_path FROM t""",
+    "compose_chain": """
+        SELECT 'n' || a.n_nationkey || '.md' AS path, count(*)::BIGINT AS n,
+               string_agg(b.n_nationkey || ' ', '' ORDER BY (b.n_nationkey - a.n_nationkey + c) % c) || a.n_nationkey || ' ![[n' || ((a.n_nationkey + 1) % any_value(c)) || ']]' AS composed
+        FROM nation a, nation b, (SELECT count(*) AS c FROM nation) GROUP BY a.n_nationkey""",
+    "extract_template": f"SELECT {_DOC} AS doc, p_name, p_size::VARCHAR AS p_size, true AS fine FROM part",
+    "render_template": "SELECT '# ' || r_name || chr(10) || chr(10) || '- ' || r_regionkey || chr(10) || '- 7' AS text FROM region",
+    "flatten_deep": "SELECT o_orderkey, 'k12.k11.k10.k9.k8.k7.k6.k5.k4.k3.k2.k1.k0.price' AS field_path, floor(o_totalprice)::BIGINT AS value FROM orders",
     "graph_edges": f"""
         WITH s AS (SELECT {_DOC} AS source, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part)
         SELECT source, unnest([slug, slug || '/size', 'p_name', 'p_partkey', 'p_brand', 'p_type', 'p_size']) AS target,
-               unnest(['has_section', 'has_section', 'has_field', 'has_field', 'has_field', 'has_field', 'has_field']) AS relation FROM s""",
+               unnest(['has_section', 'has_section', 'has_field', 'has_field', 'has_field', 'has_field', 'has_field']) AS relation FROM s
+        UNION ALL SELECT {_MODEL}, {_DOC}, 'has_doc' FROM part UNION ALL SELECT DISTINCT 'local', {_MODEL}, 'has_model' FROM part""",
     "document_parts": """
         SELECT unnest(['context', 'structure', 'nodes', 'surface', 'graph', 'context_index']) AS part, unnest([n, 2 * n, 7 * n, 6 * n, 7 * n, 2 * n])::BIGINT AS n FROM (SELECT count(*) AS n FROM part)""",
     "persisted_sections": f"SELECT {_DOC} AS doc, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') || '/size' AS section_path FROM part",
@@ -626,6 +724,8 @@ SQL |= {
         k AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n NULLS FIRST) - 1 AS part, count(*) OVER (PARTITION BY doc) AS parts FROM d)
         SELECT doc, part::INT AS part, title, (length(body) + CASE WHEN part < parts - 1 THEN 1 ELSE 0 END)::BIGINT AS n, 'doc' AS node_type, title AS summary FROM k""",
     "tag_index": f"SELECT tag, count(*)::BIGINT AS n, string_agg(doc, ',' ORDER BY doc) AS docs FROM ({_TAGS}) GROUP BY tag",
+    "tag_postings": f"""
+        SELECT tag, row_number() OVER (PARTITION BY tag ORDER BY doc) - 1 AS position, doc FROM (SELECT array_to_string(string_split(tag, '.')[1:3], '.') AS tag, doc FROM ({_TAGS}))""",
     "tag_children": f"SELECT DISTINCT string_split(tag, '.')[2] AS segment FROM ({_TAGS}) WHERE len(string_split(tag, '.')) > 2",
     "tag_edges": f"""
         SELECT DISTINCT array_to_string(p[1:i], '.') AS parent, array_to_string(p[1:i + 1], '.') AS child
@@ -642,14 +742,15 @@ SQL |= {
         SELECT doc, ord::INT AS ord, target, kind, target <> 'nowhere' AS resolved, CASE WHEN target = 'nowhere' THEN '' WHEN target LIKE 'docs/%' THEN target ELSE 'docs/' || target || '.md' END AS target_path,
                CASE WHEN target = 'nowhere' THEN '' WHEN target LIKE 'docs/%' THEN 'path' ELSE 'store' END AS source FROM k""",
     "recover_depth": """
-        WITH c AS (SELECT 'docs/customer-' || c_custkey || '.md' AS root, c_nationkey AS n, n_regionkey AS r FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 10 = 0)
+        WITH c AS (SELECT 'docs/customer-' || c_custkey || '.md' AS root, c_nationkey AS n, n_regionkey AS r FROM customer JOIN nation ON n_nationkey = c_nationkey)
         SELECT root, unnest([1, 1, 2, 2]::INT[]) AS depth, unnest(['nation-' || n, 'docs/nation-' || n || '.md', 'region-' || r, 'nowhere']) AS target,
                unnest(['link', 'link', 'transclusion', 'link']) AS kind, unnest([true, true, true, false]) AS resolved FROM c""",
     "compose_docs": """
         WITH r AS (SELECT r_regionkey, '# ' || r_name || chr(10) || chr(10) || 'A region.' AS text FROM region)
         SELECT 'docs/region-' || r_regionkey || '.md' AS path, text AS composed FROM r
-        UNION ALL SELECT 'docs/nation-' || n_nationkey || '.md', '# ' || n_name || chr(10) || chr(10) || 'Part of ' || text || ' and of [[nowhere]].' FROM nation JOIN r ON r_regionkey = n_regionkey""",
+        UNION ALL SELECT 'docs/nation-' || n_nationkey || '.md', '# ' || n_name || chr(10) || chr(10) || 'Part of ' || text || ' and of [[nowhere]].' FROM nation JOIN r ON r_regionkey = n_regionkey
+        UNION ALL SELECT 'docs/customer-' || c_custkey || '.md', '# ' || c_name || chr(10) || chr(10) || 'Lives in [[nation-' || c_nationkey || ']], see [[docs/nation-' || c_nationkey || '.md]].' FROM customer""",
     "composition_refs": """
-        SELECT 'region-' || r_regionkey AS doc, coalesce(string_agg('- ' || n_name || ' (' || n_nationkey || ')', chr(10) ORDER BY n_name) FILTER (n_nationkey % 5 <> 0), '') AS composed
+        SELECT 'region-' || r_regionkey AS doc, string_agg('- ' || n_name || ' (' || n_nationkey || ')', chr(10) ORDER BY n_name) AS composed
         FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey""",
 }

@@ -3,14 +3,17 @@
 A change writes whole new generations of its tables beside the old ones, then
 swaps one pointer file by a rename; readers see all of it or none. Files are
 reached through Hadoop's file systems, so a catalog can be in any store that
-Spark writes to. A lock file, made exclusively, keeps writers apart.
+Spark writes to. A lock file, made exclusively, keeps writers apart; it names its
+owner, so that the lock of a writer that died can be taken over.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import socket
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from ..errors import StoreError
 
 SCHEMAS = {
-    "stores": "store string, name string, path string, linked boolean",
-    "models": "store string, model string, version int, family string, field_count int, semantics array<string>, template string",
+    "stores": "store string, name string, path string, linked boolean, hash_a string",
+    "models": "store string, model string, version int, family string, field_count int, semantics array<string>, template string, hash_b string",
     "documents": "store string, model string, doc string, path string, text string, payload_json string, semantic_tags array<string>, hash_c string, hash_d string",
     "sections": "store string, model string, doc string, position int, title string, level int, line_start int, line_end int, body_end int, slug string, path string, breadcrumbs array<string>, parent string, about array<string>",
     "equivalences": "store string, tag string, equal string",
+    "drafts": "model string, spec string",
 }
+#: A lock of another host that is older than this was left behind.
+STALE_S = 24 * 3600
 
 
 class Catalog:
@@ -42,11 +48,7 @@ class Catalog:
     def _pointer(self) -> dict[str, str]:
         if not self.exists():
             raise StoreError(f"no catalog in {self.root}")
-        stream = self._fs().open(self._path("CURRENT"))
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        return json.loads(self._text(self._path("CURRENT")))
 
     def _swap(self, pointer: dict[str, str]) -> None:
         fs, new = self._fs(), self._path(f"CURRENT.{time.time_ns()}")
@@ -60,17 +62,46 @@ class Catalog:
         options[0] = rename.OVERWRITE
         context.rename(fs.makeQualified(new), fs.makeQualified(self._path("CURRENT")), options)
 
+    def _text(self, path) -> str:
+        stream = self._fs().open(path)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _left_behind(self, path) -> bool:
+        """Whether a lock's owner is gone: a dead process of this host, or any that is older than STALE_S."""
+        try:
+            age = time.time() - self._fs().getFileStatus(path).getModificationTime() / 1000
+            owner = json.loads(self._text(path) or "{}")
+        except Exception:  # it was released meanwhile, or is being written
+            return False
+        if owner.get("host") == socket.gethostname():
+            try:
+                os.kill(int(owner["pid"]), 0)
+            except ProcessLookupError:
+                return True
+            except PermissionError:
+                pass
+        return age > STALE_S
+
     @contextmanager
     def lock(self, wait_s: float = 0) -> Iterator[None]:
-        """Hold the catalog's lock; without waiting, a held lock is an error at once."""
+        """Hold the catalog's lock; without waiting, a held lock is an error at once. A lock left behind is taken over."""
         fs, path, until = self._fs(), self._path("LOCK"), time.monotonic() + wait_s
         while True:
             try:
-                fs.create(path, False).close()
+                stream = fs.create(path, False)
+                stream.write(bytearray(json.dumps({"host": socket.gethostname(), "pid": os.getpid()}).encode()))
+                stream.close()
                 break
             except Exception as e:
                 if not fs.exists(path):
                     raise StoreError(f"can't lock {self.root}: {e}") from e
+                if self._left_behind(path):
+                    # of several that see it, one renames it away
+                    if fs.rename(path, self._path(f"LOCK.{os.getpid()}.{time.time_ns()}")):
+                        continue
                 if time.monotonic() >= until:
                     raise StoreError(f"{self.root} is locked") from e
                 time.sleep(0.05)
@@ -82,29 +113,40 @@ class Catalog:
     def init(self, force: bool = False) -> None:
         if self.exists() and not force:
             raise StoreError(f"{self.root} has a catalog")
-        local = self.spark.createDataFrame([("local", "local", self.root, False)], SCHEMAS["stores"])
+        local = self.spark.createDataFrame([("local", "local", self.root, False, "")], SCHEMAS["stores"])
         empty = {n: self.spark.createDataFrame([], s) for n, s in SCHEMAS.items()}
         self._write(empty | {"stores": local}, {})
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{self._pointer()[name]}")
+        return self._at(self._pointer(), name)
+
+    def _at(self, pointer: dict[str, str], name: str) -> DataFrame:
+        """A table of a generation; one that older catalogs lack is empty."""
+        if name not in pointer:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{pointer[name]}")
 
-    def _write(self, tables: dict[str, DataFrame], pointer: dict[str, str]) -> None:
+    def _write(self, tables: dict[str, DataFrame | Callable], pointer: dict[str, str]) -> None:
         for name, df in tables.items():
             place = f"{name}/{time.time_ns()}"
+            if callable(df):
+                df = df(lambda n, pointer=pointer: self._at(pointer, n))
             out = df.select(*[c.strip().split()[0] for c in SCHEMAS[name].split(", ")])
             out.write.parquet(f"{self.root}/{place}")
             pointer = pointer | {name: place}
         self._swap(pointer)
 
-    def write(self, **tables: DataFrame) -> None:
-        """New generations of the named tables, visible together. Hold the lock."""
+    def write(self, **tables: DataFrame | Callable) -> None:
+        """New generations of the named tables, visible together. Hold the lock.
+
+        A table can be a function of a reader, which sees the tables written before it.
+        """
         self._write(tables, self._pointer())
 
     def vacuum(self) -> None:
         """Delete generations that the pointer no longer names."""
         fs, kept = self._fs(), set(self._pointer().values())
-        for name in SCHEMAS:
+        for name in [n for n in SCHEMAS if fs.exists(self._path(n))]:
             for x in fs.listStatus(self._path(name)):
                 if f"{name}/{x.getPath().getName()}" not in kept:
                     fs.delete(x.getPath(), True)

@@ -1,5 +1,8 @@
+import hashlib
 import json
+import os
 import re
+import socket
 from collections import Counter
 
 import pytest
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from quire import cli
 from quire.errors import EditError, ModelError, StoreError, TemplateError, ValidationError
 from quire.functions import text
-from quire.operators import extract, fields, ingest, integrity, library, links, search, sections, semantics
+from quire.operators import extract, fields, ingest, integrity, library, links, search, sections, semantics, tree
 from quire.operators.changes import Changes
 from quire.plans import templates
 from quire.plans.addresses import parse_address
@@ -19,7 +22,7 @@ from quire.plans.models import Field, Model, Registry, model_tags
 from quire.plans.predicates import PredicateError
 from quire.sources.blocks import parse_blocks, split_cells, with_blocks
 from quire.sources.catalog import Catalog
-from quire.sources.files import read_documents
+from quire.sources.files import raw_documents, read_documents, read_manifest, write_documents
 from quire.streaming.files import document_stream, ingest_available, tumbling_counts
 
 GUIDE = Model(
@@ -318,9 +321,24 @@ def test_integrity(spark):
     roll = integrity.diagnosis_rollup(notes).first()
     assert (roll.docs, roll.ok, roll.benign, roll.changed, roll.missing, roll.valid) == (4, 1, 1, 1, 1, False)
     models = integrity.model_hashes(tracked)
-    fine = integrity.diagnosis_rollup(integrity.diagnose(tracked, df))
-    assert integrity.store_valid(fine, models, models).first().valid
-    assert not integrity.store_valid(fine, models.withColumn("hash_b", F.lit("x")), models).first().valid
+    stores = integrity.store_hashes(models)
+
+    def report(now, models=models, stores=stores):
+        by_model = integrity.diagnose_models(integrity.diagnose(tracked, now), tracked, models)
+        m, s = by_model.first(), integrity.diagnose_store(by_model, models, stores).first()
+        return m.valid, m.hash_b_ok, s.hash_a_ok, s.valid
+
+    benign = df.withColumn("text", F.when(F.col("doc") == "d1", "other").otherwise(F.col("text")))
+    assert report(df) == report(benign) == (True, True, True, True)
+    assert report(df.where("doc <> 'd0'")) == (False, True, True, False) and report(now) == (False, True, True, False)
+    tampered = models.withColumn("hash_b", F.lit("x"))
+    assert report(df, tampered) == (True, False, False, False)
+    assert report(df, tampered, integrity.store_hashes(tampered)) == (True, False, True, False)
+    assert report(df, models, stores.withColumn("hash_a", F.lit("x"))) == (True, True, False, False)
+    nothing = models.limit(0).unionByName(spark.createDataFrame([("local", "Empty", "")], models.schema))
+    assert integrity.diagnose_models(integrity.diagnose(tracked.limit(0), df), tracked.limit(0), nothing).first().asDict() == {"store": "local", "model": "Empty", "docs": 0, "ok": 0, "benign": 0, "changed": 0, "missing": 0, "valid": True, "hash_b_ok": True}
+    moved = tracked.withColumn("hash_c", F.when(F.col("doc") == "d1", "x").otherwise(F.col("hash_c")))
+    assert integrity.model_hashes(moved).first().hash_b != models.first().hash_b == integrity.model_hashes(tracked.repartition(3)).first().hash_b
     assert integrity.changed_docs(now, tracked.select("store", "model", "doc", "hash_c")).count() == 2
 
 
@@ -448,3 +466,147 @@ def test_compose_deep_chains_and_cycles(spark):
 def test_descendants_at_any_depth(spark):
     edges = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(36)] + [("t36", "t0")], "parent string, child string")
     assert semantics.descendants(edges, "t0").count() == 37
+
+
+def test_flattening_goes_to_any_depth(spark):
+    deep, path = "1", ".".join(f"k{i}" for i in range(30))
+    for i in reversed(range(30)):
+        deep = json.dumps({f"k{i}": json.loads(deep)})
+    df = spark.createDataFrame([(1, deep), (2, '{"a":"{","l":[{"x":{"y":1}}]}'), (3, "{}")], "i int, payload_json string")
+    got = {(r.i, r.field_path, r.value_json) for r in fields.flatten_payloads(df, ["i"]).collect()}
+    assert got == {(1, path, "1"), (2, "a", '"{"'), (2, "l", '[{"x":{"y":1}}]')}
+
+
+def test_predicates_join(lib):
+    assert names(lib.find("st.{Guide+}", 'status = "accepted" or coverage <= 88'), "doc") == ["local-special", "readme"]
+    assert names(lib.find("st.{Guide+}", 'not status = "accepted" and (coverage >= 1 or has(nothing))'), "doc") == ["local-special"]
+    for bad in ("", "and", "(coverage = 1", 'status = ""', "coverage = 1.", 'status = "a', "coverage == 1", "model <= 3 x", "has()", "coverage & 1"):
+        with pytest.raises(PredicateError):
+            lib.find("st.{Guide}", bad or "()")
+
+
+def test_odd_addresses():
+    for bad in ("", "st.", "st.A", "st.{}", "st.{A", "st.{A}x", "st.{A}.", "st.{A}.d.", "st.{A++}", "st.{+}", "st.{A{B}}", "se.", "gse.", "xx.a"):
+        with pytest.raises(StoreError):
+            parse_address(bad)
+    assert parse_address("st.{A}.d").doc == "d" and parse_address("gse.a.se.{}").root == "gse" and parse_address("gse.a.se.b.se.{x}").tag == "a.se.b"
+
+
+def test_paths_and_relative_links(spark):
+    paths = {"a/./b//c.md": "a/b/c.md", "a/b/../../c.md": "c.md", "../x": "../x", "../../x/..": "../..", "/a/../../b": "/b", "file:///a/b/../c.md": "file:/a/c.md", "hdfs://h/a/../b": "hdfs://h/b", "": ""}
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert [r[0] for r in df.select(text.normal_path(F.col("p"))).collect()] == list(paths.values())
+    rows = [("one", "file:///w/docs/one.md", "[[../top.md]] [[./sub/../two.md]] [[docs/two.md]] [[/w/top.md]] [[../../up.md]]"), ("two", "file:///w/docs/two.md", ""), ("t", "file:///w/top.md", "![[docs/one.md]]")]
+    docs = spark.createDataFrame(rows, "doc string, path string, text string")
+    found = links.resolve_links(links.parsed_links(docs, ["doc", "path"]), docs, "file:///w").collect()
+    assert {(r.doc, r.target): r.target_path and r.target_path.rpartition("/")[2] for r in found} == {("one", "../top.md"): "top.md", ("one", "./sub/../two.md"): "two.md", ("one", "docs/two.md"): "two.md", ("one", "/w/top.md"): None, ("one", "../../up.md"): None, ("t", "docs/one.md"): "one.md"}
+    cycle = spark.createDataFrame([("a", "a.md", "![[b]] ![[b]]"), ("b", "b.md", "![[a]] ![[gone]] [[c]]"), ("c", "c.md", "![[a]]"), ("d", "d.md", "")], "doc string, path string, text string")
+    lists = links.transclusion_lists(links.resolve_links(links.parsed_links(cycle, ["doc", "path"]), cycle)).collect()
+    assert {r.path: (r.transclusions, r.unresolved) for r in lists} == {p: (["a", "b"], ["gone"]) for p in ("a.md", "b.md", "c.md")}
+
+
+def test_templates_alone(spark):
+    template = "# ⸢rev•title⸥\n\n| A | B |\n| - | - |\n| ⸢rev•rows⸥ | ⸢rev•b⸥ |\n\n- ⸢rev,list•items⸥\n\nBy ⸢render•author⸥"
+    text_ = "# T\n\n| A | B |\n| - | - |\n| 1 | 2 |\n\n- p\n- q\n\nBy Ann"
+    got = extract.extract_with_template(spark.createDataFrame([(text_,)], "text string"), template).first()
+    assert json.loads(got.payload_json) == {"title": "T", "rows": [{"rows": "1", "b": "2"}], "items": ["p", "q"]} and got.error is None
+    payload = {"title": "T", "rows": {"10": {"rows": "c", "b": "3"}, "9": {"rows": "b", "b": "2"}, "x": {"rows": "d", "b": "4"}, "1": {"rows": "a", "b": "1"}}, "items": ["p"], "author": "Ann"}
+    out = extract.render_with_template(spark.createDataFrame([(json.dumps(payload),)], "payload_json string"), template).first().text
+    assert [x for x in out.split("\n") if x.startswith("| ")][2:] == ["| a | 1 |", "| b | 2 |", "| c | 3 |", "| d | 4 |"] and out.endswith("By Ann")
+
+
+def test_trees(spark, lib):
+    stores = {r.store: [(m.model, m.docs, [f.name for f in m.fields]) for m in r.models] for r in tree.tree_of(lib).collect()}
+    fields_of = ["title", "status", "coverage", "abstract", "semantic_tags"]
+    assert stores == {"child": [("SpecialGuide", ["special"], fields_of)], "local": [("Guide", ["readme"], fields_of), ("Note", ["note"], ["title", "body"]), ("SpecialGuide", ["local-special"], fields_of)]}
+    assert tree.tree_of(lib, "models/Note").first().docs == ["note"]
+    doc = tree.tree_of(lib, "docs/readme").first()
+    assert doc.sections == ["project-guide", "project-guide/abstract", "project-guide/tags"] and doc.fields == sorted(fields_of)
+    assert tree.tree_of(lib, "fields/readme/title").first().value == '"Project Guide"'
+    with pytest.raises(StoreError):
+        tree.tree_of(lib, "docs/nobody")
+    assert Counter(r.relation for r in tree.graph_edges(lib).collect()) == {"has_model": 4, "has_doc": 4, "has_section": 10, "has_field": 17}
+
+
+def test_tag_postings(spark):
+    rows = [(f"d{i:03}", "all") for i in range(200)] + [(f"d{i:03}", f"t{i % 3}") for i in range(50)] + [("d001", "all")]
+    tags = spark.createDataFrame(rows, "doc string, tag string").repartition(7)
+    got = {}
+    for r in semantics.tag_postings(tags).orderBy("tag", "position").collect():
+        got.setdefault(r.tag, []).append((r.position, r.doc))
+    assert got == {t: list(enumerate(sorted(d for d, x in rows if x == t))) for t in ("all", "t0", "t1", "t2")}
+
+
+def test_raw_sources_and_manifests(spark, tmp_path):
+    for name in ("a.md", "sub/b.md", ".hidden/c.md", "build/d.md", "e.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    got = {r.path: r.hash for r in raw_documents(spark, str(tmp_path), [("build/", "built")]).collect()}
+    assert got == {n: hashlib.sha256(n.encode()).hexdigest() for n in ("a.md", "sub/b.md")}
+    assert read_manifest(spark, str(tmp_path / "none.csv")).count() == 0
+    (tmp_path / "m.csv").write_text("path,content_hash,status,created\na.md,h,new,t0\n")
+    assert read_manifest(spark, str(tmp_path / "m.csv")).first().content_hash == "h"
+    docs = docs_of(spark, ("local", "A", "same", "x"), ("local", "B", "same", "y"))
+    write_documents(docs, str(tmp_path / "out"))
+    assert {(r.model, r.value) for r in spark.read.text(str(tmp_path / "out"), wholetext=True).collect()} == {("A", "x\n"), ("B", "y\n")}
+
+
+def test_locks_left_behind(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "c"))
+    catalog.init()
+    lock = tmp_path / "c" / "LOCK"
+    lock.write_text(json.dumps({"host": socket.gethostname(), "pid": os.getpid()}))
+    with pytest.raises(StoreError), catalog.lock():
+        pass
+    for left in ({"host": socket.gethostname(), "pid": 2**22 + 1}, {"host": "elsewhere", "pid": 1}):
+        lock.unlink(missing_ok=True)
+        (tmp_path / "c" / ".LOCK.crc").unlink(missing_ok=True)
+        lock.write_text(json.dumps(left))
+        os.utime(lock, (1, 1))
+        with catalog.lock():
+            assert lock.exists()
+        assert not lock.exists()
+
+
+def test_checks_on_the_command_line(spark, tmp_path, capsys):
+    spec = tmp_path / "models.yaml"
+    spec.write_text("name: Memo\ntemplate: |\n  # ⸢rev•title⸥\n\n  By ⸢rev•author⸥\nfields:\n  title: {description: Title}\n  author: {description: Author}\n")
+
+    def run(*a):
+        code = cli.main(["--catalog", str(tmp_path / "c"), "--models", str(spec), *a], spark)
+        return code, capsys.readouterr().out
+
+    assert run("stores", "init")[0] == 0 and run("models", "add", "Memo")[0] == 0
+    assert run("stores", "check") == (0, "PASS local\nPASS local/Memo (docs 0, ok 0, benign 0, changed 0, missing 0)\n")
+    for name in ("one", "two", "three"):
+        assert run("docs", "create", "Memo", name, f"{{title: {name}, author: Ann}}", "--out", str(tmp_path / "docs"))[0] == 0
+    assert run("docs", "create", "Memo", "kept", "{title: k, author: Bo}")[0] == 0
+    assert run("stores", "check") == (0, "PASS local\nPASS local/Memo (docs 4, ok 4, benign 0, changed 0, missing 0)\n")
+    file = tmp_path / "docs" / "one.md"
+    (tmp_path / "docs" / ".one.md.crc").unlink(missing_ok=True)
+    file.write_text(file.read_text().replace("\n\n", "\n\n\n"))
+    assert run("stores", "check") == (0, "PASS local\nPASS local/Memo (docs 4, ok 3, benign 1, changed 0, missing 0)\n")
+    (tmp_path / "docs" / "two.md").unlink()
+    (tmp_path / "docs" / ".three.md.crc").unlink(missing_ok=True)
+    (tmp_path / "docs" / "three.md").write_text("# other\n\nBy Ann\n")
+    assert run("stores", "check") == (1, "FAIL local\nFAIL local/Memo (docs 4, ok 1, benign 1, changed 1, missing 1)\n")
+    code, out = run("--format", "json", "stores", "check")
+    assert code == 1 and json.loads(out)["model_reports"][0]["missing"] == 1 and json.loads(out)["hash_a_ok"]
+    catalog = Catalog(spark, str(tmp_path / "c"))
+    catalog.write(models=catalog.read("models").withColumn("hash_b", F.lit("x")))
+    assert not json.loads(run("--format", "json", "stores", "check")[1])["model_reports"][0]["hash_b_ok"]
+    assert run("models", "update", "Memo", "--bump")[0] == 0 and catalog.read("models").first().version == 2
+    assert run("models", "edit", "Memo", "--add", "{name: more, description: More, optional: true}")[0] == 0
+    assert "more" in run("models", "drafts")[1] and "more" in run("models", "edit", "Memo")[1]
+    assert run("models", "edit", "Memo", "--promote")[0] == 0 and run("models", "drafts")[1] == ""
+    assert run("find", "kept", "--type", "doc", "--select", "name")[1] == "kept\n" == run("find", "kept", "--global", "--rebuild", "--type", "doc", "--select", "name")[1]
+    assert "title: k" in run("--format", "yaml", "legacy", "get", "st.{Memo}.kept")[1] or run("legacy", "get", "st.{Memo}.kept.title")[1] == '"k"\n'
+    assert run("help", "exit")[0] == 0 and run("help", "nothing")[0] == 1
+    assert run("ast", "show", "docs/kept")[0] == 0 and run("ast", "show", "stores")[0] == 0
+    (tmp_path / "t.md").write_text("# ⸢rev•title⸥\n")
+    (tmp_path / "d.md").write_text("# Hello\n")
+    assert run("extract-template", str(tmp_path / "t.md"), str(tmp_path / "d.md"))[1].startswith('{"title":"Hello"}')
+    assert run("render-template", str(tmp_path / "t.md"), "{title: Bye}")[1] == "# Bye\n"
+    (tmp_path / "catalog").mkdir()
+    (tmp_path / "catalog" / "CURRENT").write_text("{}")
+    assert cli.find_catalog(str(tmp_path / "docs")) == str(tmp_path / "catalog")
