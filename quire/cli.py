@@ -261,9 +261,12 @@ class Commands:
             text = row.select(extract.render_column(m, F.col("payload")).alias("text"), "store", "doc")
             if not extract.validate_docs(text, m).where("not valid").isEmpty():
                 raise QuireError("the payload doesn't survive the round trip")
-            path = write_document(self.spark, f"{self.args.out.rstrip('/')}/{self.args.name}.md", text.first().text)
-            row = row.withColumn("path", F.lit(path))
-        self.changes.create(row, self.args.model)
+            made = text.first().text
+            path = write_document(self.spark, f"{self.args.out.rstrip('/')}/{self.args.name}.md", made)
+            file = self.spark.createDataFrame([("local", self.args.name, path, made + "\n")], "store string, doc string, path string, text string")
+            self.changes.track(file, self.args.model)
+        else:
+            self.changes.create(row, self.args.model)
 
     def docs_update(self) -> None:
         self.changes.update(self._row().drop("path"), self.args.model)
