@@ -47,8 +47,8 @@ AUDIT_ROWS, AUDIT_RECALL = 2000, 0.97
 SETTLED = 0.05
 #: Members of a part of a pivot's neighbours.
 AROUND = 512
-#: Members of a block of a component: 128, or more if that makes over 24 blocks, but 1024 at most.
-BLOCK, BLOCKS, MOST = 128, 24, 1024
+#: Members of a block of a component: 64, or more if that makes over 24 blocks, but 1024 at most.
+BLOCK, BLOCKS, MOST = 64, 24, 1024
 
 EDGE, EDGE_NAMES, EDGE_KINDS = "src long, dst long, sim float", ["src", "dst", "sim"], [pa.int64(), pa.int64(), pa.float32()]
 
