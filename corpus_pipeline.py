@@ -18,16 +18,20 @@ from quire.llm.line_dedup import drop_recurring_lines
 from quire.llm.mixing import mix, thresholds, word_count
 from quire.llm.near_dup import near_duplicates
 from quire.llm.packing import pack_documents
-from quire.llm.quality import quality_filter
+from quire.llm.quality import RULES, few_words, quality_filter
+
+
+#: Rules of the first stage: those of the operator, but that short documents stay if they have a shingle's words.
+QUALITY = (few_words(5), *RULES[1:])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
-    return quality_filter(docs)
+    """Documents that no quality rule rejects. A null or empty text has too few words; of repeated rows all stay or all go."""
+    return quality_filter(docs, QUALITY)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their recurring lines; n_chars follows the text."""
+    """All documents, without their recurring lines; n_chars follows the text. Nulls stay; repeated rows count as one text."""
     return drop_recurring_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -38,7 +42,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once or twice."""
+    """Documents as often as the mix takes them: not at all, once or twice. A null source is one, a null text has size 0; repeated rows are taken alike, but for those at the threshold."""
     prepare(spark)
     size = word_count(F.col("text"))
     sized = cut(docs.select("doc_id", "source", size.alias("size")))
@@ -47,7 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' ids, each with its place in a training sequence."""
+    """Pieces of the documents' ids, each with its place in a training sequence. A null text is the end id alone; repeated rows are documents of their own."""
     carry = ["doc_id", "piece", "start", F.crc32("ids").alias("ids_crc32")]
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), carry=carry)
 
@@ -65,7 +69,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to ``documents``, each one's result written to the shared folder and read again."""
+    """Apply STAGES to ``documents``, each one's result written to the shared folder and read again. An empty table gives an empty result."""
     prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, small
+from .common import cut, prepare, small, unused
 
 WEIGHTS = (3, 1, 2)
 #: The mix has SHARE_HALVES / 2 times all sizes; a source is taken MOST times at most.
@@ -37,9 +37,14 @@ def source_targets(sources: DataFrame) -> DataFrame:
     Sources whose weighted share is above MOST times their size stop there, and
     the rest is shared again, until none is above; each round is one aggregate.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(order) - 1) % len(WEIGHTS)
-    ranked = cut(sources.withColumn("w", F.element_at(F.array(*map(F.lit, WEIGHTS)), (turn + 1).cast("int")).cast("long")))
+    # ranks by ranges of sources: in a range by a window, before it by the ranges' counts
+    dealt = cut(sources.repartitionByRange(F.col("source").isNull(), "source").withColumn("_part", F.spark_partition_id()))
+    counts = sorted(dealt.groupBy("_part").agg(F.count("*")).collect())  # one row a range
+    before = dealt.sparkSession.createDataFrame([(p, sum(n for q, n in counts if q < p)) for p, _ in counts], "_part int, _before long")
+    order = Window.partitionBy("_part").orderBy(F.col("source").asc_nulls_last())
+    turn = (F.col("_before") + F.row_number().over(order) - 1) % len(WEIGHTS)
+    ranked = dealt.join(F.broadcast(before), "_part").withColumn("w", F.element_at(F.array(*map(F.lit, WEIGHTS)), (turn + 1).cast("int")).cast("long"))
+    ranked = cut(ranked.drop("_part", "_before"))
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     full, num, weight = F.lit(False), 0, 1
     seen = None
@@ -56,9 +61,10 @@ def source_targets(sources: DataFrame) -> DataFrame:
 
 def _with_source(df: DataFrame, state: DataFrame) -> DataFrame:
     """``df`` with the columns of ``state`` for its source; null sources meet."""
+    (name,) = unused(df, "key")
     key = F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))
-    side = state.withColumn("_s", key).drop("source")
-    return df.withColumn("_s", key).join(small(side), "_s").drop("_s")
+    side = state.withColumn(name, key).drop("source")
+    return df.withColumn(name, key).join(small(side), name).drop(name)
 
 
 def thresholds(sized: DataFrame) -> DataFrame:
@@ -66,13 +72,21 @@ def thresholds(sized: DataFrame) -> DataFrame:
 
     ``whole`` copies of each document, one more below hash ``star``: these sum to
     ``below``, and the documents at ``star`` reach over ``budget``. Costs one
-    histogram a level, over the rows of the boundary buckets alone.
+    histogram a level, over the rows of the boundary buckets alone. A null source
+    is a source, a null id hashes as such, a null size counts as 0; an empty
+    table has no sources; repeated rows count each.
     """
     prepare(sized.sparkSession)
-    rows = cut(sized.select("source", F.col("size").cast("long").alias("size"), mix_hash(F.col("doc_id")).alias("h")))
+    rows = cut(sized.select("source", F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"), mix_hash(F.col("doc_id")).alias("h")))
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     state = targets.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
+    return thresholds_of(rows, state, hashed=True)
+
+
+def thresholds_of(sized: DataFrame, state: DataFrame, hashed: bool = False) -> DataFrame:
+    """``state`` (source, source_size, target, whole, budget) with star and below, by histograms over ``sized``; see ``thresholds``."""
+    rows = sized if hashed else cut(sized.select("source", F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"), mix_hash(F.col("doc_id")).alias("h")))
     state = cut(state.withColumn("star", F.lit(0).cast("long")).withColumn("below", F.lit(0).cast("long")))
     fixed = ["source_size", "target", "whole", "budget"]
     for level in range(1, HASH_BITS // LEVEL_BITS + 1):
@@ -97,14 +111,16 @@ def mix(docs: DataFrame, state: DataFrame, size: Column) -> DataFrame:
     Documents below their source's threshold get one copy more. Of those at the
     threshold, mostly one, as many get it as bring the sum nearest to the budget,
     smaller sizes first. Nulls: a null source is a source, a null id hashes as
-    such. Repeated rows have one hash, and share it if it is the threshold.
+    such. Repeated rows have one hash, and share it if it is the threshold. Texts
+    count whole, however long; an empty table stays empty.
     Columns of ``docs`` that have a result's name are replaced; others pass through.
     """
     docs = docs.drop("source_size", "target", "copies", "whole", "budget", "star", "below")
-    rows = _with_source(docs.withColumn("_h", mix_hash(F.col("doc_id"))), state)
-    clear = rows.where("_h <> star").withColumn("copies", F.col("whole") + (F.col("_h") < F.col("star")).cast("long"))
-    edge = rows.where("_h = star").withColumn("_size", size)
-    ahead = Window.partitionBy("source").orderBy("_size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("budget") - F.col("below") - F.coalesce(F.sum("_size").over(ahead), F.lit(0))
-    edge = edge.withColumn("copies", F.col("whole") + (2 * left > F.col("_size")).cast("long")).drop("_size")
-    return clear.unionByName(edge).drop("_h", "star", "below", "whole", "budget")
+    h, own = unused(docs, "hash", "size")
+    rows = _with_source(docs.withColumn(h, mix_hash(F.col("doc_id"))), state)
+    clear = rows.where(F.col(h) != F.col("star")).withColumn("copies", F.col("whole") + (F.col(h) < F.col("star")).cast("long"))
+    edge = rows.where(F.col(h) == F.col("star")).withColumn(own, F.coalesce(size, F.lit(0)))
+    ahead = Window.partitionBy("source").orderBy(own, "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("budget") - F.col("below") - F.coalesce(F.sum(own).over(ahead), F.lit(0))
+    edge = edge.withColumn("copies", F.col("whole") + (2 * left > F.col(own)).cast("long")).drop(own)
+    return clear.unionByName(edge).drop(h, "star", "below", "whole", "budget")

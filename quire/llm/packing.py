@@ -199,5 +199,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, carry: list[Column | str]
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, carry: list[Column | str] | None = None) -> DataFrame:
-    """Tokenise ``docs`` and pack the pieces; the ids themselves are carried unless ``carry`` says otherwise."""
+    """Tokenise ``docs`` (doc_id, text, …) and pack the pieces; the ids themselves are carried unless ``carry`` says otherwise.
+
+    A null or empty text is one piece that holds ``end_id`` alone; a long one is
+    cut into pieces of ``capacity`` ids; a null id is kept. Repeated rows are
+    documents of their own; an empty table gives an empty result; other columns
+    are ignored. The plan is broadcast: some rows for each length up to
+    ``capacity``, whatever the number of documents.
+    """
     return pack(tokenized_pieces(docs, tokenizer, capacity, end_id), capacity, carry)

@@ -8,31 +8,49 @@ first asks for them. The order changes what a run costs, never what it decides.
 
 from __future__ import annotations
 
+import re
 import time
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import mixed, prepare, word_hashes
 
 #: Rows on which rules are timed, about this many at any size of the input. Only the order depends on them.
 SAMPLE_ROWS = 2_000
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of a text that are split into words at a time.
+PART = 1 << 20
+
+
 class Measures:
-    """Measures of one text, each taken on demand. Words end at ASCII white space."""
+    """Measures of one text, each taken on demand. Words end at ASCII white space.
+
+    Words are kept as 64-bit hashes, 8 bytes each, so that a long text costs
+    little beside itself.
+    """
 
     def __init__(self, text: str | None):
         self.text = text or ""
 
     @cached_property
-    def words(self) -> list[bytes]:
-        return self.text.encode().split()
+    def words(self) -> np.ndarray:
+        raw, hashes, parts, at = self.text.encode(), word_hashes(), [], 0
+        while at < len(raw):
+            space = _SPACE.search(raw, at + PART)
+            end = space.start() if space else len(raw)
+            own = (raw if at == 0 and end == len(raw) else raw[at:end]).split()
+            parts.append(np.fromiter(map(hashes.__getitem__, own), np.uint64, len(own)))
+            at = end
+        return np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.empty(0, np.uint64)
 
     @cached_property
     def n_words(self) -> int:
@@ -61,16 +79,16 @@ class Measures:
     @cached_property
     def n_repeat_words(self) -> int:
         w = self.words
-        windows = list(zip(w, w[1:], w[2:]))
-        seen = set(windows)
-        if len(seen) == len(windows):
+        if len(w) < 4:
             return 0
-        count, total, covered = Counter(windows), 0, 0
-        for i, x in enumerate(windows):
-            if count[x] > 1:
-                total += i + 3 - max(i, covered)
-                covered = i + 3
-        return total
+        windows = mixed(mixed(mixed(w[:-2]) + w[1:-1]) + w[2:])
+        order = np.argsort(windows)
+        equal = windows[order[1:]] == windows[order[:-1]]
+        if not equal.any():
+            return 0
+        again = np.zeros(len(w) + 1, np.int8)
+        again[order[1:][equal]] = again[order[:-1][equal]] = 1
+        return int(np.count_nonzero(again[:-1] | np.roll(again, 1)[:-1] | np.roll(again, 2)[:-1]))
 
 
 @dataclass(frozen=True)
@@ -79,8 +97,12 @@ class Rule:
     rejects: Callable[[Measures], bool]
 
 
+def few_words(least: int) -> Rule:
+    return Rule("few_words", lambda m: m.n_words < least)
+
+
 BASE_RULES = (
-    Rule("few_words", lambda m: m.n_words < 50),
+    few_words(50),
     Rule("repeated_words", lambda m: 100 * m.n_repeat_words > 50 * m.n_words),
 )
 RULES = (
@@ -124,8 +146,9 @@ def first_rejection(text: str | None, rules: tuple[Rule, ...]) -> str | None:
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with all their columns.
 
-    A null text counts as empty, and so has too few words. Repeated rows are
-    judged alike; an empty table stays empty; other columns pass through.
+    A null text counts as empty, and so has too few words. Texts are judged
+    whole, however long; of equal ones all rows stay or all go. An empty table
+    stays empty; columns of any name pass through.
     """
     prepare(docs.sparkSession)
     order = rule_order(docs, rules, text_col, sample_rows)
@@ -143,7 +166,10 @@ def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
     """One row per row of ``docs``: its id, the measures, base_failed, kept and rejected_by.
 
     rejected_by is the rule of the cascade that rejected first (null if kept);
-    which of several it is depends on the order. A null text has no words.
+    which of several it is depends on the order. A null text has no words; texts
+    are measured whole. Repeated rows have a row each; an empty table gives an
+    empty result; other columns are ignored. All measures are taken, so the
+    order of rules saves little here.
     """
     prepare(docs.sparkSession)
     order = rule_order(docs, rules, text_col, sample_rows)

@@ -100,7 +100,14 @@ def piece_counts(shared: Broadcast) -> PieceCounts:
 
 
 def count_tokens(docs: DataFrame, vocab: list[tuple[str, float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens) for each row of ``docs``; null and empty texts have none. Repeated rows are counted alike."""
+    """(doc_id, n_tokens) for each row of ``docs`` (doc_id, text, …).
+
+    Null and empty texts have none; texts are counted whole, however long; a
+    null id is kept. Repeated rows are counted alike; an empty table gives an
+    empty result; other columns are ignored. A text is cut at each space, as a
+    tokenizer with ``split`` does, so pieces with a space after their first
+    character (runs of spaces in some vocabularies) are never used.
+    """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocab)  # a vocabulary's size doesn't follow the data
 

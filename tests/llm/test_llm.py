@@ -124,6 +124,7 @@ def test_token_counts(spark, hard_rows):
     rows = [*hard_rows, (900, "  two  spaces \n▁mark ▁ 😀é中 <s> <0x0A>", "a"), (901, "▁", "a"), (902, "x" * 3000, "a")]
     got = token_counts.count_tokens(docs_of(spark, rows), vocab)
     assert Counter(map(tuple, got.collect())) == Counter((d, len(whole.encode(t or "").ids)) for d, t, _ in rows)
+    assert token_counts.count_tokens(docs_of(spark, []), vocab).count() == 0
 
 
 # near duplicates
@@ -508,7 +509,7 @@ def test_url_filters(spark):
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("a.example.net", "/en/x", "block"), ("example.net", "/en/", "block"), ("x-y.net", "/", "allow"), ("NET", "/zz", "allow"), (None, "/", "block"), ("b.c", None, "block")]
     hosts = ["net", "example.net", "A.Example.NET", "a.b.example.net", "example.com", "www.example.com", "fr.org", "org", "notexample.net", "xnet", "x-y.net", "q.x-y.net", "net.com", "", "example.net:80", "example.net.", ".net"]
     paths = ["", "/", "/en/", "/en/x/1", "/de/a?b=/fr/", "/fr/", "?q", "#f", "/zz/1", "/EN/"]
-    urls = [f"https://{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(900)] + ["https://hot.net/en/1"] * 500 + [None, "", "net/en/", "a://b://net/", "://net/", "x://net\n/en/"]
+    urls = [f"https://{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(900)] + ["https://example.net/en/" + "x" * 2_000_000, "https://" + "a." * 300_000 + "org/fr/"] + ["https://hot.net/en/1"] * 500 + [None, "", "net/en/", "a://b://net/", "://net/", "x://net\n/en/"]
     usable = [r for r in rules if None not in r]
 
     def judge(url):
@@ -658,8 +659,31 @@ def test_mixing(spark, hard_rows):
 def test_larger_budgets_take_supersets(spark):
     rng = random.Random(15)
     sized = spark.createDataFrame([(i, rng.choice("ab"), rng.randrange(1, 50)) for i in range(500)], "doc_id long, source string, size long")
-    state = mixing.thresholds(sized).collect()
-    assert all(r.below <= r.budget for r in state)
+    state = mixing.thresholds(sized)
+    assert all(r.below <= r.budget for r in state.collect())
+    taken = []
+    for share in (0.1, 0.35, 0.9):  # the same documents below a lower threshold, whatever the budget
+        fixed = state.withColumn("budget", F.col("source_size") * share).withColumn("whole", F.lit(0).cast("long"))
+        found = mixing.thresholds_of(sized, fixed)
+        taken.append({r.doc_id for r in mixing.mix(sized, found, F.col("size")).where("copies > 0").collect()})
+    assert taken[0] < taken[1] < taken[2]
+
+
+def test_mixing_many_sources_and_clashing_names(spark):
+    rng = random.Random(25)
+    rows = [(i, None if i % 50 == 0 else f"s{rng.randrange(300):03}", None if i % 7 == 0 else rng.randrange(1, 50), 1, 2, 3) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, _h int, _size int, key int")
+    state = mixing.thresholds(df)
+    by = {r.source: r for r in state.collect()}
+    order = sorted(by, key=lambda s: (s is None, s or ""))
+    low, high = 0.0, 1e9
+    size, weight = {s: by[s].source_size for s in order}, {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * size[s], level * weight[s]) for s in size) < 1.5 * sum(size.values()) else (low, level)
+    assert all(by[s].target == pytest.approx(min(2 * size[s], level * weight[s]), rel=1e-6) for s in order)
+    got = mixing.mix(df, state, F.col("size")).collect()
+    assert len(got) == 3000 and {(r._h, r._size, r.key) for r in got} == {(1, 2, 3)}
 
 
 # quality
@@ -693,6 +717,17 @@ def test_quality(spark, hard_rows):
     assert {r.doc_id for r in got if r.doc_id and 700 <= r.doc_id <= 721 and r.kept} == set()
 
 
+def test_measures_of_long_texts():
+    rng = random.Random(26)
+    words = [rng.choice(WORDS) + str(rng.randrange(3000)) for _ in range(400_000)]
+    text = "".join(w + rng.choice((" ", "\n", "\t ", " \u00a0")) for w in words) + "x" * 3_000_000
+    w = text.encode().split()
+    count = Counter(zip(w, w[1:], w[2:]))
+    covered = {j for i, x in enumerate(zip(w, w[1:], w[2:])) if count[x] > 1 for j in (i, i + 1, i + 2)}
+    m = quality.Measures(text)
+    assert (m.n_words, m.n_repeat_words) == (len(w), len(covered))
+
+
 def test_rules_run_by_rejections_per_cost(spark):
     def slow(m):
         return sum(hash(m.text + str(i)) & 0 for i in range(3000)) or True

@@ -46,7 +46,7 @@ def test_stages_return_documents(stages):
 
 def test_quality_stage(stages):
     _, before, after = stages[2][0]
-    want = Counter(tuple(r) for r in before.collect() if quality.first_rejection(r.text, quality.RULES) is None)
+    want = Counter(tuple(r) for r in before.collect() if quality.first_rejection(r.text, corpus_pipeline.QUALITY) is None)
     assert Counter(map(tuple, after.collect())) == want and len(want) == after.count()
 
 
@@ -111,3 +111,11 @@ def test_packing_stage_and_run(spark, stages):
         assert x[0][0] == 0 and sum(x[-1]) <= 2048 and all(a + n == b for (a, n), (b, _) in zip(x, x[1:]))
     again = corpus_pipeline.run(spark, folder)
     assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in again.collect()) == want
+
+
+def test_an_empty_table(spark, tmp_path):
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
