@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,31 +9,51 @@ from ..functions.text import about_terms, slug
 from ..plans.markers import field_lines
 from ..sources.blocks import parse_blocks
 
-_HEADING = pa.list_(pa.struct([("title", pa.string()), ("level", pa.int32()), ("line_start", pa.int32()), ("line_end", pa.int32()), ("body_end", pa.int32())]))
 HEADINGS = "array<struct<title: string, level: int, line_start: int, line_end: int, body_end: int>>"
-
-
-def with_headings(docs: DataFrame, text_col: str = "text") -> DataFrame:
+#: Lines that can change what a line with a hash at its start means: fences, HTML, underlines and rules, indented hashes; and characters that engines strip differently.
+_PARSER_ONLY = r"(?md)^ {0,3}(```|~~~|<|=+[ \t]*$|-+[ \t]*$)|^ {1,3}#|[\r\x0b\x0c\x1c-\x1f\x85\u2028\u2029]"
+_HASHES = r"(?d)^(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$"
+
+
+def _parsed_headings(text: str) -> list[dict]:
+    blocks = [b for b in parse_blocks(text) if b.type == "heading" and b.text]
+    last = text.rstrip("\n").count("\n") + 1
+    levels = [int(b.tag[1]) for b in blocks]
+    ends = [next((blocks[j].start for j in range(i + 1, len(blocks)) if levels[j] <= levels[i]), last) for i in range(len(blocks))]
+    return [{"title": b.text, "level": n, "line_start": b.start + 1, "line_end": b.end + 1, "body_end": e} for b, n, e in zip(blocks, levels, ends)]
+
+
+def _line_headings(text: Column) -> Column:
+    """Headings of a text in which each line with hashes at its start is one."""
+    numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("l"), i.alias("i")))
+    lines = F.filter(numbered, lambda x: x["l"].startswith("#") & x["l"].rlike(_HASHES))
+    title = lambda x: F.regexp_replace(F.regexp_extract(x["l"], _HASHES, 2), r"(?U)^\s+|\s+$", "")
+    level = lambda x: F.length(F.regexp_extract(x["l"], "^#+", 0))
+    found = F.filter(F.transform(lines, lambda x: F.struct(title(x).alias("title"), level(x).alias("level"), x["i"].alias("i"))), lambda x: x["title"] != "")
+    bare = F.regexp_replace(text, r"(?d)\n+\z", "")
+    last = F.length(bare) - F.length(F.replace(bare, F.lit("\n"), F.lit(""))) + 1
+    after = lambda h: F.filter(found, lambda x: (x["i"] > h["i"]) & (x["level"] <= h["level"]))
+    end = lambda h: F.coalesce(F.get(after(h), F.lit(0))["i"], last)
+    return F.transform(found, lambda h: F.struct(h["title"].alias("title"), h["level"].alias("level"), (h["i"] + 1).alias("line_start"), (h["i"] + 2).alias("line_end"), end(h).alias("body_end"))).cast(HEADINGS)
+
+
+def with_headings(docs: DataFrame, text_col: str = "text", quick: bool = True) -> DataFrame:
     """``docs`` and ``headings``: titled top-level headings in order.
 
     ``line_start`` is 1-based; ``line_end`` is the heading's own last line plus
     one; ``body_end`` is the last line before the next heading of its level or
-    above, or the document's last.
+    above, or the document's last. Texts without fences, HTML, underlined and
+    indented headings are read in the JVM; others reach the block parser.
     """
-    at, names = docs.columns.index(text_col), [*docs.columns, "headings"]
-
-    def of(text: str | None) -> list[dict]:
-        blocks = [b for b in parse_blocks(text or "") if b.type == "heading" and b.text]
-        last = (text or "").rstrip("\n").count("\n") + 1
-        levels = [int(b.tag[1]) for b in blocks]
-        ends = [next((blocks[j].start for j in range(i + 1, len(blocks)) if levels[j] <= levels[i]), last) for i in range(len(blocks))]
-        return [{"title": b.text, "level": n, "line_start": b.start + 1, "line_end": b.end + 1, "body_end": e} for b, n, e in zip(blocks, levels, ends)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([of(x.as_py()) for x in batch.column(at)], _HEADING)], names)
+    @F.udf(returnType=HEADINGS, useArrow=True)
+    def parse(text):
+        return None if text is None else _parsed_headings(text)
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(None).cast(HEADINGS).alias("headings")).schema)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    plain = ~text.rlike(_PARSER_ONLY) if quick else F.lit(False)
+    rows = docs.select("*", plain.alias("_plain"), parse(F.when(~plain, text)).alias("_parsed"))
+    return rows.select(*docs.columns, F.when(F.col("_plain"), _line_headings(text)).otherwise(F.col("_parsed")).alias("headings"))
 
 
 def placed(headings: Column) -> Column:

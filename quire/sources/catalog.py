@@ -28,10 +28,16 @@ SCHEMAS = {
     "equivalences": "store string, tag string, equal string",
     "drafts": "model string, spec string",
 }
+#: Tables that are stored by model, so that a scope reads its models' files only.
+BY_MODEL = ("documents", "sections")
 #: A lock of another host that is older than this was left behind.
 STALE_S = 24 * 3600
 
 
+def _columns(name: str) -> list[str]:
+    return [c.strip().split()[0] for c in SCHEMAS[name].split(", ")]
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -124,15 +130,16 @@ class Catalog:
         """A table of a generation; one that older catalogs lack is empty."""
         if name not in pointer:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{pointer[name]}")
+        table = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{pointer[name]}")
+        return table.select(*_columns(name))  # partition columns come last otherwise
 
     def _write(self, tables: dict[str, DataFrame | Callable], pointer: dict[str, str]) -> None:
         for name, df in tables.items():
             place = f"{name}/{time.time_ns()}"
             if callable(df):
                 df = df(lambda n, pointer=pointer: self._at(pointer, n))
-            out = df.select(*[c.strip().split()[0] for c in SCHEMAS[name].split(", ")])
-            out.write.parquet(f"{self.root}/{place}")
+            out = df.select(*_columns(name)).write
+            (out.partitionBy("model") if name in BY_MODEL else out).parquet(f"{self.root}/{place}")
             pointer = pointer | {name: place}
         self._swap(pointer)
 

@@ -6,7 +6,7 @@ import socket
 from collections import Counter
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -610,3 +610,11 @@ def test_checks_on_the_command_line(spark, tmp_path, capsys):
     (tmp_path / "catalog").mkdir()
     (tmp_path / "catalog" / "CURRENT").write_text("{}")
     assert cli.find_catalog(str(tmp_path / "docs")) == str(tmp_path / "catalog")
+
+
+@settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.one_of(st.sampled_from(["# A", "## B b ##", "### ", "#x", "####### n", "text", "- item", "> quote", "", "# C #", "#\tD\t", "1. e", "| a | b |", "#   F ", "```", "<div>", "---", " # G", "    # code", "# H\r"]), st.text(alphabet="# ab\t-=>`~<", max_size=6)), max_size=9), min_size=20, max_size=20))
+def test_headings_in_both_engines(spark, docs):
+    df = spark.createDataFrame([(i, "\n".join(x) + "\n" * (i % 3)) for i, x in enumerate(docs)], "i int, text string")
+    read = lambda q: {r.i: r.headings for r in sections.with_headings(df, quick=q).collect()}
+    assert read(True) == read(False)
