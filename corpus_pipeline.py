@@ -7,13 +7,13 @@ but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut, prepare
+from quire.llm.common import cut, prepare, stored, tidy
 from quire.llm.line_dedup import drop_recurring_lines
 from quire.llm.mixing import mix, thresholds, word_count
 from quire.llm.near_dup import near_duplicates
@@ -68,12 +68,17 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@tidy
+def kept(stage: Callable[[SparkSession, DataFrame, str], DataFrame], spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What ``stage`` makes of ``docs``, as a table."""
+    return stored(stage(spark, docs, sf_dir))
+
+
+@tidy
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to ``documents``, each one's result written to the shared folder and read again. An empty table gives an empty result."""
     prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    for _, stage in STAGES[:-1]:
+        docs = kept(stage, spark, docs, sf_dir)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from functools import cache
+from collections.abc import Callable
+from functools import cache, wraps
 
 import numpy as np
 import xxhash
@@ -31,10 +32,62 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXTS_PER_BATCH))
 
 
+#: For each running operator, the places in the checkpoint folder that it has written to.
+_WRITTEN: list[list[str]] = []
+
+
+def _places(df: DataFrame) -> list[str]:
+    """Checkpoints and tables that the plan of ``df`` reads."""
+    leaves, found = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        kind = leaf.getClass().getSimpleName()
+        if kind == "LogicalRDD":
+            file = leaf.rdd().getCheckpointFile()
+            found += [file.get()] if file.isDefined() else []
+        elif kind == "LogicalRelation" and hasattr(leaf.relation(), "location"):
+            paths = leaf.relation().location().rootPaths()
+            found += [paths.apply(k).toString() for k in range(paths.size())]
+    return found
+
+
+def _written(df: DataFrame) -> DataFrame:
+    if _WRITTEN:
+        _WRITTEN[-1].extend(_places(df))
+    return df
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``operator``, whose checkpoints and tables are deleted when it returns, but for those that its result reads.
+
+    These stay until the operator around it returns, or for good if there is
+    none. Shuffles that nothing refers to any longer are let go of as well.
+    """
+
+    @wraps(operator)
+    def run(*args, **named):
+        _WRITTEN.append([])
+        try:
+            out = operator(*args, **named)
+        finally:
+            own = _WRITTEN.pop()
+        kept, spark = set(_places(out)), out.sparkSession
+        for place in set(own) - kept:
+            path = spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if _WRITTEN:
+            _WRITTEN[-1].extend(kept & set(own))
+        else:
+            spark._jvm.System.gc()  # the cleaner follows the garbage collector
+        return out
+
+    return run
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept in the shared checkpoint folder."""
     prepare(df.sparkSession)
-    return df.checkpoint()
+    return _written(df.checkpoint())
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -49,7 +102,7 @@ def stored(df: DataFrame) -> DataFrame:
     prepare(spark)
     place = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
+    return _written(spark.read.schema(df.schema).parquet(place))
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -117,6 +170,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+@tidy
 def connected_components(edges: DataFrame) -> DataFrame:
     """Label each vertex of ``edges`` (a, b longs) with its component's smallest vertex.
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, dealt_blocks, mixed, prepare, small, stored
+from .common import connected_components, cut, dealt_blocks, mixed, prepare, small, stored, tidy
 
 K, TREES, LEAF, WIDER = 12, 4, 256, 3
 #: Bits of a tree's path; its first ones make a leaf, the next REFINED ones split a large leaf.
@@ -383,6 +383,7 @@ def component_links(nodes: DataFrame, component: DataFrame, threshold: float) ->
     return dealt.mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
+@tidy
 def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = K, trees: int = TREES, leaf: int = LEAF, report: Callable[[float], None] | None = None) -> DataFrame:
     """Link vectors of one label whose cosine is at least ``threshold``.
 

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, small, stored, unused
+from .common import cut, prepare, small, stored, tidy, unused
 
 #: Distinct texts that make a template recur; tokens of a tree path, at most half of a line's; segments of a line; fewest constant tokens of a template; share of the longer text's words in shared lines that makes a copy.
 MIN_DOCS, LEAD, SEGMENTS, MIN_CONSTANT, COPY = 3, 3, 8, 2, 0.8
@@ -143,6 +143,7 @@ def without_first(left: DataFrame, hits: DataFrame, like: DataFrame) -> DataFram
     return cut(rest.join(small(cut(copies)), ["fp", "first"], "left_anti").select("template", "fp"))
 
 
+@tidy
 def drop_recurring_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with recurring lines taken out of the text; all rows and columns stay.
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, small, unused
+from .common import cut, prepare, small, tidy, unused
 
 WEIGHTS = (3, 1, 2)
 #: The mix has SHARE_HALVES / 2 times all sizes; a source is taken MOST times at most.
@@ -67,6 +67,7 @@ def _with_source(df: DataFrame, state: DataFrame) -> DataFrame:
     return df.withColumn(name, key).join(small(side), name).drop(name)
 
 
+@tidy
 def thresholds(sized: DataFrame) -> DataFrame:
     """(source, source_size, target, whole, budget, star, below) from rows (doc_id, source, size).
 

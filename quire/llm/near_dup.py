@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, connected_components, cut, dealt_blocks, mixed, prepare, small, word_hashes
+from .common import WordHashes, connected_components, cut, dealt_blocks, mixed, prepare, small, tidy, word_hashes
 
 CHUNKS, CHUNK_SIZE = 12, 7
 
@@ -239,6 +239,7 @@ def units(apart: DataFrame) -> DataFrame:
     return whole.join(better, "family", "left_anti").unionByName(keyed.join(better, "family", "left_semi").select(whole.columns)).select("unit", "rep", "label", "n")
 
 
+@tidy
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, chunks: int = CHUNKS, chunk_size: int = CHUNK_SIZE) -> DataFrame:
     """Group ``docs`` (doc_id, text, ...) by links of Jaccard similarity >= similarity / 100.
 

@@ -735,3 +735,21 @@ def test_rules_run_by_rejections_per_cost(spark):
     rules = (quality.Rule("slow", slow), quality.Rule("never", lambda m: False), quality.Rule("quick", lambda m: not m.text.startswith("keep")))
     df = docs_of(spark, [(i, "keep" if i % 10 == 0 else "drop", "a") for i in range(300)])
     assert quality.rule_order(df, rules) == ["quick", "slow", "never"]
+
+
+def test_operators_leave_what_their_results_read(spark):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    places = lambda: {x.getPath().getName() for x in fs.listStatus(folder)}
+    before = places()
+
+    @common.tidy
+    def outer():
+        inner = common.tidy(lambda: common.stored(common.stored(spark.range(5)).where("id > 1")))()
+        assert len(places() - before) == 1
+        return common.cut(common.cut(inner.withColumn("x", F.lit(1)))).where("id > 2")
+
+    out = outer()
+    assert len(places() - before) == 1 and out.count() == 2
+    edges = common.connected_components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long"))
+    assert len(places() - before) == 2 and edges.count() == 3
