@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import QuireError
+from ..plans.expressions import Expressions
 from ..plans.markers import MARKER, Marker, capture_pattern, pieces
 from ..plans.models import KINDS, Field, Model
 from ..plans.templates import Part, canonical, compile_parts, compile_steps, dump_yaml, extract
@@ -219,25 +220,32 @@ def _shown(field: Field | None, value: Column) -> Column:
     return _yaml_text(F.to_json(value))
 
 
-def _marker_text(marker: Marker, of: Any) -> Column:
-    """What a marker renders to: ``of`` gives a name's text column, or None."""
+def _marker_text(marker: Marker, of: Any, expression: Any = None) -> Column:
+    """What a marker renders to: ``of`` gives a name's text column, ``expression`` an expression's, or None."""
     literal = "⸢" + ",".join([marker.kind, *marker.traits]) + "•" + marker.name + "⸥"
     value = of(marker.name)
     if marker.kind == "py":
-        return F.lit(literal)  # expressions are never evaluated
+        made = expression(marker.name) if expression else None
+        return F.lit(literal) if made is None else F.coalesce(made, F.lit(literal))
     empty = F.lit("" if marker.kind in ("optrev", "render", "expr") else literal)
     return empty if value is None else F.coalesce(value, empty)
 
 
-def _filled(text: str, of: Any) -> Column:
-    found = [F.lit(x) if isinstance(x, str) else _marker_text(x, of) for x in pieces(text)]
+def _filled(text: str, of: Any, expression: Any = None) -> Column:
+    found = [F.lit(x) if isinstance(x, str) else _marker_text(x, of, expression) for x in pieces(text)]
     return F.concat(*found) if found else F.lit("")
 
 
-def render_column(model: Model, payload: Column, computed: dict[str, Column] | None = None) -> Column:
-    """The document of ``payload``, a struct of the model's fields; ``computed`` adds text by name."""
+def render_column(model: Model, payload: Column, computed: dict[str, Column] | None = None, expressions: Expressions | None = None) -> Column:
+    """The document of ``payload``, a struct of the model's fields; ``computed`` adds text by name.
+
+    ``py`` markers stay as written, unless ``expressions`` are given and allow them.
+    """
     computed = computed or {}
 
+    def expression(source: str) -> Column | None:
+        return expressions.column(source, payload, model.schema) if expressions else None
+
     def of(name: str) -> Column | None:
         if name in computed:
             return computed[name]
@@ -263,7 +271,7 @@ def render_column(model: Model, payload: Column, computed: dict[str, Column] | N
             none = F.when(payload[part.name].isNotNull(), "[]")
             blocks.append(F.when(some, F.array_join(rows(part), "\n")).otherwise(_filled(whole, lambda n, part=part, none=none: none if n == part.name else of(n))))
         else:
-            blocks.append(_filled(whole, of))
+            blocks.append(_filled(whole, of, expression))
     joined = F.array_join(F.array(*blocks), "\n\n") if blocks else F.lit("")
     return F.regexp_replace(joined, r"\A\s+|\s+\z", "")
 

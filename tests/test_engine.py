@@ -15,7 +15,7 @@ from quire.errors import EditError, ModelError, StoreError, TemplateError, Valid
 from quire.functions import text
 from quire.operators import extract, fields, ingest, integrity, library, links, search, sections, semantics, tree
 from quire.operators.changes import Changes
-from quire.plans import templates
+from quire.plans import expressions, templates
 from quire.plans.addresses import parse_address
 from quire.plans.markers import Marker, capture_pattern, field_lines, parse_marker
 from quire.plans.models import Field, Model, Registry, model_tags
@@ -618,3 +618,17 @@ def test_headings_in_both_engines(spark, docs):
     df = spark.createDataFrame([(i, "\n".join(x) + "\n" * (i % 3)) for i, x in enumerate(docs)], "i int, text string")
     read = lambda q: {r.i: r.headings for r in sections.with_headings(df, quick=q).collect()}
     assert read(True) == read(False)
+
+
+def test_expressions(spark):
+    m = Model("E", "X", (Field("n", "int", "n"), Field("f", "float", "f"), Field("s", "str", "s"), Field("l", "list", "l"), Field("b", "bool", "b"), Field("d", "dict", "d", optional=True)))
+    df = spark.createDataFrame([(7, 2.5, "ab", ["y", "x"], True, None)], m.schema.simpleString().replace("variant", "string")).withColumn("d", F.parse_json(F.lit("{}"))).select(F.struct("*").alias("p"))
+    e = expressions.Expressions()
+    values = {"n + 1": "8", "-n // 2": "-4", "-n % 3": "2", "n / 2": "3.5", "s + 'c'": "abc", "len(s) * len(l)": "4", "n > 3 and not b": "False", "'x' in l": "True", "'z' if n == 7 else s": "z", "max(n, 9, 1)": "9", "round(f)": "2", "int('12')": "12", "str(n) + '!'": "7!", "n / 0": None, "min(f, n)": "2.5"}
+    made = df.select(*[e.column(x, F.col("p"), m.schema).alias(f"c{i}") for i, x in enumerate(values)]).first()
+    assert dict(zip(values, made)) == values
+    for bad in ("__import__('os')", "s.upper()", "open('x')", "[1]", "lambda: 1", "n if n else s", "d", "zz", "n + s", "1 < n < 3", "n **", "len(n)", "(" * 500, "n ** 2", "f'{n}'"):
+        assert e.column(bad, F.col("p"), m.schema) is None, bad
+    t = Model("T", "# ⸢rev•s⸥\n\n⸢py•n * 2⸥ ⸢py•s.x⸥", (m.fields[2], m.fields[0]))
+    show = lambda ex: df.select(extract.render_column(t, F.col("p"), expressions=ex)).first()[0]
+    assert show(e) == "# ab\n\n14 ⸢py•s.x⸥" and show(None) == show(expressions.Expressions(lambda source: False)) == "# ab\n\n⸢py•n * 2⸥ ⸢py•s.x⸥"
