@@ -20,7 +20,7 @@ from ..errors import QuireError
 from ..plans.expressions import Expressions
 from ..plans.markers import MARKER, Marker, capture_pattern, pieces
 from ..plans.models import KINDS, Field, Model
-from ..plans.templates import Part, canonical, compile_parts, compile_steps, dump_yaml, extract
+from ..plans.templates import MARKDOWN, Grammar, Part, canonical, compile_parts, compile_steps, dump_yaml, extract
 
 PAYLOAD, ERROR = "payload_json", "error"
 #: A private character between groups; a text that has it is left to the block parser, as one that doesn't match.
@@ -91,9 +91,9 @@ def _problems(model: Model, value: Any) -> Column:
     return F.when(F.size(bad) > 0, F.concat(F.lit("missing or mistyped: "), F.array_join(bad, ", ")))
 
 
-def _by_parser(text: Column, model: Model) -> Column:
+def _by_parser(text: Column, model: Model, grammar: Grammar) -> Column:
     """What the block parser finds: struct of each field's text (JSON for lists, rows and mappings), payload_json and error; null for null."""
-    steps = compile_steps(model.template)
+    steps = compile_steps(model.template, grammar)
     kinds = {f.name: f.kind for f in model.fields}
     shape = T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(len(kinds))] + [T.StructField(PAYLOAD, T.StringType()), T.StructField(ERROR, T.StringType())])
 
@@ -105,7 +105,7 @@ def _by_parser(text: Column, model: Model) -> Column:
         if source is None:
             return None
         try:
-            found = extract(steps, source)
+            found = extract(steps, source, grammar)
         except (QuireError, ValueError) as e:
             return {ERROR: str(e)}
         own = {f"f{i}": (canonical(found[n]) if k in ("list", "rows", "dict") else shown(found[n])) for i, (n, k) in enumerate(kinds.items()) if found.get(n) is not None}
@@ -114,16 +114,17 @@ def _by_parser(text: Column, model: Model) -> Column:
     return parse(text)
 
 
-def extract_docs(docs: DataFrame, model: Model, text_col: str = "text", quick: bool = True) -> DataFrame:
+def extract_docs(docs: DataFrame, model: Model, text_col: str = "text", quick: bool = True, grammar: Grammar = MARKDOWN) -> DataFrame:
     """``docs`` with ``payload`` (the model's fields), ``payload_json`` (untyped, canonical) and ``error``.
 
     A document never stops a job: what is wrong with it is in its error column,
     null if nothing is. A null text is an empty document. Columns of ``docs``
     named payload, payload_json or error are replaced. Documents are read once;
-    those that the quick pattern fits reach Python as nulls.
+    those that the quick pattern fits reach Python as nulls. Another ``grammar``
+    than Markdown has no quick pattern.
     """
     docs = docs.drop("payload", PAYLOAD, ERROR)
-    plan = quick_pattern(model) if quick else None
+    plan = quick_pattern(model) if quick and grammar is MARKDOWN else None
     text, kept = F.coalesce(F.col(text_col), F.lit("")), docs.columns
     if plan:
         pattern, names = plan
@@ -132,10 +133,10 @@ def extract_docs(docs: DataFrame, model: Model, text_col: str = "text", quick: b
         groups = F.when(F.contains(text, F.lit(SEPARATOR)), F.array().cast("array<string>")).otherwise(groups)
         rows = docs.select("*", F.explode(F.array(groups)).alias("_g"))
         fits = F.size("_g") == len(names) + 1
-        rows = rows.select(*kept, "_g", fits.alias("_fits"), _by_parser(F.when(~fits, text), model).alias("_u"))
+        rows = rows.select(*kept, "_g", fits.alias("_fits"), _by_parser(F.when(~fits, text), model, grammar).alias("_u"))
     else:
         names = []
-        rows = docs.select("*", F.lit(False).alias("_fits"), _by_parser(text, model).alias("_u"))
+        rows = docs.select("*", F.lit(False).alias("_fits"), _by_parser(text, model, grammar).alias("_u"))
     raw = {}
     for i, f in enumerate(model.fields):
         slow = F.col(f"_u.f{i}")

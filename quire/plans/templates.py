@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import groupby
 from typing import Any
@@ -17,13 +17,37 @@ from ..sources.blocks import Block, parse_blocks, split_cells
 from .markers import MARKER, Marker, capture_pattern, markers_in, parse_marker
 
 
+@dataclass(frozen=True)
+class BlockHandler:
+    """How blocks of ``type`` capture: ``compile`` gives the names that a template's block captures, none if it isn't for this handler;
+    ``read`` the values by name that a document's block (second) has for a template's (first), None if it doesn't fit."""
+
+    type: str
+    compile: Callable[[Block], tuple[str, ...]]
+    read: Callable[[Block, Block], dict[str, Any] | None]
+
+
+@dataclass(frozen=True)
+class Grammar:
+    """What templates and documents are read with: a parser of blocks, and handlers that go before the built-in ones."""
+
+    parse: Callable[[str], list[Block]] = parse_blocks
+    handlers: tuple[BlockHandler, ...] = ()
+
+    def handler(self, kind: str) -> BlockHandler | None:
+        return next((h for h in self.handlers if h.type == kind), None)
+
+
+MARKDOWN = Grammar()
+
+
 @dataclass(frozen=True)
 class Step:
     """One thing to look for, in the order of the template's blocks.
 
     ``mode``: text and yaml fill fields from a block, list and rows a field with
-    many values, body takes whole source lines up to the next step's block, and
-    anchor only marks a block of its type.
+    many values, body takes whole source lines up to the next step's block, own
+    is read by a handler from ``source``, and anchor only marks a block of its type.
     """
 
     outer: int
@@ -34,6 +58,7 @@ class Step:
     pattern: str = ""
     columns: tuple[tuple[int, str, str], ...] = ()
     markers: tuple[Marker, ...] = ()
+    source: Block | None = field(default=None, compare=False)
 
     @property
     def is_anchor(self) -> bool:
@@ -41,11 +66,11 @@ class Step:
 
 
 @lru_cache(maxsize=256)
-def compile_steps(template: str) -> tuple[Step, ...]:
+def compile_steps(template: str, grammar: Grammar = MARKDOWN) -> tuple[Step, ...]:
     """The steps of a template; wrong markers are errors."""
     steps: list[Step] = []
-    for outer, block in enumerate(parse_blocks(template)):
-        own = _steps_of(block, outer, block)
+    for outer, block in enumerate(grammar.parse(template)):
+        own = _steps_of(block, outer, block, grammar)
         steps += own or [Step(outer, block.type, block.tag, "anchor", pattern=re.escape(block.all_text().strip()))]
     captured = [m for s in steps if s.mode != "rows" for m in s.markers]
     sources = [m.name for m in captured if m.kind == "rev"]
@@ -56,8 +81,11 @@ def compile_steps(template: str) -> tuple[Step, ...]:
     return tuple(steps)
 
 
-def _steps_of(block: Block, outer: int, node: Block) -> list[Step]:
+def _steps_of(block: Block, outer: int, node: Block, grammar: Grammar) -> list[Step]:
     base = {"outer": outer, "type": block.type, "tag": block.tag}
+    handler = grammar.handler(node.type) if node is block else None
+    if handler and (names := handler.compile(node)):
+        return [Step(**base, mode="own", names=tuple(names), markers=tuple(markers_in(node.all_text())), source=node)]
     if node.type in ("bullet_list", "ordered_list"):
         found = [(item, m[0]) for item in node.children if (m := markers_in(item.all_text())) and m[0].captures]
         if found:
@@ -80,7 +108,7 @@ def _steps_of(block: Block, outer: int, node: Block) -> list[Step]:
             return [Step(**base, mode="anchor", pattern=pattern)]
         alone = block.type == "paragraph" and node is block and pattern == "(.*?)"
         return [Step(**base, mode="body" if alone else "text", names=tuple(names), pattern=pattern, markers=captures)]
-    return [s for c in node.children for s in _steps_of(block, outer, c)]
+    return [s for c in node.children for s in _steps_of(block, outer, c, grammar)]
 
 
 def _plain(value: Any) -> Any:
@@ -107,12 +135,14 @@ def dump_yaml(value: Any) -> str:
     return yaml.dump(value, Dumper=getattr(yaml, "CSafeDumper", yaml.SafeDumper), allow_unicode=True, sort_keys=False).strip()
 
 
-def _reading(step: Step, block: Block) -> dict[str, Any] | None:
+def _reading(step: Step, block: Block, grammar: Grammar) -> dict[str, Any] | None:
     """What ``step`` reads from a block; None if it doesn't fit there."""
     if block.type != step.type:
         return None
     if step.is_anchor or step.mode == "body":
         return {}
+    if step.mode == "own":
+        return grammar.handler(step.type).read(step.source, block)
     if block.tag != step.tag:
         return None
     name = step.names[0]
@@ -135,13 +165,13 @@ def _reading(step: Step, block: Block) -> dict[str, Any] | None:
 class _Placing:
     """Where the steps of a template find their blocks; each pair of step and block is read once at most."""
 
-    def __init__(self, steps: tuple[Step, ...], blocks: list[Block]):
-        self.steps, self.blocks = steps, blocks
+    def __init__(self, steps: tuple[Step, ...], blocks: list[Block], grammar: Grammar):
+        self.steps, self.blocks, self.grammar = steps, blocks, grammar
         self.read: dict[tuple[int, int], dict[str, Any] | None] = {}
 
     def reading(self, k: int, i: int) -> dict[str, Any] | None:
         if (k, i) not in self.read:
-            self.read[k, i] = _reading(self.steps[k], self.blocks[i])
+            self.read[k, i] = _reading(self.steps[k], self.blocks[i], self.grammar)
         return self.read[k, i]
 
     def first_fit(self, k: int, begin: int) -> int | None:
@@ -173,10 +203,10 @@ class _Placing:
             begin = begin if own is None else max(begin, own + 1)
 
 
-def extract(steps: tuple[Step, ...], text: str) -> dict[str, Any]:
+def extract(steps: tuple[Step, ...], text: str, grammar: Grammar = MARKDOWN) -> dict[str, Any]:
     """Untyped values of a document: steps are placed on its blocks, then read; steps without a place give none."""
-    blocks = parse_blocks(text)
-    placing = _Placing(steps, blocks)
+    blocks = grammar.parse(text)
+    placing = _Placing(steps, blocks, grammar)
     lines = re.split(r"\r\n|\n|\r", text)
     out: dict[str, Any] = {}
     for k, where in placing.places():

@@ -1,3 +1,4 @@
+import dataclasses
 import hashlib
 import json
 import os
@@ -632,3 +633,25 @@ def test_expressions(spark):
     t = Model("T", "# ⸢rev•s⸥\n\n⸢py•n * 2⸥ ⸢py•s.x⸥", (m.fields[2], m.fields[0]))
     show = lambda ex: df.select(extract.render_column(t, F.col("p"), expressions=ex)).first()[0]
     assert show(e) == "# ab\n\n14 ⸢py•s.x⸥" and show(None) == show(expressions.Expressions(lambda source: False)) == "# ab\n\n⸢py•n * 2⸥ ⸢py•s.x⸥"
+
+
+def test_own_grammars(spark):
+    def names_of(block):
+        return tuple(m.name for m in parse_marker_names(block.text))
+
+    def parse_marker_names(t):
+        return [parse_marker(x) for x in re.findall("⸢([^⸥]+)⸥", t)]
+
+    def read(template, block):
+        pairs = dict(x.split("=", 1) for x in block.text.split("\n") if "=" in x)
+        return {n: pairs[n] for n in names_of(template) if n in pairs} or None
+
+    def shouting(t):
+        return [b if b.type != "paragraph" else dataclasses.replace(b, text=b.text.replace("c", "C")) for b in parse_blocks(t)]
+
+    m = Model("Conf", "# ⸢rev•title⸥\n\n```\n⸢rev•a⸥\n⸢rev•b⸥\n```\n", (Field("title", "str", "t"), Field("a", "int", "a"), Field("b", "str", "b", optional=True)))
+    df = spark.createDataFrame([("# T\n\n```\nx\n```\n\n```\na=1\nb=two\n```",), ("# T\n\n```\nb=3\n```",)], "text string")
+    got = extract.extract_docs(df, m, grammar=templates.Grammar(handlers=(templates.BlockHandler("fence", names_of, read),))).collect()
+    assert [tuple(r.payload) for r in got] == [("T", 1, "two"), ("T", None, "3")] and got[1].error
+    loud = extract.extract_docs(spark.createDataFrame([("# a\n\nB: c",)], "text string"), Model("L", "# ⸢rev•t⸥\n\nB: ⸢rev•x⸥", (Field("t", "str", "t"), Field("x", "str", "x"))), grammar=templates.Grammar(shouting))
+    assert tuple(loud.first().payload) == ("a", "C")
