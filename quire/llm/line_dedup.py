@@ -14,7 +14,8 @@ all documents.
 
 Copies, documents that share lines with COPY of the longer one's words, count once
 towards a template, so that a group of copies, which near-duplicate removal
-settles, keeps its lines. To count a template's texts, the first one and its
+settles, keeps its lines. Here a line is shared if half of its segments are, the
+first or the last ones, so that near copies are told as well. To count a template's texts, the first one and its
 copies are taken away, then the next; what is left after all but one decides.
 
 A run of lines with LONG constant tokens or more, one long line or several short
@@ -95,6 +96,15 @@ def line_templates(lines: DataFrame, min_docs: int) -> DataFrame:
     return whole.unionByName(found.select(F.xxhash64("leaf", "fixed.key").alias("template"), "fp", "line", "n")).distinct()
 
 
+def line_halves(lines: DataFrame) -> DataFrame:
+    """(template, fp, line, n): lines by the first and the last half of their segments, where two texts have it."""
+    half = SEGMENTS // 2
+    first = F.xxhash64(F.lit(3), "n", F.slice("segments", 1, half))
+    last = F.when(F.col("n") > half * F.col("per"), F.xxhash64(F.lit(4), "n", F.slice("segments", half + 1, half)))
+    rows = lines.where(F.col("constant") >= MIN_CONSTANT).select("fp", "line", "n", F.explode(F.array(first, last)).alias("template")).where("template is not null")
+    return rows.join(small(cut(_several(rows.select("template", "fp"), "template"))), "template").select("template", "fp", "line", "n")
+
+
 def runs(lines: DataFrame) -> DataFrame:
     """(fp, template, run): from each line on, the fewest lines with LONG constant tokens: a hash and their numbers."""
     rows = lines.where("constant > 0").select("fp", "line", "constant", "whole").dropDuplicates(["fp", "line"])
@@ -110,34 +120,36 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN
     prepare(docs.sparkSession)
     lines = stored(line_segments(docs.where(F.col(text_col).isNotNull()), text_col))
     made = cut(line_templates(lines, min_docs))
-    shared = cut(made.groupBy("template").agg(F.count_distinct("fp").alias("d")).where("d >= 2"))
+    shared = cut(made.groupBy("template").agg(F.count_distinct("fp").alias("d")).where(F.col("d") >= min_docs).select("template"))
     hits = cut(made.join(small(shared), "template"))
+    twins = line_halves(lines)
     # documents of one text have each of its lines several times: count each once
     size = lines.where(F.col("constant") >= MIN_CONSTANT).groupBy("fp", "line").agg(F.first("n").alias("n")).groupBy("fp").agg(F.sum("n").alias("words"))
-    again = hits.groupBy("fp", "line").agg(F.first("n").alias("n")).groupBy("fp").agg(F.sum("n").alias("again"))
+    again = twins.groupBy("fp", "line").agg(F.first("n").alias("n")).groupBy("fp").agg(F.sum("n").alias("again"))
     # a copy has most of its words in lines that others have
     like = cut(again.join(size, "fp").where(F.col("again") >= COPY * F.col("words")).select("fp", "words"))
-    left = hits.where(F.col("d") >= min_docs).select("template", "fp").distinct()
+    twins = cut(twins.join(small(like.select("fp")), "fp", "left_semi").distinct())
+    left = hits.select("template", "fp").distinct()
     for _ in range(min_docs - 1):
-        left = without_first(left, hits, like)
+        left = without_first(left, twins, like)
     dropped = hits.join(small(cut(left.select("template").distinct())), "template").select("fp", "line")
     # lines of a run that recurs recur themselves, so texts without such lines have none
     in_two = lines.where("constant > 0").join(small(cut(_several(lines.where("constant > 0").select("fp", "whole"), "whole"))), "whole", "left_semi")
     long = cut(runs(lines.join(small(cut(in_two.select("fp").distinct())), "fp", "left_semi")))
     long = cut(long.join(small(cut(_several(long, "template"))), "template"))
-    left = without_first(long.select("template", "fp").distinct(), hits, like)
+    left = without_first(long.select("template", "fp").distinct(), twins, like)
     dropped = dropped.unionByName(long.join(small(cut(left.select("template").distinct())), "template").select("fp", F.explode("run").alias("line"))).distinct()
     return dropped.groupBy("fp").agg(F.collect_list("line").alias("drop"))
 
 
-def without_first(left: DataFrame, hits: DataFrame, like: DataFrame) -> DataFrame:
-    """``left`` (template, fp) without each template's first text and the copies of that one."""
+def without_first(left: DataFrame, twins: DataFrame, like: DataFrame) -> DataFrame:
+    """``left`` (template, fp) without each template's first text and the copies of that one, told by ``twins``."""
     first = left.groupBy("template").agg(F.min("fp").alias("first"))
     rest = cut(left.join(small(cut(first)), "template").where("fp <> first"))
     pairs = rest.select("fp", "first").distinct().join(like, "fp").join(like.select(F.col("fp").alias("first"), F.col("words").alias("of_first")), "first")
     pairs = cut(pairs.where(F.least("words", "of_first") >= COPY * F.greatest("words", "of_first")))
-    theirs = hits.join(pairs.select(F.col("first").alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias("first"), "template").distinct()
-    both = pairs.join(hits.select("fp", "line", "n", "template"), "fp").join(theirs, ["first", "template"])
+    theirs = twins.join(pairs.select(F.col("first").alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias("first"), "template").distinct()
+    both = pairs.join(twins.select("fp", "line", "n", "template"), "fp").join(theirs, ["first", "template"])
     common = both.groupBy("fp", "first", "line").agg(F.first("n").alias("n"), F.first("words").alias("words"), F.first("of_first").alias("of_first")).groupBy("fp", "first", "words", "of_first").agg(F.sum("n").alias("common"))
     copies = common.where(F.col("common") >= COPY * F.greatest("words", "of_first")).select("fp", "first")
     return cut(rest.join(small(cut(copies)), ["fp", "first"], "left_anti").select("template", "fp"))

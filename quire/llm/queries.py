@@ -206,7 +206,7 @@ def _without_first(left: str, out: str) -> str:
 {out}_rest AS (SELECT k, fp, first FROM {left} JOIN {out}_first USING (k) WHERE fp <> first),
 {out}_pairs AS (SELECT DISTINCT r.fp, r.first, x.words, y.words AS of_first FROM {out}_rest r JOIN alike x ON x.fp = r.fp JOIN alike y ON y.fp = r.first
   WHERE least(x.words, y.words) >= 0.8::DOUBLE * greatest(x.words, y.words)),
-{out}_common AS (SELECT DISTINCT p.fp, p.first, p.words, p.of_first, a.i, a.n FROM {out}_pairs p JOIN hits a ON a.fp = p.fp JOIN hits b ON b.fp = p.first AND b.k = a.k),
+{out}_common AS (SELECT DISTINCT p.fp, p.first, p.words, p.of_first, a.i, a.n FROM {out}_pairs p JOIN twins a ON a.fp = p.fp JOIN twins b ON b.fp = p.first AND b.k = a.k),
 {out}_copies AS (SELECT fp, first FROM {out}_common GROUP BY fp, first, words, of_first HAVING sum(n) >= 0.8::DOUBLE * greatest(words, of_first)),
 {out} AS (SELECT k, fp FROM {out}_rest ANTI JOIN {out}_copies USING (fp, first))"""
 
@@ -226,11 +226,13 @@ fixed AS (SELECT k FROM part GROUP BY k HAVING count(DISTINCT fp) >= 3),
 found AS (SELECT fp, i, n, constant, string_agg(k, '#' ORDER BY s) AS k, sum(least(n, (s + 1) * per) - s * per) AS kept FROM part SEMI JOIN fixed USING (k) GROUP BY fp, i, n, constant, leaf),
 made AS (SELECT n || ' ' || whole AS k, fp, i, n FROM e
   UNION ALL SELECT k, fp, i, n FROM found WHERE kept < n AND 2 * kept >= n AND constant - (n - kept) >= 2),
-shared AS (SELECT k, count(DISTINCT fp) AS d FROM made GROUP BY k HAVING count(DISTINCT fp) >= 2),
-hits AS (SELECT k, fp, i, n, d FROM made JOIN shared USING (k)),
-alike AS (SELECT fp, words FROM (SELECT fp, sum(n) AS again FROM (SELECT DISTINCT fp, i, n FROM hits) GROUP BY fp)
+hits AS (SELECT k, fp, i, n FROM made SEMI JOIN (SELECT k FROM made GROUP BY k HAVING count(DISTINCT fp) >= 3) USING (k)),
+half AS (SELECT fp, i, n, concat_ws('|', 'l', n, array_to_string(t[1 : least(n, 4 * per)], ' ')) AS k FROM e
+  UNION ALL SELECT fp, i, n, concat_ws('|', 'r', n, array_to_string(t[4 * per + 1 : n], ' ')) FROM e WHERE n > 4 * per),
+twins AS (SELECT k, fp, i, n FROM half SEMI JOIN (SELECT k FROM half GROUP BY k HAVING count(DISTINCT fp) >= 2) USING (k)),
+alike AS (SELECT fp, words FROM (SELECT fp, sum(n) AS again FROM (SELECT DISTINCT fp, i, n FROM twins) GROUP BY fp)
   JOIN (SELECT fp, sum(n) AS words FROM e GROUP BY fp) USING (fp) WHERE again >= 0.8::DOUBLE * words),
-three AS (SELECT DISTINCT k, fp FROM hits WHERE d >= 3),{_without_first("three", "two")},{_without_first("two", "one")},
+three AS (SELECT DISTINCT k, fp FROM hits),{_without_first("three", "two")},{_without_first("two", "one")},
 starts AS (SELECT fp, i, constant, whole, sum(constant) OVER (PARTITION BY fp ORDER BY i) - constant AS start FROM n WHERE constant > 0),
 run AS (SELECT fp, sum(constant) OVER w AS tokens, list(whole) OVER w AS k, list(i) OVER w AS run FROM starts WINDOW w AS (PARTITION BY fp ORDER BY start RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
 long AS (SELECT fp, k, run FROM run WHERE tokens >= 50),

@@ -614,6 +614,21 @@ def test_line_templates_generalise_any_field(spark):
     assert got == {**{i: "\n".join(x) for i, x in own.items()}, 200: rows[-1][1]}
 
 
+def test_line_dedup_keeps_the_lines_of_near_copies(spark):
+    rng = random.Random(34)
+    rows = []
+    for g in range(8):
+        base = [unlike(rng, rng.randrange(8, 40)).split() for _ in range(rng.randrange(1, 6))]
+        for _ in range(12):
+            lines = [list(x) for x in base]
+            for _ in range(rng.choice((0, 1, 2))):
+                own = rng.choice(lines)
+                own[rng.randrange(len(own))] = unlike(rng, 1)
+            rows.append((len(rows), "\n".join(map(" ".join, lines)), "a"))
+    got = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(docs_of(spark, rows)).collect()}
+    assert sum(got[i] == t for i, t, _ in rows) >= 0.9 * len(rows)
+
+
 def test_line_dedup_keeps_columns_of_any_name(spark):
     line = "one line that these three texts have in common today"
     df = spark.createDataFrame([(i, f"{line}\n{unlike(random.Random(i), 20)}", 1, 2, 3) for i in range(4)], "doc_id long, text string, _h int, __drop int, lines int")
