@@ -34,23 +34,25 @@ PART = 1 << 20
 class Measures:
     """Measures of one text, each taken on demand. Words end at ASCII white space.
 
-    Words are kept as 64-bit hashes, 8 bytes each, so that a long text costs
-    little beside itself.
+    Words of a text beyond PART bytes are kept as 64-bit hashes, 8 bytes each, so
+    that it costs little beside itself; shorter ones are quicker as they are.
     """
 
     def __init__(self, text: str | None):
         self.text = text or ""
 
     @cached_property
-    def words(self) -> np.ndarray:
+    def words(self) -> list[bytes] | np.ndarray:
         raw, hashes, parts, at = self.text.encode(), word_hashes(), [], 0
+        if len(raw) <= PART:
+            return raw.split()
         while at < len(raw):
             space = _SPACE.search(raw, at + PART)
             end = space.start() if space else len(raw)
-            own = (raw if at == 0 and end == len(raw) else raw[at:end]).split()
+            own = raw[at:end].split()
             parts.append(np.fromiter(map(hashes.__getitem__, own), np.uint64, len(own)))
             at = end
-        return np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.empty(0, np.uint64)
+        return np.concatenate(parts)
 
     @cached_property
     def n_words(self) -> int:
@@ -79,6 +81,16 @@ class Measures:
     @cached_property
     def n_repeat_words(self) -> int:
         w = self.words
+        if isinstance(w, list):
+            windows = list(zip(w, w[1:], w[2:]))
+            if len(set(windows)) == len(windows):
+                return 0
+            count, total, covered = Counter(windows), 0, 0
+            for i, x in enumerate(windows):
+                if count[x] > 1:
+                    total += i + 3 - max(i, covered)
+                    covered = i + 3
+            return total
         if len(w) < 4:
             return 0
         windows = mixed(mixed(mixed(w[:-2]) + w[1:-1]) + w[2:])
