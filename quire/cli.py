@@ -201,7 +201,7 @@ class Commands:
 
     def stores_update(self) -> DataFrame:
         report = self.changes.refresh(read_documents(self.spark, self.args.folder, self.args.model))
-        self.code = 1 if report["missing"] else 0
+        self.code = 1 if report["missing"] or report["skipped"] else 0
         return self.spark.createDataFrame([report])
 
     def stores_check(self) -> DataFrame:

@@ -175,13 +175,14 @@ class Changes:
     def refresh(self, found: DataFrame) -> dict[str, int]:
         """Take in texts (store, model, doc, path, text) that changed since they were tracked, and rebuild sections.
 
-        Only changed documents are parsed for payloads; documents without a text are counted as missing.
+        Only changed documents are parsed for payloads; documents without a text are counted as missing. Documents of
+        models that aren't registered stay as they are, and these models are counted as skipped.
         """
         with self.catalog.lock(wait_s=10):
             old = self.catalog.read("documents")
             changed = found.join(old.select(*DOC, "hash_c"), DOC).where(F.sha2("text", 256) != F.col("hash_c"))
-            new = None
-            for name in [r[0] for r in old.select("model").distinct().collect()]:  # one row per model
+            new, names = None, [r[0] for r in old.select("model").distinct().collect()]  # one row per model
+            for name in [n for n in names if n in self.registry.models]:
                 part = prepared(changed.where(F.col("model") == name).select("store", "doc", "path", "text"), self.registry[name]).drop("error")
                 new = part if new is None else new.unionByName(part)
             docs = old if new is None else upsert(old, new, DOC)
@@ -189,4 +190,5 @@ class Changes:
             docs = self.catalog.read("documents")
             self.catalog.write(sections=sections(docs, [*DOC, "semantic_tags"], F.col("semantic_tags")))
             missing = old.join(found.select(*DOC), DOC, "left_anti").count()
-            return {"docs": docs.count(), "missing": missing, "sections": self.catalog.read("sections").count()}
+            skipped = sum(n not in self.registry.models for n in names)
+            return {"docs": docs.count(), "missing": missing, "skipped": skipped, "sections": self.catalog.read("sections").count()}

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,6 +90,26 @@ def parse_rules(text: str) -> list[tuple[str, str]]:
     return rules
 
 
+def run_scanners(files: DataFrame, scanners: dict[str, Callable[[str], list[dict]]]) -> DataFrame:
+    """(path, found, error): what the scanner of a file's extension finds in its text, one JSON object a row.
+
+    A scanner that fails stops nothing: its message comes as the file's only
+    row. Files (path, text) without a scanner, or with a null text, have none.
+    """
+
+    @F.udf(returnType="array<struct<found: string, error: string>>", useArrow=True)
+    def scan(path, text):
+        scanner = scanners.get(re.search(r"(\.[^./]+)?$", path or "")[0])
+        if scanner is None or text is None:
+            return []
+        try:
+            return [{"found": json.dumps(x, ensure_ascii=False, sort_keys=True), "error": None} for x in scanner(text)]
+        except Exception as e:
+            return [{"found": None, "error": f"{type(e).__name__}: {e}"}]
+
+    return files.select("path", F.inline(scan("path", "text")))
+
+
 def scan_code(files: DataFrame, plugins: dict[str, str], rules: list[tuple[str, str]]) -> DataFrame:
     """(path, handler, exempt): which plugin reads a file by its extension, and why it is exempt if so."""
     extension = F.regexp_extract("path", r"(\.[^./]+)$", 1)

@@ -377,7 +377,8 @@ def test_changes(spark, tmp_path):
     assert catalog.read("equivalences").count() == 2
     (folder / "one.md").unlink()
     (folder / "two.md").write_text(guide("Two again", "final", 3, "b", ["x.z"]))
-    assert c.refresh(read_documents(spark, str(folder), "Guide")) == {"docs": 2, "missing": 1, "sections": 6}
+    assert c.refresh(read_documents(spark, str(folder), "Guide")) == {"docs": 2, "missing": 1, "skipped": 0, "sections": 6}
+    assert Changes(catalog, Registry(NOTE)).refresh(read_documents(spark, str(folder), "Guide"))["skipped"] == 1
     assert json.loads(catalog.read("documents").where("doc = 'two'").first().payload_json)["title"] == "Two again"
     c.promote_model(GUIDE.with_field(Field("more", "str", "more", optional=True)))
     assert catalog.read("models").where("model = 'Guide'").first().version == 2
@@ -655,3 +656,12 @@ def test_own_grammars(spark):
     assert [tuple(r.payload) for r in got] == [("T", 1, "two"), ("T", None, "3")] and got[1].error
     loud = extract.extract_docs(spark.createDataFrame([("# a\n\nB: c",)], "text string"), Model("L", "# ⸢rev•t⸥\n\nB: ⸢rev•x⸥", (Field("t", "str", "t"), Field("x", "str", "x"))), grammar=templates.Grammar(shouting))
     assert tuple(loud.first().payload) == ("a", "C")
+
+
+def test_scanners(spark):
+    def todos(t):
+        return [{"line": i, "text": x} for i, x in enumerate(t.split("\n")) if "TODO" in x]
+
+    files = spark.createDataFrame([("a.py", "x\n# TODO é"), ("b.txt", "TODO"), ("c.js", "{"), ("d.py", None), ("e", "TODO")], "path string, text string")
+    got = {(r.path, r.found, r.error) for r in ingest.run_scanners(files, {".py": todos, ".js": lambda t: json.loads(t)}).collect()}
+    assert {x[:2] for x in got if x[2] is None} == {("a.py", '{"line": 1, "text": "# TODO é"}')} and [x[0] for x in got if x[2]] == ["c.js"]
