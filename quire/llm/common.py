@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 MASK64 = (1 << 64) - 1
 #: Arrow batches of whole texts hold this many rows at most, which bounds a Python worker's memory.
 TEXTS_PER_BATCH = 1000
-#: Tables of ids up to this many rows are broadcast, 16 MB at most; larger ones are shuffled.
+#: Tables of ids and a few numbers up to this many rows are broadcast, about 64 MB at most; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
