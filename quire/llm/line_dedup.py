@@ -77,11 +77,10 @@ def _several(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min("fp.h").alias("low"), F.max("fp.h").alias("high")).where("low <> high").select(key)
 
 
-def line_templates(lines: DataFrame, min_docs: int) -> DataFrame:
-    """(template, fp, line, n): lines with the templates that they fit; templates of whole lines that two texts have, and of generalised ones."""
+def line_templates(lines: DataFrame, again: DataFrame, min_docs: int) -> DataFrame:
+    """(template, fp, line, n): lines with the templates that they fit; whole lines of ``again`` (whole), those that two texts have, and generalised ones."""
     lines = lines.where(F.col("constant") >= MIN_CONSTANT)
-    whole = lines.select("fp", "line", "n", F.col("whole").alias("template"))
-    whole = whole.join(small(cut(_several(whole, "template"))), "template").select("template", "fp", "line", "n")
+    whole = lines.join(small(again), "whole").select(F.col("whole").alias("template"), "fp", "line", "n")
     leaves = lines.select("fp", "line", "n", "per", "constant", "segments", F.explode(F.array("head", "tail")).alias("leaf"))
     shared = cut(_several(lines.select("fp", F.explode(F.array("head", "tail")).alias("leaf")), "leaf"))
     leaves = stored(leaves.join(small(shared), "leaf"))
@@ -119,29 +118,36 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN
     """(fp, drop): for each text with recurring lines, their numbers from 0."""
     prepare(docs.sparkSession)
     lines = stored(line_segments(docs.where(F.col(text_col).isNotNull()), text_col))
-    made = cut(line_templates(lines, min_docs))
+    again = cut(_several(lines.where("constant > 0").select("fp", "whole"), "whole"))
+    made = cut(line_templates(lines, again, min_docs))
     shared = cut(made.groupBy("template").agg(F.count_distinct("fp").alias("d")).where(F.col("d") >= min_docs).select("template"))
     hits = cut(made.join(small(shared), "template"))
-    twins = line_halves(lines)
-    # documents of one text have each of its lines several times: count each once
-    size = lines.where(F.col("constant") >= MIN_CONSTANT).groupBy("fp", "line").agg(F.first("n").alias("n")).groupBy("fp").agg(F.sum("n").alias("words"))
-    again = twins.groupBy("fp", "line").agg(F.first("n").alias("n")).groupBy("fp").agg(F.sum("n").alias("again"))
-    # a copy has most of its words in lines that others have
-    like = cut(again.join(size, "fp").where(F.col("again") >= COPY * F.col("words")).select("fp", "words"))
-    twins = cut(twins.join(small(like.select("fp")), "fp", "left_semi").distinct())
+    # lines of a run that recurs recur themselves, so texts without such lines have none
+    in_two = lines.where("constant > 0").join(small(again), "whole", "left_semi").select("fp").distinct()
+    long = cut(runs(lines.join(small(cut(in_two)), "fp", "left_semi")))
+    long = cut(long.join(small(cut(_several(long, "template"))), "template"))
+    # only copies among the texts that share a template or a run matter
+    sharing = small(cut(hits.select("fp").unionByName(long.select("fp")).distinct()))
+    twins, like = copies(lines.join(sharing, "fp", "left_semi"))
     left = hits.select("template", "fp").distinct()
     for _ in range(min_docs - 1):
         left = without_first(left, twins, like)
     dropped = hits.join(small(cut(left.select("template").distinct())), "template").select("fp", "line")
-    # lines of a run that recurs recur themselves, so texts without such lines have none
-    in_two = lines.where("constant > 0").join(small(cut(_several(lines.where("constant > 0").select("fp", "whole"), "whole"))), "whole", "left_semi")
-    long = cut(runs(lines.join(small(cut(in_two.select("fp").distinct())), "fp", "left_semi")))
-    long = cut(long.join(small(cut(_several(long, "template"))), "template"))
     left = without_first(long.select("template", "fp").distinct(), twins, like)
     dropped = dropped.unionByName(long.join(small(cut(left.select("template").distinct())), "template").select("fp", F.explode("run").alias("line"))).distinct()
     return dropped.groupBy("fp").agg(F.collect_list("line").alias("drop"))
 
 
+def copies(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(template, fp, line, n) and (fp, words): shared halves of lines, of texts that have most of their words in such lines, and these."""
+    twins = cut(line_halves(lines))
+    # documents of one text have each of its lines several times: count each once
+    size = lines.where(F.col("constant") >= MIN_CONSTANT).groupBy("fp", "line").agg(F.first("n").alias("n")).groupBy("fp").agg(F.sum("n").alias("words"))
+    again = twins.groupBy("fp", "line").agg(F.first("n").alias("n")).groupBy("fp").agg(F.sum("n").alias("again"))
+    like = cut(again.join(size, "fp").where(F.col("again") >= COPY * F.col("words")).select("fp", "words"))
+    return cut(twins.join(small(like.select("fp")), "fp", "left_semi").distinct()), like
+
+
 def without_first(left: DataFrame, twins: DataFrame, like: DataFrame) -> DataFrame:
     """``left`` (template, fp) without each template's first text and the copies of that one, told by ``twins``."""
     first = left.groupBy("template").agg(F.min("fp").alias("first"))
