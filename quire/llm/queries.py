@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest_neighbours
 from .chat import format_conversations, read_back
 from .common import cut, prepare
+from .divergence import source_divergence
 from .embedding_dup import embedding_duplicates
 from .line_dedup import drop_recurring_lines
+from .merkle import merkle_manifest, path_digest
 from .mixing import mix, thresholds, word_count
 from .near_dup import near_duplicates
 from .packing import pack_documents
@@ -77,6 +80,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(read(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = merkle_manifest(read(spark, sf_dir, "documents"), tampered)
+    return found.select("doc_id", "leaf", "subroot", "root", path_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read(spark, sf_dir, "documents"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_counts": op2_token_counts,
@@ -88,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
 SQL: dict[str, str] = {}
@@ -243,3 +263,59 @@ SELECT doc_id, len(string_split(d.text, chr(10)))::BIGINT AS n_lines,
        CASE WHEN gone IS NULL THEN d.text ELSE array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: NOT list_contains(gone, i)), chr(10)) END AS text
 FROM d LEFT JOIN gone USING (fp)
 """
+
+_FIELDS = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END" for c in ("doc_id", "source", "lang", "n_chars", "text"))
+
+SQL["op11_merkle_manifest"] = rf"""
+WITH RECURSIVE
+bytes AS (SELECT list(list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256))::BIGINT AS i)),
+docs AS (SELECT *, xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 2 = 0 AS hit FROM documents, bytes),
+kept AS (SELECT doc_id, source, sha256({_FIELDS}) AS leaf FROM docs),
+changed AS (SELECT doc_id, source, sha256({_FIELDS}) AS found FROM (SELECT * REPLACE (CASE WHEN hit THEN replace(text, chr(10), '') ELSE text END AS text) FROM docs)),
+leaves AS (SELECT kept.doc_id, leaf, found, dense_rank() OVER (ORDER BY kept.source NULLS FIRST) - 1 AS g,
+  row_number() OVER (PARTITION BY kept.source ORDER BY kept.doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY kept.source) AS n FROM kept POSITIONAL JOIN changed),
+trees AS (SELECT g, 0 AS lvl, pos, n, leaf AS d FROM leaves
+  UNION ALL SELECT g, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY pos)) FROM trees WHERE n > 1 GROUP BY g, lvl, pos // 3, n),
+subroots AS (SELECT g, d AS subroot FROM trees WHERE n = 1),
+tops AS (SELECT -1::BIGINT AS g, 0 AS lvl, g AS pos, count(*) OVER () AS n, subroot AS d FROM subroots
+  UNION ALL SELECT g, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY g, lvl, pos // 3, n),
+nodes AS (SELECT * FROM trees UNION ALL SELECT * FROM tops),
+sides AS (SELECT g, lvl, pos, coalesce(string_agg(d, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(d, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM nodes WHERE n > 1 WINDOW w AS (PARTITION BY g, lvl, pos // 3 ORDER BY pos)),
+low AS (SELECT row_number() OVER () AS k, doc_id, leaf, g, 0 AS lvl, pos, n, found AS h, '' AS proof FROM leaves
+  UNION ALL SELECT k, doc_id, leaf, s.g, s.lvl + 1, s.pos // 3, (s.n + 2) // 3, sha256(l || h || r), proof || l || r FROM low s JOIN sides USING (g, lvl, pos) WHERE s.n > 1),
+high AS (SELECT k, doc_id, leaf, g AS of, -1::BIGINT AS g, 0 AS lvl, g AS pos, (SELECT count(*) FROM subroots) AS n, h, proof FROM low WHERE n = 1
+  UNION ALL SELECT k, doc_id, leaf, of, s.g, s.lvl + 1, s.pos // 3, (s.n + 2) // 3, sha256(l || h || r), proof || l || r FROM high s JOIN sides USING (g, lvl, pos) WHERE s.n > 1),
+top AS (SELECT d AS root FROM tops WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM high JOIN subroots ON of = subroots.g, top WHERE n = 1
+"""
+
+SQL["op12_source_divergence"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM d),
+found AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term FROM found GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM found SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+every AS (SELECT lang, source, term, coalesce(n, 0)::HUGEINT AS n FROM groups JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT *, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM every JOIN v USING (lang)),
+whole AS (SELECT lang, term, sum(n)::HUGEINT AS n, any_value(v) AS v FROM p GROUP BY lang, term),
+q AS (SELECT lang, term, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q FROM whole),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+  ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM (FROM pairs UNION ALL FROM terms) QUALIFY part = 'pair' OR rank <= 50
+"""
+
+SQL["op13_nearest_neighbours"] = """
+WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+far AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce([0::DOUBLE] || list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])), lambda a, b: a + b)) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank, vec_id, score FROM far QUALIFY rank <= 10
+"""
