@@ -2,17 +2,18 @@
 
 Each row is a leaf, the hash of its columns. Leaves are sorted by source and key in
 ranges, so that a large source takes many tasks; a leaf's coordinate is its source's
-number and its place there, from the counts of the ranges before. The store keeps
-runs: at most FANOUT consecutive nodes, whose common hash is a node of the next
-level. Each level is one Parquet folder, made from the one before, a third as
-large. The subroots of the sources are the leaves of a last tree of that kind.
-
-Proofs are read out from the root down: each level's runs meet the paths of their
-nodes by coordinate, in a merge join, and hand them on to their children with one
-step more. A step is what lies left and right of a node in its run, so a path
+number and its place there, from the counts of the ranges before. At most FANOUT
+consecutive nodes are a run, whose hash is a node of the next level. The store is
+Parquet by level, HEIGHT levels a folder, each folder made by one pass over the one before: a
+row, or block, has BLOCK consecutive nodes and the hashes above them. The subroots
+of the sources are the leaves of a last tree of that kind.
+
+Proofs are read out from the root down: each folder's blocks meet the paths of their
+nodes by coordinate, in a merge join, and hand them on to their nodes with the
+steps between. A step is what lies left and right of a node in its run, so a path
 folds a leaf up to the root without any other node.
 
-No group of rows is collected but a run; the driver knows the height of the trees
+No group of rows is collected but a block; the driver knows the height of the trees
 and the root.
 """
 
@@ -28,6 +29,9 @@ from pyspark.sql import functions as F
 from .common import _written, prepare, small, stored, tidy
 
 FANOUT = 3
+#: Levels in a folder of the store, and nodes of the lowest one in a row of it.
+HEIGHT = 3
+BLOCK = FANOUT**HEIGHT
 #: Columns of a leaf, in the order in which they are hashed.
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Paths of levels up to this many nodes are broadcast: about 2 kB each, 40 MB in all.
@@ -59,80 +63,92 @@ def fold(leaf: Column, path: Column) -> Column:
 
 @dataclass(frozen=True)
 class Manifest:
-    """``sources``: (g, source, n, digest), the subroots; ``levels`` and ``top``: runs of the sources' trees and of the tree above them, from the leaves up; ``single``: the leaves of sources of one row; ``root`` is null for no rows."""
+    """``sources``: (g, source, n, digest), the subroots; ``blocks`` and ``top``: blocks of the sources' trees and of the tree above them, from the leaves up; ``single``: the leaves of sources of one row; ``root`` is null for no rows."""
 
     sources: DataFrame
-    levels: list[DataFrame]
+    blocks: list[DataFrame]
     single: DataFrame
     top: list[DataFrame]
     root: str | None
 
 
 def placed(rows: DataFrame, keys: list[Column], group: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """``rows`` sorted by ``keys`` in ranges, with ``at``; and (part, low, before, n): where a range starts and how many rows of its group lie before.
+    """``rows`` sorted by ``keys`` in ranges, with ``at`` and ``part``; and (part, low, before, n): where a range starts, how many rows of its group lie before, and all of them.
 
     With ``group``, the first of ``keys``, there is one such row for each group in each range.
     """
-    runs = stored(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()))
-    part = F.shiftright("at", 33).alias("part")
+    runs = stored(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())).withColumn("part", F.shiftright("at", 33))
     by = [group] if group else []
-    ranges = stored(runs.groupBy(part, *by).agg(F.min("at").alias("low"), F.count("*").alias("n_part")))
+    ranges = runs.groupBy("part", *by).agg(F.min("at").alias("low"), F.count("*").alias("n_part"))
     before = Window.partitionBy(*by).orderBy("part")  # one row a range
-    counted = ranges.withColumn("before", F.sum("n_part").over(before) - F.col("n_part")).withColumn("n", F.sum("n_part").over(Window.partitionBy(*by)))
-    return runs.withColumn("part", part), counted.drop("n_part")
+    return runs, ranges.withColumn("before", F.sum("n_part").over(before) - F.col("n_part")).withColumn("n", F.sum("n_part").over(Window.partitionBy(*by))).drop("n_part")
+
+
+def heights(n: Column, wide: int) -> Column:
+    """Levels that the blocks of a tree of ``n`` leaves have, whose lowest nodes stand for ``wide`` leaves each."""
+    found = F.lit(HEIGHT)
+    for h in reversed(range(1, HEIGHT)):
+        found = F.when(n <= wide * FANOUT**h, h).otherwise(found)
+    return found
+
+
+def above(level: str) -> Column:
+    """The hashes of the runs of a level of a block."""
+    return F.expr(f"transform(sequence(0, (size({level}) - 1) div {FANOUT}), j -> sha2(array_join(slice({level}, {FANOUT} * j + 1, {FANOUT}), ''), 256))")
 
 
 def climb(nodes: DataFrame, most: int, place: str) -> tuple[list[DataFrame], DataFrame]:
-    """Runs of all levels, and (g, digest) of what remains, from ``nodes`` (g, n, pos, digest, row): n nodes of tree g, at most ``most``.
+    """Blocks of all levels, and (g, digest) of what remains, from ``nodes`` (g, n, pos, digest, row): tree g has n leaves, at most ``most``.
 
-    A run is (g, n, up, kids): the node ``up`` of the next level, and the nodes
-    below it in order. Trees of one node have no runs.
+    A block is (g, n, up, kids, level1, …, digest): consecutive nodes in order, their
+    runs' hashes level by level, and the node ``up`` that they give. Trees of one
+    node have none.
     """
-    levels, roots, wide = [], [nodes.where("n = 1").select("g", "digest")], 1
+    found, roots, wide = [], [nodes.where("n = 1").select("g", "digest")], 1
     while wide < most:
-        runs = nodes.where(F.col("n") > wide).groupBy("g", "n", F.floor(F.col("pos") / FANOUT).alias("up"))
         kid = F.struct("pos", "digest", *[c for c in nodes.columns if c == "row"])
-        runs = runs.agg(F.sort_array(F.collect_list(kid)).alias("kids"))
-        at = f"{place}/level={len(levels)}"
-        runs.write.option("compression", "zstd").parquet(at)
-        runs = _written(nodes.sparkSession.read.schema(runs.schema).parquet(at))
-        levels.append(runs)
-        wide *= FANOUT
-        nodes = runs.select("g", "n", F.col("up").alias("pos"), F.sha2(F.array_join("kids.digest", ""), 256).alias("digest"))
+        blocks = nodes.where(F.col("n") > wide).groupBy("g", "n", F.floor(F.col("pos") / BLOCK).alias("up")).agg(F.sort_array(F.collect_list(kid)).alias("kids"))
+        blocks = blocks.withColumn("level0", F.col("kids.digest"))
+        for h in range(HEIGHT):
+            blocks = blocks.withColumn(f"level{h + 1}", above(f"level{h}"))
+        # trees that end within the block have their root in a lower level, alone
+        root = F.element_at(F.array(*[F.element_at(f"level{h + 1}", 1) for h in range(HEIGHT)]), heights(F.col("n"), wide))
+        at = f"{place}/level={HEIGHT * len(found)}"
+        blocks = blocks.withColumn("digest", root).drop("level0", f"level{HEIGHT}")
+        blocks.write.option("compression", "zstd").parquet(at)
+        blocks = _written(nodes.sparkSession.read.schema(blocks.schema).parquet(at))
+        found.append(blocks)
+        wide *= BLOCK
+        nodes = blocks.select("g", "n", F.col("up").alias("pos"), "digest")
         roots.append(nodes.where(F.col("n") <= wide).select("g", "digest"))
-    return levels, reduce(DataFrame.unionByName, roots)
+    return found, reduce(DataFrame.unionByName, roots)
 
 
-def descend(levels: list[DataFrame], start: DataFrame, sizes: list[int]) -> DataFrame:
-    """(g, pos, digest, row, path and the columns of ``start``) for all leaves that lie in runs, from ``start`` (g, n, path, …) of each tree's root.
-
-    ``sizes`` has the number of nodes of each level, from the leaves up.
-    """
+def descend(blocks: list[DataFrame], start: DataFrame) -> DataFrame:
+    """(g, pos, digest, row, path and the columns of ``start``) for all leaves that lie in blocks, from ``start`` (g, n, path, …) of each tree's root."""
     carry = [c for c in start.columns if c not in ("g", "n", "path")]
+    sizes = [F.sum(F.ceil(F.col("n") / BLOCK ** (k + 1))) for k in range(len(blocks))]
+    sizes = start.agg(F.count("*"), *sizes).first()[1:]
     paths = None
-    for level in reversed(range(len(levels))):
-        wide = FANOUT ** (level + 1)
-        own = start.where((F.col("n") <= wide) & (F.col("n") > wide // FANOUT)).select("g", F.lit(0).cast("long").alias("up"), "path", *carry)
+    for k in reversed(range(len(blocks))):
+        wide = BLOCK**k
+        own = start.where((F.col("n") <= wide * BLOCK) & (F.col("n") > wide)).select("g", F.lit(0).cast("long").alias("up"), "path", *carry)
         paths = own if paths is None else paths.select("g", F.col("pos").alias("up"), "path", *carry).unionByName(own)
-        few = sizes[level + 1] <= BROADCAST_PATHS
-        met = levels[level].select("g", "up", "kids").join(F.broadcast(paths) if few else stored(paths), ["g", "up"])
-        met = met.select("g", "up", "kids", "path", *carry, F.posexplode("kids").alias("i", "kid"))
-        left = F.array_join(F.expr("slice(kids.digest, 1, i)"), "")
-        right = F.array_join(F.expr("slice(kids.digest, i + 2, size(kids))"), "")
-        step = F.array(F.struct(left.alias("left"), right.alias("right")))
-        paths = met.select("g", "kid.*", F.concat(step, "path").alias("path"), *carry)
+        met = blocks[k].join(F.broadcast(paths) if (sizes[k] or 0) <= BROADCAST_PATHS else stored(paths), ["g", "up"])
+        inner = [f"level{h}" for h in range(1, HEIGHT)]
+        met = met.withColumn("level0", F.col("kids.digest")).select("g", "n", "path", *carry, "level0", *inner, F.posexplode("kids").alias("i", "kid"))
+        steps = []
+        for h in range(HEIGHT):
+            place = f"(i div {FANOUT**h})"
+            first = f"({place} - {place} % {FANOUT})"
+            left = F.expr(f"array_join(slice(level{h}, cast({first} + 1 as int), cast({place} - {first} as int)), '')")
+            right = F.expr(f"array_join(slice(level{h}, cast({place} + 2 as int), cast({first} + {FANOUT - 1} - {place} as int)), '')")
+            steps.append(F.struct(left.alias("left"), right.alias("right")))
+        path = F.concat(F.slice(F.array(*steps), 1, heights(F.col("n"), wide)), "path")
+        paths = met.select("g", "kid.*", path.alias("path"), *carry)
     return paths
 
 
-def sizes_of(groups: DataFrame) -> list[int]:
-    """Nodes of each level, from the leaves up, of trees of n nodes; the last level has none but roots."""
-    most = groups.agg(F.max("n")).first()[0] or 0
-    heights = [1]
-    while heights[-1] < most:
-        heights.append(heights[-1] * FANOUT)
-    return [x or 0 for x in groups.agg(*[F.sum(F.ceil(F.col("n") / h)).alias(f"n{h}") for h in heights]).first()]
-
-
 def build(leaves: DataFrame, group: str = "source", key: str = "doc_id") -> Manifest:
     """The manifest of ``leaves``, which have ``group``, ``key`` and ``leaf``; all their columns stay in ``row``.
 
@@ -147,31 +163,32 @@ def build(leaves: DataFrame, group: str = "source", key: str = "doc_id") -> Mani
     ranges = stored(ranges)
     ranked, parts = placed(ranges.groupBy(group).agg(F.first("n").alias("n")), [first(group)])
     number = F.col("at") - F.col("low") + F.col("before")
-    groups = stored(ranked.join(small(parts.drop("n")), "part").select(number.alias("g"), group, "n"))
-    count, (most,) = groups.count(), groups.agg(F.max("n")).first()
-    known = stored(ranges.alias("r").join(small(groups).alias("s"), F.col(f"r.{group}").eqNullSafe(F.col(f"s.{group}"))).select("part", F.col(f"r.{group}").alias(group), "g", "s.n", "low", "before"))
+    groups = stored(ranked.join(F.broadcast(parts.drop("n")), "part").select(number.alias("g"), group, "n"))  # parts has a row a range
+    count, most = groups.agg(F.count("*"), F.max("n")).first()
+    known = ranges.alias("r").join(small(groups).alias("s"), F.col(f"r.{group}").eqNullSafe(F.col(f"s.{group}"))).select("part", F.col(f"r.{group}").alias(group), "g", "s.n", "low", "before")
     row = F.struct(*[F.col(f"x.{c}") for c in leaves.columns]).alias("row")
     met = runs.alias("x").join(small(known).alias("k"), (F.col("x.part") == F.col("k.part")) & F.col(f"x.{group}").eqNullSafe(F.col(f"k.{group}")))
     nodes = met.select("k.g", "k.n", number.alias("pos"), F.col("x.leaf").alias("digest"), row)
-    levels, roots = climb(nodes, most or 0, f"{place}/sources")
-    sources = stored(groups.join(small(stored(roots)), "g").select("g", group, "n", "digest"))
-    above = sources.select(F.lit(0).cast("long").alias("g"), F.lit(count).cast("long").alias("n"), F.col("g").alias("pos"), "digest", F.struct(F.col("g").alias("of"), F.col("n").alias("n"), "digest").alias("row"))
-    top, roots = climb(above, count, f"{place}/top")
+    blocks, roots = climb(nodes, most or 0, f"{place}/sources")
+    sources = stored(groups.join(small(roots), "g").select("g", group, "n", "digest"))
+    over = sources.select(F.lit(0).cast("long").alias("g"), F.lit(count).cast("long").alias("n"), F.col("g").alias("pos"), "digest", F.struct(F.col("g").alias("of"), F.col("n").alias("n"), "digest").alias("row"))
+    top, roots = climb(over, count, f"{place}/top")
     last = roots.select("digest").first()
-    return Manifest(sources, levels, nodes.where("n = 1").select("g", "digest", "row"), top, last and last[0])
+    return Manifest(sources, blocks, nodes.where("n = 1").select("g", "digest", "row"), top, last and last[0])
 
 
 def proofs(manifest: Manifest) -> DataFrame:
     """(row, leaf, subroot, root, path) of every leaf; ``path`` leads via the subroot to the root."""
-    start = manifest.sources.select(F.lit(0).cast("long").alias("g"), F.lit(manifest.sources.count()).cast("long").alias("n"), F.array().cast(NO_STEPS).alias("path")).limit(1)
+    nothing = F.array().cast(NO_STEPS).alias("path")
     if manifest.top:
-        of = descend(manifest.top, start, sizes_of(start)).select(F.col("row.of").alias("g"), F.col("row.n").alias("n"), F.col("row.digest").alias("subroot"), "path")
+        start = manifest.sources.groupBy(F.lit(0).cast("long").alias("g")).agg(F.count("*").alias("n")).withColumn("path", nothing)
+        of = descend(manifest.top, start).select(F.col("row.of").alias("g"), F.col("row.n").alias("n"), F.col("row.digest").alias("subroot"), "path")
     else:
-        of = manifest.sources.select("g", "n", F.col("digest").alias("subroot"), F.array().cast(NO_STEPS).alias("path"))
+        of = manifest.sources.select("g", "n", F.col("digest").alias("subroot"), nothing)
     of = stored(of)
-    found = manifest.single.join(small(of), "g").select("row", F.col("digest").alias("leaf"), "subroot", "path")
-    if manifest.levels:
-        found = found.unionByName(descend(manifest.levels, of, sizes_of(of)).select("row", F.col("digest").alias("leaf"), "subroot", "path"))
+    found = manifest.single.join(small(of.where("n = 1")), "g").select("row", F.col("digest").alias("leaf"), "subroot", "path")
+    if manifest.blocks:
+        found = found.unionByName(descend(manifest.blocks, of).select("row", F.col("digest").alias("leaf"), "subroot", "path"))
     return found.select("row", "leaf", "subroot", F.lit(manifest.root).cast("string").alias("root"), "path")
 
 
