@@ -1,6 +1,6 @@
 """Source divergence audit by wide term vectors.
 
-Terms are counted by language and source, combined where the rows lie. Each kept
+Terms are counted by language and source, added up where the texts lie. Each kept
 term of a language becomes one row, an array of counts with one place a source.
 Higher-order functions turn it into an array of smoothed shares, in whole billionths, and
 emit what it adds to the distance of each pair of sources; sums by pair are
@@ -13,13 +13,20 @@ for pairs of which one source has the term.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, prepare, small, stored, tidy
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of a text as terms have them: A-Z in lower case, what no term has as spaces.
+BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
+#: Terms by language and source that a task adds up in memory before it sends its sums, and rows that it sends at once.
+TERMS_HELD, ROWS_SENT = 400_000, 20_000
 #: Documents of a language that keep a term; ranks of the part `term`.
 MIN_DOCS, TOP = 30, 50
 #: Added to each count.
@@ -36,14 +43,39 @@ def share_sql(count: str, total: str) -> str:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, count, docs): occurrences, and documents that have the term."""
-    lowered = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0)).alias("terms"))
-    # in a sorted array a term's first occurrence differs from what is before it
-    rows = rows.select("lang", "source", F.explode(F.array(F.sort_array("terms"))).alias("terms"))
-    firsts = F.transform("terms", lambda t, i: F.struct(t.alias("term"), F.when((i > 0) & (F.get("terms", i - 1) == t), 0).otherwise(1).alias("first")))
-    rows = rows.select("lang", "source", F.explode(firsts).alias("t"))
-    return rows.groupBy("lang", "source", "t.term").agg(F.count("*").alias("count"), F.sum("t.first").alias("docs"))
+    """(lang, source, term, count, docs): occurrences, and documents that have the term.
+
+    Separators are single bytes in UTF-8, so a text is cut in one pass over its bytes.
+    A task adds up what it meets and hands on its sums once it holds TERMS_HELD.
+    """
+    rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (count, within) in held.items():
+                terms = list(count)
+                for at in range(0, len(terms), ROWS_SENT):
+                    some = terms[at : at + ROWS_SENT]
+                    columns = [pa.array([lang] * len(some), pa.string()), pa.array([source] * len(some), pa.string()), pa.array(some, pa.binary()).cast(pa.string()), pa.array([count[t] for t in some], pa.int64()), pa.array([within[t] for t in some], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "count", "docs"])
+            held.clear()
+
+        for batch in batches:
+            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
+                terms = text.translate(BYTES).split()
+                if (lang, source) not in held:
+                    held[lang, source] = Counter(), Counter()
+                count, within = held[lang, source]
+                count.update(terms)
+                within.update(set(terms))
+            if sum(len(count) for count, _ in held.values()) > TERMS_HELD:
+                yield from sums()
+        yield from sums()
+
+    found = rows.mapInArrow(run, "lang string, source string, term string, count long, docs long")
+    return found.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
 
 
 def numbered_sources(docs: DataFrame) -> DataFrame:

@@ -34,8 +34,8 @@ HEIGHT = 3
 BLOCK = FANOUT**HEIGHT
 #: Columns of a leaf, in the order in which they are hashed.
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
-#: Paths of levels up to this many nodes are broadcast: about 2 kB each, 40 MB in all.
-BROADCAST_PATHS = 20_000
+#: Paths of levels up to this many nodes are broadcast: about 2 kB each, 4 MB in all.
+BROADCAST_PATHS = 2_000
 
 NO_STEPS = "array<struct<left:string,right:string>>"
 
