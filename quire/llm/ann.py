@@ -221,8 +221,9 @@ def reranked(entries: DataFrame, asked: DataFrame, dim: int, k: int) -> DataFram
     parts = cut(asked.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("int").alias("parts")))
     shape = cut(blocks.join(parts, "cell"))  # at most as many rows as there are cells
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = entries.join(small(shape), "cell").withColumn("block", F.pmod(F.xxhash64("e"), F.col("blocks"))).select("cell", "block", every("parts").alias("part"), "e", "ids")
-    right = asked.join(small(shape), "cell").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts"))).select("cell", every("blocks").alias("block"), "part", "q", "query_id", "e")
+    # both sides' keys have to be of one type: rows are dealt by their hashes
+    left = entries.join(small(shape), "cell").withColumn("block", F.pmod(F.xxhash64("e"), F.col("blocks")).cast("int")).select("cell", "block", every("parts").alias("part"), "e", "ids")
+    right = asked.join(small(shape), "cell").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int")).select("cell", every("blocks").alias("block"), "part", "q", "query_id", "e")
 
     def run(e: pa.Table, q: pa.Table) -> pa.Table:
         rows: tuple[list, list, list, list] = ([], [], [], [])
