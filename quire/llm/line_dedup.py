@@ -5,18 +5,28 @@ tokens, where a token with a digit reads as a field ``<*>``. In the leaf that it
 reaches, its tokens are taken in at most SEGMENTS segments (single tokens for
 short lines), each by its place. A segment that MIN_DOCS distinct texts have in
 that leaf is constant, any other one generalises to a field; lines of one leaf
-with the same constants are one template. A second tree takes the last tokens
-for the leading ones, so that fields at a line's start generalise as well.
+with the same constants are one template. Two more trees take the last tokens and those
+in the middle for the leading ones, so that fields at a line's start, and at both
+its ends, generalise as well. A line with fields at all three places, none of which three texts share,
+makes no template.
 
 A template must keep half of its line's tokens. One that enough distinct texts
 share recurs, and its lines are dropped from every document. All counts are over
 all documents.
 
-Copies, documents that share lines with COPY of the longer one's words, count once
-towards a template, so that a group of copies, which near-duplicate removal
-settles, keeps its lines. Here a line is shared if half of its segments are, the
-first or the last ones, so that near copies are told as well. To count a template's texts, the first one and its
-copies are taken away, then the next; what is left after all but one decides.
+Copies count once towards a template, so that a group of copies, which
+near-duplicate removal settles, keeps its lines. To count a template's texts, the
+first one and its copies are taken away, then the next; what is left after all but
+one decides. What copies are is told as near-duplicate removal would, by five-word shingles and
+a similarity of COPY, from lines alone:
+
+* A line is shared with another text if that has it, or a quarter of its segments
+  at its place. Each line that isn't shared takes 4 words more from what is,
+  the shingles across its ends. So texts that have a passage in common, but lines
+  of their own as well, are no copies, unless near-duplicate removal would say so.
+* Each shared line that differs takes 5 words more, the shingles of a changed word. With
+  these the similarity may be as low as EDITED, which two texts have that are at
+  COPY from a third one. So forms whose lines all differ in a word are no copies.
 
 A run of lines with LONG constant tokens or more, one long line or several short
 ones, is dropped from two texts on that aren't copies. Lines of one constant
@@ -30,8 +40,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, prepare, small, stored, tidy, unused
 
-#: Distinct texts that make a template recur; tokens of a tree path, at most half of a line's; segments of a line; fewest constant tokens of a template; share of the longer text's words in shared lines that makes a copy.
-MIN_DOCS, LEAD, SEGMENTS, MIN_CONSTANT, COPY = 3, 3, 8, 2, 0.8
+#: Distinct texts that make a template recur; tokens of a tree path, at most half of a line's; segments of a line; fewest constant tokens of a template; similarity of copies, and with what changed words take.
+MIN_DOCS, LEAD, SEGMENTS, MIN_CONSTANT, COPY, EDITED = 3, 3, 8, 2, 0.8, 0.63
+#: Shingles that are lost at the ends of a line of one's own, and by a changed word.
+BETWEEN, CHANGED = 4, 5
 #: Constant tokens of a run of lines that two texts make recur.
 LONG = 50
 
@@ -43,10 +55,10 @@ def _fingerprint(text: Column) -> Column:
 
 
 def line_segments(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(fp, line, n, per, constant, whole, head, tail, segments) for each line that has a word.
+    """(fp, line, n, per, constant, raw, whole, leaves, segments) for each line that has a word.
 
     ``n`` tokens, ``constant`` of them without a digit, ``per`` tokens a segment;
-    hashes of the whole line, of its paths in both trees and of its segments.
+    hashes of the line as it is, of the line with fields, of its leaves and of its segments.
     """
     line = F.col("l")
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")).otherwise(line)
@@ -56,18 +68,20 @@ def line_segments(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = docs.select(_fingerprint(F.col(text_col)).alias("fp"), F.col(text_col).alias("text"))
     rows = rows.select("fp", F.posexplode(F.split("text", "\n")).alias("line", "l"))
     # a generator's output is computed once; a projection's would be computed again for each use
-    rows = rows.select("fp", "line", F.explode(F.array(masked)).alias("m"))
-    rows = rows.select("fp", "line", "m", F.explode(F.array(F.array_remove(F.split(spaced, " "), ""))).alias("t"))
+    rows = rows.select("fp", "line", F.xxhash64(F.lit(5), "l").alias("raw"), F.explode(F.array(masked)).alias("m"))
+    rows = rows.select("fp", "line", "raw", "m", F.explode(F.array(F.array_remove(F.split(spaced, " "), ""))).alias("t"))
     rows = rows.withColumn("n", F.size("t")).where("n > 0")
     fields = (F.length("m") - F.length(F.replace(F.col("m"), F.lit("<*>"), F.lit("")))) / 3
     rows = rows.withColumn("constant", (F.col("n") - fields).cast("int")).withColumn("per", F.ceil(F.col("n") / SEGMENTS).cast("int"))
     lead = F.least(F.lit(LEAD), F.floor((F.col("n") + 1) / 2)).cast("int")
     segment = lambda i: F.when(i * F.col("per") < F.col("n"), F.xxhash64(F.lit(i), F.slice("t", i * F.col("per") + 1, F.col("per"))))
+    # in short lines the middle is at an end
+    leaves = [F.xxhash64(F.lit(1), "n", F.slice("t", 1, lead)), F.xxhash64(F.lit(2), "n", F.slice("t", F.col("n") - lead + 1, lead))]
+    middle = F.xxhash64(F.lit(6), "n", F.slice("t", F.floor((F.col("n") - lead) / 2).cast("int") + 1, lead))
     return rows.select(
-        "fp", "line", "n", "per", "constant",
+        "fp", "line", "n", "per", "constant", "raw",
         F.xxhash64(F.lit(0), "n", "t").alias("whole"),
-        F.xxhash64(F.lit(1), "n", F.slice("t", 1, lead)).alias("head"),
-        F.xxhash64(F.lit(2), "n", F.slice("t", F.col("n") - lead + 1, lead)).alias("tail"),
+        F.when(F.col("n") > LEAD + 1, F.array(*leaves, middle)).otherwise(F.array(*leaves)).alias("leaves"),
         F.array(*map(segment, range(SEGMENTS))).alias("segments"),
     )
 
@@ -81,8 +95,8 @@ def line_templates(lines: DataFrame, again: DataFrame, min_docs: int) -> DataFra
     """(template, fp, line, n): lines with the templates that they fit; whole lines of ``again`` (whole), those that two texts have, and generalised ones."""
     lines = lines.where(F.col("constant") >= MIN_CONSTANT)
     whole = lines.join(small(again), "whole").select(F.col("whole").alias("template"), "fp", "line", "n")
-    leaves = lines.select("fp", "line", "n", "per", "constant", "segments", F.explode(F.array("head", "tail")).alias("leaf"))
-    shared = cut(_several(lines.select("fp", F.explode(F.array("head", "tail")).alias("leaf")), "leaf"))
+    leaves = lines.select("fp", "line", "n", "per", "constant", "segments", F.explode("leaves").alias("leaf"))
+    shared = cut(_several(lines.select("fp", F.explode("leaves").alias("leaf")), "leaf"))
     leaves = stored(leaves.join(small(shared), "leaf"))
     parts = leaves.select("*", F.posexplode("segments").alias("i", "segment")).where("segment is not null").withColumn("key", F.xxhash64("leaf", "segment"))
     several = small(cut(_several(parts.select("key", "fp"), "key")))
@@ -95,13 +109,14 @@ def line_templates(lines: DataFrame, again: DataFrame, min_docs: int) -> DataFra
     return whole.unionByName(found.select(F.xxhash64("leaf", "fixed.key").alias("template"), "fp", "line", "n")).distinct()
 
 
-def line_halves(lines: DataFrame) -> DataFrame:
-    """(template, fp, line, n): lines by the first and the last half of their segments, where two texts have it."""
-    half = SEGMENTS // 2
-    first = F.xxhash64(F.lit(3), "n", F.slice("segments", 1, half))
-    last = F.when(F.col("n") > half * F.col("per"), F.xxhash64(F.lit(4), "n", F.slice("segments", half + 1, half)))
-    rows = lines.where(F.col("constant") >= MIN_CONSTANT).select("fp", "line", "n", F.explode(F.array(first, last)).alias("template")).where("template is not null")
-    return rows.join(small(cut(_several(rows.select("template", "fp"), "template"))), "template").select("template", "fp", "line", "n")
+def line_parts(lines: DataFrame) -> DataFrame:
+    """(template, fp, line, n, same): lines as they are, and by each quarter of their segments, where two texts have it."""
+    wide = SEGMENTS // 4
+    quarter = lambda i: F.when(F.col("n") > i * wide * F.col("per"), F.xxhash64(F.lit(i), "n", F.slice("segments", i * wide + 1, wide)))
+    parts = F.posexplode(F.array("raw", *map(quarter, range(4)))).alias("kind", "template")
+    rows = lines.where("constant > 0").select("fp", "line", "n", parts).where("template is not null")
+    several = small(cut(_several(rows.select("template", "fp"), "template")))
+    return rows.join(several, "template").select("template", "fp", "line", "n", (F.col("kind") == 0).alias("same"))
 
 
 def runs(lines: DataFrame) -> DataFrame:
@@ -139,15 +154,20 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN
 
 
 def copies(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(template, fp, line, n) and (fp, words): shared halves of lines, of texts that have most of their words in such lines, and these."""
-    twins = cut(line_halves(lines))
+    """``line_parts`` of texts that have most of their words in such lines, and (fp, words, lines) of these texts."""
+    twins = cut(line_parts(lines))
     # documents of one text have each of its lines several times: count each once
-    size = lines.where(F.col("constant") >= MIN_CONSTANT).groupBy("fp", "line").agg(F.first("n").alias("n")).groupBy("fp").agg(F.sum("n").alias("words"))
+    size = lines.where("constant > 0").groupBy("fp", "line").agg(F.first("n").alias("n")).groupBy("fp").agg(F.sum("n").alias("words"), F.count("*").alias("lines"))
     again = twins.groupBy("fp", "line").agg(F.first("n").alias("n")).groupBy("fp").agg(F.sum("n").alias("again"))
-    like = cut(again.join(size, "fp").where(F.col("again") >= COPY * F.col("words")).select("fp", "words"))
+    like = cut(again.join(size, "fp").where(F.col("again") >= COPY * F.col("words")).select("fp", "words", "lines"))
     return cut(twins.join(small(like.select("fp")), "fp", "left_semi").distinct()), like
 
 
+def alike(common: Column, words: Column, of_first: Column, least: float) -> Column:
+    """Whether ``common`` words are ``least`` of all words of two texts."""
+    return common >= least * (words + of_first - common)
+
+
 def without_first(left: DataFrame, twins: DataFrame, like: DataFrame) -> DataFrame:
     """``left`` (template, fp) without each template's first text and the copies of that one, told by ``twins``."""
     first = left.groupBy("template").agg(F.min("fp").alias("first"))
@@ -155,9 +175,11 @@ def without_first(left: DataFrame, twins: DataFrame, like: DataFrame) -> DataFra
     pairs = rest.select("fp", "first").distinct().join(like, "fp").join(like.select(F.col("fp").alias("first"), F.col("words").alias("of_first")), "first")
     pairs = cut(pairs.where(F.least("words", "of_first") >= COPY * F.greatest("words", "of_first")))
     theirs = twins.join(pairs.select(F.col("first").alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias("first"), "template").distinct()
-    both = pairs.join(twins.select("fp", "line", "n", "template"), "fp").join(theirs, ["first", "template"])
-    common = both.groupBy("fp", "first", "line").agg(F.first("n").alias("n"), F.first("words").alias("words"), F.first("of_first").alias("of_first")).groupBy("fp", "first", "words", "of_first").agg(F.sum("n").alias("common"))
-    copies = common.where(F.col("common") >= COPY * F.greatest("words", "of_first")).select("fp", "first")
+    both = pairs.join(twins.select("fp", "line", "n", "template", "same"), "fp").join(theirs, ["first", "template"])
+    ofs = ["fp", "first", "words", "of_first", "lines"]
+    common = both.groupBy(*ofs, "line").agg(F.first("n").alias("n"), F.bool_or("same").alias("same")).groupBy(*ofs).agg(F.sum("n").alias("common"), F.count("*").alias("met"), F.count_if(~F.col("same")).alias("edited"))
+    shared = F.col("common") - BETWEEN * (F.col("lines") - F.col("met"))
+    copies = common.where(alike(shared, F.col("words"), F.col("of_first"), COPY) & alike(shared - CHANGED * F.col("edited"), F.col("words"), F.col("of_first"), EDITED)).select("fp", "first")
     return cut(rest.join(small(cut(copies)), ["fp", "first"], "left_anti").select("template", "fp"))
 
 

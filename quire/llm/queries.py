@@ -224,10 +224,12 @@ def _without_first(left: str, out: str) -> str:
     return f"""
 {out}_first AS (SELECT k, min(fp) AS first FROM {left} GROUP BY k),
 {out}_rest AS (SELECT k, fp, first FROM {left} JOIN {out}_first USING (k) WHERE fp <> first),
-{out}_pairs AS (SELECT DISTINCT r.fp, r.first, x.words, y.words AS of_first FROM {out}_rest r JOIN alike x ON x.fp = r.fp JOIN alike y ON y.fp = r.first
+{out}_pairs AS (SELECT DISTINCT r.fp, r.first, x.words, x.own, y.words AS of_first FROM {out}_rest r JOIN alike x ON x.fp = r.fp JOIN alike y ON y.fp = r.first
   WHERE least(x.words, y.words) >= 0.8::DOUBLE * greatest(x.words, y.words)),
-{out}_common AS (SELECT DISTINCT p.fp, p.first, p.words, p.of_first, a.i, a.n FROM {out}_pairs p JOIN twins a ON a.fp = p.fp JOIN twins b ON b.fp = p.first AND b.k = a.k),
-{out}_copies AS (SELECT fp, first FROM {out}_common GROUP BY fp, first, words, of_first HAVING sum(n) >= 0.8::DOUBLE * greatest(words, of_first)),
+{out}_met AS (SELECT p.fp, p.first, p.words, p.of_first, p.own, a.i, a.n, bool_or(a.same) AS same
+  FROM {out}_pairs p JOIN twins a ON a.fp = p.fp JOIN twins b ON b.fp = p.first AND b.k = a.k GROUP BY ALL),
+{out}_sums AS (SELECT fp, first, words + of_first AS whole, sum(n) - 4 * (own - count(*)) AS common, count(*) FILTER (NOT same) AS edited FROM {out}_met GROUP BY fp, first, words, of_first, own),
+{out}_copies AS (SELECT fp, first FROM {out}_sums WHERE common >= 0.8::DOUBLE * (whole - common) AND common - 5 * edited >= 0.63::DOUBLE * (whole - common + 5 * edited)),
 {out} AS (SELECT k, fp FROM {out}_rest ANTI JOIN {out}_copies USING (fp, first))"""
 
 
@@ -235,23 +237,26 @@ SQL["op8_line_dedup"] = rf"""
 WITH d AS (SELECT doc_id, text, substr(md5(text), 1, 30) AS fp FROM documents),
 texts AS (SELECT DISTINCT fp, text FROM d WHERE text IS NOT NULL),
 l AS (SELECT fp, i, string_split(text, chr(10))[i] AS l FROM texts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
-m AS (SELECT fp, i, regexp_replace(l, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') AS m FROM l),
-t AS (SELECT fp, i, m, regexp_extract_all(m, '[^\x20\x09-\x0D]+') AS t FROM m),
-n AS (SELECT fp, i, t, len(t) AS n, (len(t) + 7) // 8 AS per, least(3, (len(t) + 1) // 2) AS lead,
+m AS (SELECT fp, i, l, regexp_replace(l, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') AS m FROM l),
+t AS (SELECT fp, i, l, m, regexp_extract_all(m, '[^\x20\x09-\x0D]+') AS t FROM m),
+n AS (SELECT fp, i, l, t, len(t) AS n, (len(t) + 7) // 8 AS per, least(3, (len(t) + 1) // 2) AS lead,
              len(t) - (length(m) - length(replace(m, '<*>', ''))) // 3 AS constant, array_to_string(t, ' ') AS whole FROM t WHERE len(t) > 0),
 e AS (SELECT * FROM n WHERE constant >= 2),
-leaf AS (SELECT fp, i, t, n, per, constant, unnest([concat_ws('|', 'h', n, array_to_string(t[1 : lead], ' ')), concat_ws('|', 't', n, array_to_string(t[n - lead + 1 : n], ' '))]) AS leaf FROM e),
+-- leading, last and middle tokens; in lines of up to four the middle is at an end
+paths AS (SELECT *, unnest([0, n - lead, CASE WHEN n > 4 THEN (n - lead) // 2 END]) AS start, unnest(['h', 't', 'm']) AS tree FROM e),
+leaf AS (SELECT fp, i, t, n, per, constant, concat_ws('|', tree, n, array_to_string(t[start + 1 : start + lead], ' ')) AS leaf FROM paths WHERE start IS NOT NULL),
 part AS (SELECT fp, i, n, per, constant, leaf, s, concat_ws('|', leaf, s, array_to_string(t[s * per + 1 : least(n, (s + 1) * per)], ' ')) AS k FROM leaf, unnest(range(0, (n + per - 1) // per)) AS u(s)),
 fixed AS (SELECT k FROM part GROUP BY k HAVING count(DISTINCT fp) >= 3),
 found AS (SELECT fp, i, n, constant, string_agg(k, '#' ORDER BY s) AS k, sum(least(n, (s + 1) * per) - s * per) AS kept FROM part SEMI JOIN fixed USING (k) GROUP BY fp, i, n, constant, leaf),
 made AS (SELECT n || ' ' || whole AS k, fp, i, n FROM e
   UNION ALL SELECT k, fp, i, n FROM found WHERE kept < n AND 2 * kept >= n AND constant - (n - kept) >= 2),
 hits AS (SELECT k, fp, i, n FROM made SEMI JOIN (SELECT k FROM made GROUP BY k HAVING count(DISTINCT fp) >= 3) USING (k)),
-half AS (SELECT fp, i, n, concat_ws('|', 'l', n, array_to_string(t[1 : least(n, 4 * per)], ' ')) AS k FROM e
-  UNION ALL SELECT fp, i, n, concat_ws('|', 'r', n, array_to_string(t[4 * per + 1 : n], ' ')) FROM e WHERE n > 4 * per),
-twins AS (SELECT k, fp, i, n FROM half SEMI JOIN (SELECT k FROM half GROUP BY k HAVING count(DISTINCT fp) >= 2) USING (k)),
-alike AS (SELECT fp, words FROM (SELECT fp, sum(n) AS again FROM (SELECT DISTINCT fp, i, n FROM twins) GROUP BY fp)
-  JOIN (SELECT fp, sum(n) AS words FROM e GROUP BY fp) USING (fp) WHERE again >= 0.8::DOUBLE * words),
+worded AS (SELECT * FROM n WHERE constant > 0),
+half AS (SELECT fp, i, n, true AS same, 'w|' || l AS k FROM worded
+  UNION ALL SELECT fp, i, n, false, concat_ws('|', q, n, array_to_string(t[2 * q * per + 1 : least(n, 2 * (q + 1) * per)], ' ')) FROM worded, unnest(range(4)) AS u(q) WHERE n > 2 * q * per),
+twins AS (SELECT k, fp, i, n, same FROM half SEMI JOIN (SELECT k FROM half GROUP BY k HAVING count(DISTINCT fp) >= 2) USING (k)),
+alike AS (SELECT fp, words, own FROM (SELECT fp, sum(n) AS again FROM (SELECT DISTINCT fp, i, n FROM twins) GROUP BY fp)
+  JOIN (SELECT fp, sum(n) AS words, count(*) AS own FROM worded GROUP BY fp) USING (fp) WHERE again >= 0.8::DOUBLE * words),
 three AS (SELECT DISTINCT k, fp FROM hits),{_without_first("three", "two")},{_without_first("two", "one")},
 starts AS (SELECT fp, i, constant, whole, sum(constant) OVER (PARTITION BY fp ORDER BY i) - constant AS start FROM n WHERE constant > 0),
 run AS (SELECT fp, sum(constant) OVER w AS tokens, list(whole) OVER w AS k, list(i) OVER w AS run FROM starts WINDOW w AS (PARTITION BY fp ORDER BY start RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),

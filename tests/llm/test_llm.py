@@ -618,7 +618,7 @@ def test_line_dedup_keeps_the_lines_of_near_copies(spark):
     rng = random.Random(34)
     rows = []
     for g in range(8):
-        base = [unlike(rng, rng.randrange(8, 40)).split() for _ in range(rng.randrange(1, 6))]
+        base = [unlike(rng, rng.randrange(8, 40)).split() for _ in range(rng.randrange(6, 10))]
         for _ in range(12):
             lines = [list(x) for x in base]
             for _ in range(rng.choice((0, 1, 2))):
@@ -629,6 +629,27 @@ def test_line_dedup_keeps_the_lines_of_near_copies(spark):
     assert sum(got[i] == t for i, t, _ in rows) >= 0.9 * len(rows)
 
 
+def test_line_dedup_and_near_copies_leave_no_gap(spark):
+    """What texts share goes, or they are near copies; nothing lies between."""
+    rng = random.Random(36)
+    boiler, often, form = [unlike(rng, 12) for _ in range(7)], [unlike(rng, 13) for _ in range(9)], [unlike(rng, 11).split() for _ in range(8)]
+    rows, own = [], {}
+    for i in range(40):
+        mine = unlike(rng, 16)
+        rows.append((i, "\n".join([*boiler[:4], mine, *boiler[4:]]), "a"))  # 84 of 100 words in common
+        own[i] = mine
+        words = [unlike(rng, 1) for _ in often]
+        rows.append((100 + i, "\n".join(x for pair in zip(often, words) for x in pair), "a"))  # 93 %, a word of one's own after each line
+        own[100 + i] = "\n".join(words)
+        rows.append((200 + i, "\n".join(" ".join([*w[:4], unlike(rng, 1), *w[4:]]) for w in form), "a"))  # each line with another word
+        own[200 + i] = ""
+        ends = [unlike(rng, 30), f"{unlike(rng, 1)} liked this photo taken by {unlike(rng, 1)}", unlike(rng, 20)]
+        rows.append((300 + i, "\n".join(ends), "a"))  # fields at both ends
+        own[300 + i] = f"{ends[0]}\n{ends[2]}"
+    got = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(docs_of(spark, rows)).collect()}
+    assert got == own
+
+
 def test_line_dedup_keeps_columns_of_any_name(spark):
     line = "one line that these three texts have in common today"
     df = spark.createDataFrame([(i, f"{line}\n{unlike(random.Random(i), 20)}", 1, 2, 3) for i in range(4)], "doc_id long, text string, _h int, __drop int, lines int")
