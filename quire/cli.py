@@ -12,13 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import QuireError, StoreError
-from .operators import extract, fields, integrity, library, links, search, sections, tree
+from .errors import QuireError, CatalogError
+from .operators import extract, fields, integrity, library, links, search, sections, tree, trigrams
 from .operators.changes import Changes
 from .operators.semantics import tag_edges
 from .plans.models import Field, Model, Registry
 from .plans.templates import dump_yaml, load_yaml
-from .sources.catalog import Catalog
+from .sources.catalog import KEEP_S, Catalog
 from .sources.files import as_json, read_documents, read_text, tracked_files, write_document
 
 
@@ -61,7 +61,9 @@ def parser() -> argparse.ArgumentParser:
     command(stores, "init", force=flag)
     command(stores, "add", "path", "name")
     command(stores, "check")
-    command(stores, "update", "folder", "model")
+    command(stores, "update", "folder?", "model?")
+    command(stores, "vacuum")
+    command(stores, "index")
     command(stores, "map", "tag", "equal")
     models = group("models")
     command(models, "add", "name")
@@ -200,10 +202,23 @@ class Commands:
         self.changes.map_tags(self.args.tag, self.args.equal)
 
     def stores_update(self) -> DataFrame:
-        report = self.changes.refresh(read_documents(self.spark, self.args.folder, self.args.model))
+        """Take in changed files: those of a folder as a model's documents, or else every tracked document's own."""
+        if self.args.folder and not self.args.model:
+            raise QuireError("a folder needs the model of its documents")
+        report = self.changes.refresh(read_documents(self.spark, self.args.folder, self.args.model) if self.args.folder else None)
         self.code = 1 if report["missing"] or report["skipped"] else 0
         return self.spark.createDataFrame([report])
 
+    def stores_index(self) -> None:
+        """Keep search records and trigrams of the documents as they are now, which ``find`` reads while they are."""
+        stores = self.catalog.read("stores").where("not linked")
+        self.changes.index(search.search_records(self._local(), stores, persisted=self._persisted()))
+
+    def stores_vacuum(self) -> DataFrame:
+        """Delete files that nothing names and that readers have had an hour to end with."""
+        with self.catalog.lock():
+            return self.spark.createDataFrame([(self.catalog.vacuum(KEEP_S),)], "places int")
+
     def stores_check(self) -> DataFrame:
         """Tracked documents against their files, stored hashes against the documents'; text shows PASS or FAIL."""
         tracked = self.catalog.read("documents").where("store = 'local'")
@@ -278,19 +293,33 @@ class Commands:
         doc = self.library().target(self.args.name)
         return self.catalog.read("documents").join(doc.select("store", "model", "doc"), ["store", "model", "doc"], "left_semi").drop("text")
 
-    def _resolved(self) -> tuple[DataFrame, DataFrame]:
+    def _resolved(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Documents, their links, and the one that is meant: a file, tracked or not, else a tracked name."""
         docs = self.library().documents
-        return docs, links.resolve_links(links.parsed_links(docs, ["doc", "path"]), docs, "file:" + os.getcwd())
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.args.name)
+        files = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if files.exists(place) and files.getFileStatus(place).isFile():
+            path = files.makeQualified(place).toString()
+            start = docs.where(F.col("path") == path)
+            if start.isEmpty():
+                row = read_text(self.spark, self.args.name).select(F.lit("file").alias("store"), F.lit("").alias("model"), F.lit(path).alias("path"), "text")
+                docs = docs.unionByName(row.withColumn("doc", F.lit("\0" + path)))  # no link means it by name
+                start = docs.where(F.col("path") == path)
+        else:
+            start = self.library().target(self.args.name)
+        return docs, self._links(docs), start.select("path")
+
+    def _links(self, docs: DataFrame) -> DataFrame:
+        return links.resolve_links(links.parsed_links(docs, ["doc", "path"]), docs, "file:" + os.getcwd())
 
     def docs_recover(self) -> DataFrame:
-        _, found = self._resolved()
-        out = links.recover_links(found, self.library().target(self.args.name), self.args.depth, not self.args.no_transclusions)
+        _, found, start = self._resolved()
+        out = links.recover_links(found, start, self.args.depth, not self.args.no_transclusions)
         self.code = 0 if out.where("not resolved").isEmpty() else 1
         return out.select("target").distinct().orderBy("target") if self.args.links_only else out
 
     def docs_compose(self) -> DataFrame:
-        docs, found = self._resolved()
-        path = self.library().target(self.args.name).select("path")
+        docs, found, path = self._resolved()
         self.code = 0 if found.join(path, "path", "left_semi").where("kind = 'transclusion' and not resolved").isEmpty() else 1
         return links.compose(docs, found).join(path, "path", "left_semi").select("composed")
 
@@ -338,7 +367,7 @@ class Commands:
     def _persisted(self) -> DataFrame | None:
         """Stored sections, unless they are to be rebuilt or there are none yet."""
         stored = self.catalog.read("sections")
-        return None if self.args.rebuild or stored.isEmpty() else stored
+        return None if getattr(self.args, "rebuild", False) or stored.isEmpty() else stored
 
     def _local(self) -> library.Library:
         lib = self.library()
@@ -362,7 +391,11 @@ class Commands:
         stores = self.catalog.read("stores").where(F.lit(everywhere) | ~F.col("linked"))
         # stored sections are the local store's
         lib, stored = (self.library(), None) if everywhere else (self._local(), self._persisted())
-        found = search.search(search.search_records(lib, stores, persisted=stored), a.term or "", a.within, tuple(a.type), a.regex, a.fuzzy)
+        kept = None if everywhere or a.fuzzy or a.rebuild or not a.term else self.catalog.indexed()
+        if kept:
+            found = trigrams.indexed_search(*kept, a.term, a.within, tuple(a.type), a.regex)
+        else:
+            found = search.search(search.search_records(lib, stores, persisted=stored), a.term or "", a.within, tuple(a.type), a.regex, a.fuzzy)
         if a.where:
             found = search.where_records(found, a.where, self.registry)
         return self._rows(library.select_keys(found, a.select.split(",")) if a.select else found)
@@ -406,7 +439,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
                     continue
                 print(r[0] if len(r) == 1 else "\t".join("" if x is None else str(x) for x in r))
         return commands.code
-    except (QuireError, StoreError) as e:
+    except (QuireError, CatalogError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
 

@@ -1,37 +1,25 @@
-"""Errors that callers may handle."""
+"""Errors that callers tell apart, by the step that fails."""
 
 
 class QuireError(Exception):
     """Any error of this package."""
 
 
-class ModelError(QuireError):
-    """A model or its registration is wrong."""
+class CompileError(QuireError):
+    """A template or a text's YAML can't be read."""
 
 
-class DraftError(ModelError):
-    """A draft of a model can't be made or promoted."""
+class RegistryError(QuireError):
+    """A model can't be made, registered or found."""
 
 
-class EditError(ModelError):
-    """A change of a model's fields or template is wrong."""
+class FieldEditError(QuireError):
+    """A field can't be changed so."""
 
 
-class ValidationError(QuireError):
-    """A document doesn't survive its round trip; ``details`` says where."""
+class RoundTripError(QuireError):
+    """A document isn't what its model renders."""
 
-    def __init__(self, message: str, details: dict | None = None):
-        super().__init__(message)
-        self.details = details or {}
 
-
-class StoreError(QuireError):
-    """A store is missing, locked or inconsistent."""
-
-
-class TemplateError(QuireError):
-    """A template can't be compiled, or its YAML can't be read."""
-
-
-class LinkError(QuireError):
-    """A link can't be resolved."""
+class CatalogError(QuireError):
+    """A catalog is missing, locked or has no such document."""

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import QuireError
 from ..plans.expressions import Expressions
 from ..plans.markers import MARKER, Marker, capture_pattern, pieces
 from ..plans.models import KINDS, Field, Model
@@ -106,10 +105,11 @@ def _by_parser(text: Column, model: Model, grammar: Grammar) -> Column:
             return None
         try:
             found = extract(steps, source, grammar)
-        except (QuireError, ValueError) as e:
-            return {ERROR: str(e)}
+            whole = canonical(found)
+        except Exception as e:  # whatever is wrong with a document is that document's error
+            return {ERROR: str(e) or type(e).__name__}
         own = {f"f{i}": (canonical(found[n]) if k in ("list", "rows", "dict") else shown(found[n])) for i, (n, k) in enumerate(kinds.items()) if found.get(n) is not None}
-        return own | {PAYLOAD: canonical(found)}
+        return own | {PAYLOAD: whole}
 
     return parse(text)
 
@@ -205,7 +205,10 @@ def _yaml_text(value: Column) -> Column:
 
     @F.udf(returnType="string", useArrow=True)
     def dump(text):
-        return None if text is None else dump_yaml(json.loads(text))
+        try:
+            return None if text is None else dump_yaml(json.loads(text))
+        except (ValueError, RecursionError):
+            return text  # JSON is YAML as well
 
     return dump(value)
 

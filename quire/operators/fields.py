@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import EditError
+from ..errors import FieldEditError
 from ..plans.models import Model
 from ..plans.templates import canonical
 
@@ -25,7 +25,7 @@ def _path(parts: list[str]) -> str:
 def split_path(path: str) -> list[str]:
     parts = [p for p in re.split(r"[./]", path) if p]
     if not parts:
-        raise EditError("an empty field path")
+        raise FieldEditError("an empty field path")
     return parts
 
 
@@ -41,23 +41,26 @@ def deep_get(payload_json: Column, path: str) -> Column:
 def flatten_payloads(docs: DataFrame, keys: list[str], payload_col: str = "payload_json") -> DataFrame:
     """(keys, field_path, value_json): mappings are gone into, lists stay whole, empty mappings give no row.
 
-    Mappings are opened in their row, a level a step; a payload is at most as
-    deep as it has opening braces. A null payload gives no rows.
+    The payload is parsed once; its mappings are opened in their row, a level a
+    step, as variants. When none is open any longer a step only looks. A null
+    payload, and one that is no mapping, give no rows.
     """
-    pair = "struct<field_path: string, value_json: string>"
+    entry = "struct<field_path: string, open: map<string, variant>, value_json: string>"
 
-    def opened(x: Column) -> Column:
-        entries = F.map_entries(F.from_json(x["value_json"], "map<string, variant>"))
-        return F.transform(entries, lambda e: F.struct(F.concat_ws(".", x["field_path"], e["key"]).alias("field_path"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value_json"))).cast(f"array<{pair}>")
+    def entry_of(path: Column, value: Column) -> Column:
+        inner = F.try_variant_get(value, "$", "map<string, variant>")
+        return F.struct(path.alias("field_path"), inner.alias("open"), F.when(inner.isNull(), F.to_json(value)).alias("value_json")).cast(entry)
 
     def step(state: Column, _: Column) -> Column:
-        return F.flatten(F.transform(state, lambda x: F.when(x["value_json"].startswith("{"), opened(x)).otherwise(F.array(x).cast(f"array<{pair}>"))))
+        inside = lambda x: F.transform(F.map_entries(x["open"]), lambda e: entry_of(F.concat_ws(".", x["field_path"], e["key"]), F.coalesce(e["value"], F.parse_json(F.lit("null")))))
+        opened = F.flatten(F.transform(state, lambda x: F.when(x["open"].isNull(), F.array(x)).otherwise(inside(x))))
+        return F.when(F.exists(state, lambda x: x["open"].isNotNull()), opened).otherwise(state)
 
-    start = F.array(F.struct(F.lit(None).cast("string").alias("field_path"), F.col(payload_col).alias("value_json"))).cast(f"array<{pair}>")
     payload = F.col(payload_col)
     braces = F.length(payload) - F.length(F.replace(payload, F.lit("{"), F.lit("")))
+    start = F.array(entry_of(F.lit(None).cast("string"), F.try_parse_json(payload))).cast(f"array<{entry}>")
     rows = docs.select(*keys, F.explode(F.aggregate(F.sequence(F.lit(1), F.greatest(braces, F.lit(1))), start, step)).alias("f"))
-    return rows.select(*keys, "f.*").where("field_path is not null")
+    return rows.select(*keys, "f.field_path", "f.value_json").where("field_path is not null")
 
 
 def flatten_typed(docs: DataFrame, keys: list[str], model: Model) -> DataFrame:
@@ -81,7 +84,7 @@ def _edit(payload: dict, op: str, parts: list[str], value: Any) -> dict:
         elif isinstance(at, dict) and (p in at or op == "create"):
             at = at.setdefault(p, {})
         else:
-            raise EditError(f"no field {'.'.join(parts)}")
+            raise FieldEditError(f"no field {'.'.join(parts)}")
     last: Any = parts[-1]
     if isinstance(at, list) and last.isdigit():
         last = int(last)
@@ -89,22 +92,22 @@ def _edit(payload: dict, op: str, parts: list[str], value: Any) -> dict:
     elif isinstance(at, dict):
         known = last in at
     else:
-        raise EditError(f"no field {'.'.join(parts)}")
+        raise FieldEditError(f"no field {'.'.join(parts)}")
     if op != "create" and not known:
-        raise EditError(f"no field {'.'.join(parts)}")
+        raise FieldEditError(f"no field {'.'.join(parts)}")
     if op in ("create", "update"):
         if isinstance(at, list) and not known:
-            raise EditError(f"no field {'.'.join(parts)}")
+            raise FieldEditError(f"no field {'.'.join(parts)}")
         at[last] = value
     elif op == "remove":
         del at[last]
     elif op == "append":
         if not isinstance(at[last], list):
-            raise EditError(f"{'.'.join(parts)} is no list")
+            raise FieldEditError(f"{'.'.join(parts)} is no list")
         at[last].append(value)
     else:
         if not isinstance(at[last], list):
-            raise EditError(f"{'.'.join(parts)} is no list")
+            raise FieldEditError(f"{'.'.join(parts)} is no list")
         kept, seen = [], set()
         for x in at[last]:
             if not (value["drop_empty"] and x in (None, "", [], {}) or value["dedupe"] and canonical(x) in seen):
@@ -126,8 +129,8 @@ def edit_field(payload_json: Column, op: str, path: str, value: Any = None) -> C
     def run(text):
         try:
             return {"payload_json": canonical(_edit(json.loads(text or "{}"), op, parts, value)), "error": None}
-        except (EditError, ValueError) as e:
-            return {"payload_json": text, "error": str(e)}
+        except Exception as e:  # a payload's own error stops no other
+            return {"payload_json": text, "error": str(e) or type(e).__name__}
 
     return run(payload_json)
 

@@ -1,32 +1,56 @@
 """The hash cascade of a store, and what it tells about changes.
 
 hash_c is a document's text, hash_d its payload; hash_b folds both over a model's
-documents in order of path, hash_a the models' hash_b in order of name. Documents
-are folded by buckets of their paths first, then the buckets' folds, so that a
-large model's hashes meet in no single row.
+documents, hash_a the models' hash_b in order of name. Documents are folded by the
+first LEAF_DIGITS hexadecimal digits of a hash of their name, then folds that share
+all digits but the last, and so on to the model's: a tree, in which a large model's hashes
+meet in no single row, and which can be kept at any number of digits and folded
+on from there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.catalog import bucket_of
+
 
 def document_hashes(docs: DataFrame) -> DataFrame:
     """``docs`` (text, payload_json) with hash_c and hash_d."""
     return docs.withColumn("hash_c", F.sha2("text", 256)).withColumn("hash_d", F.sha2("payload_json", 256))
 
 
-#: Hexadecimal digits of a path's hash that name its bucket.
-BUCKET_DIGITS = 3
+#: Hexadecimal digits at which documents are folded.
+LEAF_DIGITS = 3
+
+
+def _fold(rows: DataFrame, digits: int, entry: Column) -> DataFrame:
+    entries = F.array_sort(F.collect_list(entry))
+    return rows.groupBy("store", "model", F.substring("prefix", 1, digits).alias("prefix")).agg(F.sha2(F.to_json(entries), 256).alias("fold"))
+
+
+def fold_up(folds: DataFrame, at: int, digits: int) -> DataFrame:
+    """(store, model, prefix, fold) at ``digits`` digits, from those ``at`` more digits."""
+    for n in reversed(range(digits, at)):
+        folds = _fold(folds, n, F.struct("prefix", "fold"))
+    return folds
+
+
+def document_folds(hashed: DataFrame, digits: int) -> DataFrame:
+    """(store, model, prefix, fold) of documents (store, model, doc, path, hash_c, hash_d): only hashes meet in a group, never texts."""
+    rows = hashed.withColumn("prefix", bucket_of(LEAF_DIGITS))
+    return fold_up(_fold(rows, LEAF_DIGITS, F.struct("path", "hash_c", "hash_d")), LEAF_DIGITS, digits)
 
 
 def model_hashes(hashed: DataFrame) -> DataFrame:
-    """(store, model, hash_b): only hashes meet in a group, never texts."""
-    rows = F.array_sort(F.collect_list(F.struct("path", "hash_c", "hash_d")))
-    bucket = F.substring(F.sha2("path", 256), 1, BUCKET_DIGITS)
-    folds = hashed.groupBy("store", "model", bucket.alias("bucket")).agg(F.sha2(F.to_json(rows), 256).alias("fold"))
-    return folds.groupBy("store", "model").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("bucket", "fold")))), 256).alias("hash_b"))
+    """(store, model, hash_b) of all documents."""
+    return document_folds(hashed, 0).select("store", "model", F.col("fold").alias("hash_b"))
+
+
+def folded_hashes(folds: DataFrame, digits: int) -> DataFrame:
+    """(store, model, hash_b) from kept folds of ``digits`` digits, equal to ``model_hashes`` of the documents."""
+    return fold_up(folds, digits, 0).select("store", "model", F.col("fold").alias("hash_b"))
 
 
 def store_hashes(models: DataFrame) -> DataFrame:
@@ -91,3 +115,8 @@ def rebuild_report(tracked: DataFrame, headings: DataFrame) -> DataFrame:
 def changed_docs(found: DataFrame, known: DataFrame) -> DataFrame:
     """Documents whose text is new or changed since ``known`` (store, model, doc, hash_c): all that a refresh has to parse."""
     return found.withColumn("hash_c", F.sha2("text", 256)).join(known, ["store", "model", "doc", "hash_c"], "left_anti")
+
+
+def equal_texts(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """(hash_c, n, first): texts that several documents have, with the least ``key``; combined where the rows lie."""
+    return docs.groupBy(F.sha2(text_col, 256).alias("hash_c")).agg(F.count("*").alias("n"), F.min(key).alias("first")).where("n > 1")

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import StoreError
+from ..errors import CatalogError
 from ..functions.text import address, glob_pattern, tag_pattern
 from ..plans.addresses import Address, parse_address
 from ..plans.models import Model, Registry, model_tags
@@ -55,7 +55,7 @@ class Library:
         """Documents of several models; payloads as JSON."""
         names = list(self.registry.models) if models is None else models
         if not names:
-            raise StoreError("no models")
+            raise CatalogError("no models")
         return union([self.typed(n, store).drop("payload") for n in names])
 
     def scope(self, a: Address) -> list[str]:
@@ -94,7 +94,7 @@ class Library:
         a = parse_address(text)
         if a.root == "st":
             if a.doc is None:
-                raise StoreError(f"no document in {text}")
+                raise CatalogError(f"no document in {text}")
             scope = self.scope(a)
             docs = self.payloads(scope, "local").where(F.col("doc") == a.doc) if scope else self.payloads([*self.registry.models][:1], "local").limit(0)
             return docs.select((deep_named(F.col("payload_json"), a.field) if a.field else F.col("payload_json")).alias("value"))
@@ -129,7 +129,7 @@ class Library:
             return own.select(F.concat(address(F.col("model"), F.col("doc")), F.lit("."), "field").alias("address")).orderBy("address")
         if a.root == "se" and a.tag:
             return self.tags().select("tag").distinct().where(F.col("tag").rlike(tag_pattern(a.tag))).select(F.concat(F.lit("se."), "tag").alias("address")).orderBy("address")
-        raise StoreError(f"no pattern in {text}")
+        raise CatalogError(f"no pattern in {text}")
 
     def find(self, text: str, where: str | None = None, strict: bool = True) -> DataFrame:
         """Documents in scope for which ``where`` holds, with their address and payload."""
@@ -139,7 +139,7 @@ class Library:
         elif a.root == "se" and a.tag:
             scope, test = list(self.registry.models), F.exists("semantic_tags", lambda t: t.rlike(tag_pattern(a.tag)))
         else:
-            raise StoreError(f"no scope in {text}")
+            raise CatalogError(f"no scope in {text}")
         found = []
         for name in scope:
             docs = self.typed(name)
@@ -159,7 +159,7 @@ class Library:
         hit = self.documents.where((F.col("doc") == text) | (F.col("path") == text) | (F.concat_ws("/", "model", "doc") == text))
         n = hit.limit(2).count()
         if n != 1:
-            raise StoreError(f"{text!r} is {'ambiguous' if n else 'unknown'}")
+            raise CatalogError(f"{text!r} is {'ambiguous' if n else 'unknown'}")
         return hit
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,22 +79,52 @@ def field_records(library: Library, docs: DataFrame | None = None) -> DataFrame:
     return flat.select(*KEYS, "semantic_tags", "payload_json", "field_path", value.alias("value"), F.try_element_at("_owners", "field_path").alias("owning_section"))
 
 
+def _reach(hay: Column, term: str) -> Column:
+    """The texts of ``hay`` whose ratio to ``term`` can reach FUZZY, both in lower case.
+
+    The ratio is twice the number of matched characters by both lengths, and no more
+    of a character can be matched than the rarer side has. That bound is exact for
+    what it is, so nothing is lost; lengths alone rule out most texts.
+    """
+    low = term.lower()
+    letters, n = Counter(low), len(low)
+
+    def can(x: Column) -> Column:
+        m = F.length(x)
+        shared = sum((F.least(F.lit(c), m - F.length(F.replace(x, F.lit(ch), F.lit("")))) for ch, c in letters.items()), F.lit(0))
+        return (2 * F.least(m, F.lit(n)) >= FUZZY * (m + n)) & (2 * shared >= FUZZY * (m + n))
+
+    return F.filter(F.transform(hay, F.lower), can)
+
+
 def _near(hay: Column, term: str) -> Column:
-    """Any text within FUZZY of ``term``, both in lower case; one Arrow call for the rows that contain it nowhere."""
+    """Any text within FUZZY of ``term``, both in lower case.
+
+    Texts that contain it, and those that can't come near, are settled in the JVM;
+    Python sees the rest in one Arrow call, and nulls in the place of settled rows.
+    """
 
     @F.udf(returnType="boolean", useArrow=True)
     def near(values):
         from difflib import SequenceMatcher
 
         m = SequenceMatcher(a=term.lower())
-        for v in values or ():
-            m.set_seq2(v.lower())
+        for v in values if values is not None else ():
+            m.set_seq2(v)
             if m.real_quick_ratio() >= FUZZY and m.quick_ratio() >= FUZZY and m.ratio() >= FUZZY:
                 return True
         return False
 
     within = F.exists(hay, lambda x: F.contains(F.lower(x), F.lit(term.lower())))
-    return F.when(within, True).otherwise(near(hay))
+    close = _reach(hay, term)
+    return F.when(within, True).otherwise(near(F.when(~within & (F.size(close) > 0), close)))
+
+
+def hay_of(within: str) -> Column:
+    """The texts of a record that a search looks in."""
+    empty = F.array().cast("array<string>")
+    parts = [F.col("physical")] * (within in ("physical", "both")) + [F.col("semantic"), F.col("about")] * (within in ("semantic", "both"))
+    return F.filter(F.concat(*[F.coalesce(p, empty) for p in parts]), lambda x: x.isNotNull() & (x != ""))
 
 
 def search(records: DataFrame, term: str = "", within: str = "both", kinds: tuple[str, ...] = (), regex: bool = False, fuzzy: bool = False) -> DataFrame:
@@ -107,9 +139,7 @@ def search(records: DataFrame, term: str = "", within: str = "both", kinds: tupl
         records = records.where(F.col("kind").isin(*kinds))
     if not term:
         return records
-    empty = F.array().cast("array<string>")
-    parts = [F.col("physical")] * (within in ("physical", "both")) + [F.col("semantic"), F.col("about")] * (within in ("semantic", "both"))
-    hay = F.filter(F.concat(*[F.coalesce(p, empty) for p in parts]), lambda x: x.isNotNull() & (x != ""))
+    hay = hay_of(within)
     if regex:
         return records.where(F.exists(hay, lambda x: x.rlike(term)))
     if fuzzy:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import about_terms, slug
@@ -87,6 +87,21 @@ def sections(docs: DataFrame, keys: list[str], tags: Column | None = None, text_
     )
 
 
+def html_headings(pages: DataFrame, keys: list[str], html_col: str = "html") -> DataFrame:
+    """(keys, position, heading): headings of raw pages that hold text alone, in order."""
+    found = F.regexp_extract_all(html_col, F.lit(r"<h[1-6][^>]*>([^<]*)</h[1-6]>"), F.lit(1))
+    return pages.select(*keys, F.posexplode(found).alias("position", "heading"))
+
+
+def owner_before(rows: DataFrame, groups: list[str], order: list[str], mark: Column, name: str) -> DataFrame:
+    """``rows`` with ``owner``: the column ``name`` of the last marked row of its group at or before it, as a field's section is the last heading before it.
+
+    A group that is too large for a task should be cut by time first.
+    """
+    upto = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("owner", F.last(F.when(mark, F.col(name)), ignorenulls=True).over(upto))
+
+
 def owning_section(placed_headings: Column, line: Column) -> Column:
     """Path of the last section, by line and then path, that starts at or before ``line``; null if none does."""
     before = F.filter(placed_headings, lambda s: s["line_start"] <= line)

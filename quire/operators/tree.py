@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import StoreError
+from ..errors import CatalogError
 from .fields import deep_get
 from .library import Library
 from .sections import sections
@@ -53,7 +53,7 @@ def tree_of(library: Library, target: str | None = None) -> DataFrame:
     if kind == "fields":
         doc, _, path = rest.partition("/")
         if not doc or not path:
-            raise StoreError(f"no document and field in {target}")
+            raise CatalogError(f"no document and field in {target}")
         hit = library.target(doc).select("store", "model", "doc")
         found = library.payloads().join(hit, ["store", "model", "doc"], "left_semi")
         return found.select("store", "model", "doc", F.lit(path.replace("/", ".")).alias("field"), deep_get(F.col("payload_json"), path).alias("value"))

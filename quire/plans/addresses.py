@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from ..errors import StoreError
+from ..errors import CatalogError
 
 ROOTS = ("st", "se", "gse")
 
@@ -28,8 +28,8 @@ class _Walk:
     def __init__(self, text: str):
         self.text, self.at = text, 0
 
-    def wrong(self) -> StoreError:
-        return StoreError(f"no such address: {self.text}")
+    def wrong(self) -> CatalogError:
+        return CatalogError(f"no such address: {self.text}")
 
     @property
     def ended(self) -> bool:

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..errors import EditError, ModelError
+from ..errors import FieldEditError, RegistryError
 from .markers import markers_in
 
 KINDS: dict[str, T.DataType] = {
@@ -36,16 +36,17 @@ class Field:
         if not self.description.strip():
             raise TypeError(f"field {self.name!r} needs a description")
         if self.kind not in KINDS:
-            raise ModelError(f"field {self.name!r} has unknown kind {self.kind!r}")
+            raise RegistryError(f"field {self.name!r} has unknown kind {self.kind!r}")
 
 
 @dataclass(frozen=True)
 class Composition:
-    """A text made of child documents: ``field`` holds their names, ``line`` formats each."""
+    """A text made of child documents: ``field`` holds their names or paths, ``line`` formats each; they are of ``model``."""
 
     field: str
     line: str
     separator: str = "\n"
+    model: str | None = None
 
 
 @dataclass(frozen=True)
@@ -63,13 +64,14 @@ class Model:
 
     @classmethod
     def from_spec(cls, spec: dict[str, Any]) -> Model:
-        """From {name, template, fields: {name: {type, description, ...}}, semantics, family}."""
+        """From {name, template, fields: {name: {type, description, ...}}, semantics, family, compositions: {name: {field, line, separator, model}}}."""
         kinds = {"list[str]": "list", "string": "str", "dict[str, Any]": "dict"}
         fields = tuple(
             Field(n, kinds.get(x.get("type", "str"), x.get("type", "str")), x.get("description", ""), bool(x.get("optional")), x.get("default"))
             for n, x in spec.get("fields", {}).items()
         )
-        return cls(spec["name"], spec.get("template", ""), fields, spec.get("semantics") or {}, spec.get("family"))
+        composed = {n: Composition(**x) for n, x in (spec.get("compositions") or {}).items()}
+        return cls(spec["name"], spec.get("template", ""), fields, spec.get("semantics") or {}, spec.get("family"), compositions=composed)
 
     def to_spec(self) -> dict[str, Any]:
         """What ``from_spec`` reads."""
@@ -89,17 +91,17 @@ class Model:
         # columns of a table and items of a list name parts of a field, not fields
         nested = {m.name for line in template.splitlines() if "|" in line for m in markers_in(line)}
         if unknown - nested:
-            raise EditError(f"the template names unknown fields: {', '.join(sorted(unknown - nested))}")
+            raise FieldEditError(f"the template names unknown fields: {', '.join(sorted(unknown - nested))}")
         return replace(self, template=template)
 
     def with_field(self, added: Field) -> Model:
         if self.named(added.name):
-            raise EditError(f"{self.name} has a field {added.name!r}")
+            raise FieldEditError(f"{self.name} has a field {added.name!r}")
         return replace(self, fields=(*self.fields, added))
 
     def without_field(self, name: str) -> Model:
         if not self.named(name):
-            raise EditError(f"{self.name} has no field {name!r}")
+            raise FieldEditError(f"{self.name} has no field {name!r}")
         return replace(self, fields=tuple(f for f in self.fields if f.name != name))
 
     def promoted(self) -> Model:
@@ -138,12 +140,12 @@ class Registry:
 
     def add(self, model: Model) -> None:
         if model.name in self.models:
-            raise ModelError(f"model {model.name!r} is registered")
+            raise RegistryError(f"model {model.name!r} is registered")
         self.models[model.name] = model
 
     def __getitem__(self, name: str) -> Model:
         if name not in self.models:
-            raise ModelError(f"unknown model {name!r}")
+            raise RegistryError(f"unknown model {name!r}")
         return self.models[name]
 
     def descendants(self, name: str) -> list[str]:

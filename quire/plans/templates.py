@@ -12,7 +12,7 @@ from typing import Any
 
 import yaml
 
-from ..errors import TemplateError
+from ..errors import CompileError
 from ..sources.blocks import Block, parse_blocks, split_cells
 from .markers import MARKER, Marker, capture_pattern, markers_in, parse_marker
 
@@ -75,9 +75,9 @@ def compile_steps(template: str, grammar: Grammar = MARKDOWN) -> tuple[Step, ...
     captured = [m for s in steps if s.mode != "rows" for m in s.markers]
     sources = [m.name for m in captured if m.kind == "rev"]
     if twice := sorted({n for n in sources if sources.count(n) > 1}):
-        raise TemplateError(f"several rev markers for {', '.join(twice)}")
+        raise CompileError(f"several rev markers for {', '.join(twice)}")
     if orphans := sorted({m.name for m in captured if m.kind == "optrev"} - set(sources)):
-        raise TemplateError(f"optrev markers without a rev marker: {', '.join(orphans)}")
+        raise CompileError(f"optrev markers without a rev marker: {', '.join(orphans)}")
     return tuple(steps)
 
 
@@ -111,12 +111,19 @@ def _steps_of(block: Block, outer: int, node: Block, grammar: Grammar) -> list[S
     return [s for c in node.children for s in _steps_of(block, outer, c, grammar)]
 
 
-def _plain(value: Any) -> Any:
-    """YAML values as JSON has them: dates as ISO text, keys as text."""
+#: YAML may nest so deep, and hold so many values for each character, with what its aliases repeat.
+MAX_NESTING, MAX_VALUES = 100, 10
+
+
+def _plain(value: Any, left: list[int], depth: int = 0) -> Any:
+    """YAML values as JSON has them: dates as ISO text, keys as text. ``left`` counts down the values that may still come."""
+    left[0] -= 1
+    if depth > MAX_NESTING or left[0] < 0:
+        raise CompileError("YAML nests too deep" if depth > MAX_NESTING else "YAML repeats too much by aliases")
     if isinstance(value, dict):
-        return {str(k): _plain(v) for k, v in value.items()}
+        return {str(k): _plain(v, left, depth + 1) for k, v in value.items()}
     if isinstance(value, (list, tuple, set)):
-        return [_plain(v) for v in value]
+        return [_plain(v, left, depth + 1) for v in value]
     return value.isoformat() if hasattr(value, "isoformat") else value
 
 
@@ -125,10 +132,17 @@ _LOADER = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
 
 
 def load_yaml(text: str) -> Any:
+    depth = 0
     try:
-        return _plain(yaml.load(text, Loader=_LOADER))
-    except yaml.YAMLError as e:
-        raise TemplateError(f"YAML can't be read: {e}") from e
+        if text.count("[") + text.count("{") + text.count("- ") > MAX_NESTING or " " * MAX_NESTING in text:
+            # loading recurses, reading events doesn't
+            for event in yaml.parse(text, Loader=_LOADER):
+                depth += isinstance(event, yaml.CollectionStartEvent) - isinstance(event, yaml.CollectionEndEvent)
+                if depth > MAX_NESTING:
+                    raise CompileError("YAML nests too deep")
+        return _plain(yaml.load(text, Loader=_LOADER), [MAX_NESTING + MAX_VALUES * len(text)])
+    except (yaml.YAMLError, RecursionError, ValueError) as e:
+        raise CompileError(f"YAML can't be read: {e}") from e
 
 
 def dump_yaml(value: Any) -> str:

@@ -9,14 +9,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import file_slug, slug, tag_pattern, text_hash
-from .operators import changes, extract, fields, ingest, integrity, ir, library, links, search, sections, semantics, tree
+from .functions.text import file_slug, slug, tag_pattern
+from .operators import changes, compositions, extract, fields, ingest, integrity, intervals, ir, library, links, search, sections, semantics, tree, trigrams
 from .plans.models import Composition, Field, Model, Registry
+from .sources import folders
 from .sources.blocks import with_blocks
-from .sources.catalog import Catalog
+from .sources.catalog import Catalog, bucket_of
 from .streaming.files import tumbling_counts
 
 PART = Model(
@@ -278,6 +279,24 @@ def tag_glob(spark, sf_dir):
     return _tagged(spark, sf_dir).select("tag").distinct().where(F.col("tag").rlike(tag_pattern("type.*.brand-1*")) | F.col("tag").rlike(tag_pattern("type.**.brand-2*")))
 
 
+def tag_intervals(spark, sf_dir):
+    """Numbers of all tags and prefixes, in pre-order."""
+    return intervals.numbered_tags(_tagged(spark, sf_dir))
+
+
+def tags_below(spark, sf_dir):
+    """What ``type.**`` matches, by a range of a stored table; tags that have something below them are marked as children."""
+
+    def work(catalog: Catalog) -> DataFrame:
+        intervals.numbered_tags(_tagged(spark, sf_dir)).orderBy("pre").write.parquet(f"{catalog.root}/tags")
+        numbered = spark.read.parquet(f"{catalog.root}/tags")
+        open_ = intervals.children(numbered, "type").withColumn("child", F.lit(True))
+        found = intervals.tags_below(numbered, "type")
+        return found.select("tag", F.substring_index("tag", ".", -1).alias("segment")).join(open_, "segment", "left").select("tag", F.coalesce("child", F.lit(False)).alias("child"))
+
+    return _with_catalog(spark, work)
+
+
 def global_library(spark, sf_dir):
     docs = part_docs(spark, sf_dir)
     half = F.when(F.regexp_extract("doc", r"\d+", 0).cast("long") % 2 == 0, "local").otherwise("child")
@@ -325,14 +344,33 @@ def composition_refs(spark, sf_dir):
     return links.composed_field(regions, ["doc"], "nations", nation, line, one.separator)
 
 
+def compositions_nested(spark, sf_dir):
+    """Regions made of nations, which are made of suppliers: texts of texts, in one plan."""
+    title = Field("title", "str", "Title")
+    one = Model("One", "# ⸢rev•title⸥\n", (title,))
+    some = lambda name, child, line, sep: Model(name, "# ⸢rev•title⸥\n\n⸢render•listing⸥\n", (title, Field("parts", "list", "Names of parts")), compositions={"listing": Composition("parts", line, sep, child)})
+    models = Registry(some("Top", "Middle", "- {title}: {listing}", "\n"), some("Middle", "One", "{title}", "; "), one)
+    nation, supplier = read(spark, sf_dir, "nation"), read(spark, sf_dir, "supplier")
+    docs = lambda rows, doc, fields: rows.select(F.lit("local").alias("store"), doc.alias("doc"), F.concat(F.lit("docs/"), doc, F.lit(".md")).alias("path"), F.struct(*fields).alias("payload"))
+    at = lambda prefix, key: F.concat(F.lit(prefix), F.col(key))
+    names = lambda column: F.concat(F.array(F.lit("nowhere")), F.array_sort(column))
+    of_nation = supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(names(F.collect_list("s_name")).alias("parts"))
+    of_region = nation.groupBy("n_regionkey").agg(names(F.collect_list(F.concat(F.lit("docs/n"), "n_nationkey", F.lit(".md")))).alias("parts"))
+    payloads = {
+        "One": docs(supplier, F.col("s_name"), [F.col("s_name").alias("title")]),
+        "Middle": docs(nation.join(of_nation, "n_nationkey", "left"), at("n", "n_nationkey"), [F.col("n_name").alias("title"), "parts"]),
+        "Top": docs(of_region, at("r", "n_regionkey"), [at("Region ", "n_regionkey").alias("title"), "parts"]),
+    }
+    return compositions.render_compositions(models, payloads)["Top"].select("doc", "text")
+
+
 def hash_text(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").withColumn("payload_json", F.concat(F.lit('{"n":'), F.col("n_chars"), F.lit("}")))
     return integrity.document_hashes(docs).select("doc_id", "hash_c", "hash_d")
 
 
 def dup_docs(spark, sf_dir):
-    h = read(spark, sf_dir, "documents").groupBy(text_hash(F.col("text")).alias("hash_c")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
-    return h.where("n > 1")
+    return integrity.equal_texts(read(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("first", "first_doc")
 
 
 def _mutated(spark, sf_dir):
@@ -369,24 +407,125 @@ def store_check(spark, sf_dir):
     return integrity.diagnose_store(by_model, models, stores)
 
 
-def catalog_changes(spark, sf_dir):
-    """All parts tracked in a catalog, one edited, those of brand 11 updated, sold ones in large lots untracked."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    catalog = Catalog(spark, f"{root.rstrip('/')}/catalog-{uuid.uuid4().hex}")
+def _with_catalog(spark: SparkSession, work: Callable[[Catalog], DataFrame]) -> DataFrame:
+    """What ``work`` reads from a catalog of its own in the shared folder, which is deleted then."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    catalog = Catalog(spark, f"{spark.sparkContext.getCheckpointDir()}/catalog-{uuid.uuid4().hex}")
     catalog.init()
+    try:
+        return work(catalog).checkpoint()
+    finally:
+        catalog.drop()
+
+
+def _tracked_parts(spark: SparkSession, sf_dir: str, catalog: Catalog) -> changes.Changes:
+    """Parts of both models, tracked."""
     c = changes.Changes(catalog, REGISTRY)
-    docs = part_docs(spark, sf_dir).withColumn("model", F.lit("Part"))
-    c.track(docs.select("store", "doc", "path", "text"), "Part")
-    c.edit(spark.createDataFrame([("local", "part-1")], "store string, doc string"), "Part", "update", "p_type", "EDITED")
-    part = read(spark, sf_dir, "part").where("p_brand = 'Brand#11'")
-    payload = F.struct("p_name", F.col("p_partkey").cast("long").alias("p_partkey"), "p_brand", F.lit("UPDATED").alias("p_type"), F.col("p_size").cast("long").alias("p_size"))
-    c.update(part.select(F.lit("local").alias("store"), F.concat(F.lit("part-"), F.col("p_partkey")).alias("doc"), payload.alias("payload")), "Part")
-    sold = read(spark, sf_dir, "lineitem").where("l_quantity >= 48").select(F.concat(F.lit("part-"), F.col("l_partkey")).alias("doc")).distinct()
-    c.untrack(sold.withColumn("store", F.lit("local")).withColumn("model", F.lit("Part")))
-    kept, models = catalog.read("documents"), catalog.read("models")
-    by_model = integrity.diagnose_models(integrity.diagnose(kept, kept), kept, models)
-    right = integrity.diagnose_store(by_model, models, catalog.read("stores").select(F.col("name").alias("store"), "hash_a")).select("store", "valid")
-    return kept.join(F.broadcast(right), "store").select("doc", F.try_variant_get(F.try_parse_json("payload_json"), "$.p_type", "string").alias("p_type"), "valid")  # one row per store
+    for name in (PART.name, SIZED.name):
+        c.track(part_docs(spark, sf_dir).where(F.col("model") == name).select("store", "doc", "path", "text"), name)
+    return c
+
+
+PART_1 = [("local", "part-1")]
+
+
+def catalog_changes(spark, sf_dir):
+    """All parts tracked in a catalog, one edited, those of brand 11 updated, sold ones in large lots untracked."""
+
+    def work(catalog: Catalog) -> DataFrame:
+        c = changes.Changes(catalog, REGISTRY)
+        docs = part_docs(spark, sf_dir).withColumn("model", F.lit("Part"))
+        c.track(docs.select("store", "doc", "path", "text"), "Part")
+        c.edit(spark.createDataFrame(PART_1, "store string, doc string"), "Part", "update", "p_type", "EDITED")
+        part = read(spark, sf_dir, "part").where("p_brand = 'Brand#11'")
+        payload = F.struct("p_name", F.col("p_partkey").cast("long").alias("p_partkey"), "p_brand", F.lit("UPDATED").alias("p_type"), F.col("p_size").cast("long").alias("p_size"))
+        c.update(part.select(F.lit("local").alias("store"), F.concat(F.lit("part-"), F.col("p_partkey")).alias("doc"), payload.alias("payload")), "Part")
+        sold = read(spark, sf_dir, "lineitem").where("l_quantity >= 48").select(F.concat(F.lit("part-"), F.col("l_partkey")).alias("doc")).distinct()
+        c.untrack(sold.withColumn("store", F.lit("local")).withColumn("model", F.lit("Part")))
+        kept, models = catalog.read("documents"), catalog.read("models")
+        by_model = integrity.diagnose_models(integrity.diagnose(kept, kept), kept, models)
+        right = integrity.diagnose_store(by_model, models, catalog.read("stores").select(F.col("name").alias("store"), "hash_a")).select("store", "valid")
+        return kept.join(F.broadcast(right), "store").select("doc", F.try_variant_get(F.try_parse_json("payload_json"), "$.p_type", "string").alias("p_type"), "valid")  # one row per store
+
+    return _with_catalog(spark, work)
+
+
+def catalog_buckets(spark, sf_dir):
+    """Which buckets of the tracked parts an edit of one of them writes anew, and what lies in each."""
+
+    def work(catalog: Catalog) -> DataFrame:
+        c = _tracked_parts(spark, sf_dir, catalog)
+        files = lambda: catalog.read("documents").select(bucket_of(1).alias("bucket"), F.regexp_extract("_metadata.file_path", "slot=([^/]*)", 1).alias("slot"))
+        counts = lambda out: files().groupBy("bucket").agg(F.first("slot").alias(out), F.count("*").alias("docs"))
+        before = counts("before").drop("docs").checkpoint()
+        name = read(spark, sf_dir, "part").where("p_partkey = 1").select(F.when(F.col("p_size") >= 25, SIZED.name).otherwise(PART.name)).first()[0]
+        c.edit(spark.createDataFrame(PART_1, "store string, doc string"), name, "update", "p_type", "EDITED")
+        return counts("after").join(before, "bucket").select("bucket", "docs", (F.col("after") != F.col("before")).alias("written"))
+
+    return _with_catalog(spark, work)
+
+
+def stored_hash_tree(spark, sf_dir):
+    """hash_b of the models and hash_a of a catalog after tracking, an edit and an untracking, each of which folded its buckets only."""
+
+    def work(catalog: Catalog) -> DataFrame:
+        c = _tracked_parts(spark, sf_dir, catalog)
+        sold = read(spark, sf_dir, "lineitem").where("l_quantity >= 50").select(F.concat(F.lit("part-"), F.col("l_partkey")).alias("doc")).distinct()
+        for name in (PART.name, SIZED.name):
+            c.untrack(sold.withColumn("store", F.lit("local")).withColumn("model", F.lit(name)))
+        again = part_docs(spark, sf_dir).where("doc = 'part-1'").withColumn("text", F.concat("text", F.lit("\n")))
+        c.refresh(again)
+        root = catalog.read("stores").select("hash_a")
+        return catalog.read("models").select("model", "hash_b").join(F.broadcast(root))  # one row
+
+    return _with_catalog(spark, work)
+
+
+def catalog_sections(spark, sf_dir):
+    """Sections that a catalog keeps, after an edit and an untracking."""
+
+    def work(catalog: Catalog) -> DataFrame:
+        c = _tracked_parts(spark, sf_dir, catalog)
+        small = read(spark, sf_dir, "part").where("p_size < 25")
+        payload = F.struct(F.lit("Renamed").alias("p_name"), F.col("p_partkey").cast("long").alias("p_partkey"), "p_brand", "p_type", F.col("p_size").cast("long").alias("p_size"))
+        c.update(small.where("p_brand = 'Brand#11'").select(F.lit("local").alias("store"), F.concat(F.lit("part-"), F.col("p_partkey")).alias("doc"), payload.alias("payload")), PART.name)
+        c.untrack(part_docs(spark, sf_dir).where(F.col("model") == SIZED.name))
+        return catalog.read("sections").select("doc", F.col("path").alias("section_path"), "line_start", "body_end")
+
+    return _with_catalog(spark, work)
+
+
+def _indexed(spark, sf_dir, *search_for, **options):
+    def work(catalog: Catalog) -> DataFrame:
+        c = _tracked_parts(spark, sf_dir, catalog)
+        c.index(search.search_records(library.Library(REGISTRY, catalog.read("documents")), kinds=("doc", "section"), persisted=catalog.read("sections")))
+        return trigrams.indexed_search(*catalog.indexed(), *search_for, **options).select("kind", "doc", "name")
+
+    return _with_catalog(spark, work)
+
+
+def indexed_term(spark, sf_dir):
+    """``search_term`` by trigrams kept in a catalog."""
+    return _indexed(spark, sf_dir, "part-11", "physical")
+
+
+def indexed_regex(spark, sf_dir):
+    return _indexed(spark, sf_dir, r"part-\d*7$", regex=True)
+
+
+def folder_files(spark, sf_dir):
+    """Parts written as files, a folder for each model, and those of one model and some names read again."""
+    folders.register(spark)
+
+    def work(catalog: Catalog) -> DataFrame:
+        place = f"{catalog.root}/files"
+        part_docs(spark, sf_dir).select("model", "doc", "text").write.format("documents").mode("append").save(place)
+        found = spark.read.format("documents").load(place).where((F.col("model") == PART.name) & F.col("doc").startswith("part-1"))
+        return extract.extract_docs(found, PART).select("doc", "payload.p_size", "error")
+
+    return _with_catalog(spark, work)
 
 
 def hash_cascade(spark, sf_dir):
@@ -435,8 +574,8 @@ def drafts_index(spark, sf_dir):
 
 def manifest_upsert(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
-    old = c.where("c_custkey % 3 <> 0").select(F.col("c_name").alias("path"), F.col("c_mktsegment").alias("content_hash"), F.lit("done").alias("status"), F.lit("t0").alias("created"))
-    new = c.where("c_custkey % 2 = 0").select(F.col("c_name").alias("path"), F.when(F.col("c_custkey") % 4 == 0, "changed").otherwise(F.col("c_mktsegment")).alias("content_hash"), F.lit("t1").alias("created"))
+    old = c.where("c_acctbal >= 0").select(F.col("c_name").alias("path"), F.col("c_mktsegment").alias("content_hash"), F.lit("done").alias("status"), F.lit("t0").alias("created"))
+    new = c.where("c_acctbal < 2000").select(F.col("c_name").alias("path"), F.when(F.col("c_custkey") % 4 == 0, "changed").otherwise(F.col("c_mktsegment")).alias("content_hash"), F.lit("t1").alias("created"))
     return ingest.upsert_manifest(old, new)
 
 
@@ -479,6 +618,29 @@ def compose_chain(spark, sf_dir):
     return links.compose(docs, found).join(lists, "path")
 
 
+def _composed(docs: DataFrame) -> DataFrame:
+    docs = docs.withColumn("path", F.concat("doc", F.lit(".md")))
+    return links.compose(docs, links.resolve_links(links.parsed_links(docs, ["doc", "path"]), docs))
+
+
+def compose_dense(spark, sf_dir):
+    """Each nation includes all other ones: a dense cycle, in which each is gone into once."""
+    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
+    every = n.agg(F.array_sort(F.collect_list("k")).alias("all"))  # one row of all nations
+    others = F.array_join(F.transform(F.filter("all", lambda x: x != F.col("k")), lambda x: F.concat(F.lit(" ![[n"), x, F.lit("]]"))), "")
+    return _composed(n.join(F.broadcast(every)).select(F.concat(F.lit("n"), "k").alias("doc"), F.concat("k", F.lit(":"), others, F.lit("\n")).alias("text")))
+
+
+def compose_diamond(spark, sf_dir):
+    """Regions include their nations, and these the world, twice; it is gone into where it is met first. Files end with line feeds."""
+    nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    of = nation.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("n_nationkey")), lambda x: F.concat(F.lit(" ![[n"), x, F.lit("]]"))), "").alias("n"))
+    docs = region.join(of, "r_regionkey").select(F.concat(F.lit("r"), "r_regionkey").alias("doc"), F.concat(F.lit("R"), "r_regionkey", "n", F.lit("\n")).alias("text"))
+    docs = docs.unionByName(nation.select(F.concat(F.lit("n"), "n_nationkey").alias("doc"), F.concat(F.lit("N"), "n_nationkey", F.lit(" ![[w]] ![[w]]\n\n")).alias("text")))
+    world = region.where("r_regionkey = 0").select(F.explode(F.array(F.struct(F.lit("w").alias("doc"), F.lit("W ![[leaf]]\n").alias("text")), F.struct(F.lit("leaf").alias("doc"), F.lit("L \t\n").alias("text")))).alias("d")).select("d.*")
+    return _composed(docs.unionByName(world))
+
+
 def tag_postings(spark, sf_dir):
     return semantics.tag_postings(_tagged(spark, sf_dir).withColumn("tag", F.substring_index("tag", ".", 3))).withColumn("position", F.col("position").cast("long"))
 
@@ -517,9 +679,8 @@ def persisted_sections(spark, sf_dir):
 
 
 def pages_headings(spark, sf_dir):
-    p = read(spark, sf_dir, "pages")
-    heads = F.explode(F.regexp_extract_all("html", F.lit(r"<h[1-6][^>]*>([^<]*)</h[1-6]>"), F.lit(1))).alias("heading")
-    return p.select("page_id", heads).groupBy("page_id").agg(F.count("*").alias("n"), F.max("heading").alias("last_heading"))
+    found = sections.html_headings(read(spark, sf_dir, "pages"), ["page_id"])
+    return found.groupBy("page_id").agg(F.count("*").alias("n"), F.max("heading").alias("last_heading"))
 
 
 def blocks_count(spark, sf_dir):
@@ -533,10 +694,9 @@ def events_tumbling(spark, sf_dir):
 
 
 def last_purchase(spark, sf_dir):
-    """Each event with its user's last purchase so far: ownership by the nearest earlier row, as a window."""
-    e = read(spark, sf_dir, "events").select("user_id", "event_id", "ts", (F.col("event_type") == F.lit("purchase")).alias("mark"))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return e.select("user_id", "event_id", F.last(F.when(F.col("mark"), F.col("event_id")), ignorenulls=True).over(w).alias("owner"))
+    """Each event with its user's last purchase so far."""
+    events = read(spark, sf_dir, "events")
+    return sections.owner_before(events, ["user_id"], ["ts", "event_id"], F.col("event_type") == "purchase", "event_id").select("user_id", "event_id", "owner")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -555,9 +715,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f.__name__: f for f in (
         select_projection, scope_inheritance, glob_docs_fields, get_value, ls_models_fields, list_extract, table_extract, yaml_extract, payload_flatten, fields_query,
         events_props_flatten, section_paths, about_terms, section_lines, field_ownership, section_fields, search_kinds, search_term, search_semantic, search_regex, search_fuzzy,
-        search_where_fields, search_where_sections, tag_index, tag_children, tag_edges, tag_parents, tag_glob, global_tags, local_tags, bridge_tags, links_resolve, recover_depth,
-        compose_docs, composition_refs, hash_text, dup_docs, diagnose, diagnose_rollup, diagnose_benign, store_check, catalog_changes, hash_cascade, field_clean, field_edit, rebuild_report,
-        decompose_sources, slugs, ignore_rules, drafts_index, manifest_upsert, store_union, store_tree, doc_tree, graph_edges, links_relative, compose_chain, tag_postings, extract_template, render_template, flatten_deep, document_parts, persisted_sections, pages_headings, blocks_count, events_tumbling, last_purchase,
+        search_where_fields, search_where_sections, tag_index, tag_children, tag_edges, tag_parents, tag_glob, tag_intervals, tags_below, global_tags, local_tags, bridge_tags, links_resolve, recover_depth,
+        compose_docs, composition_refs, compositions_nested, hash_text, dup_docs, diagnose, diagnose_rollup, diagnose_benign, store_check, catalog_changes, catalog_buckets, stored_hash_tree, catalog_sections, indexed_term, indexed_regex, folder_files, hash_cascade, field_clean, field_edit, rebuild_report,
+        decompose_sources, slugs, ignore_rules, drafts_index, manifest_upsert, store_union, store_tree, doc_tree, graph_edges, links_relative, compose_chain, compose_dense, compose_diamond, tag_postings, extract_template, render_template, flatten_deep, document_parts, persisted_sections, pages_headings, blocks_count, events_tumbling, last_purchase,
     )},
     "deep_get": deep_get_query,
 }
@@ -566,6 +726,7 @@ _MODEL = "CASE WHEN p_size >= 25 THEN 'SizedPart' ELSE 'Part' END"
 _DOC = "'part-' || p_partkey"
 _ADDRESS = f"'st.{{' || {_MODEL} || '}}.' || {_DOC}"
 _PART = f"SELECT {_ADDRESS} AS address, p_size::BIGINT AS p_size, p_brand FROM part"
+_TAGS = "SELECT 'part-' || p_partkey AS doc, 'type.' || replace(lower(p_type), ' ', '.') || '.' || replace(lower(p_brand), '#', '-') AS tag FROM part"
 
 SQL: dict[str, str] = {
     "part_roundtrip": "SELECT p_name, p_partkey, p_brand, p_type, p_size::BIGINT AS p_size FROM part",
@@ -634,6 +795,37 @@ SQL: dict[str, str] = {
     "catalog_changes": f"""
         SELECT {_DOC} AS doc, CASE WHEN p_brand = 'Brand#11' THEN 'UPDATED' WHEN p_partkey = 1 THEN 'EDITED' ELSE p_type END AS p_type, true AS valid
         FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 48)""",
+    "catalog_buckets": f"""
+        WITH d AS (SELECT substr(sha256({_MODEL} || chr(0) || {_DOC}), 1, 1) AS bucket, p_partkey FROM part)
+        SELECT bucket, count(*)::BIGINT AS docs, bool_or(p_partkey = 1) AS written FROM d GROUP BY bucket""",
+    "stored_hash_tree": f"""
+        WITH d AS (SELECT {_MODEL} AS model, substr(sha256({_MODEL} || chr(0) || {_DOC}), 1, 3) AS p3, 'docs/' || {_DOC} || '.md' AS path,
+            sha256('# ' || p_name || repeat(chr(10), 2) || 'Key: ' || p_partkey || repeat(chr(10), 2) || 'Brand: ' || p_brand || repeat(chr(10), 2) || 'Type: ' || p_type || repeat(chr(10), 2) || '## Size' || repeat(chr(10), 2) || 'Value: ' || p_size || CASE WHEN p_partkey = 1 THEN chr(10) ELSE '' END) AS c,
+            sha256('{{"p_brand":"' || p_brand || '","p_name":"' || p_name || '","p_partkey":"' || p_partkey || '","p_size":"' || p_size || '","p_type":"' || p_type || '"}}') AS d
+          FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50)),
+        f3 AS (SELECT model, p3 AS p, sha256('[' || string_agg('{{"path":"' || path || '","hash_c":"' || c || '","hash_d":"' || d || '"}}', ',' ORDER BY path) || ']') AS f FROM d GROUP BY ALL),
+        f2 AS (SELECT model, p[:2] AS p, sha256('[' || string_agg('{{"prefix":"' || p || '","fold":"' || f || '"}}', ',' ORDER BY p) || ']') AS f FROM f3 GROUP BY model, p[:2]),
+        f1 AS (SELECT model, p[:1] AS p, sha256('[' || string_agg('{{"prefix":"' || p || '","fold":"' || f || '"}}', ',' ORDER BY p) || ']') AS f FROM f2 GROUP BY model, p[:1]),
+        f0 AS (SELECT model, sha256('[' || string_agg('{{"prefix":"' || p || '","fold":"' || f || '"}}', ',' ORDER BY p) || ']') AS hash_b FROM f1 GROUP BY model)
+        SELECT model, hash_b, sha256('[' || (SELECT string_agg('{{"name":"' || model || '","hash_b":"' || hash_b || '"}}', ',' ORDER BY model) FROM f0) || ']') AS hash_a FROM f0""",
+    "catalog_sections": f"""
+        WITH d AS (SELECT {_DOC} AS doc, CASE WHEN p_brand = 'Brand#11' THEN 'renamed' ELSE regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') END AS slug FROM part WHERE p_size < 25)
+        SELECT doc, slug AS section_path, 1::INT AS line_start, 11::INT AS body_end FROM d UNION ALL SELECT doc, slug || '/size', 9, 11 FROM d""",
+    "indexed_term": f"""
+        WITH s AS (SELECT {_DOC} AS doc, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part WHERE contains({_DOC}, 'part-11'))
+        SELECT unnest(['doc', 'section', 'section']) AS kind, doc, unnest([doc, slug, 'size']) AS name FROM s""",
+    "indexed_regex": f"SELECT 'doc' AS kind, {_DOC} AS doc, {_DOC} AS name FROM part WHERE p_partkey % 10 = 7",
+    "folder_files": f"SELECT {_DOC} AS doc, p_size::BIGINT AS p_size, NULL::VARCHAR AS error FROM part WHERE p_size < 25 AND starts_with(p_partkey::VARCHAR, '1')",
+    "tag_intervals": f"""
+        WITH n AS (SELECT DISTINCT array_to_string(string_split(tag, '.')[1 : i], '.') AS tag FROM ({_TAGS}), unnest(range(1, len(string_split(tag, '.')) + 1)) AS u(i)),
+        p AS (SELECT tag, row_number() OVER (ORDER BY replace(tag, '.', chr(1))) - 1 AS pre FROM n)
+        SELECT tag, pre::BIGINT AS pre, (pre + (SELECT count(*) FROM n m WHERE starts_with(m.tag, p.tag || '.')))::BIGINT AS last, len(string_split(tag, '.'))::INT AS depth FROM p""",
+    "tags_below": f"""
+        WITH n AS (SELECT DISTINCT array_to_string(string_split(tag, '.')[1 : i], '.') AS tag FROM ({_TAGS}), unnest(range(1, len(string_split(tag, '.')) + 1)) AS u(i))
+        SELECT tag, EXISTS (SELECT 1 FROM n m WHERE starts_with(m.tag, 'type.' || split_part(n.tag, '.', -1) || '.')) AS child FROM n WHERE regexp_matches(tag, '^type\\.')""",
+    "compositions_nested": """
+        WITH n AS (SELECT n_nationkey, n_regionkey, n_name, coalesce(string_agg(s_name, '; ' ORDER BY s_name), '') AS listing FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL)
+        SELECT 'r' || n_regionkey AS doc, '# Region ' || n_regionkey || repeat(chr(10), 2) || rtrim(string_agg('- ' || n_name || ': ' || listing, chr(10) ORDER BY 'docs/n' || n_nationkey || '.md')) AS text FROM n GROUP BY n_regionkey""",
     "hash_cascade": "SELECT 2::BIGINT AS stores, 'again,local' AS names UNION ALL SELECT 1, 'changed'",
     "field_clean": """
         SELECT p_partkey, string_agg(x, '|' ORDER BY i) AS cleaned FROM (
@@ -651,8 +843,8 @@ SQL: dict[str, str] = {
         SELECT 'r' || n_regionkey AS folder, string_agg('- [' || n_name || '](r' || n_regionkey || '/' || lower(n_name) || '.md)', chr(10) ORDER BY n_name) AS index
         FROM nation GROUP BY n_regionkey""",
     "manifest_upsert": """
-        WITH o AS (SELECT c_name AS path, c_mktsegment AS h FROM customer WHERE c_custkey % 3 <> 0),
-        n AS (SELECT c_name AS path, CASE WHEN c_custkey % 4 = 0 THEN 'changed' ELSE c_mktsegment END AS h FROM customer WHERE c_custkey % 2 = 0)
+        WITH o AS (SELECT c_name AS path, c_mktsegment AS h FROM customer WHERE c_acctbal >= 0),
+        n AS (SELECT c_name AS path, CASE WHEN c_custkey % 4 = 0 THEN 'changed' ELSE c_mktsegment END AS h FROM customer WHERE c_acctbal < 2000)
         SELECT coalesce(o.path, n.path) AS path, coalesce(n.h, o.h) AS content_hash, CASE WHEN o.path IS NULL THEN 'new' ELSE 'done' END AS status,
                CASE WHEN n.path IS NOT NULL AND n.h IS DISTINCT FROM o.h THEN 't1' ELSE 't0' END AS created
         FROM o FULL JOIN n ON o.path = n.path""",
@@ -673,6 +865,22 @@ SQL: dict[str, str] = {
         SELECT 'n' || a.n_nationkey || '.md' AS path, count(*)::BIGINT AS n,
                string_agg(b.n_nationkey || ' ', '' ORDER BY (b.n_nationkey - a.n_nationkey + c) % c) || a.n_nationkey || ' ![[n' || ((a.n_nationkey + 1) % any_value(c)) || ']]' AS composed
         FROM nation a, nation b, (SELECT count(*) AS c FROM nation) GROUP BY a.n_nationkey""",
+    "compose_dense": """
+        WITH RECURSIVE n AS (SELECT n_nationkey AS k FROM nation),
+        raw AS (SELECT a.k, a.k || ':' || string_agg(' ![[n' || b.k || ']]', '' ORDER BY b.k) AS raw FROM n a JOIN n b ON a.k <> b.k GROUP BY a.k),
+        seq AS (SELECT r.k AS r, v.k AS v, row_number() OVER (PARTITION BY r.k ORDER BY v.k <> r.k, v.k) - 1 AS i FROM n r, n v),
+        -- in the i-th document of a root's walk all are met before, but for the next one
+        made AS (
+          SELECT r, i, NULL::BIGINT AS next, NULL::VARCHAR AS text FROM (SELECT r, max(i) + 1 AS i FROM seq GROUP BY r)
+          UNION ALL
+          SELECT m.r, m.i - 1, s.v, s.v || ':' || string_agg(' ' || CASE WHEN w.k = m.next THEN m.text ELSE w.raw END, '' ORDER BY w.k)
+          FROM made m JOIN seq s ON s.r = m.r AND s.i = m.i - 1 JOIN raw w ON w.k <> s.v GROUP BY m.r, m.i, s.v)
+        SELECT 'n' || r || '.md' AS path, text || chr(10) AS composed FROM made WHERE i = 0""",
+    "compose_diamond": """
+        WITH f AS (SELECT n_regionkey AS r, n_nationkey AS k, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) = 1 AS first FROM nation)
+        SELECT 'r' || r || '.md' AS path, 'R' || r || string_agg(' N' || k || CASE WHEN first THEN ' W L' ELSE ' W ![[leaf]]' END || ' W ![[leaf]]', '' ORDER BY k) || chr(10) AS composed FROM f GROUP BY r
+        UNION ALL SELECT 'n' || n_nationkey || '.md', 'N' || n_nationkey || ' W L W ![[leaf]]' || repeat(chr(10), 2) FROM nation
+        UNION ALL SELECT * FROM (VALUES ('w.md', 'W L' || chr(10)), ('leaf.md', 'L ' || chr(9) || chr(10)))""",
     "extract_template": f"SELECT {_DOC} AS doc, p_name, p_size::VARCHAR AS p_size, true AS fine FROM part",
     "render_template": "SELECT '# ' || r_name || chr(10) || chr(10) || '- ' || r_regionkey || chr(10) || '- 7' AS text FROM region",
     "flatten_deep": "SELECT o_orderkey, 'k12.k11.k10.k9.k8.k7.k6.k5.k4.k3.k2.k1.k0.price' AS field_path, floor(o_totalprice)::BIGINT AS value FROM orders",
@@ -697,7 +905,6 @@ SQL: dict[str, str] = {
                OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS owner FROM events""",
 }
 
-_TAGS = "SELECT 'part-' || p_partkey AS doc, 'type.' || replace(lower(p_type), ' ', '.') || '.' || replace(lower(p_brand), '#', '-') AS tag FROM part"
 _TREE = """h AS (
   SELECT 'region-' || r_regionkey AS doc, r_name AS r, NULL AS n, NULL AS s FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)
   UNION ALL SELECT 'region-' || n_regionkey, r_name, n_name, NULL FROM nation JOIN region ON r_regionkey = n_regionkey

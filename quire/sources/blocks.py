@@ -90,7 +90,11 @@ def _starts_block(line: str) -> bool:
     return bool(_ATX.match(line) or _FENCE.match(line) or _RULE.match(line) or line.lstrip().startswith(">") and _indent(line) < 4 or item and item[3] and (not item[2][0].isdigit() or item[2][:-1] == "1"))
 
 
-def _parse(lines: list[tuple[int, str]]) -> list[Block]:
+#: Quotes and lists that lie deeper in one another are text of a paragraph.
+MAX_NESTING = 100
+
+
+def _parse(lines: list[tuple[int, str]], depth: int = 0) -> list[Block]:
     """Blocks of numbered lines; nested containers call it with their own lines, unindented."""
     out: list[Block] = []
     i = 0
@@ -109,10 +113,10 @@ def _parse(lines: list[tuple[int, str]]) -> list[Block]:
         elif _RULE.match(line):
             out.append(Block("hr", "hr", "", at, at + 1))
             i += 1
-        elif line.lstrip().startswith(">"):
-            i = _quote(lines, i, out)
-        elif _ITEM.match(line):
-            i = _list(lines, i, out)
+        elif depth < MAX_NESTING and line.lstrip().startswith(">"):
+            i = _quote(lines, i, out, depth)
+        elif depth < MAX_NESTING and _ITEM.match(line):
+            i = _list(lines, i, out, depth)
         elif "|" in line and i + 1 < len(lines) and "-" in lines[i + 1][1] and _TABLE_RULE.match(lines[i + 1][1]) and len(split_cells(line)) == len(split_cells(lines[i + 1][1])):
             i = _table(lines, i, out)
         elif _HTML.match(line):
@@ -146,7 +150,7 @@ def _fence(lines: list[tuple[int, str]], i: int, m: re.Match, out: list[Block])
     return j + 1
 
 
-def _quote(lines: list[tuple[int, str]], i: int, out: list[Block]) -> int:
+def _quote(lines: list[tuple[int, str]], i: int, out: list[Block], depth: int) -> int:
     j, inner = i, []
     while j < len(lines) and lines[j][1].strip():
         x = lines[j][1].lstrip()
@@ -154,11 +158,11 @@ def _quote(lines: list[tuple[int, str]], i: int, out: list[Block]) -> int:
             break
         inner.append((lines[j][0], re.sub(r"^> ?", "", x)))
         j += 1
-    out.append(Block("blockquote", "blockquote", "", lines[i][0], lines[j - 1][0] + 1, _parse(inner)))
+    out.append(Block("blockquote", "blockquote", "", lines[i][0], lines[j - 1][0] + 1, _parse(inner, depth + 1)))
     return j
 
 
-def _list(lines: list[tuple[int, str]], i: int, out: list[Block]) -> int:
+def _list(lines: list[tuple[int, str]], i: int, out: list[Block], depth: int) -> int:
     kind = _ITEM.match(lines[i][1])[2][-1]
     items: list[Block] = []
     start = lines[i][0]
@@ -182,7 +186,7 @@ def _list(lines: list[tuple[int, str]], i: int, out: list[Block]) -> int:
                 last = j  # the paragraph goes on without its indent
             own.append((lines[j][0], x[min(width, _indent(x)) :]))
             j += 1
-        items.append(Block("list_item", "li", "", lines[i][0], lines[last][0] + 1, _parse(own[: last - i + 1])))
+        items.append(Block("list_item", "li", "", lines[i][0], lines[last][0] + 1, _parse(own[: last - i + 1], depth + 1)))
         i = last + 1
         k = i
         while k < len(lines) and not lines[k][1].strip():

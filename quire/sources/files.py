@@ -68,9 +68,12 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_documents(docs: DataFrame, path: str, text_col: str = "text") -> None:
-    """Each document (store, model, doc, …) as a text file below ``path``, in a folder of its own by all three."""
-    rows = docs.select("store", "model", "doc", F.col(text_col).alias("value"))
-    rows.write.partitionBy("store", "model", "doc").text(path)  # each row ends with a line feed
+    """Each document (store, model, doc, …) as the file ``path/store/model/doc.md``, ended by a line feed."""
+    from .folders import register
+
+    register(docs.sparkSession)
+    rows = docs.select(F.concat_ws("/", "store", "model").alias("model"), "doc", F.col(text_col).alias("text"))
+    rows.write.format("documents").mode("append").save(path)
 
 
 def write_document(spark: SparkSession, path: str, text: str) -> str:

@@ -1,7 +1,9 @@
 import dataclasses
+import difflib
 import hashlib
 import json
 import os
+import random
 import re
 import socket
 from collections import Counter
@@ -12,18 +14,21 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quire import cli
-from quire.errors import EditError, ModelError, StoreError, TemplateError, ValidationError
+from quire.errors import FieldEditError, RegistryError, CatalogError, CompileError, RoundTripError
 from quire.functions import text
-from quire.operators import extract, fields, ingest, integrity, library, links, search, sections, semantics, tree
+from quire.operators import compositions, extract, fields, ingest, integrity, library, links, search, sections, semantics, tree, trigrams
 from quire.operators.changes import Changes
 from quire.plans import expressions, templates
 from quire.plans.addresses import parse_address
 from quire.plans.markers import Marker, capture_pattern, field_lines, parse_marker
-from quire.plans.models import Field, Model, Registry, model_tags
+from quire.plans.models import Composition, Field, Model, Registry, model_tags
 from quire.plans.predicates import PredicateError
+from quire.sources import blocks, folders
+from quire.sources import catalog as catalog_module
 from quire.sources.blocks import parse_blocks, split_cells, with_blocks
 from quire.sources.catalog import Catalog
 from quire.sources.files import raw_documents, read_documents, read_manifest, write_documents
+from quire.streaming import versions as streamed
 from quire.streaming.files import document_stream, ingest_available, tumbling_counts
 
 GUIDE = Model(
@@ -74,7 +79,7 @@ def test_markers():
     assert capture_pattern("a.⸢rev•x⸥ {{ y }}")[1] == ["x"]
     assert field_lines(GUIDE.template) == {"title": 1, "status": 3, "coverage": 5, "abstract": 9, "semantic_tags": 13}
     for bad in ("# ⸢rev•a⸥\n\nx ⸢rev•a⸥", "# ⸢optrev•a⸥"):
-        with pytest.raises(TemplateError):
+        with pytest.raises(CompileError):
             templates.compile_steps(bad)
 
 
@@ -108,7 +113,7 @@ def test_extraction_goes_forward():
     assert got == {"title": "T", "first": "one\n\n- two", "second": "three\n\n```\ncode\n```"}
     assert templates.extract(templates.compile_steps(t), "") == {"first": "", "second": ""}
     assert templates.extract(templates.compile_steps("- Task: ⸢rev,list•t⸥"), "- Task: a\n- Task: b\n- c") == {"t": ["a", "b", "c"]}
-    with pytest.raises(TemplateError):
+    with pytest.raises(CompileError):
         templates.extract(templates.compile_steps("---\n⸢rev,dict•m⸥\n---\n"), "---\n{: [\n---\n")
 
 
@@ -118,15 +123,15 @@ def test_extraction_goes_forward():
 def test_models():
     with pytest.raises(TypeError):
         Field("x")
-    with pytest.raises(EditError):
+    with pytest.raises(FieldEditError):
         GUIDE.with_field(Field("title", "str", "again"))
-    with pytest.raises(EditError):
+    with pytest.raises(FieldEditError):
         GUIDE.without_field("nothing")
-    with pytest.raises(EditError):
+    with pytest.raises(FieldEditError):
         GUIDE.with_template("# ⸢rev•unknown⸥")
     assert GUIDE.with_field(Field("more", "str", "more")).named("more") and GUIDE.promoted().version == 2
     assert REGISTRY.descendants("Guide") == ["Guide", "SpecialGuide"]
-    with pytest.raises(ModelError):
+    with pytest.raises(RegistryError):
         Registry(GUIDE, GUIDE)
     assert model_tags({"a": "b", "c": ["d", "e"], "f": {"g": "h", "i": ["j", "k"]}}) == ["a.b", "c.d.e", "f.g.h", "f.i.j.k"]
     made = Model.from_spec({"name": "X", "template": "# ⸢rev•t⸥", "fields": {"t": {"type": "str", "description": "T"}, "l": {"type": "list[str]", "description": "L"}}})
@@ -174,7 +179,7 @@ def test_lists_tables_and_yaml(spark):
 
 def test_addresses(lib):
     assert parse_address("st.{A+}.d.f.g").field == "f.g" and parse_address("gse.a.b.se.{x}").store == "x"
-    with pytest.raises(StoreError):
+    with pytest.raises(CatalogError):
         parse_address("nothing")
     assert names(lib.ls("st.{Guide+}"), "name") == ["local-special", "readme"]
     assert names(lib.ls("st.{Guide}"), "name") == ["readme"]
@@ -190,7 +195,7 @@ def test_addresses(lib):
     assert names(lib.get("gse.type.manual")) == ["child:st.{SpecialGuide}.special", "local:st.{Guide}.readme", "local:st.{SpecialGuide}.local-special"]
     assert names(lib.get("gse.type.manual.se.{child}")) == ["se.type.documentation.Guide"]
     assert names(lib.find("se.ecosystem.*", 'status = "draft"')) == ["st.{SpecialGuide}.local-special"]
-    with pytest.raises(StoreError):
+    with pytest.raises(CatalogError):
         lib.target("nobody")
 
 
@@ -242,7 +247,7 @@ def test_fields(spark):
     assert edit("update", "zz", 1).error and edit("append", "s", 1).error
     many = spark.createDataFrame([('{"l":["a","","a",null,"b"]}',)], "payload_json string")
     assert json.loads(many.select(fields.edit_field(F.col("payload_json"), "clean", "l", {"dedupe": True, "drop_empty": True}).alias("e")).first().e.payload_json) == {"l": ["a", "b"]}
-    with pytest.raises(EditError):
+    with pytest.raises(FieldEditError):
         fields.split_path("..")
     assert fields.parse_value("[1, 2]") == [1, 2] and fields.parse_value("a: b") == {"a": "b"} and fields.parse_value("x") == "x"
 
@@ -343,16 +348,251 @@ def test_integrity(spark):
     assert integrity.changed_docs(now, tracked.select("store", "model", "doc", "hash_c")).count() == 2
 
 
+def _slots(catalog, name="documents"):
+    return catalog._pointer()[name]
+
+
+def test_a_change_writes_its_bucket_only(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "buckets"))
+    catalog.init()
+    c = Changes(catalog, Registry(NOTE))
+    rows = [("local", f"n{i}", f"n{i}.md", f"# T{i}\n\ntext {i}\n") for i in range(60)]
+    c.track(spark.createDataFrame(rows, "store string, doc string, path string, text string"), "Note")
+    whole = lambda: integrity.model_hashes(catalog.read("documents")).first().hash_b
+    kept = lambda: catalog.read("models").where("model = 'Note'").first().hash_b
+    first = kept()
+    assert whole() == first and len(_slots(catalog)) > 8
+    before = {n: _slots(catalog, n) for n in ("documents", "sections", "folds")}
+    c.edit(spark.createDataFrame([("local", "n7")], "store string, doc string"), "Note", "update", "body", "other")
+    own = hashlib.sha256(b"Note\0n7").hexdigest()[:1]
+    for n, old in before.items():
+        assert {b for b, x in _slots(catalog, n).items() if old[b] != x} == {own}
+    assert whole() == kept() != first
+    # the files of before stay for readers, and go when their time is over
+    assert len(os.listdir(tmp_path / "buckets" / "documents")) - 1 > len(_slots(catalog))
+    assert catalog.vacuum(3600) == 0 and catalog.vacuum() > 0
+    assert sum(x.startswith("slot=") for x in os.listdir(tmp_path / "buckets" / "documents")) == len(_slots(catalog))
+    assert catalog.read("documents").count() == 60
+    c.untrack(catalog.read("documents"))
+    assert catalog.read("documents").count() == catalog.read("sections").count() == 0 and kept() == "" and _slots(catalog) == {}
+
+
+def test_old_files_go_after_their_time(spark, tmp_path, monkeypatch):
+    catalog = Catalog(spark, str(tmp_path / "kept"))
+    catalog.init()
+    c = Changes(catalog, Registry(NOTE))
+    places = lambda: {x for x in os.listdir(tmp_path / "kept" / "models") if x.isdigit()}
+    c.add_model("Note")
+    assert len(places()) == 2
+    monkeypatch.setattr(catalog_module, "KEEP_S", -1)
+    c.map_tags("a", "b")
+    assert len(places()) == 1 and catalog.read("models").count() == 1
+
+
+def test_maintained_tables_equal_rebuilt_ones(spark, tmp_path):
+    rng = random.Random(4)
+    catalog = Catalog(spark, str(tmp_path / "maintained"))
+    catalog.init()
+    c = Changes(catalog, Registry(NOTE, GUIDE))
+    known, schema = {}, "store string, doc string, path string, text string"
+    for step in range(7):
+        op = rng.choice(["track", "update", "untrack", "refresh"]) if known else "track"
+        some = rng.sample(sorted(known), min(len(known), 3))
+        if op == "track":
+            new = {f"d{step}-{i}": f"# A{i}\n\nbody {rng.random()}\n\n## B\n" for i in range(4)}
+            c.track(spark.createDataFrame([("local", d, f"{d}.md", t) for d, t in new.items()], schema), "Note", force=True)
+            known |= new
+        elif op == "update":
+            c.update(spark.createDataFrame([("local", d, (f"New {step}", "b")) for d in some], "store string, doc string, payload struct<title: string, body: string>"), "Note")
+            known |= {d: f"# New {step}\n\nb" for d in some}
+        elif op == "untrack":
+            c.untrack(spark.createDataFrame([("local", "Note", d) for d in some], "store string, model string, doc string"))
+            known = {d: t for d, t in known.items() if d not in some}
+        else:
+            known |= {d: known[d] + "\n## More\n" for d in some}
+            c.refresh(spark.createDataFrame([("local", "Note", d, f"{d}.md", t) for d, t in known.items()], "store string, model string, doc string, path string, text string"))
+        docs = catalog.read("documents")
+        assert {r.doc: r.text for r in docs.collect()} == known
+        rebuilt = sections.sections(docs, ["store", "model", "doc", "semantic_tags"], F.col("semantic_tags"))
+        columns = ["doc", "position", "path", "line_start", "body_end", "about"]
+        assert sorted(map(repr, catalog.read("sections").select(columns).collect())) == sorted(map(repr, rebuilt.select(columns).collect()))
+        hashes = {r.model: r.hash_b for r in integrity.model_hashes(docs).collect()}
+        assert {r.model: r.hash_b for r in catalog.read("models").where("hash_b <> ''").collect()} == hashes
+
+
+def test_update_takes_all_models_files(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "all"))
+    catalog.init()
+    c = Changes(catalog, Registry(NOTE, GUIDE))
+    for name, text in (("Note", "# A\n\nb\n"), ("Guide", guide("One", "draft", 1, "a", ["x.y"]))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "doc.md").write_text(text)
+        c.track(read_documents(spark, str(tmp_path / name), name).drop("model"), name)
+    assert c.refresh() == {"docs": 2, "missing": 0, "skipped": 0, "sections": 4}
+    assert c.refresh(read_documents(spark, str(tmp_path / "Note"), "Note"))["missing"] == 0
+    (tmp_path / "Note" / "doc.md").write_text("# B\n\nc\n")
+    (tmp_path / "Guide" / "doc.md").unlink()
+    assert c.refresh()["missing"] == 1
+    assert catalog.read("documents").where("model = 'Note'").first().text.startswith("# B")
+
+
+HOSTILE = {
+    "yaml": "---\n" + "[" * 3000 + "\n---\n\n# T\n", "quotes": ">" * 3000 + " # T\n", "lists": "- " * 3000 + "x\n", "flow": "---\na: " + "{b: " * 500 + "}" * 500 + "\n---\n",
+    "aliases": "---\na: &a [x, x, x, x, x, x, x, x, x, x]\n" + "\n".join(f"{c}: &{c} [{', '.join(['*' + chr(ord(c) - 1)] * 10)}]" for c in "bcdefgh") + "\n---\n\n# T\n",
+    "heading": "# " + "x" * 1_000_000 + "\n", "headings": "# a\n\n" * 3000, "fence": "```" * 50_000, "fine": "---\nk: v\n---\n\n# Fine\n\ntext\n",
+}
+
+
+def test_no_document_stops_a_job(spark, tmp_path):
+    model = Model("Meta", "---\n⸢rev,dict•meta⸥\n---\n\n# ⸢rev•title⸥\n\n⸢rev•body⸥\n", (Field("meta", "dict", "Front matter", optional=True), Field("title", "str", "Title", optional=True), Field("body", "str", "Text", optional=True)))
+    docs = spark.createDataFrame([("local", "Meta", d, f"{d}.md", t) for d, t in HOSTILE.items()], "store string, model string, doc string, path string, text string")
+    got = {r.doc: r for r in extract.extract_docs(docs, model).collect()}
+    assert set(got) == set(HOSTILE) and got["fine"].error is None and got["fine"].payload.title == "Fine"
+    assert "deep" in got["yaml"].error and "deep" in got["flow"].error and "aliases" in got["aliases"].error
+    for quick in (True, False):
+        heads = {r.doc: r.headings for r in sections.with_headings(docs, quick=quick).select("doc", "headings").collect()}
+        assert len(heads["headings"]) == 3000 and [h.title for h in heads["fine"]] == ["Fine"] and len(heads) == len(HOSTILE)
+    assert blocks.with_blocks(docs).select(F.explode("blocks")).count() > 3000
+    deep = spark.createDataFrame([('{"a":' * 200_000 + "1" + "}" * 200_000,), ('{"a":1}',), ("[" * 5000,)], "p string")
+    assert [r.e.error is None for r in deep.select(fields.edit_field(F.col("p"), "create", "b", 1).alias("e")).collect()] == [False, True, False]
+    catalog = Catalog(spark, str(tmp_path / "hostile"))
+    catalog.init()
+    c = Changes(catalog, Registry(model))
+    c.track(docs.drop("model"), "Meta", force=True)
+    assert c.refresh(docs.withColumn("text", F.concat("text", F.lit("\n"))))["docs"] == len(HOSTILE)
+    tracked = catalog.read("documents")
+    assert integrity.diagnose(tracked, library.Library(Registry(model), tracked).payloads()).where("note = 'ok'").count() == len(HOSTILE)
+
+
+def test_indexed_search_gives_what_a_scan_gives(spark, lib):
+    records = trigrams.with_record(search.search_records(lib)).checkpoint()
+    postings = trigrams.gram_postings(records).checkpoint()
+    key = ["kind", "store", "model", "doc", "name", "path"]
+    rows = lambda df: sorted(map(repr, df.select(key).collect()))
+    for term, regex in (("readme", False), ("Guide", False), ("re", False), ("core.data", False), ("nothing here", False), (r"^read\w+$", True), (r"(special|note)", True), (r"doc[sx]/.*\.md", True), (r"loc?al-spec{1,2}ial", True), (r"\.d.tab", True), ("Abs|Tag", True)):
+        for within in ("both", "physical", "semantic"):
+            assert rows(trigrams.indexed_search(records, postings, term, within, regex=regex)) == rows(search.search(records, term, within, regex=regex)), term
+    assert trigrams.candidates(postings, r"a.b|readme", regex=True) is None and trigrams.candidates(postings, "readme").count() < records.count()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab.*+?[](){}|^$\\d-,1", max_size=10), st.text(alphabet="ab1.-", max_size=12))
+def test_every_match_holds_the_literals(pattern, value):
+    try:
+        found = re.search(pattern, value)
+    except (re.error, OverflowError):
+        return
+    if found:
+        assert all(x in value for x in trigrams.literals(pattern)), (pattern, value, trigrams.literals(pattern))
+
+
+def test_an_index_holds_while_documents_do(spark, tmp_path, capsys):
+    spec = tmp_path / "models.yaml"
+    spec.write_text("- name: Memo\n  template: |\n    # ⸢rev•title⸥\n\n    By ⸢rev•author⸥\n  fields:\n    title: {type: str, description: T}\n    author: {type: str, description: A}\n")
+    run = lambda *a: cli.main(["--catalog", str(tmp_path / "c"), "--models", str(spec), *a], spark)
+    assert run("stores", "init") == 0 and run("docs", "create", "Memo", "first", "{title: Hello, author: Ann}") == 0
+    catalog = Catalog(spark, str(tmp_path / "c"))
+    assert catalog.indexed() is None and run("stores", "index") == 0 and catalog.indexed()
+    capsys.readouterr()
+    assert run("find", "first", "--type", "doc", "--select", "name,kind") == 0 and capsys.readouterr().out.strip() == "first\tdoc"
+    assert run("docs", "create", "Memo", "first-too", "{title: Hello, author: Ann}") == 0 and catalog.indexed() is None
+    assert run("find", "first-too", "--type", "doc") == 0
+    assert run("stores", "vacuum") == 0 and run("stores", "update") == 0
+
+
+def test_folders_as_a_source(spark, tmp_path):
+    folders.register(spark)
+    rows = [("local", m, d, f"# {d}\n\nä\n") for m in ("A", "B") for d in ("one", "two", "sub/three")]
+    docs = spark.createDataFrame(rows, "store string, model string, doc string, text string")
+    docs.select("model", "doc", "text").write.format("documents").mode("append").save(str(tmp_path / "out"))
+    (tmp_path / "out" / "A" / ".hidden.md").write_text("x")
+    (tmp_path / "out" / "A" / "other.txt").write_text("x")
+    read = lambda: spark.read.format("documents").load(str(tmp_path / "out"))
+    assert sorted((r.model, r.doc, r.text) for r in read().collect()) == sorted((m, d.rpartition("/")[2], t) for _, m, d, t in rows)
+    assert [(r.doc, r.path) for r in read().where("model = 'B' and doc = 'three'").collect()] == [("three", f"{tmp_path}/out/B/sub/three.md")]
+    assert read().where("doc in ('one', 'two') and text like '%two%' and model <> 'A'").count() == 1 and read().where("store = 'x'").count() == 0
+    reader = folders.FolderReader({"path": str(tmp_path / "out")})
+    left = list(reader.pushFilters([folders.EqualTo(("model",), "A"), folders.StringStartsWith(("doc",), "t"), folders.EqualTo(("text",), "x")]))
+    assert [f.attribute for f in left] == [("text",)]
+    assert [(p.model, [x.rpartition("/")[2] for x in p.paths]) for p in reader.partitions()] == [("A", ["three.md", "two.md"])]
+    assert spark.read.format("documents").load(str(tmp_path / "none")).count() == 0
+    write_documents(docs, str(tmp_path / "files"))
+    assert (tmp_path / "files" / "local" / "A" / "one.md").read_text() == "# one\n\nä\n"
+
+
+def test_a_shuffled_and_replayed_stream(spark, tmp_path):
+    rng = random.Random(11)
+    versions = [("local", "Note", f"d{i}", f"d{i}.md", f"# T{i}\n\nversion {v if rng.random() < 0.7 else 0}\n", v) for i in range(6) for v in range(5)]
+    catalog = Catalog(spark, str(tmp_path / "stream"))
+    catalog.init()
+    c = Changes(catalog, Registry(NOTE))
+    source = tmp_path / "in"
+    stream = lambda: spark.readStream.schema(streamed.VERSION).option("maxFilesPerTrigger", 1).json(str(source))
+    source.mkdir()
+    keys = ["store", "model", "doc", "path", "text", "version"]
+    for part in range(4):
+        some = rng.sample(versions, 14) if part < 3 else rng.sample(versions, len(versions))
+        (source / f"{part}.json").write_text("\n".join(json.dumps(dict(zip(keys, v))) for v in some))
+        if part in (1, 3):
+            streamed.stream_into(c, stream(), "notes", str(tmp_path / "state")).awaitTermination()
+    newest = {v[2]: v[4] for v in sorted(versions, key=lambda v: (v[5], hashlib.sha256(v[4].encode()).hexdigest()))}
+    assert {r.doc: r.text for r in catalog.read("documents").collect()} == newest
+    last, pointer = catalog.mark("notes"), catalog._pointer()["documents"]
+    assert last >= 1 and not c.take(catalog.read("documents").select("store", "model", "doc", "path", F.lit("# x").alias("text")), ("notes", last))
+    assert catalog._pointer()["documents"] == pointer and c.take(spark.createDataFrame([], "store string, model string, doc string, path string, text string"), ("notes", last + 1))
+    assert integrity.model_hashes(catalog.read("documents")).first().hash_b == catalog.read("models").first().hash_b
+
+
+def test_flatten_stops_where_payloads_do(spark):
+    rows = ['{"a":{"b":{"c":1,"d":[{"e":{"f":2}}]},"g":{}},"h":null,"i":"x","j":{"k":null}}', "{}", None, "[1]", "nothing", '{"l":[' + ",".join('{"m":1}' for _ in range(800)) + "]}", '{"a.b":{"c":true}}']
+    docs = spark.createDataFrame(list(enumerate(rows)), "i int, payload_json string")
+    got = sorted((r.i, r.field_path, r.value_json) for r in fields.flatten_payloads(docs, ["i"]).collect())
+    want = [(0, "a.b.c", "1"), (0, "a.b.d", '[{"e":{"f":2}}]'), (0, "h", "null"), (0, "i", '"x"'), (0, "j.k", "null"), (5, "l", "[" + ",".join('{"m":1}' for _ in range(800)) + "]"), (6, "a.b.c", "true")]
+    assert got == want
+
+
+def test_fuzzy_search_loses_nothing(spark):
+    rng = random.Random(9)
+    names = ["".join(rng.choice("abcdeÄ ") for _ in range(rng.randrange(1, 12))) for _ in range(1500)] + ["Straße", "STRASSE", "dashboard", "Dashbord", "dahsboard"]
+    records = spark.createDataFrame([(n, [n], [], []) for n in names], "name string, physical array<string>, semantic array<string>, about array<string>")
+    for term in ("abcde", "dashboard", "ÄbÄ", "strasse", "a"):
+        low = term.lower()
+        want = sorted(n for n in names if low in n.lower() or difflib.SequenceMatcher(None, low, n.lower()).ratio() >= search.FUZZY)
+        assert sorted(r.name for r in search.search(records, term, fuzzy=True).collect()) == want
+
+
+def test_compositions_of_compositions(spark):
+    title = Field("title", "str", "Title")
+    leaf = Model("Leaf", "# ⸢rev•title⸥", (title,))
+    mid = Model("Mid", "# ⸢rev•title⸥\n\n⸢render•all⸥", (title, Field("kids", "list", "Children", optional=True)), compositions={"all": Composition("kids", "{title}", "+", "Leaf")})
+    top = Model("Top", "# ⸢rev•title⸥\n\n⸢render•sum⸥\n\n⸢render•bad⸥", (title, Field("kids", "list", "Children")), compositions={"sum": Composition("kids", "* {title} = {all}", "\n", "Mid"), "bad": Composition("kids", "{nothing}", "\n", "Mid")})
+    frame = lambda rows, kids: spark.createDataFrame([("local", d, f"{d}.md", tuple(p)) for d, *p in rows], f"store string, doc string, path string, payload struct<title: string{', kids: array<string>' if kids else ''}>")
+    payloads = {"Leaf": frame([("a", "A"), ("b", "B")], False), "Mid": frame([("m", "M", ["`b`", " a.md ", "none"]), ("o", "O", None)], True), "Top": frame([("t", "T", ["o", "m", "m"])], True)}
+    got = compositions.render_compositions(Registry(top, mid, leaf), payloads)
+    assert {r.doc: r.text for r in got["Mid"].collect()} == {"m": "# M\n\nB+A", "o": "# O"}
+    assert got["Top"].first().text == "# T\n\n* O = \n* M = B+A\n* M = B+A"
+    loop = dataclasses.replace(leaf, compositions={"x": Composition("title", "", "", "Top")})
+    with pytest.raises(RegistryError, match="Top > Mid > Leaf > Top"):
+        compositions.rendering_order(Registry(top, mid, loop))
+
+
+def test_links_to_one_hot_target(spark):
+    rows = [(f"d{i}", f"x/d{i}.md", "[[hub]] [[d1]] [[hub]]") for i in range(300)] + [("hub", "y/hub.md", "")]
+    docs = spark.createDataFrame(rows, "doc string, path string, text string")
+    found = links.resolve_links(links.parsed_links(docs, ["doc", "path"]), docs)
+    assert found.count() == 900 and found.where("target_path = 'y/hub.md'").count() == 600 and found.where("not resolved or ambiguous").isEmpty()
+
+
 def test_changes(spark, tmp_path):
     catalog = Catalog(spark, str(tmp_path / "catalog"))
-    with pytest.raises(StoreError):
+    with pytest.raises(CatalogError):
         catalog.read("documents")
     catalog.init()
-    with pytest.raises(StoreError):
+    with pytest.raises(CatalogError):
         catalog.init()
     c = Changes(catalog, Registry(GUIDE, NOTE))
     c.add_model("Guide")
-    with pytest.raises(ModelError):
+    with pytest.raises(RegistryError):
         c.add_model("Guide")
     folder = tmp_path / "docs"
     folder.mkdir()
@@ -360,18 +600,18 @@ def test_changes(spark, tmp_path):
     (folder / "two.md").write_text(guide("Two", "draft", 2, "b", ["x.z"]))
     files = read_documents(spark, str(folder), "Guide").drop("model")
     c.track(files, "Guide")
-    with pytest.raises(StoreError):
+    with pytest.raises(CatalogError):
         c.track(files.where("doc = 'one'"), "Guide")
-    with pytest.raises(ValidationError):
+    with pytest.raises(RoundTripError):
         c.track(spark.createDataFrame([("local", "bad", "bad.md", "# only")], "store string, doc string, path string, text string"), "Guide")
     one = spark.createDataFrame([("local", "one")], "store string, doc string")
     c.edit(one, "Guide", "update", "status", "accepted")
     c.edit(one, "Guide", "clean", "semantic_tags", {"dedupe": True, "drop_empty": True})
     row = catalog.read("documents").where("doc = 'one'").first()
     assert json.loads(row.payload_json)["status"] == "accepted" and json.loads(row.payload_json)["semantic_tags"] == ["x.y"] and row.semantic_tags == ["type.documentation.Guide", "x.y"]
-    with pytest.raises(ValidationError):
+    with pytest.raises(RoundTripError):
         c.edit(one, "Guide", "remove", "zz")
-    with pytest.raises(StoreError), catalog.lock():
+    with pytest.raises(CatalogError), catalog.lock():
         c.untrack(catalog.read("documents"))
     c.map_tags("x.y", "g.h")
     assert catalog.read("equivalences").count() == 2
@@ -382,14 +622,14 @@ def test_changes(spark, tmp_path):
     assert json.loads(catalog.read("documents").where("doc = 'two'").first().payload_json)["title"] == "Two again"
     c.promote_model(GUIDE.with_field(Field("more", "str", "more", optional=True)))
     assert catalog.read("models").where("model = 'Guide'").first().version == 2
-    with pytest.raises(ValidationError):
+    with pytest.raises(RoundTripError):
         c.promote_model(GUIDE.with_template("# ⸢rev•title⸥\n\nMore: ⸢rev•status⸥"))
     c.untrack(catalog.read("documents").where("doc = 'one'"))
     assert names(catalog.read("documents"), "doc") == ["two"]
     catalog.vacuum()
     assert catalog.read("documents").count() == 1
     other = Catalog(spark, str(tmp_path / "other"))
-    with pytest.raises(StoreError):
+    with pytest.raises(CatalogError):
         c.link_store("other", other.root)
     other.init()
     c.link_store("other", other.root)
@@ -447,22 +687,42 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("ls", "zz") == 1
 
 
-def test_compose_deep_chains_and_cycles(spark):
-    rows = [(f"c{i}", f"{i} ![[c{i + 1}]] ![[c40]]" if i < 14 else str(i)) for i in (*range(15), 40)]
-    rows[-1] = ("c40", "end")
-    rows += [("x", "x(![[y]] ![[c13]])"), ("y", "y(![[z]])"), ("z", "z(![[x]] ![[z]] ![[none]])"), ("w", "w(![[x]])")]
+def _composed_of(spark, rows):
     docs = spark.createDataFrame([(d, f"{d}.md", t) for d, t in rows], "doc string, path string, text string")
     found = links.resolve_links(links.parsed_links(docs, ["doc", "path"]), docs)
+    return {r.path.removesuffix(".md"): r.composed for r in links.compose(docs, found).collect()}, docs, found
+
+
+def _whole(text, root):
+    """Depth first, in reading order; what was met before comes with its own text, and line ends go."""
+    met = set()
+
+    def go(doc):
+        if doc in met:
+            return text[doc]
+        met.add(doc)
+        return re.sub(r"!\[\[(.*?)\]\]", lambda m: go(m[1]).rstrip() if m[1] in text else m[0], text[doc])
+
+    return go(root)
+
+
+def test_compose_deep_chains_and_cycles(spark):
+    rows = [(f"c{i}", f"{i} ![[c{i + 1}]] ![[c40]]\n" if i < 14 else f"{i}\t \n\n") for i in range(15)] + [("c40", "end \u00a0\n")]
+    rows += [("x", "x(![[y]] ![[c13]])"), ("y", "y(![[z]])\n"), ("z", "z(![[x]] ![[z]] ![[none]])"), ("w", "w(![[x]])\n")]
+    rows += [("a", "A ![[b]] ![[c]]\n"), ("b", "B ![[d]]\n"), ("c", "C ![[d]] ![[d]]\n"), ("d", "D ![[e]]\n"), ("e", "E\n"), ("blank", "\n \n"), ("over", "x ![[blank]] y ![[blank]]\n"), ("once", "a![[e]]b\n")]
+    rows += [(f"k{i}", " ".join(f"![[k{j}]]" for j in range(12) if j != i) + f" {i}\n") for i in range(12)]
     text = dict(rows)
+    got, docs, found = _composed_of(spark, rows)
+    assert got == {d: _whole(text, d) for d in text}
+    assert got["a"] == "A B D E C D ![[e]] D ![[e]]\n"
+    assert {r.path for r in links.reach_cycles(docs, found).collect()} == {f"{d}.md" for d in ("x", "y", "z", "w", *(f"k{i}" for i in range(12)))}
 
-    def whole(doc, trail=()):
-        if doc in trail or doc not in text:
-            return text.get(doc, f"![[{doc}]]")
-        return re.sub(r"!\[\[(.*?)\]\]", lambda m: whole(m[1], (*trail, doc)), text[doc])
 
-    got = {r.path: r.composed for r in links.compose(docs, found).collect()}
-    assert got == {f"{d}.md": whole(d) for d in text}
-    assert {r.path for r in links.reach_cycles(docs, found).collect()} == {"x.md", "y.md", "z.md", "w.md"}
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.tuples(st.sampled_from([" ", "\n", "x", "", "[[1]]"]), st.integers(0, 9)), max_size=4), min_size=1, max_size=8))
+def test_compose_equals_a_walk(spark, made):
+    text = {str(i): f"{i}" + "".join(f"{gap}![[{j}]]" for gap, j in parts) + "\n" for i, parts in enumerate(made)}
+    assert _composed_of(spark, list(text.items()))[0] == {d: _whole(text, d) for d in text}
 
 
 def test_descendants_at_any_depth(spark):
@@ -489,7 +749,7 @@ def test_predicates_join(lib):
 
 def test_odd_addresses():
     for bad in ("", "st.", "st.A", "st.{}", "st.{A", "st.{A}x", "st.{A}.", "st.{A}.d.", "st.{A++}", "st.{+}", "st.{A{B}}", "se.", "gse.", "xx.a"):
-        with pytest.raises(StoreError):
+        with pytest.raises(CatalogError):
             parse_address(bad)
     assert parse_address("st.{A}.d").doc == "d" and parse_address("gse.a.se.{}").root == "gse" and parse_address("gse.a.se.b.se.{x}").tag == "a.se.b"
 
@@ -525,7 +785,7 @@ def test_trees(spark, lib):
     doc = tree.tree_of(lib, "docs/readme").first()
     assert doc.sections == ["project-guide", "project-guide/abstract", "project-guide/tags"] and doc.fields == sorted(fields_of)
     assert tree.tree_of(lib, "fields/readme/title").first().value == '"Project Guide"'
-    with pytest.raises(StoreError):
+    with pytest.raises(CatalogError):
         tree.tree_of(lib, "docs/nobody")
     assert Counter(r.relation for r in tree.graph_edges(lib).collect()) == {"has_model": 4, "has_doc": 4, "has_section": 10, "has_field": 17}
 
@@ -550,7 +810,7 @@ def test_raw_sources_and_manifests(spark, tmp_path):
     assert read_manifest(spark, str(tmp_path / "m.csv")).first().content_hash == "h"
     docs = docs_of(spark, ("local", "A", "same", "x"), ("local", "B", "same", "y"))
     write_documents(docs, str(tmp_path / "out"))
-    assert {(r.model, r.value) for r in spark.read.text(str(tmp_path / "out"), wholetext=True).collect()} == {("A", "x\n"), ("B", "y\n")}
+    assert {m: (tmp_path / "out" / "local" / m / "same.md").read_text() for m in "AB"} == {"A": "x\n", "B": "y\n"}
 
 
 def test_locks_left_behind(spark, tmp_path):
@@ -558,7 +818,7 @@ def test_locks_left_behind(spark, tmp_path):
     catalog.init()
     lock = tmp_path / "c" / "LOCK"
     lock.write_text(json.dumps({"host": socket.gethostname(), "pid": os.getpid()}))
-    with pytest.raises(StoreError), catalog.lock():
+    with pytest.raises(CatalogError), catalog.lock():
         pass
     for left in ({"host": socket.gethostname(), "pid": 2**22 + 1}, {"host": "elsewhere", "pid": 1}):
         lock.unlink(missing_ok=True)
