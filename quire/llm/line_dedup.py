@@ -71,7 +71,7 @@ def line_segments(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = rows.select("fp", "line", F.xxhash64(F.lit(5), "l").alias("raw"), F.explode(F.array(masked)).alias("m"))
     rows = rows.select("fp", "line", "raw", "m", F.explode(F.array(F.array_remove(F.split(spaced, " "), ""))).alias("t"))
     rows = rows.withColumn("n", F.size("t")).where("n > 0")
-    fields = (F.length("m") - F.length(F.replace(F.col("m"), F.lit("<*>"), F.lit("")))) / 3
+    fields = F.when(F.contains("m", F.lit("<*>")), (F.length("m") - F.length(F.replace(F.col("m"), F.lit("<*>"), F.lit("")))) / 3).otherwise(0)
     rows = rows.withColumn("constant", (F.col("n") - fields).cast("int")).withColumn("per", F.ceil(F.col("n") / SEGMENTS).cast("int"))
     lead = F.least(F.lit(LEAD), F.floor((F.col("n") + 1) / 2)).cast("int")
     segment = lambda i: F.when(i * F.col("per") < F.col("n"), F.xxhash64(F.lit(i), F.slice("t", i * F.col("per") + 1, F.col("per"))))
@@ -101,22 +101,22 @@ def line_templates(lines: DataFrame, again: DataFrame, min_docs: int) -> DataFra
     parts = leaves.select("*", F.posexplode("segments").alias("i", "segment")).where("segment is not null").withColumn("key", F.xxhash64("leaf", "segment"))
     several = small(cut(_several(parts.select("key", "fp"), "key")))
     fixed = cut(parts.select("key", "fp").join(several, "key").groupBy("key").agg(F.count_distinct("fp").alias("d")).where(F.col("d") >= min_docs).select("key"))
-    found = parts.join(small(fixed), "key").groupBy("fp", "line", "n", "per", "constant", "leaf").agg(F.sort_array(F.collect_set(F.struct("i", "key"))).alias("fixed"))
-    last = F.ceil(F.col("n") / F.col("per")) - 1  # the last segment may be shorter
-    kept = F.size("fixed") * F.col("per") - F.when(F.element_at("fixed", -1)["i"] == last, (last + 1) * F.col("per") - F.col("n")).otherwise(0)
+    # a segment's key by its place; equal texts have a line's segments several times
+    keys = [F.max(F.when(F.col("i") == i, F.col("key"))).alias(f"k{i}") for i in range(SEGMENTS)]
+    found = parts.join(small(fixed), "key").groupBy("fp", "line", "n", "per", "constant", "leaf").agg(*keys)
+    length = lambda i: F.least(F.col("n") - i * F.col("per"), F.col("per"))
+    kept = sum((F.when(F.col(f"k{i}").isNotNull(), length(i)).otherwise(0) for i in range(SEGMENTS)), F.lit(0))
     # lines without a field are templates as whole lines
     found = found.withColumn("kept", kept).where("kept < n and 2 * kept >= n").where(F.col("constant") - (F.col("n") - F.col("kept")) >= MIN_CONSTANT)
-    return whole.unionByName(found.select(F.xxhash64("leaf", "fixed.key").alias("template"), "fp", "line", "n")).distinct()
+    return whole.unionByName(found.select(F.xxhash64("leaf", *[F.coalesce(f"k{i}", F.lit(0)) for i in range(SEGMENTS)]).alias("template"), "fp", "line", "n")).distinct()
 
 
 def line_parts(lines: DataFrame) -> DataFrame:
-    """(template, fp, line, n, same): lines as they are, and by each quarter of their segments, where two texts have it."""
+    """(fp, line, n, part, same): lines as they are, and each quarter of their segments."""
     wide = SEGMENTS // 4
     quarter = lambda i: F.when(F.col("n") > i * wide * F.col("per"), F.xxhash64(F.lit(i), "n", F.slice("segments", i * wide + 1, wide)))
-    parts = F.posexplode(F.array("raw", *map(quarter, range(4)))).alias("kind", "template")
-    rows = lines.where("constant > 0").select("fp", "line", "n", parts).where("template is not null")
-    several = small(cut(_several(rows.select("template", "fp"), "template")))
-    return rows.join(several, "template").select("template", "fp", "line", "n", (F.col("kind") == 0).alias("same"))
+    rows = lines.where("constant > 0").select("fp", "line", "n", F.posexplode(F.array("raw", *map(quarter, range(4)))).alias("kind", "part"))
+    return rows.where("part is not null").select("fp", "line", "n", "part", (F.col("kind") == 0).alias("same"))
 
 
 def runs(lines: DataFrame) -> DataFrame:
@@ -143,24 +143,20 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN
     long = cut(long.join(small(cut(_several(long, "template"))), "template"))
     # only copies among the texts that share a template or a run matter
     sharing = small(cut(hits.select("fp").unionByName(long.select("fp")).distinct()))
-    twins, like = copies(lines.join(sharing, "fp", "left_semi"))
+    sizes = cut(text_sizes(lines.join(sharing, "fp", "left_semi")))
     left = hits.select("template", "fp").distinct()
     for _ in range(min_docs - 1):
-        left = without_first(left, twins, like)
+        left = without_first(left, lines, sizes)
     dropped = hits.join(small(cut(left.select("template").distinct())), "template").select("fp", "line")
-    left = without_first(long.select("template", "fp").distinct(), twins, like)
+    left = without_first(long.select("template", "fp").distinct(), lines, sizes)
     dropped = dropped.unionByName(long.join(small(cut(left.select("template").distinct())), "template").select("fp", F.explode("run").alias("line"))).distinct()
     return dropped.groupBy("fp").agg(F.collect_list("line").alias("drop"))
 
 
-def copies(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``line_parts`` of texts that have most of their words in such lines, and (fp, words, lines) of these texts."""
-    twins = cut(line_parts(lines))
-    # documents of one text have each of its lines several times: count each once
-    size = lines.where("constant > 0").groupBy("fp", "line").agg(F.first("n").alias("n")).groupBy("fp").agg(F.sum("n").alias("words"), F.count("*").alias("lines"))
-    again = twins.groupBy("fp", "line").agg(F.first("n").alias("n")).groupBy("fp").agg(F.sum("n").alias("again"))
-    like = cut(again.join(size, "fp").where(F.col("again") >= COPY * F.col("words")).select("fp", "words", "lines"))
-    return cut(twins.join(small(like.select("fp")), "fp", "left_semi").distinct()), like
+def text_sizes(lines: DataFrame) -> DataFrame:
+    """(fp, words, lines): of lines that have a word without a digit, each once."""
+    # documents of one text have each of its lines several times
+    return lines.where("constant > 0").groupBy("fp", "line").agg(F.first("n").alias("n")).groupBy("fp").agg(F.sum("n").alias("words"), F.count("*").alias("lines"))
 
 
 def alike(common: Column, words: Column, of_first: Column, least: float) -> Column:
@@ -168,14 +164,16 @@ def alike(common: Column, words: Column, of_first: Column, least: float) -> Colu
     return common >= least * (words + of_first - common)
 
 
-def without_first(left: DataFrame, twins: DataFrame, like: DataFrame) -> DataFrame:
-    """``left`` (template, fp) without each template's first text and the copies of that one, told by ``twins``."""
+def without_first(left: DataFrame, lines: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``left`` (template, fp) without each template's first text and the copies of that one."""
     first = left.groupBy("template").agg(F.min("fp").alias("first"))
     rest = cut(left.join(small(cut(first)), "template").where("fp <> first"))
-    pairs = rest.select("fp", "first").distinct().join(like, "fp").join(like.select(F.col("fp").alias("first"), F.col("words").alias("of_first")), "first")
+    pairs = rest.select("fp", "first").distinct().join(sizes, "fp").join(sizes.select(F.col("fp").alias("first"), F.col("words").alias("of_first")), "first")
+    # copies share most words of the longer one
     pairs = cut(pairs.where(F.least("words", "of_first") >= COPY * F.greatest("words", "of_first")))
-    theirs = twins.join(pairs.select(F.col("first").alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias("first"), "template").distinct()
-    both = pairs.join(twins.select("fp", "line", "n", "template", "same"), "fp").join(theirs, ["first", "template"])
+    of = lambda name: line_parts(lines.join(small(cut(pairs.select(F.col(name).alias("fp")).distinct())), "fp", "left_semi"))
+    theirs = of("first").select(F.col("fp").alias("first"), "part").distinct()
+    both = of("fp").join(small(pairs), "fp").join(small(cut(theirs)), ["first", "part"])
     ofs = ["fp", "first", "words", "of_first", "lines"]
     common = both.groupBy(*ofs, "line").agg(F.first("n").alias("n"), F.bool_or("same").alias("same")).groupBy(*ofs).agg(F.sum("n").alias("common"), F.count("*").alias("met"), F.count_if(~F.col("same")).alias("edited"))
     shared = F.col("common") - BETWEEN * (F.col("lines") - F.col("met"))
