@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quire import cli
 from quire.errors import FieldEditError, RegistryError, CatalogError, CompileError, RoundTripError
 from quire.functions import text
-from quire.operators import compositions, extract, fields, ingest, integrity, library, links, search, sections, semantics, tree, trigrams
+from quire.operators import compositions, extract, fields, ingest, integrity, intervals, library, links, search, sections, semantics, tree, trigrams
 from quire.operators.changes import Changes
 from quire.plans import expressions, templates
 from quire.plans.addresses import parse_address
@@ -464,7 +464,7 @@ def test_no_document_stops_a_job(spark, tmp_path):
     assert integrity.diagnose(tracked, library.Library(Registry(model), tracked).payloads()).where("note = 'ok'").count() == len(HOSTILE)
 
 
-def test_indexed_search_gives_what_a_scan_gives(spark, lib):
+def test_indexed_search_gives_what_a_scan_gives(spark, lib, tmp_path):
     records = trigrams.with_record(search.search_records(lib)).checkpoint()
     postings = trigrams.gram_postings(records).checkpoint()
     key = ["kind", "store", "model", "doc", "name", "path"]
@@ -472,6 +472,9 @@ def test_indexed_search_gives_what_a_scan_gives(spark, lib):
     for term, regex in (("readme", False), ("Guide", False), ("re", False), ("core.data", False), ("nothing here", False), (r"^read\w+$", True), (r"(special|note)", True), (r"doc[sx]/.*\.md", True), (r"loc?al-spec{1,2}ial", True), (r"\.d.tab", True), ("Abs|Tag", True)):
         for within in ("both", "physical", "semantic"):
             assert rows(trigrams.indexed_search(records, postings, term, within, regex=regex)) == rows(search.search(records, term, within, regex=regex)), term
+    postings.write.parquet(str(tmp_path / "postings"))
+    plan = trigrams.candidates(spark.read.parquet(str(tmp_path / "postings")), "readme")._jdf.queryExecution().toString()
+    assert "In(gram, [adm,dme,ead,rea])" in plan
     assert trigrams.candidates(postings, r"a.b|readme", regex=True) is None and trigrams.candidates(postings, "readme").count() < records.count()
 
 
@@ -576,6 +579,25 @@ def test_compositions_of_compositions(spark):
         compositions.rendering_order(Registry(top, mid, loop))
 
 
+def test_tags_as_intervals(spark, tmp_path):
+    tags = ["a.b.c", "a.b", "a-x", "a.b-x.d", "a.c.d.e", "b", "b.a", "a", "c.d", "a.b.c.d"]
+    numbered = intervals.numbered_tags(spark.createDataFrame([(t,) for t in [*tags, *tags, ""]], "tag string"))
+    numbered.orderBy("pre").write.parquet(str(tmp_path / "tags"))
+    numbered = spark.read.parquet(str(tmp_path / "tags"))
+    nodes = {".".join(t.split(".")[:i]) for t in tags for i in range(1, t.count(".") + 2)}
+    rows = {r.tag: r for r in numbered.collect()}
+    assert set(rows) == nodes and [r.tag for r in sorted(rows.values(), key=lambda r: r.pre)] == sorted(nodes, key=lambda t: t.split("."))
+    distinct = spark.createDataFrame([(t,) for t in tags], "tag string")
+    for top in ("a", "a.b", "a.b.c.d", "zz"):
+        below = intervals.tags_below(numbered, top)
+        assert {r.tag for r in below.collect()} == {t for t in nodes if re.match(text.tag_pattern(top + ".**"), t)}
+        assert sorted(r.segment for r in intervals.children(numbered, top).collect()) == [r.segment for r in semantics.tag_children(distinct, top).collect()]
+    plan = intervals.tags_below(numbered, "a")._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(pre," in plan and "LessThanOrEqual(pre," in plan
+    equal = spark.createDataFrame([("d", "c"), ("c", "b"), ("b", "a"), ("x", "y"), ("z", "z"), ("e", "d"), ("f", "e"), ("g", "f")], "tag string, equal string")
+    assert {r.tag: r["class"] for r in intervals.equal_classes(equal).collect()} == {**dict.fromkeys("abcdefg", "a"), "x": "x", "y": "x"}
+
+
 def test_links_to_one_hot_target(spark):
     rows = [(f"d{i}", f"x/d{i}.md", "[[hub]] [[d1]] [[hub]]") for i in range(300)] + [("hub", "y/hub.md", "")]
     docs = spark.createDataFrame(rows, "doc string, path string, text string")
