@@ -63,10 +63,11 @@ def diagnose(tracked: DataFrame, found: DataFrame) -> DataFrame:
     """``tracked`` (store, model, doc, hash_c, hash_d) against ``found`` (store, model, doc, text, payload_json).
 
     note: missing, ok, benign_mutation (only the text changed), data_mutation. A
-    payload that can't be had counts as unchanged.
+    payload that can't be had counts as unchanged. Both sides are dealt by name: they
+    may come from files much smaller than the hashes, so no estimate is to broadcast one.
     """
     now = document_hashes(found).select("store", "model", "doc", F.col("hash_c").alias("now_c"), F.col("hash_d").alias("now_d"), F.lit(True).alias("there"))
-    both = tracked.join(now, ["store", "model", "doc"], "left")
+    both = tracked.join(now.hint("merge"), ["store", "model", "doc"], "left")
     same_c, same_d = F.col("hash_c") == F.col("now_c"), F.coalesce(F.col("hash_d") == F.col("now_d"), F.lit(True))
     note = F.when(F.col("there").isNull(), "missing").when(same_c & same_d, "ok").when(same_d, "benign_mutation").otherwise("data_mutation")
     return both.select("store", "model", "doc", F.coalesce(same_c, F.lit(False)).alias("hash_c_ok"), (F.col("there").isNotNull() & same_d).alias("hash_d_ok"), note.alias("note"))

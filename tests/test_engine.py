@@ -348,6 +348,14 @@ def test_integrity(spark):
     assert integrity.changed_docs(now, tracked.select("store", "model", "doc", "hash_c")).count() == 2
 
 
+def test_diagnosis_broadcasts_no_documents(spark):
+    """Few bytes are expected of documents made by expressions, however many they are."""
+    docs = spark.range(5).select(F.lit("local").alias("store"), F.lit("M").alias("model"), F.concat(F.lit("d"), "id").alias("doc"), F.repeat(F.lit("text"), 1000).alias("text"), F.lit("{}").alias("payload_json"))
+    notes = integrity.diagnose(integrity.document_hashes(docs), docs.where("id <> 3"))
+    assert {r.doc: r.note for r in notes.collect()} == {f"d{i}": "missing" if i == 3 else "ok" for i in range(5)}
+    assert "Broadcast" not in notes._jdf.queryExecution().executedPlan().toString()
+
+
 def _slots(catalog, name="documents"):
     return catalog._pointer()[name]
 
