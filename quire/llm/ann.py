@@ -13,15 +13,18 @@ vectors, and as many are reranked as it takes to reach RECALL of their true
 neighbours. Up to LEAST vectors are always reranked, so small tables are searched
 exactly.
 
-Equal vectors are one entry, with the few ids that can be in a result. Cells meet
-their queries in blocks of bounded size, so that a full cell that many queries
-visit is many tasks; only the nearest of each block leave it.
+Equal vectors are one entry, with the few ids that can be in a result. Neighbouring
+cells are gathered in groups, PIECES of them until a group is as large as a block
+may be; a full cell that many queries visit is several groups. A query goes to each
+group once, whatever number of its cells it visits, and only the nearest of each
+group leave it. So up to PIECES blocks of vectors, rows grow with the queries, and
+beyond that with the queries and the blocks; comparisons grow with what is reranked.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,10 @@ from .common import cut, prepare, small, stored, tidy
 SAMPLE, SAMPLE_NUMBERS, CELL, MOST_BITS = 32_768, 4_000_000, 64, 9
 #: Queries compared with all vectors, share of their neighbours to be reached, entries that are reranked in any case.
 AUDIT, RECALL, LEAST = 128, 0.98, 4096
-#: Numbers in a block of entries or of queries.
-BLOCK_NUMBERS = 1 << 18
+#: Numbers in a block of entries or of queries at most, about; groups of cells that are aimed at, if these are smaller than blocks.
+BLOCK_NUMBERS, PIECES = 1 << 21, 64
+#: Pairs of entries and queries that are compared exactly at once.
+PAIRS = 1 << 14
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -105,6 +110,51 @@ def nearest(q: np.ndarray, e: np.ndarray, first: np.ndarray, k: int) -> Iterator
             yield at + i, chosen[order], far[order]
 
 
+def closest(q: np.ndarray, e: np.ndarray, first: np.ndarray, visits: Iterable[tuple[int, int, np.ndarray]], k: int, scale: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``q``, rows of ``e`` and distances: for each query the ``k`` nearest of the entries that it visits, equal distances by ``first``.
+
+    ``visits`` are ranges of ``e`` that don't overlap, each with the queries that visit
+    it. Rough squares, with their error on either side, tell which pairs are compared
+    exactly: those that can be nearer than the k-th that is known. ``scale`` is the
+    power of two that keeps squares from overflow.
+    """
+    a, b = np.ldexp(q, -scale), np.ldexp(e, -scale)
+    slack, aa, bb = 4e-14 * q.shape[1], (a * a).sum(axis=1), (b * b).sum(axis=1)
+    best, bound = np.full((len(q), k), np.inf), np.full(len(q), np.inf)
+    found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def settled() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j, low = (np.concatenate(x) for x in zip(*pending))
+        i, j = i[low <= bound[i]], j[low <= bound[i]]
+        far = [exact(q[i[at : at + PAIRS]], e[j[at : at + PAIRS]]) for at in range(0, len(i), PAIRS)]
+        i, j, far = (np.concatenate(x) for x in ([found[0], i], [found[1], j], [found[2], *far]))
+        order = np.lexsort((first[j], far, i))
+        i, j, far = i[order], j[order], far[order]
+        near = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return i[near], j[near], far[near]
+
+    for start, stop, asked in visits:
+        for at in range(start, stop, 1024):
+            piece = slice(at, min(at + 1024, stop))
+            for of in range(0, len(asked), 256):
+                n = asked[of : of + 256]
+                sums = aa[n][:, None] + bb[piece]
+                rough, error = np.maximum(sums - 2 * (a[n] @ b[piece].T), 0), slack * sums + 1e-300
+                low = rough - error
+                some = np.flatnonzero((low <= bound[n][:, None]).any(axis=1))
+                if not len(some):
+                    continue
+                n, low = n[some], low[some]
+                best[n] = np.partition(np.concatenate([best[n], (rough + error)[some]], axis=1), k - 1, axis=1)[:, :k]
+                bound[n] = best[n].max(axis=1)
+                i, j = np.nonzero(low <= bound[n][:, None])
+                pending.append((n[i], j + at, low[i, j]))
+                if sum(len(x[0]) for x in pending) > 16 * PAIRS:
+                    found, pending = settled(), []
+    return settled() if pending else found
+
+
 class MultiIndex:
     """Two codebooks and the number of entries in each cell."""
 
@@ -123,6 +173,15 @@ class MultiIndex:
         one, two = (d.argmin(axis=1) for d in self.distances(x))
         return one * len(self.books[1]) + two
 
+    def groups(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each cell its first group and the number of its groups: neighbouring cells share one of about ``size`` entries, larger cells have several."""
+        counts = self.counts.ravel()
+        run = (np.cumsum(counts) - counts) // size
+        own = np.maximum(1, (counts + size // 2) // size)
+        most = np.zeros(run.max() + 1, np.int64)
+        np.maximum.at(most, run, own)
+        return (np.cumsum(most) - most)[run], own
+
     def passed(self, one: np.ndarray, two: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """Entries that a query with these distances reranks until it has passed each of ``cells``."""
         sums = (one[:, None] + two).ravel()
@@ -197,49 +256,64 @@ def enough(entries: DataFrame, queries: DataFrame, index: MultiIndex, k: int, re
     return max(least, int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]))
 
 
-def probes(queries: DataFrame, index: MultiIndex, depth: int) -> DataFrame:
-    """(cell, q, query_id, e): each query with the cells that it visits."""
+def probes(queries: DataFrame, index: MultiIndex, groups: tuple[np.ndarray, np.ndarray], depth: int) -> DataFrame:
+    """(cells, reach, q, query_id, e): each query with the groups of cells that it visits; it visits all cells up to a summed distance of ``reach``."""
+    group, own = groups
+    width = len(index.books[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = index.distances(matrix(batch.column("e"), index.dim))
             for i in range(len(batch)):
-                cells = index.walk(one[i], two[i], depth)
+                cells = np.array(index.walk(one[i], two[i], depth))
+                reach = float((one[i][cells // width] + two[i][cells % width]).max()) * (1 + 1e-9) + 1e-14 * index.dim  # other batches round otherwise
+                n = own[cells]
+                some = np.unique(np.repeat(group[cells] - np.cumsum(n) + n, n) + np.arange(n.sum()))
                 row = batch.slice(i, 1)
-                for at in range(0, len(cells), 1024):
-                    some = cells[at : at + 1024]
-                    many = row.take(pa.array([0] * len(some)))
-                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *many.columns], ["cell", *many.schema.names])
+                for at in range(0, len(some), 1024):
+                    part = some[at : at + 1024]
+                    many = row.take(pa.array([0] * len(part)))
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([reach] * len(part)), *many.columns], ["cells", "reach", *many.schema.names])
 
-    return queries.mapInArrow(run, T.StructType([T.StructField("cell", T.IntegerType()), *queries.schema.fields]))
+    return queries.mapInArrow(run, T.StructType([T.StructField("cells", T.IntegerType()), T.StructField("reach", T.DoubleType()), *queries.schema.fields]))
 
 
-def reranked(entries: DataFrame, asked: DataFrame, dim: int, k: int) -> DataFrame:
-    """(q, query_id, far, ids): the nearest entries of each block that a query visits."""
-    size = max(16, BLOCK_NUMBERS // dim)
-    blocks = cut(entries.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")))
-    parts = cut(asked.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("int").alias("parts")))
-    shape = cut(blocks.join(parts, "cell"))  # at most as many rows as there are cells
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+def reranked(entries: DataFrame, asked: DataFrame, index: MultiIndex, groups: tuple[np.ndarray, np.ndarray], k: int) -> DataFrame:
+    """(q, query_id, far, ids): the nearest entries of each group of cells that a query visits."""
+    dim, width, scale = index.dim, len(index.books[1]), index.scale
+    parts = cut(asked.groupBy("cells").agg(F.ceil(F.count("*") / block_size(dim)).cast("int").alias("parts")))  # a row a group
+    held = np.flatnonzero(index.counts)
+    places = pa.table({"cell": pa.array(held, pa.int32()), "cells": pa.array(groups[0][held], pa.int32()), "own": pa.array(groups[1][held], pa.int32())})
+    placed = entries.join(F.broadcast(entries.sparkSession.createDataFrame(places)), "cell").withColumn("cells", (F.col("cells") + F.pmod(F.xxhash64("e"), F.col("own"))).cast("int"))
     # both sides' keys have to be of one type: rows are dealt by their hashes
-    left = entries.join(small(shape), "cell").withColumn("block", F.pmod(F.xxhash64("e"), F.col("blocks")).cast("int")).select("cell", "block", every("parts").alias("part"), "e", "ids")
-    right = asked.join(small(shape), "cell").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int")).select("cell", every("blocks").alias("block"), "part", "q", "query_id", "e")
+    left = placed.join(small(parts), "cells").select("cells", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cell", "e", "ids")
+    right = asked.join(small(parts), "cells").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int")).select("cells", "part", "reach", "q", "query_id", "e")
 
     def run(e: pa.Table, q: pa.Table) -> pa.Table:
-        rows: tuple[list, list, list, list] = ([], [], [], [])
+        out = []
         if len(e) and len(q):
-            ids, names, keys = e.column("ids").to_pylist(), q.column("query_id").to_pylist(), q.column("q").to_pylist()
-            for n, near, far in nearest(matrix(q.column("e"), dim), matrix(e.column("e"), dim), np.array([i[0] for i in ids], np.int64), k + 1):
-                rows[0].extend([keys[n]] * len(near))
-                rows[1].extend([names[n]] * len(near))
-                rows[2].extend(far.tolist())
-                rows[3].extend(ids[i] for i in near)
-        return pa.table([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64())))], ["q", "query_id", "far", "ids"])
-
-    keys = ["cell", "block", "part"]
+            e = e.sort_by("cell")
+            cell, x = e.column("cell").to_numpy(), matrix(e.column("e"), dim)
+            first = np.array([i[0] for i in e.column("ids").to_pylist()], np.int64)
+            starts = np.flatnonzero(np.diff(cell, prepend=-1))
+            for at in range(0, len(q), 4096):
+                some = q.slice(at, 4096)
+                y, reach = matrix(some.column("e"), dim), some.column("reach").to_numpy()
+                one, two = index.distances(y)
+                visits = ((i, j, np.flatnonzero(one[:, cell[i] // width] + two[:, cell[i] % width] <= reach)) for i, j in zip(starts, [*starts[1:], len(e)]))
+                n, near, far = closest(y, x, first, visits, k + 1, scale)
+                out.append(pa.table({"q": some.column("q").take(pa.array(n)), "query_id": some.column("query_id").take(pa.array(n)), "far": far, "ids": e.column("ids").take(pa.array(near))}))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()))], ["q", "query_id", "far", "ids"])
+
+    keys = ["cells", "part"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "q long, query_id long, far double, ids array<long>")
 
 
+def block_size(dim: int) -> int:
+    """Entries or queries in a block at most, about."""
+    return max(16, BLOCK_NUMBERS // dim)
+
+
 @tidy
 def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = RECALL, least: int = LEAST, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest vectors found for each row for which ``is_query`` (of vec_id) is true.
@@ -267,7 +341,8 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, recall
         for cell, held in placed.groupBy("cell").count().collect():  # a row a cell
             index.counts.flat[cell] = held
         depth = enough(placed, theirs, index, k, recall, least)
-        found = found.unionByName(reranked(placed, stored(probes(theirs, index, depth)), dim, k))
+        groups = index.groups(min(block_size(dim), max(CELL, -(-count // PIECES))))
+        found = found.unionByName(reranked(placed, stored(probes(theirs, index, groups, depth)), index, groups, k))
     found = found.select("q", "query_id", "far", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("far", "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", F.col("far").alias("score"))

@@ -206,6 +206,53 @@ def test_neighbours_in_blocks(spark, monkeypatch):
     same(ann.nearest_neighbours(vectors_of(spark, rows), F.col("vec_id") % 20 == 0).collect(), brute_neighbours(rows, every=20))
 
 
+def test_rows_of_a_query_stay_as_many_with_more_cells(spark, monkeypatch):
+    """All of 20,000 vectors in 256 cells are reranked: a query leaves the nearest of each group of cells, not of each cell."""
+    made, reranked = [], ann.reranked
+
+    def counted(*args):
+        made.append(reranked(*args).cache())
+        return made[-1]
+
+    monkeypatch.setattr(ann, "reranked", counted)
+    x = np.random.default_rng(9).normal(size=(20_000, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest_neighbours(rows, F.col("vec_id") % 500 == 0, least=20_000).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for i in range(0, len(x), 500):
+        far = ((x - x[i]) ** 2).sum(axis=1)
+        far[i] = np.inf
+        assert got[i] == np.argsort(far)[:10].tolist()
+    assert len(got) == 40 and made[0].count() <= 40 * 11 * 80
+
+
+def test_nearest_of_ranges():
+    """Ranges that some queries visit, many equal distances, and vectors far from zero, where rough squares tell nothing."""
+    rng = np.random.default_rng(10)
+    for shift, kinds in ((0.0, 50), (0.0, 3), (1e9, 50)):
+        e, q = (rng.integers(0, kinds, size=(n, 3)).astype(float) + shift for n in (3000, 300))
+        first, scale = rng.permutation(3000), int(np.frexp(np.abs(e).max())[1])
+        visits = [(a, a + 1500, np.flatnonzero(rng.random(300) < 0.7)) for a in (0, 1500)]
+        i, j, far = ann.closest(q, e, first, visits, 11, scale)
+        for n in range(300):
+            seen = np.concatenate([np.arange(a, b) for a, b, asked in visits if n in asked] or [np.empty(0, int)])
+            want = np.sqrt(((e[seen] - q[n]) ** 2).sum(axis=1))
+            order = np.lexsort((first[seen], want))[:11]
+            assert j[i == n].tolist() == seen[order].tolist() and far[i == n] == pytest.approx(want[order])
+
+
+def test_groups_of_cells():
+    index = ann.MultiIndex(np.random.default_rng(11).normal(size=(400, 4)), 2, 0)
+    index.counts.flat[:] = [3, 0, 4, 50, 1, 9, 10, 0, 5, 5, 5, 5, 0, 31, 2, 2]
+    group, own = index.groups(10)
+    assert own.tolist() == [1, 1, 1, 5, 1, 1, 1, 1, 1, 1, 1, 1, 1, 3, 1, 1]
+    load = np.zeros(group.max() + own.max())
+    for g, n, held in zip(group, own, index.counts.ravel()):
+        load[g : g + n] += held / n
+    assert load.sum() == 132 and load.max() <= 25 and len(load[load > 0]) <= 20
+
+
 def test_recall_of_neighbours(spark):
     """A third of the vectors in one tight group, the rest in clusters and alone; the index reranks what the audit asks for."""
     rng = np.random.default_rng(6)
